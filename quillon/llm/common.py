@@ -80,6 +80,23 @@ def running_total(ws: Workspace, df: DataFrame, name: str, groups: list[str], or
     sums = sums.withColumn("offset_", F.sum("in_part").over(at) - F.col("in_part")).drop("in_part")
     inside = Window.partitionBy("part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = dealt.withColumn("own_", F.coalesce(F.sum(value).over(inside), F.lit(0).cast("long")))
-    same = [own[c].eqNullSafe(sums[c]) for c in [*groups, "part"]]
-    joined = own.join(sums.hint("shuffle_hash"), [*groups, "part"]) if not groups else own.join(sums, same, "inner")
-    return joined.select(*[own[c] for c in df.columns], (own["own_"] + sums["offset_"]).alias("before"))
+    if groups:
+        joined = many_to_one(own, sums, [*groups, "part"])
+    else:
+        joined = own.join(sums.hint("shuffle_hash"), "part")
+    return joined.select(*df.columns, (F.col("own_") + F.col("offset_")).alias("before"))
+
+
+def many_to_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+    """Null-safe join of many rows to the one row of their key, without all rows of a frequent key in one task.
+
+    The rows of `many` carry one of `salts` numbers, each row of `one` comes once with every number.
+    Columns: those of `many`, then those of `one` that are no key.
+    """
+    left = many.withColumn("salt_", F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in many.columns if c not in keys] or [F.lit(0)]), F.lit(salts)).cast("int"))
+    right = one.withColumn("salt_", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    right = right.select(*[F.col(c).alias(f"{c}_right") for c in keys], F.col("salt_").alias("salt_right"), *[c for c in one.columns if c not in keys])
+    at = (left["salt_"] == right["salt_right"])
+    for c in keys:
+        at = at & left[c].eqNullSafe(right[f"{c}_right"])
+    return left.join(right, at, how).drop("salt_", "salt_right", *[f"{c}_right" for c in keys])
