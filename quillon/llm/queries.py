@@ -21,5 +21,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op9_packing)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op9_packing, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
