@@ -15,6 +15,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(plan(spark, table(spark, sf_dir, "documents")))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import judge
 
@@ -33,5 +39,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_quality, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op5_repeats, op6_quality, op9_packing, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
