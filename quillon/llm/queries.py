@@ -27,6 +27,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .neardup import near_duplicates
+
+    found = near_duplicates(spark, table(spark, sf_dir, "documents"))
+    return found.select(F.col("id_").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id_").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -39,5 +48,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_repeats, op6_quality, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op5_repeats, op6_quality, op7_near_duplicates, op9_packing, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
