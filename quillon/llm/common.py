@@ -99,4 +99,5 @@ def many_to_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     at = (left["salt_"] == right["salt_right"])
     for c in keys:
         at = at & left[c].eqNullSafe(right[f"{c}_right"])
-    return left.join(right, at, how).drop("salt_", "salt_right", *[f"{c}_right" for c in keys])
+    # A merge join: copies for the salts make `one` larger than the estimate that a broadcast would be chosen by.
+    return left.join(right.hint("merge"), at, how).drop("salt_", "salt_right", *[f"{c}_right" for c in keys])

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, many_to_one, running_total, word_count
+from .common import SPACES, Workspace, many_to_one, running_total, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -132,3 +132,23 @@ def slices(mix: Mix) -> DataFrame:
     """uid, pass, at, words: what each pass takes of a document. It is one run of words, as a pass takes blocks in order."""
     joined = pieces(mix).join(mix.slots, ["sid", "block"])
     return joined.groupBy("uid", "pass").agg(F.min("at").alias("at"), F.sum("words").alias("words"))
+
+
+def mixed_rows(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: a row of docs for each pass that takes it, with its columns; a part of a text has the words taken, as they stand.
+
+    A column n_chars, where there is one, follows the text.
+    """
+    ws = Workspace(spark, "mixed")
+    kept = ws.table(docs.withColumn("row_", F.monotonically_increasing_id()), "docs")
+    mix = plan(spark, kept, weights, most, block_words, "row_", text_col, source_col)
+    runs = slices(mix).join(mix.rows.select("uid", F.col("doc_id").alias("row_"), "size"), "uid").select("row_", "size", F.col("at"), F.col("words").alias("words_"))
+    rows = kept.join(runs, "row_")
+    spaces = r"[\x20\x09-\x0D]"
+    # Words with the spaces after them.
+    part = F.array_join(F.slice(F.split(F.ltrim(F.col(text_col), F.lit(SPACES)), f"(?<={spaces})(?!{spaces})"), F.col("at").cast("int") + 1, F.col("words_").cast("int")), "")
+    text = F.when((F.col("at") == 0) & (F.col("words_") == F.col("size")), F.col(text_col)).otherwise(part)
+    out = rows.withColumn(text_col, text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text_col).cast("long"))
+    return out.select(*docs.columns)

@@ -229,3 +229,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     names = ws.table(many_to_one(named.select("d1", "d2", "comp"), lows, ["comp"]).select("d1", "d2", "component_id"), "names")
     out = many_to_one(found.select("uid", "id_", "hash_", "n", "d1", "d2"), names, ["d1", "d2"], "left")
     return out.select("uid", "id_", "hash_", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id_")).alias("component_id"))
+
+
+def representatives(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs, with all its columns, of each component: the one with its smallest id. Rows with an empty set stay, and so does one of rows with null ids."""
+    ws = Workspace(spark, "kept")
+    found = near_duplicates(spark, docs, percent, words, id_col, text_col)
+    # Of repeated rows, and of different texts under the smallest id, the first by hash and row number stays.
+    kept = found.where((F.col("n") == 0) | F.col("id_").eqNullSafe(F.col("component_id")))
+    kept = ws.table(kept.select("uid", "id_", "hash_", "n", "component_id"), "kept")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{id_col}`").cast("long").alias("id_"), F.xxhash64(text).alias("hash_"))
+    one = kept.groupBy("id_", "hash_").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    right = one.select(F.col("id_").alias("id_2"), F.col("hash_").alias("hash_2"), "rows", "n")
+    joined = whole.join(right, F.col("id_").eqNullSafe(F.col("id_2")) & (F.col("hash_") == F.col("hash_2")))
+    single, many = joined.where("rows = 1 OR n = 0"), joined.where("rows > 1 AND n > 0")
+    first = many.groupBy("id_", "hash_").agg(F.first("whole").alias("whole"))
+    return single.select("whole.*").unionByName(first.select("whole.*"))

@@ -74,5 +74,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
