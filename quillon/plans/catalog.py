@@ -2,5 +2,136 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import match, rank, score
+from ..operators.index import Index, build_index, counters
+from ..operators.queries import parse
+from ..sources.corpus import texts
+from . import oracle as O
+from .search import rank_all
+
+#: (id, raw query, page, limit)
+ALL = [
+    (1, "the tion 555", "1", "10"), (2, "55", "1", "10"), (3, '"of the"', "1", "10"), (4, '"module"', "1", "10"), (5, "en src1 module 1", "1", "10"), (6, "pdf", "1", "10"),
+    (7, ".docx", "2", "500"), (8, "the pdf", "1", "10"), (9, "pdf the", "1", "10"), (10, '"en src1 module 1.docx"', "1", "10"), (11, "the the", "2", "7"), (12, "", "1", "10"),
+    (13, '""', "1", "10"), (14, "!!!", "1", "10"), (15, "der und txt module", "999", "abc"), (16, "  The  THIS.docx ", "x", "0"), (17, "rc1 modul", "1", "10"), (18, "estion 12", "1", "50"),
+]
+FLAGSHIP = [(1, "the tion 555", "1", "10")]
+
+
+def pick(*ids: int) -> list[tuple]:
+    return [q for q in ALL if q[0] in ids]
+
+
+def asked(spark: SparkSession, queries: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(queries, "query_id int, raw string, page string, limit string")
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    return build_index(texts(spark, sf_dir))
+
+
+def six(c: str) -> Column:
+    return F.round(c, 6).alias(c)
+
+
+def _ranked(queries: list[tuple], *columns) -> tuple:
+    """A query over all ranked rows, rounded, and its SQL."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = rank_all(asked(spark, queries), index(spark, sf_dir))
+        return rows.select("query_id", "filename", *columns)
+
+    return run
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def register(name: str, run, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+# Text functions
+register("tokenize_content", lambda s, d: doc(s, d).select("doc_id", F.posexplode(T.content_tokens(F.col("text"))).alias("position", "term")),
+         f"SELECT doc_id, (unnest(range(len(t))))::INT AS position, unnest(t) AS term FROM (SELECT doc_id, {O.content('text')} AS t FROM documents)")
+register("tokenize_filename", lambda s, d: texts(s, d).select(F.col("doc_seq").alias("doc_id"), F.array_join(T.name_tokens(T.stem(F.col("filename"))), " ").alias("words"), T.extension(F.col("filename")).alias("ext")),
+         f"WITH {O.CORPUS} SELECT doc_id, array_to_string(fwords, ' ') AS words, ext FROM named")
+register("parse_query", lambda s, d: parse(asked(s, ALL)).select("query_id", "filetype", "query", "quoted", F.array_join("words", " ").alias("words"), "phrase", "phrase_query", "page", "limit"),
+         f"WITH {O.values(ALL)},{O.parsed()} SELECT query_id, filetype, query, quoted, array_to_string(words, ' ') AS words, phrase, phrase_query, page_no AS page, limit_no AS \"limit\" FROM qq")
+register("whitespace_collapse", lambda s, d: doc(s, d).select("doc_id", F.md5(T.collapse(F.col("text")).cast("binary")).alias("digest"), F.length(T.collapse(F.col("text"))).alias("n")),
+         f"SELECT doc_id, md5(t) AS digest, length(t)::INT AS n FROM (SELECT doc_id, {O.collapse('text')} AS t FROM documents)")
+register("url_quote", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.url_quote(F.col("url")).alias("quoted")), "SELECT page_id, url_encode(url) AS quoted FROM pages")
+register("phrase_occurrences", lambda s, d: score.phrase_counts(parse(asked(s, pick(1, 3, 11, 18))), index(s, d)), O.search(pick(1, 3, 11, 18), "SELECT query_id, filename, occ AS phrase_occurrences FROM ph JOIN meta USING (doc_id)"))
+
+# Index
+register("documents_meta", lambda s, d: index(s, d).documents.select("filename", "title", "path", "total_words", "page_count", "ext", "doc_seq"),
+         f"WITH {O.CORPUS}, pc AS (SELECT doc_id, count(*) AS n FROM pages_ GROUP BY doc_id) SELECT filename, filename AS title, '/data/' || filename AS path, total_words::INT AS total_words, coalesce(n, 0)::INT AS page_count, ext, doc_id AS doc_seq FROM meta LEFT JOIN pc USING (doc_id)")
+register("term_postings", lambda s, d: index(s, d).postings, f"WITH {O.CORPUS} SELECT term, filename, term_count::INT AS term_count FROM postings JOIN meta USING (doc_id)")
+register("filename_terms", lambda s, d: index(s, d).filename_terms(), f"WITH {O.CORPUS} SELECT filename, unnest(range(len(fwords)))::INT AS position, unnest(fwords) AS term FROM meta")
+register("pages_index", lambda s, d: index(s, d).pages, f"WITH {O.CORPUS} SELECT filename, page_number::INT AS page_number, text FROM pages_")
+register("vocab_df", lambda s, d: index(s, d).vocabulary(), f"WITH {O.CORPUS} SELECT term, df FROM vocab")
+register("corpus_counts", lambda s, d: counters(index(s, d)),
+         f"WITH {O.CORPUS} SELECT (SELECT count(*) FROM meta) AS documents, (SELECT count(*) FROM vocab) AS content_terms, (SELECT count(*) FROM meta) AS filenames_indexed, (SELECT count(DISTINCT doc_id) FROM pages_) AS page_text_entries")
+register("document_names", lambda s, d: index(s, d).documents.select("filename").orderBy("filename"), f"WITH {O.CORPUS} SELECT filename FROM meta ORDER BY filename")
+
+# Matches
+WORDS = pick(1, 2, 8, 11, 18)
+
+
+def _matched(kind: int | None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        words, vocabulary = match.query_words(parse(asked(spark, WORDS))), index(spark, sf_dir).vocabulary()
+        found = match.matches(words, vocabulary) if kind is None else (match.exact, match.prefix, match.numeric)[kind](words, vocabulary)
+        return found.select("query_id", "pos", "word", "term", "df", "kind", six("weight"))
+
+    return run
+
+
+for name, kind in (("match_exact", 0), ("match_prefix", 1), ("match_numeric_substring", 2), ("match_best_weight", None)):
+    register(name, _matched(kind), f"WITH {O.values(WORDS)},{O.CORPUS},{O.parsed()},{O.MATCH} SELECT query_id, pos::INT AS pos, word, term, df, kind, round(weight, 6) AS weight FROM hit" + ("" if kind is None else f" WHERE kind = {kind}"))
+
+# Scores
+SCORED = pick(1, 2, 3, 4, 5, 8, 9, 10, 11, 15, 16, 17, 18)
+
+
+def _idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = index(spark, sf_dir)
+    n = i.documents.agg(F.count("*").alias("n"))
+    return i.vocabulary().crossJoin(F.broadcast(n)).select("term", F.round(score.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+
+
+register("idf", _idf, f"WITH {O.CORPUS} SELECT term, round(ln(((SELECT count(*) FROM meta) + 1)::DOUBLE / (df + 1)) + 1, 6) AS idf FROM vocab")
+register("content_score", lambda s, d: (lambda q, i: score.content_scores(score.content_hits(q, i, i.vocabulary())).select("query_id", "filename", six("content_score"), "exact_content_match", six("prefix_similarity"), six("numeric_similarity")))(parse(asked(s, SCORED)), index(s, d)),
+         O.search(SCORED, "SELECT query_id, filename, round(content_score, 6) AS content_score, exact_ AS exact_content_match, round(pre_, 6) AS prefix_similarity, round(num_, 6) AS numeric_similarity FROM cs JOIN meta USING (doc_id)"))
+for name, columns, sql in (
+    ("lexical_relevance", [six("lexical_match_relevance")], "round(lexical, 6) AS lexical_match_relevance"),
+    ("filename_score", [six("filename_score"), F.array_join("filename_matches", " ").alias("filename_matches")], "filename_score, array_to_string(list_filter(counted, lambda x, i: list_position(counted, x) = i), ' ') AS filename_matches"),
+    ("filename_relevance", [six("filename_relevance")], "round(filename_relevance, 6) AS filename_relevance"),
+    ("phrase_score", ["phrase_occurrences", six("phrase_score"), "phrase_match"], "occ AS phrase_occurrences, round(phrase_score, 6) AS phrase_score, phrase_match"),
+):
+    register(name, _ranked(SCORED, *columns), O.search(SCORED, f"SELECT query_id, filename, {sql} FROM res"))
+
+# Searches
+for name, queries in {"search_content": FLAGSHIP, "search_filename": pick(5, 17), "search_quoted": pick(3, 4, 10), "search_filtered": pick(8, 9, 15, 16), "search_batch": ALL}.items():
+    register(name, _ranked(queries, F.round("final_score", 6).alias("final_score"), "rank"), O.search(queries, "SELECT query_id, filename, round(final_score, 6) AS final_score, rank::INT AS rank FROM res"))
+register("match_type", _ranked(SCORED, rank.match_type().alias("match_type")),
+         O.search(SCORED, "SELECT query_id, filename, CASE WHEN len(counted) > 0 AND phrase_match THEN 'Filename + Phrase' WHEN phrase_match THEN 'Phrase Match' WHEN len(counted) > 0 AND content_score <> 0 THEN 'Filename + Content' WHEN len(counted) > 0 THEN 'Filename Match' ELSE 'Content Match' END AS match_type FROM res"))
+PAGED = "page", "limit", "total", "total_pages", "start", "end", "has_next", "has_previous"
+PAGE_SQL = """, pg AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM {0}), pt AS (SELECT *, ((total + limit_no - 1) // limit_no)::INT AS total_pages FROM pg), pp AS (SELECT *, least(page_no, total_pages) AS pno FROM pt)
+SELECT query_id, filename, rank::INT AS rank, pno AS page, limit_no AS "limit", total::INT AS total, total_pages, (pno - 1) * limit_no + 1 AS start, least(pno * limit_no, total)::INT AS "end", pno < total_pages AS has_next, pno > 1 AS has_previous
+FROM pp WHERE rank BETWEEN (pno - 1) * limit_no + 1 AND pno * limit_no"""
+register("search_paginated", lambda s, d: rank.paged(rank_all(asked(s, ALL), index(s, d))).select("query_id", "filename", "rank", *PAGED[:6], *PAGED[6:]).withColumn("end", F.col("end").cast("int")), O.search(ALL, PAGE_SQL.format("res")))
+BROWSED = pick(6, 7, 8, 14)
+register("browse_filetype", lambda s, d: rank.paged(rank.browsed(parse(asked(s, BROWSED)), index(s, d))).select("query_id", "filename", "rank", *PAGED).withColumn("end", F.col("end").cast("int")),
+         f"WITH {O.values(BROWSED)},{O.CORPUS},{O.parsed()}, br AS (SELECT query_id, filename, page_no, limit_no, row_number() OVER (PARTITION BY query_id ORDER BY lower(filename), doc_id) AS rank FROM qq JOIN meta ON ext = filetype WHERE len(words) = 0)" + PAGE_SQL.format("br"))
