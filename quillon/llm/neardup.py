@@ -7,9 +7,11 @@
 3. Stars. In each bucket the member that shares most buckets with others is the centre, and the others become
    candidate partners of the centre only. Pairs whose signatures or sizes rule the threshold out go; the rest are
    confirmed on the full sets. The links give provisional components.
-4. What stars miss. Buckets whose members are still in different components are searched once more, for pairs that
-   cross components only, by signature in memory; what may reach the threshold is confirmed as before. A bucket of
-   more than BLOCK members is searched in blocks against blocks, so that no task holds it all. No pair is capped away.
+4. What stars miss. Buckets whose members are still in different components are searched once more in memory, by
+   signature, for bridges between components that sizes and signatures allow; only those that join something new
+   leave the task. Components that bridges hold together form a family, and inside a family every pair that crosses
+   components and may reach the threshold is compared on full sets, until it is joined otherwise. A bucket or family
+   of more than BLOCK members is searched in blocks against blocks, so that no task holds it all. No pair is capped away.
 5. Components over all confirmed links.
 
 Defined cases: a document with fewer words than a shingle has its whole word sequence as one shingle; one without words
@@ -36,7 +38,7 @@ WORDS, PERCENT = 5, 85
 BANDS, ROWS = 26, 5
 BINS = BANDS * ROWS
 #: Pairs are confirmed on full sets if their signatures agree in this share of bins at least: over four standard deviations below the threshold.
-DEVIATIONS, BLOCK = 4.2, 4096
+DEVIATIONS, BLOCK = 4.2, 1024
 
 _rng = np.random.default_rng(20240607)
 _WALK = np.stack([_rng.permutation(BINS) for _ in range(BINS)])
@@ -150,40 +152,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long")
 
 
-def _crossing(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members(band, key, i, j, block, cid, comp, n, bands, marks) of a cell that are in different components and may be linked."""
+class _Union:
+    """Disjoint sets over places 0 .. n-1 that begin as given."""
+
+    def __init__(self, groups: np.ndarray) -> None:
+        self.root = np.unique(groups, return_inverse=True)[1].astype(np.int64)
+
+    def join(self, a: int, b: int) -> None:
+        one, two = self.root[a], self.root[b]
+        self.root[self.root == two] = one
+
+
+def _cells(rows: pa.Table | list[dict], percent: int, agree: int, confirm: bool) -> Iterator[tuple[int, int]]:
+    """Links of a cell that join components: candidates by size and signature or, with `confirm`, those whose full sets reach the threshold.
+
+    A pair within what is joined already says nothing new, so a cell gives fewer links than it has members.
+    """
+    cid, n, block = (np.array([x[c] for x in rows]) for c in ("cid", "n", "block"))
+    union = _Union(np.array([x["comp"] for x in rows]))
+    marks = np.frombuffer(b"".join(x["marks"] for x in rows), np.uint8).reshape(-1, BINS)
+    sets = [np.frombuffer(x["own"], np.uint64) for x in rows] if confirm else []
+    within = rows[0]["i"] == rows[0]["j"]
+    for x in range(len(rows)):
+        y = np.arange(x + 1, len(rows))
+        y = y[(union.root[y] != union.root[x]) & (within | (block[y] != block[x])) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+        if not len(y):
+            continue
+        same = (marks[y] == marks[x]).sum(axis=1)
+        for k in y[np.argsort(-same, kind="stable")][: (same >= agree).sum()]:
+            if union.root[k] != union.root[x]:
+                if confirm:
+                    both = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
+                    if 100 * both < percent * (n[x] + n[k] - both):
+                        continue
+                union.join(x, k)
+                yield int(min(cid[x], cid[k])), int(max(cid[x], cid[k]))
+
+
+def _joining(members: DataFrame, at: list[str], percent: int, confirm: bool) -> DataFrame:
+    """Links (a, b) of members(*at, i, j, block, cid, comp, n, marks[, own]), cell by cell."""
     agree = least_agreement(percent)
 
-    def pairs_of(cell: list[dict]) -> Iterator[tuple[int, int]]:
-        if len({x["comp"] for x in cell}) < 2:
-            return
-        comp, n, cid, block = (np.array([x[c] for x in cell]) for c in ("comp", "n", "cid", "block"))
-        marks = np.frombuffer(b"".join(x["marks"] for x in cell), np.uint8).reshape(-1, BINS)
-        bands = np.array([x["bands"] for x in cell])
-        band, i, j = cell[0]["band"], cell[0]["i"], cell[0]["j"]
-        for x in range(len(cell)):
-            y = np.arange(x + 1, len(cell))
-            y = y[(comp[y] != comp[x]) & ((block[y] != block[x]) | (i == j)) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            if len(y):
-                y = y[(marks[y] == marks[x]).sum(axis=1) >= agree]
-                y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]  # found in an earlier band
-                yield from ((min(cid[x], b), max(cid[x], b)) for b in cid[y])
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        key = lambda x: (x["band"], x["key"], x["i"], x["j"])
-        pack = lambda found: pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        key = lambda x: tuple(x[c] for c in [*at, "i", "j"])
+
+        def found() -> pa.RecordBatch:
+            links = list(_cells(held, percent, agree, confirm))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
             for row in batch.to_pylist():
                 if held and key(held[0]) != key(row):
-                    yield pack(list(pairs_of(held)))
+                    yield found()
                     held = []
                 held.append(row)
         if held:
-            yield pack(list(pairs_of(held)))
+            yield found()
+
+    return members.repartition(*at, "i", "j").sortWithinPartitions(*at, "i", "j").mapInArrow(search, "a long, b long").distinct()
+
 
-    at = ["band", "key", "i", "j"]
-    return members.repartition(*at).sortWithinPartitions(*at).mapInArrow(search, "a long, b long").distinct()
+def _in_blocks(members: DataFrame, size: str, block: int) -> DataFrame:
+    """Each member in the cells (i, j) of its block with every other: one cell where there are up to `block` members."""
+    parts = f"cast(ceil({size} / {block}) AS int)"
+    dealt = members.withColumn("block", F.expr(f"cast(pmod(xxhash64(cid), {parts}) AS int)")).withColumn("other", F.explode(F.expr(f"sequence(0, {parts} - 1)")))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", size)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -216,13 +250,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     near = components(ws, links, "near")
     labelled = ws.table(many_to_one(members.select("band", "key", "cid", "c"), near.withColumnRenamed("node", "cid"), ["cid"], "left").withColumn("comp", F.coalesce("comp", "cid")), "labelled")
     open_ = labelled.groupBy("band", "key").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).where("one <> two").select("band", "key")
-    parts = f"cast(ceil(c / {block}) AS int)"
-    inner = many_to_one(labelled, open_, ["band", "key"]).join(reps.select("cid", "n", "bands", "marks"), "cid").withColumn("block", F.expr(f"cast(pmod(xxhash64(cid), {parts}) AS int)"))
-    cells = inner.withColumn("other", F.explode(F.expr(f"sequence(0, {parts} - 1)"))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    second = _crossing(cells.select("band", "key", "i", "j", "block", "cid", "comp", "n", "bands", "marks"), percent)
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = ws.table(second.join(tried, ["a", "b"], "left_anti"), "second")
-    more = _confirmed(second, sets, percent)
+    inner = many_to_one(labelled, open_, ["band", "key"]).join(reps.select("cid", "n", "marks"), "cid")
+    bridges = ws.table(_joining(_in_blocks(inner, "c", block), ["band", "key"], percent, False), "bridges")
+    # What the bridges hold together is a family: two components that may have a link are in the same one.
+    groups = near.select(F.col("comp").alias("a"), F.col("node").alias("b")).where("a <> b").unionByName(bridges)
+    family = components(ws, groups, "family").withColumnRenamed("comp", "family").withColumnRenamed("node", "cid")
+    known = many_to_one(family, near.withColumnRenamed("node", "cid"), ["cid"], "left").withColumn("comp", F.coalesce("comp", "cid"))
+    known = ws.table(known, "families")
+    apart = known.groupBy("family").agg(F.count("*").alias("c"), F.min("comp").alias("one"), F.max("comp").alias("two")).where("one <> two").select("family", "c")
+    inner = many_to_one(known, apart, ["family"]).join(reps.select("cid", "n", "marks"), "cid").join(sets, "cid")
+    more = _joining(_in_blocks(inner, "c", block), ["family"], percent, True)
     whole = components(ws, ws.table(links.unionByName(more), "links2"), "whole")
     named = classes.join(whole.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
