@@ -8,7 +8,9 @@ another. No suffix array of the whole corpus is needed for that:
    windows with the same anchor form one context, about one for 170 bytes of text.
 2. Contexts whose anchor occurs once cannot hold a repeat and go. Equal contexts are counted: one that occurs twice
    or more repeats as a whole, wherever it stands, and only one copy of it goes on.
-3. Contexts that share an anchor meet in one shard. Each shard is one string; its suffix array (suffixes.py) and
+3. A window has its anchor in one of four quarters, so contexts that share a window also share one of four strings
+   around the anchor that are about 80 bytes shorter. Contexts that share none of these go no further.
+   Those that share an anchor meet in one shard. Each shard is one string; its suffix array (suffixes.py) and
    permuted common prefixes show which windows also start elsewhere.
 4. The repeated windows of a context hold for all its copies; a document's spans are merged and cut out.
 
@@ -37,8 +39,8 @@ from .tokens import parts_of
 LENGTH, GRAM = 400, 64
 #: Bytes of contexts in a shard, on average; different contexts of one anchor in a shard, at most.
 SHARD_BYTES, CROWD = 2 << 20, 16_384
-#: Texts are read in parts of so many bytes that overlap by a window; 24 bits hold a place in a part.
-PART = 8 << 20
+#: Texts are read in parts of so many bytes that overlap by a window: small enough for the processor's cache.
+PART = 256 << 10
 #: Stands between contexts; no UTF-8 text has this byte.
 BREAK = 0xFF
 
@@ -78,12 +80,13 @@ class Hashes:
 
 
 def contexts(s: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor, whole, start, windows) of the contexts in texts laid end to end in s; ends: where each text ends.
+    """(anchor, whole, start, windows, at) of the contexts in texts laid end to end in s; ends: where each text ends.
 
     anchor, whole: hashes of the anchor's string and of all bytes of the context. windows: how many windows it has.
+    at: where in the context the anchor stands.
     """
     n = len(s)
-    none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+    none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     if n < length:
         return none
     hashes = Hashes(s)
@@ -111,7 +114,16 @@ def contexts(s: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[n
     stop = np.append(border, len(first))[np.searchsorted(border, starts, "right")]
     windows = stop - starts
     own = anchor[starts]
-    return grams[own], hashes(starts, starts + windows + length - 1, 1) ^ _mixed(windows.astype(np.uint64)), starts, windows
+    return grams[own], hashes(starts, starts + windows + length - 1, 1) ^ _mixed(windows.astype(np.uint64)), starts, windows, own - starts
+
+
+def quarters(data: bytes, at: int, length: int, gram: int) -> list[int | None]:
+    """Hashes of the four strings around the anchor of which two contexts share one at least if they share a window; None where it doesn't fit."""
+    step, out = (length - gram) // 4, []
+    for j in range(4):
+        a, b = at - step * j, at + gram + (length - gram - step * (j + 1) if j < 3 else 0)
+        out.append(int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little", signed=True) if a >= 0 and b <= len(data) else None)
+    return out
 
 
 def _laid_out(texts: list[str | None], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -170,33 +182,42 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
         for batch in batches:
             for part in parts_of(batch, 2):
                 for s, ends, which, at in _laid_out(part.column(2).to_pylist(), length):
-                    anchor, whole, start, windows = contexts(s, ends, length, GRAM)
+                    anchor, whole, start, windows, place = contexts(s, ends, length, GRAM)
                     text = np.searchsorted(ends, start, "right")
                     within = start - (ends - np.diff(ends, prepend=0))[text] + at[text]
                     own = pa.array(which[text])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), part.column(0).take(own), part.column(1).take(own), pa.array(within), pa.array(windows.astype(np.int32))], ["anchor", "whole", "id_", "text_hash_", "start", "windows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), part.column(0).take(own), part.column(1).take(own), pa.array(within), pa.array(windows.astype(np.int32)), pa.array(place.astype(np.int32))], ["anchor", "whole", "id_", "text_hash_", "start", "windows", "at"])
 
-    found = rows.where(F.octet_length("text_") >= length).mapInArrow(find, "anchor long, whole long, id_ long, text_hash_ long, start long, windows int")
+    found = rows.where(F.octet_length("text_") >= length).mapInArrow(find, "anchor long, whole long, id_ long, text_hash_ long, start long, windows int, at int")
     found = ws.table(found, "contexts")
     repeated = found.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor")
     kept = ws.table(many_to_one(found, repeated, ["anchor"]), "repeated")
     ws.drop("contexts")
-    kinds = ws.table(kept.groupBy("anchor", "whole").agg(F.count("*").alias("places"), F.min(F.struct("id_", "text_hash_", "start", "windows")).alias("one")).select("anchor", "whole", "places", "one.*"), "kinds")
+    kinds = ws.table(kept.groupBy("anchor", "whole").agg(F.count("*").alias("places"), F.min(F.struct("id_", "text_hash_", "start", "windows", "at")).alias("one")).select("anchor", "whole", "places", "one.*"), "kinds")
     variants = kinds.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
-    mixed = kinds.select("anchor", "whole", "id_", "text_hash_", "start", "windows").join(variants, "anchor")
-    by_doc = mixed.groupBy("id_", "text_hash_").agg(F.collect_list(F.struct("anchor", "whole", "start", "windows", (F.col("variants") > crowd).alias("crowded"))).alias("wanted"))
+    mixed = kinds.select("anchor", "whole", "id_", "text_hash_", "start", "windows", "at").join(variants, "anchor")
+    by_doc = mixed.groupBy("id_", "text_hash_").agg(F.collect_list(F.struct("anchor", "whole", "start", "windows", "at")).alias("wanted"))
     wanted = rows.join(by_doc.withColumnRenamed("id_", "id_2").withColumnRenamed("text_hash_", "hash_2"), F.col("id_").eqNullSafe(F.col("id_2")) & (F.col("text_hash_") == F.col("hash_2")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts_of(batch, 0, 2 << 20):
+            for part in parts_of(batch, 0, 1 << 20):
                 out = []
                 for text, many in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     data = text.encode()
-                    out += [(x["anchor"], x["whole"], x["windows"], x["crowded"], data[x["start"] : x["start"] + x["windows"] + length - 1]) for x in many]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["anchor", "whole", "windows", "crowded", "bytes"])
-
-    cut = ws.table(wanted.select("text_", "wanted").mapInArrow(read, "anchor long, whole long, windows int, crowded boolean, bytes binary"), "cut")
+                    for x in many:
+                        own = data[x["start"] : x["start"] + x["windows"] + length - 1]
+                        out.append((x["anchor"], x["whole"], x["windows"], own, quarters(own, x["at"], length, GRAM)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["anchor", "whole", "windows", "bytes", "quarters"])
+
+    cut = ws.table(wanted.select("text_", "wanted").mapInArrow(read, "anchor long, whole long, windows int, bytes binary, quarters array<long>"), "cut")
+    each = cut.select("anchor", "whole", F.posexplode("quarters").alias("j", "quarter")).where("quarter IS NOT NULL")
+    again = each.groupBy("anchor", "j", "quarter").agg(F.count("*").alias("sharing")).where("sharing > 1")
+    alive = many_to_one(each, again, ["anchor", "j", "quarter"]).select("anchor", "whole").distinct()
+    size_of = alive.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded"))
+    alive = ws.table(many_to_one(alive, size_of, ["anchor"]), "alive")
+    cut = ws.table(cut.join(alive, ["anchor", "whole"]).drop("quarters"), "chosen")
+    ws.drop("cut")
     size, crowded = cut.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)), F.coalesce(F.bool_or("crowded"), F.lit(False))).first()
     shards = max(1, -(-size // shard_bytes))
 
@@ -213,7 +234,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
     everywhere = kinds.where("places > 1").select("anchor", "whole", F.lit(0).alias("a"), F.col("windows").alias("b"))
     runs = hits.unionByName(everywhere).groupBy("anchor", "whole").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     runs = ws.table(runs, "runs")
-    ws.drop("cut")
+    ws.drop("chosen")
     there = many_to_one(kept, runs, ["anchor", "whole"]).select("id_", "text_hash_", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("from_"), (F.col("start") + r["b"] + F.lit(length - 1)).alias("to_")))).alias("span"))
     return ws.table(there.groupBy("id_", "text_hash_").agg(F.collect_set("span").alias("spans_")), "spans")
 
