@@ -23,11 +23,11 @@ from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, running_total
+from .common import Workspace
 from .packing import wide_ids
-from .tokens import cut, token_table, tokenizer_path
+from .tokens import cut, in_table_order, token_table, tokenizer_path
 
-LENGTH, END_ID, PER_SHARD, KEY, ROUNDS = 1024, 0, 2048, 0x5EED, 6
+LENGTH, END_ID, PER_SHARD, KEY, ROUNDS = 1024, 0, 1024, 0x5EED, 6
 
 
 def _round(x: np.ndarray, key: int, k: int) -> np.ndarray:
@@ -64,11 +64,10 @@ def write_shards(spark: SparkSession, docs: DataFrame, target: str, path: str |
     ws = Workspace(spark, "binary")
     path = path or tokenizer_path()
     width = 4 if wide_ids(path) else 2
-    table = ws.table(token_table(spark, docs, path, end_id, None, id_col, text_col), "tokens")
+    table = ws.table(token_table(spark, docs, path, end_id, None, id_col, text_col), "tokens", "zstd")
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n = -(-total // length)
-    places = running_total(ws, table.select("uid", "n"), "order", [], ["uid"], "n")
-    pieces = cut(ws, table, places, length, width == 4, True).select("sequence_id", "offset", "ids")
+    pieces = cut(in_table_order(ws, table), length, width == 4, True).select("sequence_id", "offset", "ids")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,7 +75,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, target: str, path: str |
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), *batch.columns[1:]], ["shard", "slot", "offset", "ids"])
 
     dealt = pieces.mapInArrow(slots, "shard long, slot long, offset long, ids binary")
-    dealt = dealt.repartitionByRange(max(1, -(-n // per_shard)), "shard").sortWithinPartitions("slot", "offset")
+    # A shard is a range of slots and a partition; its number says which, so that no sample of the rows is needed.
+    dealt = dealt.repartitionById(max(1, -(-n // per_shard)), F.col("shard").cast("int")).sortWithinPartitions("slot", "offset")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = np.asarray([end_id], f"<u{width}").tobytes()
@@ -106,13 +106,16 @@ def write_shards(spark: SparkSession, docs: DataFrame, target: str, path: str |
                     held.append(pad * (short // width))  # only the corpus's last sequence is short
                     size += short
                 now, slot = shard, own
+                ids = zlib.decompress(ids)
                 held.append(ids)
                 size += len(ids)
         if held:
             yield publish(now, held)
 
     files = dealt.mapInArrow(store, "shard long, file string, records long")
-    return ws.table(files, "files"), n, width
+    files = ws.table(files, "files")
+    ws.drop("tokens")
+    return files, n, width
 
 
 def read_shards(files: DataFrame, n: int, width: int, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, start: int = 0) -> DataFrame:

@@ -63,13 +63,14 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and deflated ids if asked for."""
     ws = Workspace(spark, "packing")
     path = path or tokenizer_path()
     table = ws.table(token_table(spark, docs, path, end_id, curve_keys, id_col, text_col), "tokens")
     keyed = table.select("uid", "key", "n", F.xxhash64("uid").alias("tie"))
     places = running_total(ws, keyed, "curve", [], ["key", "tie"], "n")
-    return cut(ws, table, places, length, wide_ids(path), with_ids)
+    placed = table.select("uid", "doc_id", "ids").join(places.select("uid", "before").hint("shuffle_hash"), "uid")
+    return cut(placed, length, wide_ids(path), with_ids)
 
 
 def wide_ids(path: str) -> bool:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -18,6 +18,8 @@ _encoders: dict[int, Encoder] = {}
 
 #: Fixed value: the pattern that cuts texts for the byte-level tokenizer file.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: monotonically_increasing_id() has the partition above so many bits.
+PART_BITS = 33
 _PROBE = "It's the 1st\tprobe:  naïve çà & là,\n\n  don't  — 2024!! 中文 😀 \n"
 
 
@@ -90,8 +92,9 @@ def parts_of(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterat
 
 
 def token_table(spark: SparkSession, docs: DataFrame, path: str, end_id: int, key=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, n, key, ids): every document's ids and then `end_id`. Null text counts as empty.
+    """(uid, doc_id, n, earlier, key, ids): every document's ids and then `end_id`. Null text counts as empty.
 
+    earlier: ids before it in the same task, which the upper bits of uid name (see PART_BITS).
     key: maps a list of id arrays to one whole number each. ids are of the narrowest unsigned type that holds the vocabulary.
     """
     with open(path, encoding="utf-8") as f:
@@ -100,19 +103,37 @@ def token_table(spark: SparkSession, docs: DataFrame, path: str, end_id: int, ke
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(blob.value)
         end = np.asarray([end_id], enc.dtype).tobytes()
+        so_far = 0
         for batch in batches:
             for part in parts_of(batch, 2):
                 ids = [enc(t) + end for t in part.column(2).to_pylist()]
                 keys = key([np.frombuffer(x, enc.dtype) for x in ids]) if key else np.zeros(len(ids), np.int64)
                 n = [len(x) // enc.dtype.itemsize for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["uid", "doc_id", "n", "key", "ids"])
+                earlier = so_far + np.cumsum([0, *n])
+                so_far = int(earlier[-1])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(earlier[:-1]), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["uid", "doc_id", "n", "earlier", "key", "ids"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "uid long, doc_id long, n long, key long, ids binary")
+    return rows.mapInArrow(encode, "uid long, doc_id long, n long, earlier long, key long, ids binary")
 
 
-def cut(ws: Workspace, table: DataFrame, places: DataFrame, length: int, wide: bool, with_ids: bool = False) -> DataFrame:
-    """Pieces of the documents in `table`, laid end to end from the places in `places` (uid, before) and cut every `length` ids."""
+def in_table_order(ws: Workspace, table: DataFrame) -> DataFrame:
+    """The token table with `before`: ids of all documents before each one, in the order of uid.
+
+    Only the sums of the tasks that wrote the table are added up; there is one for each, and they are broadcast up to a million.
+    """
+    part = F.shiftright("uid", PART_BITS).alias("part")
+    sums = table.groupBy(part).agg(F.sum("n").alias("in_part"))
+    sums = ws.table(sums.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("offset_")), "parts")
+    sums = F.broadcast(sums) if sums.count() <= 1_000_000 else sums.hint("merge")
+    return table.withColumn("part", part).join(sums, "part").withColumn("before", F.col("earlier") + F.col("offset_")).drop("part", "offset_")
+
+
+def cut(placed: DataFrame, length: int, wide: bool, with_ids: bool = False) -> DataFrame:
+    """Pieces of the documents in placed(doc_id, ids, before), laid end to end from the place `before` and cut every `length` ids.
+
+    with_ids adds each piece's ids, deflated, as they go through a shuffle next.
+    """
     dtype = np.dtype("<u4" if wide else "<u2")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +147,10 @@ def cut(ws: Workspace, table: DataFrame, places: DataFrame, length: int, wide: b
                         sequence, offset = divmod(before + at, length)
                         n = min(length - offset, len(own) - at)
                         piece = own[at : at + n]
-                        out.append((doc_id, at, n, zlib.crc32(piece.tobytes()), len(own), sequence, offset) + ((piece.astype(dtype).tobytes(),) if with_ids else ()))
+                        out.append((doc_id, at, n, zlib.crc32(piece.tobytes()), len(own), sequence, offset) + ((zlib.compress(piece.astype(dtype).tobytes(), 1),) if with_ids else ()))
                         at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 7 + [pa.binary()] * with_ids, strict=True)], names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
-    joined = table.select("uid", "doc_id", "ids").join(places.select("uid", "before").hint("shuffle_hash"), "uid")
-    return joined.select("doc_id", "ids", "before").mapInArrow(pieces, schema)
+    return placed.select("doc_id", "ids", "before").mapInArrow(pieces, schema)
