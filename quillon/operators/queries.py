@@ -9,11 +9,14 @@ from ..functions import text as T
 
 
 def parse(queries: DataFrame) -> DataFrame:
-    """queries(query_id, raw, page, limit) with rest, filetype, query, quoted, words, content_words, phrase, phrase_query, page, limit."""
+    """queries(query_id, raw, page, limit) with rest, filetype, query, quoted, words, content_words, phrase, phrase_query, page, limit.
+
+    The rows are kept, since all steps of a search read them: the nested text expressions are then planned and run once.
+    """
     q = queries.withColumn("typed", T.file_type(F.col("raw")))
     q = q.select("query_id", "raw", T.page_number(F.col("page")).alias("page"), T.page_limit(F.col("limit")).alias("limit"), F.col("typed.filetype").alias("filetype"), F.lower(T.normalise_query(F.col("typed.rest"))).alias("query"))
     q = q.withColumn("quoted", T.quoted_part(F.col("query")))
     q = q.withColumn("words", T.name_tokens(F.col("query")))
     phrase = F.when(F.coalesce(F.col("quoted"), F.lit("")) != "", T.name_tokens(F.col("quoted"))).otherwise(F.col("words"))
     q = q.withColumn("phrase_words", phrase)
-    return q.select("*", F.filter("words", lambda w: F.length(w) > 1).alias("content_words"), F.array_join("phrase_words", " ").alias("phrase"), (F.size("phrase_words") >= 2).alias("phrase_query"), (F.coalesce(F.col("quoted"), F.lit("")) != "").alias("is_quoted"))
+    return q.select("*", F.filter("words", lambda w: F.length(w) > 1).alias("content_words"), F.array_join("phrase_words", " ").alias("phrase"), (F.size("phrase_words") >= 2).alias("phrase_query"), (F.coalesce(F.col("quoted"), F.lit("")) != "").alias("is_quoted")).persist()

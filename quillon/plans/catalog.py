@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import match, rank, score
+from ..operators import match, mutate, rank, score
 from ..operators.index import Index, build_index, counters
 from ..operators.queries import parse
 from ..sources.corpus import texts
+from ..sources.extract import sanitised
+from ..sources.store import Store
 from . import oracle as O
 from .search import rank_all
 
@@ -30,8 +32,17 @@ def asked(spark: SparkSession, queries: list[tuple]) -> DataFrame:
     return spark.createDataFrame(queries, "query_id int, raw string, page string, limit string")
 
 
+_indexes: dict[tuple[str, str], Index] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    return build_index(texts(spark, sf_dir))
+    """One index for each session and folder, kept in memory and on executors' disks, as all searches share it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes.clear()
+        built = build_index(texts(spark, sf_dir))
+        _indexes[key] = Index(built.documents.persist(), built.postings.persist(), built.pages.persist())
+    return _indexes[key]
 
 
 def six(c: str) -> Column:
@@ -135,3 +146,79 @@ register("search_paginated", lambda s, d: rank.paged(rank_all(asked(s, ALL), ind
 BROWSED = pick(6, 7, 8, 14)
 register("browse_filetype", lambda s, d: rank.paged(rank.browsed(parse(asked(s, BROWSED)), index(s, d))).select("query_id", "filename", "rank", *PAGED).withColumn("end", F.col("end").cast("int")),
          f"WITH {O.values(BROWSED)},{O.CORPUS},{O.parsed()}, br AS (SELECT query_id, filename, page_no, limit_no, row_number() OVER (PARTITION BY query_id ORDER BY lower(filename), doc_id) AS rank FROM qq JOIN meta ON ext = filetype WHERE len(words) = 0)" + PAGE_SQL.format("br"))
+
+# Snippets
+SNIPPED = pick(1, 3, 8, 11, 18)
+
+
+def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import search
+
+    return search(asked(spark, SNIPPED), index(spark, sf_dir)).select("query_id", "rank", "title", "snippet", "page", F.to_json("highlights").alias("highlights"), "match_type", "score", "page_url")
+
+
+register("search_results", _snippets)
+
+
+# Changes
+def _toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select(F.col("doc_id").alias("doc_seq"))
+    return index(spark, sf_dir).documents.join(bad, "doc_seq").select("filename")
+
+
+def _removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = mutate.remove(index(spark, sf_dir), _toxic(spark, sf_dir))
+    return left.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("term_count").alias("total"))
+
+
+def _revised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose number is a benchmark item's get that item as their text; two items become new files."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("new_text"))
+    old = texts(spark, sf_dir).join(b, F.col("doc_seq") == F.col("item_id")).select("filename", "path", F.col("new_text").alias("text"), "doc_seq")
+    new = b.where("item_id < 2").select(F.concat(F.lit("new_"), F.col("item_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit("/data/new").alias("path"), F.col("new_text").alias("text"), (F.col("item_id") + 10**9).alias("doc_seq"))
+    both = old.unionByName(new)
+    return both.withColumn("page_texts", F.array(F.struct(F.lit(1).alias("page"), F.col("text").alias("text"))))
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = mutate.upsert(index(spark, sf_dir), _revised(spark, sf_dir))
+    return now.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("term_count").alias("total"))
+
+
+def _asked_to_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir).where("doc_seq < 10").select(F.concat(F.lit("../x/"), "filename").alias("filename"))
+    return docs.unionByName(spark.createDataFrame([("missing.pdf",), ("missing.pdf",), ("",)], "filename string"))
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = index(spark, sf_dir)
+    broken = i.filename_terms().where("NOT (position = 1 AND hash(filename) % 5 = 0)").unionByName(spark.createDataFrame([("gone.pdf", 0, "gone")], "filename string, position int, term string"))
+    return mutate.repaired_filename_terms(broken, i.documents)[0]
+
+
+def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import tempfile
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-index-")
+    store = Store(spark, f"{root}/store")
+    store.publish(index(spark, sf_dir))
+    return counters(store.load())
+
+
+register("remove_documents", _removed, f"WITH {O.CORPUS} SELECT term, count(*) AS df, sum(term_count)::BIGINT AS total FROM postings WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY term")
+register("upsert_documents", _upserted,
+         f"WITH {O.CORPUS}, b AS (SELECT item_id AS k, text FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents) UNION ALL SELECT item_id + 1000000000, text FROM benchmark WHERE item_id < 2), bt AS (SELECT k, unnest({O.content('text')}) AS term FROM b), "
+         "bp AS (SELECT k AS doc_id, term, count(*) AS term_count FROM bt GROUP BY k, term), u AS (SELECT doc_id, term, term_count FROM postings WHERE doc_id NOT IN (SELECT doc_id FROM bp) UNION ALL SELECT * FROM bp) "
+         "SELECT term, count(*) AS df, sum(term_count)::BIGINT AS total FROM u GROUP BY term")
+register("bulk_delete_status", lambda s, d: mutate.delete_status(index(s, d), _asked_to_delete(s, d)),
+         f"WITH {O.CORPUS} SELECT n.filename, CASE WHEN m.doc_id IS NULL THEN 'not_found' ELSE 'deleted' END AS status FROM named n LEFT JOIN meta m USING (doc_id) WHERE n.doc_id < 10 UNION ALL SELECT 'missing.pdf', 'not_found'")
+register("repair_filename_terms", _repaired, ORACLE_SQL["filename_terms"])
+register("rebuild_roundtrip", _roundtrip, ORACLE_SQL["corpus_counts"])
+register("sanitize_filename", lambda s, d: texts(s, d).select("doc_seq", sanitised(F.concat(F.lit("C:\\dir/ ._"), "filename")).alias("clean")),
+         f"WITH {O.CORPUS} SELECT doc_id AS doc_seq, filename AS clean FROM named")
+register("upload_status", lambda s, d: mutate.upload_status(texts(s, d)),
+         f"WITH {O.CORPUS} SELECT filename, CASE WHEN len({O.content('text')}) > 0 THEN 'indexed' ELSE 'failed' END AS status, CASE WHEN len({O.content('text')}) > 0 THEN NULL ELSE 'no readable text' END AS reason FROM named")
+register("recent_searches", lambda s, d: mutate.recent_searches(s.read.parquet(f"{d}/events.parquet").select("user_id", F.col("event_type").alias("query"), "ts", F.col("event_id").alias("id"))).select("user_id", "rank", "query"),
+         "WITH a AS (SELECT user_id, event_type AS query, ts, event_id, row_number() OVER (PARTITION BY user_id, lower(event_type) ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE trim(event_type) <> ''), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM a WHERE n = 1) SELECT user_id, rank::INT AS rank, query FROM b WHERE rank <= 8")
+register("query_suggestions", lambda s, d: mutate.suggestions(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("rank"), F.col("p_name").alias("query")), "a"),
+         "SELECT p_partkey AS rank, p_name AS query FROM part WHERE contains(lower(p_name), 'a') AND lower(trim(p_name)) <> 'a' ORDER BY p_partkey LIMIT 5")
