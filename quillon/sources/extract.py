@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SCHEMA = "filename string, path string, text string, page_texts array<struct<page int, text string>>, error string"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -72,7 +73,7 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMA).withColumn("doc_seq", F.xxhash64("filename"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ascii(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
