@@ -81,4 +81,17 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others' results follow from hashes, tokens, estimates or passages that SQL can't express; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_topk": """
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, c.uid AS cuid, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.uid <> c.uid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op4_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), h AS (SELECT page_id, strlen(t)::BIGINT AS n, sha1(t) AS d FROM p),
+k AS (SELECT d, n, max(page_id) AS top FROM h WHERE n >= 1000 GROUP BY d, n)
+SELECT h.page_id, h.n AS payload_bytes, h.d AS payload_digest, CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM h.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top IS DISTINCT FROM h.page_id THEN top END AS refers_to FROM h LEFT JOIN k ON k.d = h.d AND k.n = h.n""",
+}
