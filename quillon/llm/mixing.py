@@ -140,14 +140,14 @@ def mixed_rows(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] =
     A column n_chars, where there is one, follows the text.
     """
     ws = Workspace(spark, "mixed")
-    kept = ws.table(docs.withColumn("row_", F.monotonically_increasing_id()), "docs")
-    mix = plan(spark, kept, weights, most, block_words, "row_", text_col, source_col)
-    runs = slices(mix).join(mix.rows.select("uid", F.col("doc_id").alias("row_"), "size"), "uid").select("row_", "size", F.col("at"), F.col("words").alias("words_"))
-    rows = kept.join(runs, "row_")
+    kept = ws.table(docs.withColumn("mix_row_", F.monotonically_increasing_id()), "docs")
+    mix = plan(spark, kept, weights, most, block_words, "mix_row_", text_col, source_col)
+    runs = slices(mix).join(mix.rows.select("uid", F.col("doc_id").alias("mix_row_"), F.col("size").alias("mix_size_")), "uid")
+    rows = kept.join(runs.select("mix_row_", "mix_size_", F.col("at").cast("int").alias("mix_at_"), F.col("words").cast("int").alias("mix_words_")), "mix_row_")
     spaces = r"[\x20\x09-\x0D]"
     # Words with the spaces after them.
-    part = F.array_join(F.slice(F.split(F.ltrim(F.col(text_col), F.lit(SPACES)), f"(?<={spaces})(?!{spaces})"), F.col("at").cast("int") + 1, F.col("words_").cast("int")), "")
-    text = F.when((F.col("at") == 0) & (F.col("words_") == F.col("size")), F.col(text_col)).otherwise(part)
+    part = F.array_join(F.slice(F.split(F.ltrim(F.col(text_col), F.lit(SPACES)), f"(?<={spaces})(?!{spaces})"), F.col("mix_at_") + 1, F.col("mix_words_")), "")
+    text = F.when((F.col("mix_at_") == 0) & (F.col("mix_words_") == F.col("mix_size_")), F.col(text_col)).otherwise(part)
     out = rows.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast("long"))
