@@ -49,12 +49,12 @@ def six(c: str) -> Column:
     return F.round(c, 6).alias(c)
 
 
-def _ranked(queries: list[tuple], *columns) -> tuple:
-    """A query over all ranked rows, rounded, and its SQL."""
+def _ranked(queries: list[tuple], columns):
+    """A query over all ranked rows. columns: makes the columns; they need a session."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = rank_all(asked(spark, queries), index(spark, sf_dir))
-        return rows.select("query_id", "filename", *columns)
+        return rows.select("query_id", "filename", *columns())
 
     return run
 
@@ -126,17 +126,17 @@ register("idf", _idf, f"WITH {O.CORPUS} SELECT term, round(ln(((SELECT count(*)
 register("content_score", lambda s, d: (lambda q, i: score.content_scores(score.content_hits(q, i, i.vocabulary())).select("query_id", "filename", six("content_score"), "exact_content_match", six("prefix_similarity"), six("numeric_similarity")))(parse(asked(s, SCORED)), index(s, d)),
          O.search(SCORED, "SELECT query_id, filename, round(content_score, 6) AS content_score, exact_ AS exact_content_match, round(pre_, 6) AS prefix_similarity, round(num_, 6) AS numeric_similarity FROM cs JOIN meta USING (doc_id)"))
 for name, columns, sql in (
-    ("lexical_relevance", [six("lexical_match_relevance")], "round(lexical, 6) AS lexical_match_relevance"),
-    ("filename_score", [six("filename_score"), F.array_join("filename_matches", " ").alias("filename_matches")], "filename_score, array_to_string(list_filter(counted, lambda x, i: list_position(counted, x) = i), ' ') AS filename_matches"),
-    ("filename_relevance", [six("filename_relevance")], "round(filename_relevance, 6) AS filename_relevance"),
-    ("phrase_score", ["phrase_occurrences", six("phrase_score"), "phrase_match"], "occ AS phrase_occurrences, round(phrase_score, 6) AS phrase_score, phrase_match"),
+    ("lexical_relevance", lambda: [six("lexical_match_relevance")], "round(lexical, 6) AS lexical_match_relevance"),
+    ("filename_score", lambda: [six("filename_score"), F.array_join("filename_matches", " ").alias("filename_matches")], "filename_score, array_to_string(list_filter(counted, lambda x, i: list_position(counted, x) = i), ' ') AS filename_matches"),
+    ("filename_relevance", lambda: [six("filename_relevance")], "round(filename_relevance, 6) AS filename_relevance"),
+    ("phrase_score", lambda: ["phrase_occurrences", six("phrase_score"), "phrase_match"], "occ AS phrase_occurrences, round(phrase_score, 6) AS phrase_score, phrase_match"),
 ):
-    register(name, _ranked(SCORED, *columns), O.search(SCORED, f"SELECT query_id, filename, {sql} FROM res"))
+    register(name, _ranked(SCORED, columns), O.search(SCORED, f"SELECT query_id, filename, {sql} FROM res"))
 
 # Searches
 for name, queries in {"search_content": FLAGSHIP, "search_filename": pick(5, 17), "search_quoted": pick(3, 4, 10), "search_filtered": pick(8, 9, 15, 16), "search_batch": ALL}.items():
-    register(name, _ranked(queries, F.round("final_score", 6).alias("final_score"), "rank"), O.search(queries, "SELECT query_id, filename, round(final_score, 6) AS final_score, rank::INT AS rank FROM res"))
-register("match_type", _ranked(SCORED, rank.match_type().alias("match_type")),
+    register(name, _ranked(queries, lambda: [F.round("final_score", 6).alias("final_score"), "rank"]), O.search(queries, "SELECT query_id, filename, round(final_score, 6) AS final_score, rank::INT AS rank FROM res"))
+register("match_type", _ranked(SCORED, lambda: [rank.match_type().alias("match_type")]),
          O.search(SCORED, "SELECT query_id, filename, CASE WHEN len(counted) > 0 AND phrase_match THEN 'Filename + Phrase' WHEN phrase_match THEN 'Phrase Match' WHEN len(counted) > 0 AND content_score <> 0 THEN 'Filename + Content' WHEN len(counted) > 0 THEN 'Filename Match' ELSE 'Content Match' END AS match_type FROM res"))
 PAGED = "page", "limit", "total", "total_pages", "start", "end", "has_next", "has_previous"
 PAGE_SQL = """, pg AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM {0}), pt AS (SELECT *, ((total + limit_no - 1) // limit_no)::INT AS total_pages FROM pg), pp AS (SELECT *, least(page_no, total_pages) AS pno FROM pt)
