@@ -67,9 +67,11 @@ def snippets(rows: DataFrame, pages: DataFrame) -> DataFrame:
     words = F.when(F.col("phrase_match"), F.col("phrase_words")).otherwise(F.col("content_matches"))
     has_content = F.size(F.coalesce("content_matches", F.array().cast("array<string>"))) > 0
     keyed = rows.withColumn("key", F.concat_ws("|", F.col("query_id").cast("string"), "filename")).withColumn("snippet_words", words)
-    chosen = best(candidates(keyed.where(has_content), pages))
+    # A result page is small; keeping the steps stops their nested text expressions from being planned into one another.
+    keyed = keyed.persist()
+    chosen = best(candidates(keyed.where(has_content), pages)).persist()
     text = window_text(F.col("t"), F.col("pos"), F.col("len"))
-    chosen = chosen.select("key", F.col("page_number").alias("found_page"), text.alias("found"), "mark")
+    chosen = chosen.select("key", F.col("page_number").alias("found_page"), text.alias("found"), "mark").persist()
     chosen = chosen.withColumn("marks", highlights(F.col("found"), F.col("mark")))
     joined = keyed.join(chosen, "key", "left")
     by_name = F.concat(F.lit("Filename matched: "), F.array_join("filename_matches", ", "))
