@@ -148,6 +148,13 @@ def test_quality_verdicts(spark):
     assert all(got[k].kept for k in range(60) if not got[k].base_failed) and not any(got[100 + k].kept for k in range(12))
 
 
+def test_quality_looks_at_whole_texts(spark):
+    table, prose = " ".join(f"{k}|{k + 1}" for k in range(450)), "the house of stone and the river is in that land for as long as it was"
+    data = [(1, f"{table}\n{prose}"), (2, table), (3, f"{prose}\n{table}")]
+    got = {r.doc_id: r.common for r in quality.judge(spark, spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
 def shingles(t):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
