@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import binary, counts, mixing, neardup, packing, quality, repeats, sharding, topk, warc
+from quillon.llm.common import Workspace
 from quillon.llm.suffixes import common_prefixes, suffix_array
 from quillon.llm.tokens import Encoder, tokenizer_path
 
@@ -155,6 +156,24 @@ def test_quality_looks_at_whole_texts(spark):
     assert got == {1: 1, 2: 0, 3: 1}
 
 
+def test_quality_estimation_ends_at_a_fixed_point(spark):
+    rng, names = random.Random(4), ["a", "b", "c", "d"]
+    right = lambda good: [rng.choice((None, int(good) if rng.random() < 0.75 else int(not good))) for _ in names]
+    data = [right(rng.random() < 0.7) for _ in range(2000)]
+    fit = quality.estimate(Workspace(spark, "test"), spark.createDataFrame(data, "a int, b int, c int, d int"), names)
+    weight = []
+    for votes in data:
+        yes, no = fit["prior"], 1 - fit["prior"]
+        for x, v in zip(names, votes):
+            if v is not None:
+                yes, no = yes * (fit["good"][x] if v else 1 - fit["good"][x]), no * (1 - fit["bad"][x] if v else fit["bad"][x])
+        weight.append(yes / (yes + no))
+    assert abs(sum(weight) / len(data) - fit["prior"]) < 1e-6
+    for k, x in enumerate(names):
+        own = [(w, v[k]) for w, v in zip(weight, data) if v[k] is not None]
+        assert abs((sum(w for w, v in own if v) + 1.8) / (sum(w for w, _ in own) + 2) - fit["good"][x]) < 1e-6
+
+
 def shingles(t):
     w = (t or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
