@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -92,9 +93,16 @@ class _Search:
         dim = self.q.shape[1]
         self.steps = sorted({max(1, min(dim, int(dim * x))) for x in STEPS})
 
+    def reached(self, norm2: float) -> bool:
+        """Whether vectors of up to this squared length can matter."""
+        return bool((self.norm * (longest := np.sqrt(norm2)) + self.slack(longest) >= self.least).any())
+
+    def slack(self, longest: float) -> float:
+        return 1e-6 * self.norm.max(initial=1) * max(1.0, longest) + 1e-6
+
     def block(self, v: np.ndarray, vec_id: np.ndarray, uid: np.ndarray) -> bool:
-        """False if neither these nor any shorter vectors can matter."""
-        slack = 1e-6 * self.norm.max(initial=1) * max(1.0, (longest := np.sqrt((v**2).sum(axis=1).max()))) + 1e-6
+        """False if none of these vectors can matter."""
+        slack = self.slack(longest := np.sqrt((v**2).sum(axis=1).max()))
         rows = np.flatnonzero(self.norm * longest + slack >= self.least)
         if not len(rows):
             return False
@@ -146,7 +154,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = K,
                 continue
             chosen = {"v": _matrix([r.v for r in rows], dim), "uid": np.array([r.uid for r in rows])}
             chosen["least"] = _first_scores(chosen, seeds, seed_uid, k)
-            part = _pass(dealt.select("uid", "vec_id", "v"), spark.sparkContext.broadcast(chosen), rotation, dim, k, block)
+            part = _pass(dealt.select("uid", "vec_id", "norm2", "v"), spark.sparkContext.broadcast(chosen), rotation, dim, k, block)
             out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -170,14 +178,13 @@ def _first_scores(chosen: dict, seeds: np.ndarray, seed_uid: np.ndarray, k: int)
 def _pass(dealt: DataFrame, chosen, rotation, dim: int, k: int, block: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = _Search(chosen.value, rotation.value, k)
-        open_ = True
+        # A task may read several files, in any order of their lengths: a block that can't matter says nothing of later ones.
         for batch in batches:
-            for at in range(0, len(batch), block) if open_ else ():
+            for at in range(0, len(batch), block):
                 part = batch.slice(at, block)
-                ids, uid = (part.column(c).to_numpy() for c in ("vec_id", "uid"))
-                open_ = search.block(_matrix(part.column("v").to_pylist(), dim), ids, uid)
-                if not open_:
-                    break
+                if search.reached(float(pc.max(part.column("norm2")).as_py())):
+                    ids, uid = (part.column(c).to_numpy() for c in ("vec_id", "uid"))
+                    search.block(_matrix(part.column("v").to_pylist(), dim), ids, uid)
         yield from search.rows()
 
     return dealt.mapInArrow(scan, "query_uid long, vec_id long, score long")

@@ -347,3 +347,13 @@ def test_pipeline(spark, tmp_path):
     assert ids["quality_rules"] == set(range(45)) and ids["near_duplicates"] == set(range(45)) - {40, 41}
     assert not any(passage[:200] in r.text for r in seen["repeated_passages"]) and ids["repeated_passages"] == ids["near_duplicates"]
     assert sum(r.length for r in seen["packing"]) > 0
+
+
+def test_top_k_reads_longer_vectors_after_shorter_ones(spark):
+    short, long_ = [(k, [1, k % 3]) for k in range(8)], [(k, [90, k]) for k in range(8, 16)]
+    data = [(k, k, x * x + y * y, np.array([x, y], "<i4").tobytes()) for k, (x, y) in short + long_]
+    dealt = spark.createDataFrame(data, "uid long, vec_id long, norm2 long, v binary").coalesce(1)
+    chosen = {"v": np.array([[100.0, 1.0]]), "uid": np.array([-1]), "least": np.array([8000.0])}
+    share = spark.sparkContext.broadcast
+    got = topk._pass(dealt, share(chosen), share(np.eye(2)), 2, 3, 4).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: -r.score)] == [(15, 9015), (14, 9014), (13, 9013)]
