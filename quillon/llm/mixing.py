@@ -2,11 +2,13 @@
 
 Targets: the sources, in code point order with null last, weigh 1, 2, 3, 1, 2, 3 ...; they share the words of the
 whole corpus, but none goes beyond `most` times its own words: what is over is shared again by weight.
-Blocks: the documents of a source are shuffled by a hash, laid end to end and cut into blocks of equal word count.
+Blocks: the documents of a source are shuffled by a hash, laid end to end and cut into blocks of equal word count, at
+most a 16th of the source's own words, so that a small source has 16 blocks as well.
 Schedule: slot i takes the i-th point of van der Corput's sequence, the source on whose part of the cumulative
-targets the point falls, and that source's next block; after its last block a source starts again. How many
+targets (in blocks) the point falls, and that source's next block; after its last block a source starts again. How many
 earlier slots fell on the same source (the slot's rank) is counted in closed form from the binary digits of the
-source's two bounds, so no task walks along a source. A slot that would start a pass beyond `most` stays empty.
+source's two bounds, so no task walks along a source. Each source has as many slots as come closest to its target:
+those beyond stay empty, and what the points left out follows after the last slot.
 
 Defined cases: null and empty texts have size 0 and are never taken; null source is a source; rows with equal ids are
 separate rows; an empty table gives no rows; sources without words get the target 0; other columns are not read.
@@ -14,6 +16,7 @@ separate rows; an empty table gives no rows; sources without words get the targe
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +26,8 @@ from .common import SPACES, Workspace, many_to_one, running_total, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
+#: A block is at most so large a part of its source.
+PARTS = 16
 #: Points are whole numbers below 2**BITS.
 BITS = 40
 #: A table of sources up to this many rows is broadcast, a larger one is joined with salts.
@@ -31,10 +36,10 @@ FEW = 20_000
 
 @dataclass
 class Mix:
-    rows: DataFrame  # uid, doc_id, source, size, sid, n_blocks, before: one row per document
-    sources: DataFrame  # sid, source, source_size, target, n_blocks, lo, hi
+    rows: DataFrame  # uid, doc_id, source, size, sid, block_words, before: one row per document
+    sources: DataFrame  # sid, source, source_size, target, block_words, n_blocks, wanted, lo, hi
     slots: DataFrame  # slot, sid, block, pass: the schedule
-    block_words: int
+    block_words: int  # of large sources
     n_sources: int
 
 
@@ -84,15 +89,21 @@ def plan(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHT
     rows = ws.table(rows, "rows")
     sources, total = targets(ws, rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     words = block_words or min(4096, max(16, total >> 20))
-    cumulative = F.sum("target").over(Window.orderBy("sid"))
-    place = lambda c: F.floor(F.least(F.lit(1.0), c / F.lit(float(max(1, total)))) * float(1 << BITS)).cast("long")
+    size, own = F.col("source_size"), F.col("block_words")
+    sources = sources.withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(words), F.ceil(size / PARTS))).cast("long")).withColumn("n_blocks", F.ceil(size / own).cast("long"))
+    passes = F.floor(F.col("target") / F.greatest(size, F.lit(1)))
+    wanted = F.least(passes * F.col("n_blocks") + F.round((F.col("target") - passes * size) / own), F.col("n_blocks") * most).cast("long")
+    sources = sources.withColumn("wanted", wanted).withColumn("share", F.col("target") / own)
+    share = sources.agg(F.sum("share")).first()[0] or 1.0
+    cumulative = F.sum("share").over(Window.orderBy("sid"))
+    place = lambda c: F.floor(F.least(F.lit(1.0), c / F.lit(float(share))) * float(1 << BITS)).cast("long")
     sources = sources.withColumn("hi", F.when(F.lead("sid").over(Window.orderBy("sid")).isNull(), F.lit(1 << BITS)).otherwise(place(cumulative)))
-    sources = sources.withColumn("lo", F.lag("hi", 1, 0).over(Window.orderBy("sid"))).withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(words)).cast("long"))
+    sources = sources.withColumn("lo", F.lag("hi", 1, 0).over(Window.orderBy("sid")))
     sources = ws.table(sources.withColumns({"lo_back": reversed_bits(F.col("lo")), "hi_back": reversed_bits(F.col("hi"))}), "targets")
     n_sources = sources.count()
-    rows = _with_source(rows, sources.select("source", "sid"), "source", n_sources)
+    rows = _with_source(rows, sources.select("source", "sid", "block_words"), "source", n_sources)
     rows = ws.table(running_total(ws, rows, "dealt", ["sid"], ["shuffled", "doc_id", "uid"], "size"), "stream")
-    return Mix(rows, sources, ws.table(_slots(spark, sources, total, words, most), "schedule"), words, n_sources)
+    return Mix(rows, sources, ws.table(_slots(spark, sources, math.ceil(share) if total else 0, n_sources), "schedule"), words, n_sources)
 
 
 def _with_source(many: DataFrame, one: DataFrame, key: str, n: int) -> DataFrame:
@@ -102,19 +113,24 @@ def _with_source(many: DataFrame, one: DataFrame, key: str, n: int) -> DataFrame
     return many.join(right, many[key].eqNullSafe(right["key_"])).drop("key_")
 
 
-def _slots(spark: SparkSession, sources: DataFrame, total: int, words: int, most: int) -> DataFrame:
+def _slots(spark: SparkSession, sources: DataFrame, n: int, n_sources: int) -> DataFrame:
     bins = 12
-    parts = sources.where("hi > lo AND n_blocks > 0").withColumn("bin", F.explode(F.sequence(F.shiftright("lo", BITS - bins), F.shiftright(F.col("hi") - 1, BITS - bins))))
-    slots = spark.range(-(-total // words)).withColumnRenamed("id", "slot").withColumn("point", reversed_bits(F.col("slot"))).withColumn("bin", F.shiftright("point", BITS - bins))
+    used = sources.where("n_blocks > 0")
+    parts = used.where("hi > lo").withColumn("bin", F.explode(F.sequence(F.shiftright("lo", BITS - bins), F.shiftright(F.col("hi") - 1, BITS - bins))))
+    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", reversed_bits(F.col("slot"))).withColumn("bin", F.shiftright("point", BITS - bins))
     placed = slots.join(parts, "bin").where("point >= lo AND point < hi")
-    ranked = placed.withColumn("rank", hits_below("slot", "hi", "hi_back") - hits_below("slot", "lo", "lo_back"))
-    return ranked.select("slot", "sid", (F.col("rank") % F.col("n_blocks")).alias("block"), F.expr("rank div n_blocks").alias("pass")).where(F.col("pass") < most)
+    ranked = placed.withColumn("rank", hits_below("slot", "hi", "hi_back") - hits_below("slot", "lo", "lo_back")).where("rank < wanted")
+    # What the points left out: the sources take turns.
+    short = used.withColumn("got", hits_below(f"{n}L", "hi", "hi_back") - hits_below(f"{n}L", "lo", "lo_back")).where("got < wanted")
+    rest = short.withColumn("rank", F.explode(F.sequence("got", F.col("wanted") - 1))).withColumn("slot", F.lit(n) + (F.col("rank") - F.col("got")) * n_sources + F.col("sid"))
+    columns = ("slot", "sid", "rank", "n_blocks")
+    return ranked.select(*columns).unionByName(rest.select(*columns)).select("slot", "sid", (F.col("rank") % F.col("n_blocks")).alias("block"), F.expr("rank div n_blocks").alias("pass"))
 
 
 def pieces(mix: Mix) -> DataFrame:
     """(uid, sid, block, at, words): the part of each document in each block of its source."""
-    b = F.lit(mix.block_words)
-    spans = mix.rows.where("size > 0").select("uid", "sid", "size", "before", F.explode(F.sequence(F.expr(f"before div {mix.block_words}"), F.expr(f"(before + size - 1) div {mix.block_words}"))).alias("block"))
+    b = F.col("block_words")
+    spans = mix.rows.where("size > 0").select("uid", "sid", "size", "before", b, F.explode(F.sequence(F.expr("before div block_words"), F.expr("(before + size - 1) div block_words"))).alias("block"))
     start, end = F.greatest(F.col("block") * b, F.col("before")), F.least((F.col("block") + 1) * b, F.col("before") + F.col("size"))
     return spans.select("uid", "sid", "block", (start - F.col("before")).alias("at"), (end - start).alias("words"))
 

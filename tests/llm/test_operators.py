@@ -76,6 +76,15 @@ def test_mixing(spark, docs, rows, none):
     assert mixed.columns == docs.columns and all(r.text in {t for _, t, _ in rows} or any(r.text in (t or "") for _, t, _ in rows) for r in mixed.collect())
 
 
+def test_small_sources_reach_their_targets(spark):
+    data = [(k, "w " * 500, "big") for k in range(400)] + [(1000 + k, "w " * n, f"s{k:02}") for k, n in enumerate((1, 30, 100, 500, 1000, 2000, 3000, 10_000))]
+    got = mixing.taken(mixing.plan(spark, spark.createDataFrame(data, "doc_id long, text string, source string"), block_words=4096))
+    sums = got.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(sums) == 9
+    for r in sums:
+        assert abs(r.taken - r.target) <= max(1, min(4096, r.source_size / 16)), r
+
+
 def test_schedule_ranks_are_gapless(spark, docs):
     mix = mixing.plan(spark, docs, block_words=4)
     blocks = {r.sid: r.n_blocks for r in mix.sources.collect()}
