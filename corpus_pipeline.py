@@ -13,6 +13,8 @@ from quillon.llm import mixing, neardup, packing, quality, repeats
 from quillon.llm.common import Workspace
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A repeated passage has over 50 words.
+PASSAGE_WORDS = 51
 #: SQL for run()'s rows: estimation, signatures and tokens have none; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -28,8 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 400 bytes or more that also occur elsewhere. A document that is nothing but such passages stays, without text."""
-    kept = repeats.remove_repeats(spark, docs, more=("lang", "source"), with_text=True)
+    """Cuts passages of 51 words or more, or of 400 bytes or more, that also occur elsewhere. A document that is nothing but such passages stays, without text."""
+    kept = repeats.remove_repeats(spark, docs, more=("lang", "source"), with_text=True, words=PASSAGE_WORDS)
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 

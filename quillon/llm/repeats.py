@@ -15,7 +15,7 @@ another. No suffix array of the whole corpus is needed for that:
 4. The repeated windows of a context hold for all its copies; a document's spans are merged and cut out.
 
 A passage that a third of all documents share is one context for the shards; the joins to its many places are salted.
-An anchor with more than `crowd` different contexts (a frequent string shorter than `length`) goes another, exact
+An anchor with more than `crowd` different contexts (a frequent string shorter than `length`) goes another
 way: the windows of its contexts are counted by their 128-bit hashes.
 
 Defined cases: null text counts as empty; nothing shorter than `length` is removed; null ids and repeated rows are rows
@@ -44,21 +44,23 @@ PART = 256 << 10
 #: Stands between contexts; no UTF-8 text has this byte.
 BREAK = 0xFF
 
+#: For repeats of so many words instead of bytes, a word stands as eight bytes; words in a string for anchors.
+WORD_BYTES, WORD_GRAM = 8, 8
+
 _powers: dict[int, tuple] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random numbers for the bytes, and powers of an odd base and of its inverse modulo 2**64."""
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _powers:
-        base = 0x9E3779B97F4A7C15 | 1
+def _tables(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random numbers for the bytes, and powers of an odd base and of its inverse modulo 2**64. which: 0 or 1, for unrelated hashes."""
+    if which not in _powers or len(_powers[which][1]) <= n:
+        size = 1 << max(16, (n + 1).bit_length())
+        base = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)[which] | 1
         inverse = np.uint64(pow(base, -1, 1 << 64))
         up = np.full(size, np.uint64(base), np.uint64)
         down = np.full(size, inverse, np.uint64)
         up[0] = down[0] = 1
-        _powers.clear()
-        _powers[size] = (np.random.default_rng(64).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1), np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _powers[size]
+        _powers[which] = (np.random.default_rng(64 + which).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1), np.multiply.accumulate(up), np.multiply.accumulate(down))
+    return _powers[which]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -68,12 +70,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Hashes of any substring of a byte string, from running sums."""
+    """Hashes of any substring of a string of bytes or of 64-bit word codes, from running sums."""
 
-    def __init__(self, s: np.ndarray) -> None:
-        values, up, self.down = _tables(len(s))
+    def __init__(self, s: np.ndarray, which: int = 0) -> None:
+        values, up, self.down = _tables(len(s), which)
         self.sums = np.zeros(len(s) + 1, np.uint64)
-        np.cumsum(values[s] * up[: len(s)], out=self.sums[1:])
+        np.cumsum((values[s] if s.dtype == np.uint8 else _mixed(s + values[0])) * up[: len(s)], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + np.uint64(seed))
@@ -117,6 +119,30 @@ def contexts(s: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[n
     return grams[own], hashes(starts, starts + windows + length - 1, 1) ^ _mixed(windows.astype(np.uint64)), starts, windows, own - starts
 
 
+def word_places(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a byte string start and end."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], ~((s == 0x20) | (s >= 9) & (s <= 13)), [False]]).astype(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def word_codes(s: np.ndarray) -> np.ndarray:
+    """A 64-bit code for each word of a byte string, hashed in parts of whole words."""
+    starts, ends = word_places(s)
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PART, "right")))
+        at = starts[i]
+        out[i:j] = Hashes(s[at : ends[j - 1]])(starts[i:j] - at, ends[i:j] - at, 4) ^ _mixed((ends[i:j] - starts[i:j]).astype(np.uint64))
+        i = j
+    return out
+
+
+def symbols(text: str | None, words: bool) -> np.ndarray:
+    """What repeats are looked for in: the bytes of a text or the codes of its words."""
+    s = np.frombuffer((text or "").encode(), np.uint8)
+    return word_codes(s) if words else s
+
+
 def quarters(data: bytes, at: int, length: int, gram: int) -> list[int | None]:
     """Hashes of the four strings around the anchor of which two contexts share one at least if they share a window; None where it doesn't fit."""
     step, out = (length - gram) // 4, []
@@ -126,16 +152,17 @@ def quarters(data: bytes, at: int, length: int, gram: int) -> list[int | None]:
     return out
 
 
-def _laid_out(texts: list[str | None], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of about PART bytes: (bytes, ends of the texts, which text, where in it the part begins)."""
+def _laid_out(texts: list[str | None], length: int, words: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of about PART bytes: (bytes or words, ends of the texts, which text, where in it the part begins)."""
     pieces, size = [], 0
+    most = PART // WORD_BYTES if words else PART
     for k, text in enumerate(texts):
-        data = (text or "").encode()
+        data = symbols(text, words)
         if len(data) < length:
             continue
-        for at in range(0, max(1, len(data) - length + 1), PART - length + 1):
-            piece = data[at : at + PART]
-            if size and size + len(piece) > PART:
+        for at in range(0, max(1, len(data) - length + 1), most - length + 1):
+            piece = data[at : at + most]
+            if size and size + len(piece) > most:
                 yield _joined(pieces)
                 pieces, size = [], 0
             pieces.append((piece, k, at))
@@ -144,9 +171,9 @@ def _laid_out(texts: list[str | None], length: int) -> Iterator[tuple[np.ndarray
         yield _joined(pieces)
 
 
-def _joined(pieces: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, ...]:
+def _joined(pieces: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, ...]:
     data, which, at = zip(*pieces, strict=True)
-    return np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(x) for x in data]), np.asarray(which), np.asarray(at)
+    return np.concatenate(data), np.cumsum([len(x) for x in data]), np.asarray(which), np.asarray(at)
 
 
 def shard_hits(data: list[bytes], windows: list[int], length: int) -> list[list[tuple[int, int]]]:
@@ -173,22 +200,28 @@ def _identified(docs: DataFrame, id_col: str, text_col: str, more: tuple[str, ..
     return docs.select(F.col(id_col).cast("long").alias("id_"), F.xxhash64(text).alias("text_hash_"), text.alias("text_"), *[F.col(f"`{c}`") for c in more])
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, crowd: int = CROWD) -> DataFrame:
-    """(id_, text_hash_, spans_): the byte spans, unmerged, of each document that has any."""
+def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, crowd: int = CROWD, words: bool = False) -> DataFrame:
+    """(id_, text_hash_, spans_): the byte spans, unmerged, of each document that has any.
+
+    words: `length` and the spans count words, whatever spaces stand between them. There are so few windows of words that
+    those of all contexts are counted by hashes, as for crowded anchors.
+    """
     ws = Workspace(spark, "repeats")
+    unit, gram, least = (WORD_BYTES, WORD_GRAM, 2 * length - 1) if words else (1, GRAM, length)
+    crowd = -1 if words else crowd
     rows = _identified(docs, id_col, text_col)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts_of(batch, 2):
-                for s, ends, which, at in _laid_out(part.column(2).to_pylist(), length):
-                    anchor, whole, start, windows, place = contexts(s, ends, length, GRAM)
+                for s, ends, which, at in _laid_out(part.column(2).to_pylist(), length, words):
+                    anchor, whole, start, windows, place = contexts(s, ends, length, gram)
                     text = np.searchsorted(ends, start, "right")
                     within = start - (ends - np.diff(ends, prepend=0))[text] + at[text]
                     own = pa.array(which[text])
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), part.column(0).take(own), part.column(1).take(own), pa.array(within), pa.array(windows.astype(np.int32)), pa.array(place.astype(np.int32))], ["anchor", "whole", "id_", "text_hash_", "start", "windows", "at"])
 
-    found = rows.where(F.octet_length("text_") >= length).mapInArrow(find, "anchor long, whole long, id_ long, text_hash_ long, start long, windows int, at int")
+    found = rows.where(F.octet_length("text_") >= least).mapInArrow(find, "anchor long, whole long, id_ long, text_hash_ long, start long, windows int, at int")
     found = ws.table(found, "contexts")
     repeated = found.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor")
     kept = ws.table(many_to_one(found, repeated, ["anchor"]), "repeated")
@@ -204,10 +237,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
             for part in parts_of(batch, 0, 1 << 20):
                 out = []
                 for text, many in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    data = text.encode()
+                    data = symbols(text, words)
                     for x in many:
-                        own = data[x["start"] : x["start"] + x["windows"] + length - 1]
-                        out.append((x["anchor"], x["whole"], x["windows"], own, quarters(own, x["at"], length, GRAM)))
+                        own = data[x["start"] : x["start"] + x["windows"] + length - 1].tobytes()
+                        out.append((x["anchor"], x["whole"], x["windows"], own, quarters(own, x["at"] * unit, length * unit, gram * unit)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["anchor", "whole", "windows", "bytes", "quarters"])
 
     cut = ws.table(wanted.select("text_", "wanted").mapInArrow(read, "anchor long, whole long, windows int, bytes binary, quarters array<long>"), "cut")
@@ -230,23 +263,26 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
     dealt = cut.where("NOT crowded").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).select("shard", "anchor", "whole", "windows", "bytes")
     hits = dealt.groupBy("shard").applyInArrow(sort, "anchor long, whole long, a int, b int")
     if crowded:
-        hits = hits.unionByName(_crowded_hits(cut.where("crowded"), length))
+        hits = hits.unionByName(_crowded_hits(cut.where("crowded"), length, words))
     everywhere = kinds.where("places > 1").select("anchor", "whole", F.lit(0).alias("a"), F.col("windows").alias("b"))
     runs = hits.unionByName(everywhere).groupBy("anchor", "whole").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     runs = ws.table(runs, "runs")
     ws.drop("chosen")
     there = many_to_one(kept, runs, ["anchor", "whole"]).select("id_", "text_hash_", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("from_"), (F.col("start") + r["b"] + F.lit(length - 1)).alias("to_")))).alias("span"))
-    return ws.table(there.groupBy("id_", "text_hash_").agg(F.collect_set("span").alias("spans_")), "spans")
+    spans = ws.table(there.groupBy("id_", "text_hash_").agg(F.collect_set("span").alias("spans_")), "spans")
+    for name in ("repeated", "kinds", "alive", "runs"):
+        ws.drop(name)
+    return spans
 
 
-def _crowded_hits(cut: DataFrame, length: int) -> DataFrame:
+def _crowded_hits(cut: DataFrame, length: int, words: bool = False) -> DataFrame:
     """The same as shard_hits for anchors with too many contexts for a shard: windows are counted by two 64-bit hashes."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for anchor, whole, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes, at = Hashes(np.frombuffer(data, np.uint8)), np.arange(many)
-                one, two = (hashes(at, at + length, seed).view(np.int64) for seed in (2, 3))
+                s, at = np.frombuffer(data, np.uint64 if words else np.uint8), np.arange(many)
+                one, two = (Hashes(s)(at, at + length, seed).view(np.int64) for seed in (2, 3))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(many, anchor)), pa.array(np.full(many, whole)), pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], ["anchor", "whole", "a", "one", "two"])
 
     each = cut.select("anchor", "whole", "windows", "bytes").mapInArrow(windows, "anchor long, whole long, a int, one long, two long")
@@ -265,15 +301,31 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = (), with_text: bool = False, **kinds: int) -> DataFrame:
+def _byte_spans(data: bytes, spans: list[dict] | None) -> list[dict]:
+    """Spans of words as spans of bytes, from the first byte of the first word to the last one of the last."""
+    if not spans:
+        return []
+    starts, ends = word_places(np.frombuffer(data, np.uint8))
+    return [{"from_": int(starts[x["from_"]]), "to_": int(ends[x["to_"] - 1])} for x in spans]
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = (), with_text: bool = False, words: int | None = None, **kinds: int) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, the columns `more` and, if asked for, kept_text: one row per document.
 
+    words: strings of so many words that occur twice or more go as well, however few bytes they have.
     kept_text drops what a cut leaves of a character of several bytes.
     """
     spans = repeated_spans(spark, docs, length, id_col, text_col, **kinds)
-    right = spans.select(F.col("id_").alias("id_2"), F.col("text_hash_").alias("hash_2"), "spans_")
+    if words:
+        more_spans = repeated_spans(spark, docs, words, id_col, text_col, words=True)
+        none = F.lit(None).cast(spans.schema["spans_"].dataType)
+        both = spans.withColumn("word_spans_", none).unionByName(more_spans.select("id_", "text_hash_", none.alias("spans_"), F.col("spans_").alias("word_spans_")))
+        spans = both.groupBy("id_", "text_hash_").agg(F.first("spans_", True).alias("spans_"), F.first("word_spans_", True).alias("word_spans_"))
+    else:
+        spans = spans.withColumn("word_spans_", F.lit(None).cast(spans.schema["spans_"].dataType))
+    right = spans.select(F.col("id_").alias("id_2"), F.col("text_hash_").alias("hash_2"), "spans_", "word_spans_")
     rows = _identified(docs, id_col, text_col, more).join(right, F.col("id_").eqNullSafe(F.col("id_2")) & (F.col("text_hash_") == F.col("hash_2")), "left")
-    rows = rows.select("id_", "text_", "spans_", *[F.col(f"`{c}`") for c in more])
+    rows = rows.select("id_", "text_", "spans_", "word_spans_", *[F.col(f"`{c}`") for c in more])
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *more, *["kept_text"] * with_text]
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
 
@@ -281,14 +333,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
         for batch in batches:
             for part in parts_of(batch, 1):
                 out = []
-                for text, own in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    data, runs, at, kept = text.encode(), merged(own), 0, []
+                for text, own, by_word in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                    data, at, kept = text.encode(), 0, []
+                    runs = merged([*(own or ()), *_byte_spans(data, by_word)])
                     for a, b in runs:
                         kept.append(data[at:a])
                         at = b
                     rest = b"".join([*kept, data[at:]])
                     out.append((len(data), len(data) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if with_text else ""))
                 columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 3 + (pa.string(),) * 2, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns[:4], *part.columns[3:], *columns[4:] * with_text], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns[:4], *part.columns[4:], *columns[4:] * with_text], names)
 
     return rows.mapInArrow(strip, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}" + ", kept_text string" * with_text)

@@ -112,6 +112,32 @@ def test_repeats(spark, docs, rows, none):
     assert repeats.remove_repeats(spark, none).count() == 0
 
 
+def test_pipeline_cuts_passages_of_51_words(spark):
+    from corpus_pipeline import repeated_passages
+
+    rng = random.Random(8)
+    words = lambda n: [f"{rng.randrange(10**4)}" for _ in range(n)]
+    just, short, wide, lone = words(51), words(50), ["y" * 90 + str(k) for k in range(6)], words(40)
+    texts = [words(30) + p + words(20) for p in (just, short, wide, lone) for _ in range(3)] + [words(3000) + just + words(2)]
+    texts = [" ".join(t) for t in texts] + ["\n ".join(words(5) + just), "", None]
+    seen, data = Counter(), []
+    for t in texts:
+        b = (t or "").encode()
+        at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        data.append((b, at))
+        seen.update(b[k : k + 400] for k in range(len(b) - 399))
+        seen.update(tuple(b[x:y] for x, y in at[k : k + 51]) for k in range(len(at) - 50))
+    want = Counter()
+    for b, at in data:
+        gone = bytearray(len(b))
+        for x, y in [(k, k + 400) for k in range(len(b) - 399) if seen[b[k : k + 400]] > 1] + [(at[k][0], at[k + 50][1]) for k in range(len(at) - 50) if seen[tuple(b[x:y] for x, y in at[k : k + 51])] > 1]:
+            gone[x:y] = b"\1" * (y - x)
+        want[bytes(x for x, g in zip(b, gone) if not g).decode()] += 1
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = repeated_passages(spark, docs.repartition(3), "").collect()
+    assert Counter(r.text for r in got) == want and all(" ".join(just[:40]) not in r.text for r in got)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
     for _ in range(200):
