@@ -16,7 +16,7 @@ another. No suffix array of the whole corpus is needed for that:
 
 A passage that a third of all documents share is one context for the shards; the joins to its many places are salted.
 An anchor with more than `crowd` different contexts (a frequent string shorter than `length`) goes another
-way: the windows of its contexts are counted by their 128-bit hashes.
+way: the windows of its contexts are counted by 128 bits of hashes, from two unrelated bases and byte tables.
 
 Defined cases: null text counts as empty; nothing shorter than `length` is removed; null ids and repeated rows are rows
 like any other, and repeated rows are copies of each other; an empty table gives no rows.
@@ -276,13 +276,13 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
 
 
 def _crowded_hits(cut: DataFrame, length: int, words: bool = False) -> DataFrame:
-    """The same as shard_hits for anchors with too many contexts for a shard: windows are counted by two 64-bit hashes."""
+    """The same as shard_hits for anchors with too many contexts for a shard: windows are counted by two unrelated 64-bit hashes."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for anchor, whole, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s, at = np.frombuffer(data, np.uint64 if words else np.uint8), np.arange(many)
-                one, two = (Hashes(s)(at, at + length, seed).view(np.int64) for seed in (2, 3))
+                one, two = (Hashes(s, which)(at, at + length, 2).view(np.int64) for which in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(many, anchor)), pa.array(np.full(many, whole)), pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], ["anchor", "whole", "a", "one", "two"])
 
     each = cut.select("anchor", "whole", "windows", "bytes").mapInArrow(windows, "anchor long, whole long, a int, one long, two long")

@@ -138,6 +138,12 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     assert Counter(r.text for r in got) == want and all(" ".join(just[:40]) not in r.text for r in got)
 
 
+def test_crowded_hashes_are_unrelated():
+    s = np.frombuffer(b"ab" * 50, np.uint8)
+    one, two = (repeats.Hashes(s, which) for which in (0, 1))
+    assert not np.intersect1d(one.sums[1:], two.sums[1:]).size and not np.intersect1d(one.down[1:99], two.down[1:99]).size
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(3)
     for _ in range(200):
