@@ -104,7 +104,7 @@ def rules() -> dict[str, Column]:
 def estimate(ws: Workspace, votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> dict:
     """Prior and, for each rule, how often it is right on good and on bad documents.
 
-    Only the counted patterns come to the driver; a round there takes less than a millisecond, so that it can go on until nothing moves.
+    Only the counted patterns come to the driver, a table of bounded size, so that rounds are cheap and can go on until nothing moves.
     """
     known = sorted(tuple(-1 if x is None else x for x in r) for r in votes.groupBy(*names).agg(F.count("*").alias("n")).collect())
     good, bad = np.full(len(names), START["right_on_good"]), np.full(len(names), START["right_on_bad"])
