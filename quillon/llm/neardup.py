@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, many_to_one
 from .components import components
-from .repeats import Hashes, _mixed
+from .hashing import mixed, word_codes
 from .tokens import parts_of
 
 WORDS, PERCENT = 5, 85
@@ -55,20 +55,20 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     inner = ~space
     starts = np.flatnonzero(inner & np.concatenate([[True], space[:-1]]))
     ends = np.flatnonzero(inner & np.concatenate([space[1:], [True]])) + 1
-    one = Hashes(s)(starts, ends)
+    one = word_codes(s, starts, ends)
     first = np.searchsorted(starts, np.concatenate([[0], border[:-1]]))
     last = np.searchsorted(starts, border)
     n = len(one)
     rolled = np.zeros(max(0, n - words + 1), np.uint64)
     for k in range(words):
         rolled += one[k : k + len(rolled)] * _PLACE[k]
-    rolled = _mixed(rolled)
+    rolled = mixed(rolled)
     out = []
     for a, b in zip(first, last, strict=True):
         if b - a >= words:
             out.append(np.unique(rolled[a : b - words + 1]))
         elif b > a:
-            out.append(_mixed((one[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
+            out.append(mixed((one[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -98,8 +98,8 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                 sets = shingle_sets(part.column(3).to_pylist(), words)
                 some = [x for x in sets if len(x)]
                 signs = np.stack([signature(x) for x in some]) if some else np.zeros((0, BINS), np.uint64)
-                keys = _mixed((signs.reshape(-1, BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64)).view(np.int64)
-                marks = (_mixed(signs) & np.uint64(255)).astype(np.uint8)
+                keys = mixed((signs.reshape(-1, BANDS, ROWS) * _BAND).sum(axis=2, dtype=np.uint64)).view(np.int64)
+                marks = (mixed(signs) & np.uint64(255)).astype(np.uint8)
                 digests = np.array([np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in some]).reshape(-1, 2)
                 full = np.array([len(x) > 0 for x in sets], bool)
                 at = np.where(full, np.cumsum(full) - 1, 0)

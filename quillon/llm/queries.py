@@ -38,7 +38,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove_repeats
 
-    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+    return remove_repeats(spark, table(spark, sf_dir, "documents"), with_text=True)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

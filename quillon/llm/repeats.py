@@ -1,13 +1,14 @@
-"""Removal of byte strings that occur twice or more anywhere in the corpus, by suffix arrays of shards.
+"""Removal of strings that occur twice or more anywhere in the corpus, by suffix arrays of shards.
 
 A byte goes if some string of `length` bytes covers it that also starts at another place, in the same document or
 another. No suffix array of the whole corpus is needed for that:
 
 1. Anchors. Of every window of `length` bytes the least hash of its 64-byte strings (the leftmost of equals) is its
    anchor. It depends on the window's bytes alone, so equal windows have equal anchors at equal places. Neighbouring
-   windows with the same anchor form one context, about one for 170 bytes of text.
-2. Contexts whose anchor occurs once cannot hold a repeat and go. Equal contexts are counted: one that occurs twice
-   or more repeats as a whole, wherever it stands, and only one copy of it goes on.
+   windows with the same anchor form one context, about one for 170 bytes of text; equal contexts in a row, as in a
+   periodic text, count as one row. An anchor's hash decides nothing but who meets whom.
+2. Contexts whose anchor occurs once cannot hold a repeat and go. Equal contexts (by 128 bits of BLAKE2b) are counted:
+   one that occurs twice or more repeats as a whole, wherever it stands, and only one copy of it goes on.
 3. A window has its anchor in one of four quarters, so contexts that share a window also share one of four strings
    around the anchor that are about 80 bytes shorter. Contexts that share none of these go no further.
    Those that share an anchor meet in one shard. Each shard is one string; its suffix array (suffixes.py) and
@@ -15,8 +16,11 @@ another. No suffix array of the whole corpus is needed for that:
 4. The repeated windows of a context hold for all its copies; a document's spans are merged and cut out.
 
 A passage that a third of all documents share is one context for the shards; the joins to its many places are salted.
-An anchor with more than `crowd` different contexts (a frequent string shorter than `length`) goes another
-way: the windows of its contexts are counted by 128 bits of hashes, from two unrelated bases and byte tables.
+An anchor with more than `crowd` different contexts (a frequent string shorter than `length`) is split by those four
+strings, and contexts that share one of them meet in a shard instead. What even one of these strings has more than
+`crowd` contexts for shares all but 80 bytes of a window; its windows are counted by 128 bits of BLAKE2b.
+
+Where `length` counts words, a word stands as eight bytes that are a hash of it, and all else is the same.
 
 Defined cases: null text counts as empty; nothing shorter than `length` is removed; null ids and repeated rows are rows
 like any other, and repeated rows are copies of each other; an empty table gives no rows.
@@ -33,67 +37,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, many_to_one
+from .hashing import digests, mixed, word_codes, word_places
 from .suffixes import common_prefixes, suffix_array
 from .tokens import parts_of
 
 LENGTH, GRAM = 400, 64
-#: Bytes of contexts in a shard, on average; different contexts of one anchor in a shard, at most.
-SHARD_BYTES, CROWD = 2 << 20, 16_384
+#: Bytes of contexts in a shard, on average; different contexts of one anchor, or of one string around it, in a shard, at most.
+SHARD_BYTES, CROWD = 2 << 20, 4096
 #: Texts are read in parts of so many bytes that overlap by a window: small enough for the processor's cache.
 PART = 256 << 10
-#: Stands between contexts; no UTF-8 text has this byte.
+#: Stands between contexts; no UTF-8 text has this byte, and no hash of a word is likely to be eight of it.
 BREAK = 0xFF
-
-#: For repeats of so many words instead of bytes, a word stands as eight bytes; words in a string for anchors.
+#: For repeats of words: bytes of a word's hash, and words in a string for anchors.
 WORD_BYTES, WORD_GRAM = 8, 8
+KEYS = ("anchor", "w1", "w2")
 
-_powers: dict[int, tuple] = {}
+_powers: list[np.ndarray] = []
 
 
-def _tables(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Random numbers for the bytes, and powers of an odd base and of its inverse modulo 2**64. which: 0 or 1, for unrelated hashes."""
-    if which not in _powers or len(_powers[which][1]) <= n:
+def _tables(n: int) -> list[np.ndarray]:
+    """Random numbers for the bytes, and powers of an odd base and of its inverse modulo 2**64."""
+    if not _powers or len(_powers[1]) <= n:
         size = 1 << max(16, (n + 1).bit_length())
-        base = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)[which] | 1
-        inverse = np.uint64(pow(base, -1, 1 << 64))
+        base = 0x9E3779B97F4A7C15
         up = np.full(size, np.uint64(base), np.uint64)
-        down = np.full(size, inverse, np.uint64)
+        down = np.full(size, np.uint64(pow(base, -1, 1 << 64)), np.uint64)
         up[0] = down[0] = 1
-        _powers[which] = (np.random.default_rng(64 + which).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1), np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _powers[which]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        values = np.random.default_rng(64).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        _powers[:] = [values, np.multiply.accumulate(up), np.multiply.accumulate(down)]
+    return _powers
 
 
-class Hashes:
-    """Hashes of any substring of a string of bytes or of 64-bit word codes, from running sums."""
-
-    def __init__(self, s: np.ndarray, which: int = 0) -> None:
-        values, up, self.down = _tables(len(s), which)
-        self.sums = np.zeros(len(s) + 1, np.uint64)
-        np.cumsum((values[s] if s.dtype == np.uint8 else _mixed(s + values[0])) * up[: len(s)], out=self.sums[1:])
-
-    def __call__(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start] + np.uint64(seed))
+def gram_hashes(s: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of every string of `gram` bytes or words, from running sums. Good enough to choose anchors, not to compare strings."""
+    values, up, down = _tables(len(s))
+    sums = np.zeros(len(s) + 1, np.uint64)
+    np.cumsum((values[s] if s.dtype == np.uint8 else s) * up[: len(s)], out=sums[1:])
+    at = np.arange(len(s) - gram + 1)
+    return mixed((sums[at + gram] - sums[at]) * down[at])
 
 
 def contexts(s: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor, whole, start, windows, at) of the contexts in texts laid end to end in s; ends: where each text ends.
+    """(anchor, whole, start, windows, at, more) of the contexts in texts laid end to end in s; ends: where each text ends.
 
-    anchor, whole: hashes of the anchor's string and of all bytes of the context. windows: how many windows it has.
-    at: where in the context the anchor stands.
+    anchor: a hash of the anchor's string. whole: two numbers that stand for all bytes of the context. windows: how many
+    windows it has. at: where in the context the anchor stands. more: how many equal contexts follow without a gap.
     """
     n = len(s)
-    none = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+    none = (np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)) + (np.zeros(0, np.int64),) * 4
     if n < length:
         return none
-    hashes = Hashes(s)
-    at = np.arange(n - gram + 1)
-    grams = hashes(at, at + gram)
+    grams = gram_hashes(s, gram)
+    at = np.arange(len(grams))
     wide = length - gram + 1
     keys = grams & ~np.uint64(0xFFFFFF) | at.astype(np.uint64)
     full = -(-len(keys) // wide) * wide
@@ -116,39 +111,26 @@ def contexts(s: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[n
     stop = np.append(border, len(first))[np.searchsorted(border, starts, "right")]
     windows = stop - starts
     own = anchor[starts]
-    return grams[own], hashes(starts, starts + windows + length - 1, 1) ^ _mixed(windows.astype(np.uint64)), starts, windows, own - starts
-
-
-def word_places(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of a byte string start and end."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], ~((s == 0x20) | (s >= 9) & (s <= 13)), [False]]).astype(np.int8)))
-    return edges[::2], edges[1::2]
-
-
-def word_codes(s: np.ndarray) -> np.ndarray:
-    """A 64-bit code for each word of a byte string, hashed in parts of whole words."""
-    starts, ends = word_places(s)
-    out, i = np.zeros(len(starts), np.uint64), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PART, "right")))
-        at = starts[i]
-        out[i:j] = Hashes(s[at : ends[j - 1]])(starts[i:j] - at, ends[i:j] - at, 4) ^ _mixed((ends[i:j] - starts[i:j]).astype(np.uint64))
-        i = j
-    return out
+    whole = digests(memoryview(s.tobytes()), starts * s.itemsize, (starts + windows + length - 1) * s.itemsize)
+    again = np.zeros(len(starts), bool)
+    again[1:] = (whole[1:] == whole[:-1]).all(axis=1) & (starts[1:] == stop[:-1]) & (text[starts[1:]] == text[starts[:-1]])
+    head = np.flatnonzero(~again)
+    more = np.diff(np.append(head, len(starts))) - 1
+    return grams[own[head]], whole[head], starts[head], windows[head], (own - starts)[head], more
 
 
 def symbols(text: str | None, words: bool) -> np.ndarray:
-    """What repeats are looked for in: the bytes of a text or the codes of its words."""
+    """What repeats are looked for in: the bytes of a text or the hashes of its words."""
     s = np.frombuffer((text or "").encode(), np.uint8)
-    return word_codes(s) if words else s
+    return word_codes(s, *word_places(s)) if words else s
 
 
-def quarters(data: bytes, at: int, length: int, gram: int) -> list[int | None]:
+def quarters(data: bytes, at: int, length: int, gram: int) -> list[bytes | None]:
     """Hashes of the four strings around the anchor of which two contexts share one at least if they share a window; None where it doesn't fit."""
     step, out = (length - gram) // 4, []
     for j in range(4):
         a, b = at - step * j, at + gram + (length - gram - step * (j + 1) if j < 3 else 0)
-        out.append(int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little", signed=True) if a >= 0 and b <= len(data) else None)
+        out.append(hashlib.blake2b(data[a:b], digest_size=8, key=bytes([j])).digest() if a >= 0 and b <= len(data) else None)
     return out
 
 
@@ -176,17 +158,18 @@ def _joined(pieces: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, ...]
     return np.concatenate(data), np.cumsum([len(x) for x in data]), np.asarray(which), np.asarray(at)
 
 
-def shard_hits(data: list[bytes], windows: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """For each context of a shard, the runs [from, to) of its windows that also start elsewhere in the shard."""
-    s = np.frombuffer(bytes([BREAK]).join(data) + bytes([BREAK]), np.uint8)
-    start = np.cumsum([0] + [len(x) + 1 for x in data])[:-1]
+def shard_hits(data: list[bytes], windows: list[int], length: int, unit: int = 1) -> list[list[tuple[int, int]]]:
+    """For each context of a shard, the runs [from, to) of its windows that also start elsewhere in the shard. unit: bytes of a symbol."""
+    gap = bytes([BREAK]) * unit
+    s = np.frombuffer(gap.join(data) + gap, np.uint8)
+    start = np.cumsum([0] + [len(x) + unit for x in data])[:-1]
     fresh = np.zeros(len(s), bool)
     fresh[start] = True
-    before, lengths = common_prefixes(s, suffix_array(s, 256), 3 * length, fresh)
-    long_ = lengths >= length
+    before, lengths = common_prefixes(s, suffix_array(s, 256), 3 * length * unit, fresh)
+    long_ = lengths >= length * unit
     hit = long_.copy()
     hit[before[long_]] = True
-    return [_runs(hit[a : a + w]) for a, w in zip(start, windows, strict=True)]
+    return [_runs(hit[a : a + w * unit : unit]) for a, w in zip(start, windows, strict=True)]
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -200,36 +183,41 @@ def _identified(docs: DataFrame, id_col: str, text_col: str, more: tuple[str, ..
     return docs.select(F.col(id_col).cast("long").alias("id_"), F.xxhash64(text).alias("text_hash_"), text.alias("text_"), *[F.col(f"`{c}`") for c in more])
 
 
+def _batch(rows: list[tuple], names: str, *kinds: pa.DataType) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ((),) * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names.split())
+
+
 def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, crowd: int = CROWD, words: bool = False) -> DataFrame:
     """(id_, text_hash_, spans_): the byte spans, unmerged, of each document that has any.
 
-    words: `length` and the spans count words, whatever spaces stand between them. There are so few windows of words that
-    those of all contexts are counted by hashes, as for crowded anchors.
+    words: `length` and the spans count words, whatever spaces stand between them.
     """
     ws = Workspace(spark, "repeats")
     unit, gram, least = (WORD_BYTES, WORD_GRAM, 2 * length - 1) if words else (1, GRAM, length)
-    crowd = -1 if words else crowd
     rows = _identified(docs, id_col, text_col)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts_of(batch, 2):
                 for s, ends, which, at in _laid_out(part.column(2).to_pylist(), length, words):
-                    anchor, whole, start, windows, place = contexts(s, ends, length, gram)
+                    anchor, whole, start, windows, place, more = contexts(s, ends, length, gram)
                     text = np.searchsorted(ends, start, "right")
                     within = start - (ends - np.diff(ends, prepend=0))[text] + at[text]
                     own = pa.array(which[text])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), part.column(0).take(own), part.column(1).take(own), pa.array(within), pa.array(windows.astype(np.int32)), pa.array(place.astype(np.int32))], ["anchor", "whole", "id_", "text_hash_", "start", "windows", "at"])
+                    numbers = [pa.array(x.astype(np.int32)) for x in (windows, place, more)]
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(whole[:, 0]), pa.array(whole[:, 1]), part.column(0).take(own), part.column(1).take(own), pa.array(within), *numbers], ["anchor", "w1", "w2", "id_", "text_hash_", "start", "windows", "at", "more"])
 
-    found = rows.where(F.octet_length("text_") >= least).mapInArrow(find, "anchor long, whole long, id_ long, text_hash_ long, start long, windows int, at int")
+    found = rows.where(F.octet_length("text_") >= least).mapInArrow(find, "anchor long, w1 long, w2 long, id_ long, text_hash_ long, start long, windows int, at int, more int")
     found = ws.table(found, "contexts")
-    repeated = found.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor")
+    times = F.sum(F.lit(1).cast("long") + F.col("more"))
+    repeated = found.groupBy("anchor").agg(times.alias("places")).where("places > 1").select("anchor")
     kept = ws.table(many_to_one(found, repeated, ["anchor"]), "repeated")
     ws.drop("contexts")
-    kinds = ws.table(kept.groupBy("anchor", "whole").agg(F.count("*").alias("places"), F.min(F.struct("id_", "text_hash_", "start", "windows", "at")).alias("one")).select("anchor", "whole", "places", "one.*"), "kinds")
-    variants = kinds.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1")
-    mixed = kinds.select("anchor", "whole", "id_", "text_hash_", "start", "windows", "at").join(variants, "anchor")
-    by_doc = mixed.groupBy("id_", "text_hash_").agg(F.collect_list(F.struct("anchor", "whole", "start", "windows", "at")).alias("wanted"))
+    kinds = ws.table(kept.groupBy(*KEYS).agg(times.alias("places"), F.min(F.struct("id_", "text_hash_", "start", "windows", "at")).alias("one")).select(*KEYS, "places", "one.*"), "kinds")
+    variants = kinds.groupBy("anchor").agg(F.count("*").alias("variants")).where("variants > 1").select("anchor")
+    mixed_ = many_to_one(kinds.select(*KEYS, "id_", "text_hash_", "start", "windows", "at"), variants, ["anchor"])
+    by_doc = mixed_.groupBy("id_", "text_hash_").agg(F.collect_list(F.struct(*KEYS, "start", "windows", "at")).alias("wanted"))
     wanted = rows.join(by_doc.withColumnRenamed("id_", "id_2").withColumnRenamed("text_hash_", "hash_2"), F.col("id_").eqNullSafe(F.col("id_2")) & (F.col("text_hash_") == F.col("hash_2")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,54 +228,67 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
                     data = symbols(text, words)
                     for x in many:
                         own = data[x["start"] : x["start"] + x["windows"] + length - 1].tobytes()
-                        out.append((x["anchor"], x["whole"], x["windows"], own, quarters(own, x["at"] * unit, length * unit, gram * unit)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["anchor", "whole", "windows", "bytes", "quarters"])
-
-    cut = ws.table(wanted.select("text_", "wanted").mapInArrow(read, "anchor long, whole long, windows int, bytes binary, quarters array<long>"), "cut")
-    each = cut.select("anchor", "whole", F.posexplode("quarters").alias("j", "quarter")).where("quarter IS NOT NULL")
-    again = each.groupBy("anchor", "j", "quarter").agg(F.count("*").alias("sharing")).where("sharing > 1")
-    alive = many_to_one(each, again, ["anchor", "j", "quarter"]).select("anchor", "whole").distinct()
+                        out.append((x["anchor"], x["w1"], x["w2"], x["windows"], own, quarters(own, x["at"] * unit, length * unit, gram * unit)))
+                yield _batch(out, "anchor w1 w2 windows bytes quarters", *(pa.int64(),) * 3, pa.int32(), pa.binary(), pa.list_(pa.binary()))
+
+    cut = wanted.select("text_", "wanted").mapInArrow(read, "anchor long, w1 long, w2 long, windows int, bytes binary, quarters array<binary>")
+    cut = ws.table(cut.dropDuplicates(KEYS), "cut")  # repeated rows bring the same context again
+    each = cut.select(*KEYS, F.explode("quarters").alias("quarter")).where("quarter IS NOT NULL")
+    again = each.groupBy("anchor", "quarter").agg(F.count("*").alias("sharing")).where("sharing > 1")
+    shared = ws.table(many_to_one(each, again, ["anchor", "quarter"]), "shared")
+    alive = shared.select(*KEYS).distinct()
     size_of = alive.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded"))
     alive = ws.table(many_to_one(alive, size_of, ["anchor"]), "alive")
-    cut = ws.table(cut.join(alive, ["anchor", "whole"]).drop("quarters"), "chosen")
+    cut = ws.table(cut.join(alive, list(KEYS)).drop("quarters"), "chosen")
     ws.drop("cut")
     size, crowded = cut.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)), F.coalesce(F.bool_or("crowded"), F.lit(False))).first()
     shards = max(1, -(-size // shard_bytes))
 
     def sort(table: pa.Table) -> pa.Table:
-        anchor, whole = (table.column(c).to_pylist() for c in ("anchor", "whole"))
-        runs = shard_hits(table.column("bytes").to_pylist(), table.column("windows").to_pylist(), length)
-        out = [(a, b, x, y) for a, b, own in zip(anchor, whole, runs, strict=True) for x, y in own]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((),) * 4, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["anchor", "whole", "a", "b"])
+        # A context can come with more than one of its strings; it is no repeat of itself.
+        one = {key: k for k, key in enumerate(zip(*(table.column(c).to_pylist() for c in KEYS), strict=True))}
+        keys, table = list(one), table.take(list(one.values()))
+        runs = shard_hits(table.column("bytes").to_pylist(), table.column("windows").to_pylist(), length, unit)
+        return pa.Table.from_batches([_batch([(*key, x, y) for key, own in zip(keys, runs, strict=True) for x, y in own], "anchor w1 w2 a b", *(pa.int64(),) * 3, *(pa.int32(),) * 2)])
 
-    dealt = cut.where("NOT crowded").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int")).select("shard", "anchor", "whole", "windows", "bytes")
-    hits = dealt.groupBy("shard").applyInArrow(sort, "anchor long, whole long, a int, b int")
+    def sorted_(dealt: DataFrame, by: tuple[str, ...], n: int) -> DataFrame:
+        dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")).select("shard", *KEYS, "windows", "bytes")
+        return dealt.groupBy("shard").applyInArrow(sort, "anchor long, w1 long, w2 long, a int, b int")
+
+    hits = sorted_(cut.where("NOT crowded"), ("anchor",), shards)
     if crowded:
-        hits = hits.unionByName(_crowded_hits(cut.where("crowded"), length, words))
-    everywhere = kinds.where("places > 1").select("anchor", "whole", F.lit(0).alias("a"), F.col("windows").alias("b"))
-    runs = hits.unionByName(everywhere).groupBy("anchor", "whole").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+        tight = cut.where("crowded").drop("crowded")
+        groups = shared.join(alive.where("crowded").select(*KEYS), list(KEYS), "left_semi")
+        few = groups.where(F.col("sharing") <= crowd).select(*KEYS, "quarter").join(tight, list(KEYS))
+        many = tight.join(groups.where(F.col("sharing") > crowd).select(*KEYS).distinct(), list(KEYS), "left_semi")
+        hits = hits.unionByName(sorted_(few, ("anchor", "quarter"), 4 * shards)).unionByName(_counted(many, length, unit))
+    everywhere = kinds.where("places > 1").select(*KEYS, F.lit(0).alias("a"), F.col("windows").alias("b"))
+    runs = hits.unionByName(everywhere).groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     runs = ws.table(runs, "runs")
-    ws.drop("chosen")
-    there = many_to_one(kept, runs, ["anchor", "whole"]).select("id_", "text_hash_", F.explode(F.transform("runs", lambda r: F.struct((F.col("start") + r["a"]).alias("from_"), (F.col("start") + r["b"] + F.lit(length - 1)).alias("to_")))).alias("span"))
+    for name in ("chosen", "shared", "alive"):
+        ws.drop(name)
+    start = F.col("start")
+    span = lambda r: F.struct((start + r["a"]).alias("from_"), (start + F.col("more").cast("long") * F.col("windows") + r["b"] + F.lit(length - 1)).alias("to_"))
+    there = many_to_one(kept, runs, list(KEYS)).select("id_", "text_hash_", F.explode(F.transform("runs", span)).alias("span"))
     spans = ws.table(there.groupBy("id_", "text_hash_").agg(F.collect_set("span").alias("spans_")), "spans")
-    for name in ("repeated", "kinds", "alive", "runs"):
+    for name in ("repeated", "kinds", "runs"):
         ws.drop(name)
     return spans
 
 
-def _crowded_hits(cut: DataFrame, length: int, words: bool = False) -> DataFrame:
-    """The same as shard_hits for anchors with too many contexts for a shard: windows are counted by two unrelated 64-bit hashes."""
+def _counted(cut: DataFrame, length: int, unit: int) -> DataFrame:
+    """The same as shard_hits for contexts of which too many share a string around their anchor: windows are counted by 128 bits of BLAKE2b."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, whole, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s, at = np.frombuffer(data, np.uint64 if words else np.uint8), np.arange(many)
-                one, two = (Hashes(s, which)(at, at + length, 2).view(np.int64) for which in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(many, anchor)), pa.array(np.full(many, whole)), pa.array(at.astype(np.int32)), pa.array(one), pa.array(two)], ["anchor", "whole", "a", "one", "two"])
-
-    each = cut.select("anchor", "whole", "windows", "bytes").mapInArrow(windows, "anchor long, whole long, a int, one long, two long")
-    again = each.groupBy("one", "two").agg(F.count("*").alias("places")).where("places > 1")
-    return many_to_one(each, again, ["one", "two"]).select("anchor", "whole", "a", (F.col("a") + 1).alias("b"))
+            for *key, many, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.arange(many)
+                own = digests(memoryview(data), at * unit, (at + length) * unit)
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(many, x)) for x in key], pa.array(at.astype(np.int32)), pa.array(own[:, 0]), pa.array(own[:, 1])], ["anchor", "w1", "w2", "a", "one", "two"])
+
+    each = cut.select(*KEYS, "windows", "bytes").mapInArrow(windows, "anchor long, w1 long, w2 long, a int, one long, two long")
+    again = each.groupBy("one", "two").agg(F.count("*").alias("places")).where("places > 1").select("one", "two")
+    return many_to_one(each, again, ["one", "two"]).select(*KEYS, "a", (F.col("a") + 1).alias("b"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

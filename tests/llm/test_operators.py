@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import binary, counts, mixing, neardup, packing, quality, repeats, sharding, topk, warc
+from quillon.llm import binary, counts, hashing, mixing, neardup, packing, quality, repeats, sharding, topk, warc
 from quillon.llm.common import Workspace
 from quillon.llm.suffixes import common_prefixes, suffix_array
 from quillon.llm.tokens import Encoder, tokenizer_path
@@ -138,10 +138,45 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     assert Counter(r.text for r in got) == want and all(" ".join(just[:40]) not in r.text for r in got)
 
 
-def test_crowded_hashes_are_unrelated():
-    s = np.frombuffer(b"ab" * 50, np.uint8)
-    one, two = (repeats.Hashes(s, which) for which in (0, 1))
-    assert not np.intersect1d(one.sums[1:], two.sums[1:]).size and not np.intersect1d(one.down[1:99], two.down[1:99]).size
+def thue_morse(k, pair="$5"):
+    return "".join(pair[bin(i).count("1") & 1] for i in range(1 << k))
+
+
+def removed_by_brute_force(texts, length=400):
+    data, seen, want = [(t or "").encode() for t in texts], Counter(), []
+    for b in data:
+        seen.update(b[k : k + length] for k in range(len(b) - length + 1))
+    for b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if seen[b[k : k + length]] > 1:
+                gone[k : k + length] = b"\1" * length
+        want.append(bytes(x for x, g in zip(b, gone) if not g))
+    return want
+
+
+@pytest.mark.parametrize("crowd", [4096, 3])
+def test_regular_texts(spark, crowd):
+    """Strings on which polynomial hashes collide, periodic texts, and a frequent passage that is just too short."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    flip = str.maketrans("$5", "5$")
+    one, middle, long_one = thue_morse(8), letters(128), thue_morse(10)
+    texts = [one + middle + one.translate(flip), one.translate(flip) + middle + one, long_one + letters(200), long_one.translate(flip) + letters(200)]
+    texts += ["x" * 900, "ab" * 700, letters(300) + "y" * 399, letters(100) + "abc" * 200 + letters(50), "z" * 300_000]
+    nearly = letters(390)
+    texts += [letters(60) + nearly + letters(60) for _ in range(12)] + [letters(30) + nearly + "k" * 12 + letters(9) for _ in range(5)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in repeats.remove_repeats(spark, docs, with_text=True, crowd=crowd).collect()}
+    for k, rest in enumerate(removed_by_brute_force(texts)):
+        assert got[k].kept_text == rest.decode() and got[k].n_removed == len(texts[k]) - len(rest), k
+
+
+def test_word_codes():
+    words = [b"a", b"b", b"ab", b"abcdefgh", b"abcdefghi", b"abcdefgh\0", b"a" * 64, b"a" * 65, b"a" * 70, thue_morse(11).encode(), thue_morse(11, "5$").encode()]
+    s = np.frombuffer(b" ".join(words) + b"\n" + b"  ".join(words), np.uint8)
+    codes = hashing.word_codes(s, *hashing.word_places(s))
+    assert (codes[: len(words)] == codes[len(words) :]).all() and len(set(codes.tolist())) == len(words)
 
 
 def test_suffix_arrays():
