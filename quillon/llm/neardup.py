@@ -11,7 +11,8 @@
    signature, for bridges between components that sizes and signatures allow; only those that join something new
    leave the task. Components that bridges hold together form a family, and inside a family every pair that crosses
    components and may reach the threshold is compared on full sets, until it is joined otherwise. A bucket or family
-   of more than BLOCK members is searched in blocks against blocks, so that no task holds it all. No pair is capped away.
+   of more than BLOCK members, or BLOCK_BYTES of sets, is searched in blocks against blocks, so that no task holds it
+   all. No pair is capped away.
 5. Components over all confirmed links.
 
 Defined cases: a document with fewer words than a shingle has its whole word sequence as one shingle; one without words
@@ -30,15 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, many_to_one
-from .components import components
+from .components import FEW, components
 from .hashing import mixed, word_codes
 from .tokens import parts_of
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 26, 5
 BINS = BANDS * ROWS
-#: Pairs are confirmed on full sets if their signatures agree in this share of bins at least: over four standard deviations below the threshold.
-DEVIATIONS, BLOCK = 4.2, 1024
+#: Pairs are compared on full sets unless their signatures agree in fewer bins than this many standard deviations below the threshold.
+DEVIATIONS = 5.0
+#: Members of a block and bytes of their sets; of one centre a quarter of BLOCK partners are compared in a task.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 _rng = np.random.default_rng(20240607)
 _WALK = np.stack([_rng.permutation(BINS) for _ in range(BINS)])
@@ -114,29 +117,31 @@ def features(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(measure, "uid long, id_ long, hash_ long, n long, d1 long, d2 long, bands array<long>, marks binary")
 
 
-def least_agreement(percent: int) -> int:
-    """Bins in which signatures agree at least, but for a chance of about one in a hundred thousand, at this similarity."""
+def least_agreement(percent: int, n: np.ndarray) -> np.ndarray:
+    """Bins in which signatures of sets at the threshold agree at least, the smaller with n members.
+
+    Bins of a small set that borrow from the same member agree or differ together, so the deviation has a part in 1/n.
+    """
     p = percent / 100
-    return int(BINS * max(0.0, p - DEVIATIONS * (p * (1 - p) / BINS) ** 0.5))
+    return (BINS * np.maximum(0.0, p - DEVIATIONS * np.sqrt(p * (1 - p) * (1 / BINS + 2 / np.maximum(n, 1))))).astype(np.int64)
 
 
 def _may_link(stars: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that neither sizes nor signatures rule out."""
-    agree = least_agreement(percent)
     one = reps.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("m_a"))
     two = reps.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("marks").alias("m_b"))
-    pairs = many_to_one(stars, one, ["a"]).join(two, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "m_a", "m_b")
+    pairs = many_to_one(stars, one, ["a"]).join(two, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", F.least("n_a", "n_b").alias("n"), "m_a", "m_b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (2, 3)]
-            yield batch.select(["a", "b"]).filter(pa.array((m[0] == m[1]).sum(axis=1) >= agree))
+            m = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, BINS) for k in (3, 4)]
+            yield batch.select(["a", "b"]).filter(pa.array((m[0] == m[1]).sum(axis=1) >= least_agreement(percent, batch.column(2).to_numpy())))
 
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, partners: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold. A centre's set goes to a task for each `partners` of its partners."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,9 +152,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / partners).cast("int").alias("tasks"))
+    dealt = many_to_one(pairs, tasks, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), "tasks").cast("int").alias("task"))
     b = sets.select(F.col("cid").alias("b"), F.col("own").alias("s_b"))
-    a = sets.select(F.col("cid").alias("a"), F.col("own").alias("s_a"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long")
+    a = sets.join(tasks, F.col("cid") == F.col("a")).select("a", F.explode(F.expr("sequence(0, tasks - 1)")).alias("task"), F.col("own").alias("s_a"))
+    return dealt.join(b, "b").join(a, ["a", "task"]).select("a", "b", "s_a", "s_b").mapInArrow(check, "a long, b long")
 
 
 class _Union:
@@ -163,23 +170,24 @@ class _Union:
         self.root[self.root == two] = one
 
 
-def _cells(rows: pa.Table | list[dict], percent: int, agree: int, confirm: bool) -> Iterator[tuple[int, int]]:
+def _cells(rows: pa.Table, percent: int, confirm: bool) -> Iterator[tuple[int, int]]:
     """Links of a cell that join components: candidates by size and signature or, with `confirm`, those whose full sets reach the threshold.
 
     A pair within what is joined already says nothing new, so a cell gives fewer links than it has members.
     """
-    cid, n, block = (np.array([x[c] for x in rows]) for c in ("cid", "n", "block"))
-    union = _Union(np.array([x["comp"] for x in rows]))
-    marks = np.frombuffer(b"".join(x["marks"] for x in rows), np.uint8).reshape(-1, BINS)
-    sets = [np.frombuffer(x["own"], np.uint64) for x in rows] if confirm else []
-    within = rows[0]["i"] == rows[0]["j"]
-    for x in range(len(rows)):
-        y = np.arange(x + 1, len(rows))
+    cid, n, block, comp = (rows.column(c).to_numpy() for c in ("cid", "n", "block", "comp"))
+    union = _Union(comp)
+    marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), np.uint8).reshape(-1, BINS)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("own")] if confirm else []
+    within = rows.column("i")[0] == rows.column("j")[0]
+    for x in range(len(n)):
+        y = np.arange(x + 1, len(n))
         y = y[(union.root[y] != union.root[x]) & (within | (block[y] != block[x])) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
         if not len(y):
             continue
         same = (marks[y] == marks[x]).sum(axis=1)
-        for k in y[np.argsort(-same, kind="stable")][: (same >= agree).sum()]:
+        may = same >= least_agreement(percent, np.minimum(n[y], n[x]))
+        for k in y[may][np.argsort(-same[may], kind="stable")]:
             if union.root[k] != union.root[x]:
                 if confirm:
                     both = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
@@ -191,49 +199,51 @@ def _cells(rows: pa.Table | list[dict], percent: int, agree: int, confirm: bool)
 
 def _joining(members: DataFrame, at: list[str], percent: int, confirm: bool) -> DataFrame:
     """Links (a, b) of members(*at, i, j, block, cid, comp, n, marks[, own]), cell by cell."""
-    agree = least_agreement(percent)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        key = lambda x: tuple(x[c] for c in [*at, "i", "j"])
+        held: list[pa.RecordBatch] = []
 
         def found() -> pa.RecordBatch:
-            links = list(_cells(held, percent, agree, confirm))
+            links = list(_cells(pa.Table.from_batches(held), percent, confirm))
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+        last = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and key(held[0]) != key(row):
+            keys = list(zip(*(batch.column(c).to_pylist() for c in [*at, "i", "j"]), strict=True))
+            borders = [k for k in range(len(keys)) if keys[k] != (keys[k - 1] if k else last)]
+            new = set(borders)
+            for a, b in zip([0, *borders], [*borders, len(keys)], strict=True):
+                if a in new and held:
                     yield found()
                     held = []
-                held.append(row)
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+            last = keys[-1] if keys else last
         if held:
             yield found()
 
     return members.repartition(*at, "i", "j").sortWithinPartitions(*at, "i", "j").mapInArrow(search, "a long, b long").distinct()
 
 
-def _in_blocks(members: DataFrame, size: str, block: int) -> DataFrame:
-    """Each member in the cells (i, j) of its block with every other: one cell where there are up to `block` members."""
-    parts = f"cast(ceil({size} / {block}) AS int)"
+def _in_blocks(members: DataFrame, parts: str) -> DataFrame:
+    """Each member in the cells (i, j) of its block with every other; parts: how many blocks its bucket or family has."""
     dealt = members.withColumn("block", F.expr(f"cast(pmod(xxhash64(cid), {parts}) AS int)")).withColumn("other", F.explode(F.expr(f"sequence(0, {parts} - 1)")))
-    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", size)
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", parts)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, few: int = FEW) -> DataFrame:
     """(uid, id_, hash_, n, component_id): one row per document. hash_ is xxhash64 of the text, with null as empty."""
     ws = Workspace(spark, "neardup")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.xxhash64(text).alias("hash_"), text.alias("text_"))
     found = ws.table(features(rows, words), "features")
     classes = ws.table(found.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("cid"), F.min("id_").alias("low")), "classes")
-    reps = ws.table(found.join(classes.select(F.col("cid").alias("uid"), "low"), "uid").select(F.col("uid").alias("cid"), "id_", "hash_", "n", "bands", "marks"), "reps")
+    reps = ws.table(found.join(classes.select(F.col("cid").alias("uid")), "uid").select(F.col("uid").alias("cid"), "id_", "hash_", "n", "bands", "marks"), "reps")
     places = reps.select("cid", F.posexplode("bands").alias("band", "key"))
     sizes = places.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1")
     members = ws.table(many_to_one(places, sizes, ["band", "key"]), "members")
     shared = members.groupBy("cid").agg(F.sum("c").alias("shared"))
-    voted = members.join(shared, "cid")
-    centres = voted.groupBy("band", "key").agg((-F.max(F.struct("shared", (-F.col("cid")).alias("less")))["less"]).alias("centre"))
+    centres = members.join(shared, "cid").groupBy("band", "key").agg((-F.max(F.struct("shared", (-F.col("cid")).alias("less")))["less"]).alias("centre"))
     stars = many_to_one(members.select("band", "key", "cid"), centres, ["band", "key"]).where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
     first = ws.table(_may_link(stars, reps, percent), "first")
 
@@ -246,24 +256,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     texts = rows.join(wanted, F.col("id_").eqNullSafe(F.col("id_2")) & (F.col("hash_") == F.col("hash_2"))).select("cid", "text_")
     # Repeated rows would give a set twice; one is as good as the other.
     sets = ws.table(texts.mapInArrow(read, "cid long, own binary"), "sets").dropDuplicates(["cid"])
-    links = ws.table(_confirmed(first, sets, percent), "links1")
-    near = components(ws, links, "near")
-    labelled = ws.table(many_to_one(members.select("band", "key", "cid", "c"), near.withColumnRenamed("node", "cid"), ["cid"], "left").withColumn("comp", F.coalesce("comp", "cid")), "labelled")
-    open_ = labelled.groupBy("band", "key").agg(F.min("comp").alias("one"), F.max("comp").alias("two")).where("one <> two").select("band", "key")
-    inner = many_to_one(labelled, open_, ["band", "key"]).join(reps.select("cid", "n", "marks"), "cid")
-    bridges = ws.table(_joining(_in_blocks(inner, "c", block), ["band", "key"], percent, False), "bridges")
-    # What the bridges hold together is a family: two components that may have a link are in the same one.
-    groups = near.select(F.col("comp").alias("a"), F.col("node").alias("b")).where("a <> b").unionByName(bridges)
-    family = components(ws, groups, "family").withColumnRenamed("comp", "family").withColumnRenamed("node", "cid")
-    known = many_to_one(family, near.withColumnRenamed("node", "cid"), ["cid"], "left").withColumn("comp", F.coalesce("comp", "cid"))
-    known = ws.table(known, "families")
-    apart = known.groupBy("family").agg(F.count("*").alias("c"), F.min("comp").alias("one"), F.max("comp").alias("two")).where("one <> two").select("family", "c")
-    inner = many_to_one(known, apart, ["family"]).join(reps.select("cid", "n", "marks"), "cid").join(sets, "cid")
-    more = _joining(_in_blocks(inner, "c", block), ["family"], percent, True)
-    whole = components(ws, ws.table(links.unionByName(more), "links2"), "whole")
-    named = classes.join(whole.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    links = ws.table(_confirmed(first, sets, percent, max(1, block // 4)), "links1")
+    near = components(ws, links, "near", few)
+    comp = F.coalesce("comp", "cid")
+    labelled = ws.table(many_to_one(members, near.withColumnRenamed("node", "cid"), ["cid"], "left").withColumn("comp", comp), "labelled")
+    open_ = labelled.groupBy("band", "key").agg(F.min("comp").alias("one"), F.max("comp").alias("two"), F.ceil(F.count("*") / block).cast("int").alias("parts")).where("one <> two").select("band", "key", "parts")
+    inner = many_to_one(labelled.drop("c"), open_, ["band", "key"]).join(reps.select("cid", "n", "marks"), "cid")
+    bridges = ws.table(_joining(_in_blocks(inner, "parts"), ["band", "key"], percent, False), "bridges")
+    whole = near
+    if not bridges.isEmpty():
+        # What the bridges hold together is a family: two components that may have a link are in the same one.
+        groups = near.select(F.col("comp").alias("a"), F.col("node").alias("b")).where("a <> b").unionByName(bridges)
+        family = components(ws, groups, "family", few).withColumnRenamed("comp", "family").withColumnRenamed("node", "cid")
+        known = many_to_one(family, near.withColumnRenamed("node", "cid"), ["cid"], "left").withColumn("comp", comp)
+        known = ws.table(known.join(reps.select("cid", "n", "marks"), "cid"), "families")
+        parts = F.ceil(F.greatest(F.count("*") / block, 8 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("parts")
+        apart = known.groupBy("family").agg(F.min("comp").alias("one"), F.max("comp").alias("two"), parts).where("one <> two").select("family", "parts")
+        inner = many_to_one(known, apart, ["family"]).join(sets, "cid")
+        more = ws.table(_joining(_in_blocks(inner, "parts"), ["family"], percent, True), "more")
+        if not more.isEmpty():
+            whole = components(ws, links.unionByName(more), "whole", few)
+    named = ws.table(classes.join(whole.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", comp).select("d1", "d2", "comp", "low"), "named")
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    names = ws.table(many_to_one(named.select("d1", "d2", "comp"), lows, ["comp"]).select("d1", "d2", "component_id"), "names")
+    names = many_to_one(named.select("d1", "d2", "comp"), lows, ["comp"]).select("d1", "d2", "component_id")
     out = many_to_one(found.select("uid", "id_", "hash_", "n", "d1", "d2"), names, ["d1", "d2"], "left")
     return out.select("uid", "id_", "hash_", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id_")).alias("component_id"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import binary, counts, hashing, mixing, neardup, packing, quality, repeats, sharding, topk, warc
 from quillon.llm.common import Workspace
+from quillon.llm.components import components as union_of
 from quillon.llm.suffixes import common_prefixes, suffix_array
 from quillon.llm.tokens import Encoder, tokenizer_path
 
@@ -277,12 +278,33 @@ def components(rows, percent):
 
 @pytest.mark.parametrize("percent, block", [(85, 1024), (80, 8)])
 def test_near_duplicates(spark, docs, rows, none, percent, block):
-    got = neardup.near_duplicates(spark, docs, percent, block=block).collect()
+    got = neardup.near_duplicates(spark, docs, percent, block=block, few=block - 8).collect()
     assert bag(got, "id_", "n", "component_id") == components(rows, percent)
     if block == 8:
         assert neardup.near_duplicates(spark, none).count() == 0
 
 
+def test_signatures_keep_pairs_at_the_threshold():
+    """No pair of small sets at 85 of 100 is ruled out by its signatures, or misses all buckets."""
+    rng = np.random.default_rng(2)
+    for inter, union in ((6, 7), (17, 20), (34, 40), (170, 200)):
+        for _ in range(2000):
+            u = rng.integers(0, 1 << 63, union, np.uint64) * np.uint64(2)
+            h = (union - inter) // 2
+            a, b = np.sort(u[: inter + h]), np.sort(np.concatenate([u[:inter], u[inter + h :]]))
+            same = neardup.signature(a) == neardup.signature(b)
+            assert same.sum() >= neardup.least_agreement(85, np.array([min(len(a), len(b))]))[0]
+            assert same.reshape(neardup.BANDS, neardup.ROWS).all(axis=1).any()
+
+
+def test_components_by_rounds_and_in_one_task(spark):
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 560)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    one, two = (Counter(map(tuple, union_of(Workspace(spark, "test"), df, "x", few).collect())) for few in (10**6, 0))
+    assert one == two and one[160, 100] == one[559, 500] == 1 and not any(node == 7 for node, _ in one)
+
+
 def test_representatives(spark, docs, rows):
     got = neardup.representatives(spark, docs, 80)
     assert got.columns == docs.columns
