@@ -4,8 +4,10 @@ The documents' ids are laid end to end and cut into sequences of `length` ids. A
 cycle-walking gives every sequence its global slot: a shuffle of the whole corpus that needs no sort by random keys,
 can be computed forwards and backwards for any sequence alone, and is the same in every run. Ranges of slots are
 shards. A shard file has one record of `length` ids for each slot, so the record of a slot stands at a known byte,
-and training can start at any slot and read on. A shard that is already there in full size is kept, so that a broken
-write goes on where it stopped; files appear under their name only when they are complete.
+and training can start at any slot and read on. The shards stand in a folder named by a fingerprint of all ids, their
+order and the parameters. A shard that is already there in full size is kept, so that a broken write of the same
+sequences goes on where it stopped; files appear under their name only when they are complete. A task of the last
+shuffle writes a run of neighbouring shards of up to TASK_BYTES.
 
 Defined cases: null and empty texts are the end id alone; the last sequence is filled up with the end id; repeated rows and
 null ids are documents like any other; an empty table gives no files; other columns are not read.
@@ -13,6 +15,7 @@ null ids are documents like any other; an empty table gives no files; other colu
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +31,7 @@ from .packing import wide_ids
 from .tokens import cut, in_table_order, token_table, tokenizer_path
 
 LENGTH, END_ID, PER_SHARD, KEY, ROUNDS = 1024, 0, 1024, 0x5EED, 6
+TASK_BYTES = 256 << 20
 
 
 def _round(x: np.ndarray, key: int, k: int) -> np.ndarray:
@@ -60,13 +64,19 @@ def permuted(x: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np.nd
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, target: str, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, per_shard: int = PER_SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
-    """Writes target/shard-*.bin; returns (shard, file, records) of the files, the number of sequences and the bytes of an id."""
+    """Writes target/<fingerprint>/shard-*.bin; returns (shard, file, records) of the files, the number of sequences and the bytes of an id."""
     ws = Workspace(spark, "binary")
     path = path or tokenizer_path()
     width = 4 if wide_ids(path) else 2
-    table = ws.table(token_table(spark, docs, path, end_id, None, id_col, text_col), "tokens", "zstd")
-    total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # The table is as large as the shards and lies beside them for a while, so it is compressed harder than others.
+    options = {"parquet.compression.codec.zstd.level": 9, "parquet.page.size": 4 << 20}
+    table = ws.table(token_table(spark, docs, path, end_id, None, id_col, text_col), "tokens", "zstd", **options)
+    total, mark = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.xxhash64("uid", "doc_id", "n", "ids").cast("decimal(38,0)")), F.lit(0))).first()
     n = -(-total // length)
+    print_ = hashlib.blake2b(repr((total, int(mark), width, length, end_id, per_shard, key)).encode(), digest_size=8).hexdigest()
+    target = f"{target}/{print_}"
+    shards = max(1, -(-n // per_shard))
+    in_task = max(1, min(TASK_BYTES // (per_shard * length * width), -(-shards // (4 * spark.sparkContext.defaultParallelism))))
     pieces = cut(in_table_order(ws, table), length, width == 4, True).select("sequence_id", "offset", "ids")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +85,8 @@ def write_shards(spark: SparkSession, docs: DataFrame, target: str, path: str |
             yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), *batch.columns[1:]], ["shard", "slot", "offset", "ids"])
 
     dealt = pieces.mapInArrow(slots, "shard long, slot long, offset long, ids binary")
-    # A shard is a range of slots and a partition; its number says which, so that no sample of the rows is needed.
-    dealt = dealt.repartitionById(max(1, -(-n // per_shard)), F.col("shard").cast("int")).sortWithinPartitions("slot", "offset")
+    # A shard is a range of slots, and a run of shards a partition; the number says which, so that no sample of the rows is needed.
+    dealt = dealt.repartitionById(-(-shards // in_task), F.expr(f"cast(shard div {in_task} AS int)")).sortWithinPartitions("slot", "offset")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = np.asarray([end_id], f"<u{width}").tobytes()

@@ -47,8 +47,8 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex[:12]}"
 
-    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(f"{self.path}/{name}")
+    def table(self, df: DataFrame, name: str, compression: str = "snappy", **options: str | int) -> DataFrame:
+        df.write.mode("overwrite").options(compression=compression, **options).parquet(f"{self.path}/{name}")
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:

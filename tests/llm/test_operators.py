@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small tables with every awkward case."""
 
+import base64
 import hashlib
 import random
 import re
@@ -367,6 +368,40 @@ def test_shards_resume(spark, docs, tmp_path):
     assert sorted(r.slot for r in late) == list(range(10, n))
 
 
+def test_shards_of_changed_input_are_written_anew(spark, tmp_path):
+    where = str(tmp_path / "s")
+    make = lambda last: spark.createDataFrame([(k, f"text {k} of some words") for k in range(40)] + [(40, last)], "doc_id long, text string")
+    read = lambda docs, **more: [tuple(r) for r in binary.read_shards(*binary.write_shards(spark, docs, where, per_shard=3, length=16, **more), 16, 3, **more).orderBy("slot").collect()]
+    one, two, other_key = read(make("one end")), read(make("two end")), read(make("one end"), key=7)
+    assert len(one) == len(two) == len(other_key) and one != two and one != other_key
+    assert {r[2]: r[4] for r in one} == {r[2]: r[4] for r in other_key} and read(make("one end")) == one
+
+
+def longest_match(word, first, rest):
+    """Greedy word pieces by trying every length; -1 if they don't cover the word."""
+    data, at, n = b" " + word, 0, 0
+    while at < len(data):
+        size = next((k for k in range(len(data) - at, 0, -1) if data[at : at + k] in (rest if at else first)), 0)
+        if not size:
+            return -1
+        at, n = at + size, n + 1
+    return n
+
+
+def test_token_counts_equal_longest_match(spark, docs, rows, tmp_path):
+    small = [b" ", b" a", b" ab", b"b", b"bc", b"cde", b"d", b"e", b" the", b"re", b"a", b"aa", b"aab"]
+    (tmp_path / "v").write_bytes(b"\n".join(base64.b64encode(x) + b" %d" % k for k, x in enumerate(small)))
+    own = [(k, t) for k, t in enumerate(["abcde there aab aaaab abx  bcde", "\u00e9 a\u00a0b", "x" * 3000, "aab" * 900, "a\x0bb\fc"])]
+    for path, frame, texts in ((str(tmp_path / "v"), spark.createDataFrame(own, "doc_id long, text string"), own), (counts.vocabulary_path(), docs, [(i, t) for i, t, _ in rows])):
+        pieces = [base64.b64decode(line.split()[0]) for line in open(path, "rb") if line.strip()]
+        first, rest = {x for x in pieces if x[:1] == b" "}, {x for x in pieces if x[:1] != b" "}
+        want = Counter()
+        for i, t in texts:
+            n = [longest_match(w, first, rest) for w in (t or "").encode().split()]
+            want[i, len((t or "").encode()), len(n), sum(x if x >= 0 else 1 for x in n), n.count(-1)] += 1
+        assert bag(counts.token_counts(spark, frame, path).collect(), "doc_id", "n_bytes", "n_words", "n_tokens", "n_unknown") == want
+
+
 def test_token_counts(spark, docs, rows, none):
     machine = counts.Automaton([b" ab", b" a", b" "], [b"a", b"b", b"bb", b"abc"])
     assert [machine.count(w) for w in (b" ab", b" abc", b" abbb", b" q", b" aabc")] == [1, -1, 2, -1, 2]
