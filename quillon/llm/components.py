@@ -35,16 +35,17 @@ def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def components(ws: Workspace, edges: DataFrame, name: str, few: int = FEW) -> DataFrame:
-    """(node, comp) for every node of edges(a, b): comp is the smallest node reachable."""
-    now = ws.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0")
-    if now.count() <= few:
+    """(node, comp) for every node of edges(a, b), a written table: comp is the smallest node reachable."""
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if edges.count() <= few:
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [[c.to_numpy() for c in batch.columns] for batch in batches]
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined(*(np.concatenate(c) for c in zip(*parts, strict=True)))], ["node", "comp"])
 
-        return ws.table(now.coalesce(1).mapInArrow(join, "node long, comp long"), f"{name}1")
+        return ws.table(now.coalesce(1).mapInArrow(join, "node long, comp long"), name)
+    now = ws.table(now.distinct(), f"{name}0")
     k, last = 0, None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

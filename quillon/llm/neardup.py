@@ -237,8 +237,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id_"), F.xxhash64(text).alias("hash_"), text.alias("text_"))
     found = ws.table(features(rows, words), "features")
-    classes = ws.table(found.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("cid"), F.min("id_").alias("low")), "classes")
-    reps = ws.table(found.join(classes.select(F.col("cid").alias("uid")), "uid").select(F.col("uid").alias("cid"), "id_", "hash_", "n", "bands", "marks"), "reps")
+    classes = found.where("n > 0").groupBy("d1", "d2").agg(F.min("uid").alias("uid"), F.min("id_").alias("low"))
+    reps = ws.table(found.join(classes.select("uid", "low"), "uid").withColumnRenamed("uid", "cid"), "reps")
     places = reps.select("cid", F.posexplode("bands").alias("band", "key"))
     sizes = places.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1")
     members = ws.table(many_to_one(places, sizes, ["band", "key"]), "members")
@@ -266,7 +266,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
     whole = near
     if not bridges.isEmpty():
         # What the bridges hold together is a family: two components that may have a link are in the same one.
-        groups = near.select(F.col("comp").alias("a"), F.col("node").alias("b")).where("a <> b").unionByName(bridges)
+        groups = near.select(F.col("comp").alias("a"), F.col("node").alias("b")).unionByName(bridges)
         family = components(ws, groups, "family", few).withColumnRenamed("comp", "family").withColumnRenamed("node", "cid")
         known = many_to_one(family, near.withColumnRenamed("node", "cid"), ["cid"], "left").withColumn("comp", comp)
         known = ws.table(known.join(reps.select("cid", "n", "marks"), "cid"), "families")
@@ -276,7 +276,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
         more = ws.table(_joining(_in_blocks(inner, "parts"), ["family"], percent, True), "more")
         if not more.isEmpty():
             whole = components(ws, links.unionByName(more), "whole", few)
-    named = ws.table(classes.join(whole.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", comp).select("d1", "d2", "comp", "low"), "named")
+    named = reps.select("cid", "d1", "d2", "low").join(whole.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", comp)
     lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
     names = many_to_one(named.select("d1", "d2", "comp"), lows, ["comp"]).select("d1", "d2", "component_id")
     out = many_to_one(found.select("uid", "id_", "hash_", "n", "d1", "d2"), names, ["d1", "d2"], "left")
@@ -285,11 +285,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = PERCENT
 
 def representatives(spark: SparkSession, docs: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs, with all its columns, of each component: the one with its smallest id. Rows with an empty set stay, and so does one of rows with null ids."""
-    ws = Workspace(spark, "kept")
     found = near_duplicates(spark, docs, percent, words, id_col, text_col)
-    # Of repeated rows, and of different texts under the smallest id, the first by hash and row number stays.
+    # Of repeated rows one stays; different texts under the smallest id of their component all stay.
     kept = found.where((F.col("n") == 0) | F.col("id_").eqNullSafe(F.col("component_id")))
-    kept = ws.table(kept.select("uid", "id_", "hash_", "n", "component_id"), "kept")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{id_col}`").cast("long").alias("id_"), F.xxhash64(text).alias("hash_"))
     one = kept.groupBy("id_", "hash_").agg(F.count("*").alias("rows"), F.max("n").alias("n"))

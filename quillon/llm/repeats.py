@@ -235,12 +235,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
     cut = ws.table(cut.dropDuplicates(KEYS), "cut")  # repeated rows bring the same context again
     each = cut.select(*KEYS, F.explode("quarters").alias("quarter")).where("quarter IS NOT NULL")
     again = each.groupBy("anchor", "quarter").agg(F.count("*").alias("sharing")).where("sharing > 1")
-    shared = ws.table(many_to_one(each, again, ["anchor", "quarter"]), "shared")
+    shared = many_to_one(each, again, ["anchor", "quarter"])
     alive = shared.select(*KEYS).distinct()
     size_of = alive.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded"))
     alive = ws.table(many_to_one(alive, size_of, ["anchor"]), "alive")
     cut = ws.table(cut.join(alive, list(KEYS)).drop("quarters"), "chosen")
-    ws.drop("cut")
     size, crowded = cut.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)), F.coalesce(F.bool_or("crowded"), F.lit(False))).first()
     shards = max(1, -(-size // shard_bytes))
 
@@ -265,7 +264,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
     everywhere = kinds.where("places > 1").select(*KEYS, F.lit(0).alias("a"), F.col("windows").alias("b"))
     runs = hits.unionByName(everywhere).groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     runs = ws.table(runs, "runs")
-    for name in ("chosen", "shared", "alive"):
+    for name in ("cut", "chosen", "alive"):
         ws.drop(name)
     start = F.col("start")
     span = lambda r: F.struct((start + r["a"]).alias("from_"), (start + F.col("more").cast("long") * F.col("windows") + r["b"] + F.lit(length - 1)).alias("to_"))
