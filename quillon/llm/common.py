@@ -93,7 +93,9 @@ def many_to_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "in
     The rows of `many` carry one of `salts` numbers, each row of `one` comes once with every number.
     Columns: those of `many`, then those of `one` that are no key.
     """
-    left = many.withColumn("salt_", F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in many.columns if c not in keys] or [F.lit(0)]), F.lit(salts)).cast("int"))
+    # A map can't be hashed; any other columns tell rows of the same key apart.
+    others = [F.col(f"`{c}`") for c, kind in many.dtypes if c not in keys and "map<" not in kind and "variant" not in kind]
+    left = many.withColumn("salt_", F.pmod(F.xxhash64(*others or [F.lit(0)]), F.lit(salts)).cast("int"))
     right = one.withColumn("salt_", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     right = right.select(*[F.col(c).alias(f"{c}_right") for c in keys], F.col("salt_").alias("salt_right"), *[c for c in one.columns if c not in keys])
     at = (left["salt_"] == right["salt_right"])

@@ -235,12 +235,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
     cut = ws.table(cut.dropDuplicates(KEYS), "cut")  # repeated rows bring the same context again
     each = cut.select(*KEYS, F.explode("quarters").alias("quarter")).where("quarter IS NOT NULL")
     again = each.groupBy("anchor", "quarter").agg(F.count("*").alias("sharing")).where("sharing > 1")
-    shared = many_to_one(each, again, ["anchor", "quarter"])
-    alive = shared.select(*KEYS).distinct()
-    size_of = alive.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded"))
-    alive = ws.table(many_to_one(alive, size_of, ["anchor"]), "alive")
-    cut = ws.table(cut.join(alive, list(KEYS)).drop("quarters"), "chosen")
-    size, crowded = cut.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)), F.coalesce(F.bool_or("crowded"), F.lit(False))).first()
+    shared = ws.table(many_to_one(each, again, ["anchor", "quarter"]), "shared")
+    cut = ws.table(cut.join(shared, list(KEYS), "left_semi").drop("quarters"), "chosen")
+    ws.drop("cut")
+    packed = shared.groupBy("anchor").agg(F.count("*").alias("many")).where(F.col("many") > crowd)
+    size = cut.agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard_bytes))
 
     def sort(table: pa.Table) -> pa.Table:
@@ -254,17 +253,19 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, length: int = LENGTH, i
         dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")).select("shard", *KEYS, "windows", "bytes")
         return dealt.groupBy("shard").applyInArrow(sort, "anchor long, w1 long, w2 long, a int, b int")
 
-    hits = sorted_(cut.where("NOT crowded"), ("anchor",), shards)
-    if crowded:
-        tight = cut.where("crowded").drop("crowded")
-        groups = shared.join(alive.where("crowded").select(*KEYS), list(KEYS), "left_semi")
+    if packed.isEmpty():
+        hits = sorted_(cut, ("anchor",), shards)
+    else:
+        marked = ws.table(many_to_one(cut, packed, ["anchor"], "left"), "marked")
+        tight, groups = marked.where("many IS NOT NULL").drop("many"), many_to_one(shared, packed, ["anchor"])
         few = groups.where(F.col("sharing") <= crowd).select(*KEYS, "quarter").join(tight, list(KEYS))
-        many = tight.join(groups.where(F.col("sharing") > crowd).select(*KEYS).distinct(), list(KEYS), "left_semi")
+        many = tight.join(groups.where(F.col("sharing") > crowd), list(KEYS), "left_semi")
+        hits = sorted_(marked.where("many IS NULL"), ("anchor",), shards)
         hits = hits.unionByName(sorted_(few, ("anchor", "quarter"), 4 * shards)).unionByName(_counted(many, length, unit))
     everywhere = kinds.where("places > 1").select(*KEYS, F.lit(0).alias("a"), F.col("windows").alias("b"))
     runs = hits.unionByName(everywhere).groupBy(*KEYS).agg(F.collect_set(F.struct("a", "b")).alias("runs"))
     runs = ws.table(runs, "runs")
-    for name in ("cut", "chosen", "alive"):
+    for name in ("chosen", "shared", "marked"):
         ws.drop(name)
     start = F.col("start")
     span = lambda r: F.struct((start + r["a"]).alias("from_"), (start + F.col("more").cast("long") * F.col("windows") + r["b"] + F.lit(length - 1)).alias("to_"))
