@@ -6,7 +6,7 @@ on good and on bad documents, without labels. A document stays if its posterior
 least one half and it does not fail the base rules.
 
 Words are runs of characters other than the six ASCII spaces. A window is three words in a row; windows are compared
-by 64-bit hashes within one document (52 bits with the place in the other 12, for up to 4096 words). Every rule looks at
+by 64-bit hashes within one document, of whatever length. Every rule looks at
 the whole text; the rule of common words counts different ones, which levels off with length (at sf0.1 the median is 15
 in texts of 50 to 400 words and 22 in those of over 1,000), so its thresholds are counts for texts of any length.
 
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from .common import SPACES, WORD, Workspace
 
 LEAST_WORDS, REPEATED = 50, 50
-#: Documents of up to so many words sort their windows as plain numbers.
-SHORT = 4096
 #: Frequent function words of the corpus languages.
 COMMON_WORDS = (
     "the of and to in is that for it as with was on be by at this from or are "
@@ -58,22 +56,15 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         kept(r"[^\p{Lu}]+").alias("n_upper"),
         kept(r"[^\p{L}]+").alias("n_letters"),
         kept(r"[^!]+").alias("n_shouts"),
-        F.size(F.filter("words", lambda w: F.right(w, F.lit(1)).isin(*"#*$%&|<>"))).cast("long").alias("n_ends"),
-        F.size(F.array_intersect(F.transform("words", lambda w: F.lower(w)), F.array(*[F.lit(w) for w in dict.fromkeys(COMMON_WORDS)]))).cast("long").alias("n_common"),
+        (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>](?![^\x20\x09-\x0D])", ""))).cast("long").alias("n_ends"),
+        F.size(F.array_intersect(F.split(F.lower("t"), r"[\x20\x09-\x0D]+"), F.array(*[F.lit(w) for w in dict.fromkeys(COMMON_WORDS)]))).cast("long").alias("n_common"),
     )
-    windows = "CASE WHEN n_words < 3 THEN array() ELSE transform(sequence(0, cast(n_words AS int) - 3), i -> {}) END"
-    window = "xxhash64(words[i], words[i + 1], words[i + 2])"
-    # Equal windows become neighbours; a pair of places is packed into one number.
-    df = df.withColumns({
-        "short": F.expr("CASE WHEN n_words <= %d THEN sort_array(%s) END" % (SHORT, windows.format(f"({window} & -4096L) | cast(i AS bigint)"))),
-        "long_": F.expr("CASE WHEN n_words > %d THEN sort_array(%s) END" % (SHORT, windows.format(f"struct({window} AS h, i)"))),
-    }).drop("words")
-    df = df.withColumn("pairs", F.expr("""CASE
-        WHEN n_words <= %d THEN filter(zip_with(slice(short, 1, greatest(size(short) - 1, 0)), slice(short, 2, greatest(size(short) - 1, 0)),
-            (a, b) -> CASE WHEN shiftrightunsigned(a ^ b, 12) = 0 THEN shiftleft(a & 4095L, 32) | (b & 4095L) ELSE -1L END), p -> p >= 0)
-        ELSE filter(zip_with(slice(long_, 1, greatest(size(long_) - 1, 0)), slice(long_, 2, greatest(size(long_) - 1, 0)),
-            (a, b) -> CASE WHEN a.h = b.h THEN shiftleft(cast(a.i AS bigint), 32) | cast(b.i AS bigint) ELSE -1L END), p -> p >= 0)
-        END""" % SHORT)).drop("short", "long_")
+    df = df.withColumn("hashes", F.expr("CASE WHEN n_words < 3 THEN array() ELSE transform(sequence(0, cast(n_words AS int) - 3), i -> xxhash64(words[i], words[i + 1], words[i + 2])) END")).drop("words")
+    # Equal windows become neighbours; a pair of places is packed into one number. Most texts have none and are not sorted.
+    df = df.withColumn("windows", F.expr("CASE WHEN size(array_distinct(hashes)) < size(hashes) THEN sort_array(transform(hashes, (h, i) -> struct(h, i))) ELSE array() END")).drop("hashes")
+    after = "slice(windows, {}, greatest(size(windows) - 1, 0))"
+    df = df.withColumn("pairs", F.expr(f"""filter(zip_with({after.format(1)}, {after.format(2)},
+        (a, b) -> CASE WHEN a.h = b.h THEN shiftleft(cast(a.i AS bigint), 32) | cast(b.i AS bigint) ELSE -1L END), p -> p >= 0)""")).drop("windows")
     df = df.withColumn("places", F.expr("sort_array(array_distinct(concat(transform(pairs, p -> shiftright(p, 32)), transform(pairs, p -> p & 4294967295L))))")).drop("pairs")
     covered = "CASE WHEN size(places) = 0 THEN 0L ELSE 3L + aggregate(zip_with(slice(places, 1, size(places) - 1), slice(places, 2, size(places) - 1), (a, b) -> least(3L, b - a)), 0L, (s, x) -> s + x) END"
     return df.withColumn("n_repeat_words", F.expr(covered)).drop("places")
