@@ -36,6 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _roots[app]
 
 
+#: Rows of a batch that goes to Python, where the session doesn't set it: 10,000 whole texts, Spark's own value, can pass Arrow's 2 GB.
+BATCH_ROWS = 500
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 class Workspace:
     """Tables and files of one operator call, under the shared folder.
 
@@ -45,6 +55,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        bounded_batches(spark)
         self.path = f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex[:12]}"
 
     def table(self, df: DataFrame, name: str, compression: str = "snappy", **options: str | int) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokens import parts_of
 
 #: Words whose counts a Python worker remembers; it starts afresh when they are full.
@@ -120,6 +121,7 @@ def automaton(blob: bytes) -> Automaton:
 
 def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_words, n_tokens, n_unknown: one row per document. Unknown words are among the tokens, one each."""
+    bounded_batches(spark)
     with open(path or vocabulary_path(), "rb") as f:
         blob = spark.sparkContext.broadcast(f.read())
 
