@@ -66,8 +66,8 @@ def targets(ws: Workspace, sizes: DataFrame, weights: tuple[int, ...], most: int
 
     Each round finds the sources above their limit at the present share and shares what is left among the others.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("sid", F.row_number().over(order) - 1)
+    named = ws.table(sizes.withColumns({"null_": F.col("source").isNull().cast("int"), "one_": F.lit(1).cast("long")}), "sizes")
+    ranked = running_total(ws, named, "ranked", [], ["null_", "source"], "one_").withColumnRenamed("before", "sid").drop("null_", "one_")
     known = ws.table(ranked.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int")).cast("long")), "sources")
     total, free = known.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     left = total
@@ -82,23 +82,24 @@ def targets(ws: Workspace, sizes: DataFrame, weights: tuple[int, ...], most: int
 
 
 def plan(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block_words: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
-    """The schedule and what it needs. block_words: by default about a millionth of the corpus, from 16 to 4096."""
+    """The schedule and what it needs. block_words, of large sources: by default the 2**18th part of the corpus, from 16 to 4096."""
     ws = Workspace(spark, "mixing")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.col(id_col), text).alias("shuffled"))
     rows = ws.table(rows, "rows")
     sources, total = targets(ws, rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    words = block_words or min(4096, max(16, total >> 20))
+    words = block_words or min(4096, max(16, total >> 18))
     size, own = F.col("source_size"), F.col("block_words")
     sources = sources.withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(words), F.ceil(size / PARTS))).cast("long")).withColumn("n_blocks", F.ceil(size / own).cast("long"))
     passes = F.floor(F.col("target") / F.greatest(size, F.lit(1)))
     wanted = F.least(passes * F.col("n_blocks") + F.round((F.col("target") - passes * size) / own), F.col("n_blocks") * most).cast("long")
-    sources = sources.withColumn("wanted", wanted).withColumn("share", F.col("target") / own)
+    sources = ws.table(sources.withColumn("wanted", wanted).withColumn("share", F.col("target") / own), "shares")
     share = sources.agg(F.sum("share")).first()[0] or 1.0
-    cumulative = F.sum("share").over(Window.orderBy("sid"))
-    place = lambda c: F.floor(F.least(F.lit(1.0), c / F.lit(float(share))) * float(1 << BITS)).cast("long")
-    sources = sources.withColumn("hi", F.when(F.lead("sid").over(Window.orderBy("sid")).isNull(), F.lit(1 << BITS)).otherwise(place(cumulative)))
-    sources = sources.withColumn("lo", F.lag("hi", 1, 0).over(Window.orderBy("sid")))
+    # Shares as whole points, so that they add up alike in any order; rounding is lost to the last source.
+    sources = sources.withColumn("points", F.floor(F.least(F.lit(1.0), F.col("share") / F.lit(float(share))) * float(1 << BITS)).cast("long"))
+    sources = running_total(ws, sources, "added", [], ["sid"], "points").withColumnRenamed("before", "lo")
+    last = F.col("sid") == F.lit(sources.agg(F.max("sid")).first()[0])
+    sources = sources.withColumn("hi", F.when(last, F.lit(1 << BITS)).otherwise(F.col("lo") + F.col("points"))).drop("points")
     sources = ws.table(sources.withColumns({"lo_back": reversed_bits(F.col("lo")), "hi_back": reversed_bits(F.col("hi"))}), "targets")
     n_sources = sources.count()
     rows = _with_source(rows, sources.select("source", "sid", "block_words"), "source", n_sources)
@@ -114,11 +115,16 @@ def _with_source(many: DataFrame, one: DataFrame, key: str, n: int) -> DataFrame
 
 
 def _slots(spark: SparkSession, sources: DataFrame, n: int, n_sources: int) -> DataFrame:
-    bins = 12
+    bins = max(12, n_sources.bit_length() + 2)
     used = sources.where("n_blocks > 0")
-    parts = used.where("hi > lo").withColumn("bin", F.explode(F.sequence(F.shiftright("lo", BITS - bins), F.shiftright(F.col("hi") - 1, BITS - bins))))
-    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", reversed_bits(F.col("slot"))).withColumn("bin", F.shiftright("point", BITS - bins))
-    placed = slots.join(parts, "bin").where("point >= lo AND point < hi")
+    own = F.struct("sid", "lo", "hi", "lo_back", "hi_back", "wanted", "n_blocks").alias("own")
+    parts = used.where("hi > lo").select(own, "lo", F.explode(F.sequence(F.shiftright("lo", BITS - bins), F.shiftright(F.col("hi") - 1, BITS - bins))).alias("bin"))
+    # In a bin the sources' bounds and the points stand in one order; a point's source is that of the last bound before it.
+    bounds = parts.select("bin", F.greatest("lo", F.shiftleft("bin", BITS - bins)).alias("point"), F.lit(-1).cast("long").alias("slot"), "own")
+    slots = spark.range(n).withColumnRenamed("id", "slot").withColumn("point", reversed_bits(F.col("slot")))
+    slots = slots.select(F.shiftright("point", BITS - bins).alias("bin"), "point", "slot", F.lit(None).cast(bounds.schema["own"].dataType).alias("own"))
+    before = Window.partitionBy("bin").orderBy("point", "slot").rowsBetween(Window.unboundedPreceding, 0)
+    placed = bounds.unionByName(slots).withColumn("own", F.last("own", True).over(before)).where("slot >= 0 AND point < own.hi").select("slot", "own.*")
     ranked = placed.withColumn("rank", hits_below("slot", "hi", "hi_back") - hits_below("slot", "lo", "lo_back")).where("rank < wanted")
     # What the points left out: the sources take turns.
     short = used.withColumn("got", hits_below(f"{n}L", "hi", "hi_back") - hits_below(f"{n}L", "lo", "lo_back")).where("got < wanted")

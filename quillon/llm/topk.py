@@ -9,13 +9,14 @@ ranges of length, longest first, and read in blocks of falling length. For a blo
 * what is left is scored exactly.
 
 The longest vectors of all give each query a k-th score to begin with. Each task keeps its own k best, and the last
-step ranks those. Query blocks have a fixed size and the Gram matrix that of the dimension, so what is broadcast does
-not grow with the table; the number of passes does.
+step ranks those. A pass has PASS_BYTES of queries, and its result is written before the next one begins; the Gram
+matrix has the size of the dimension. So what is broadcast does not grow with the table; the number of passes does.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id;
 a vector is compared with those of its own dimension; repeated rows are separate candidates and queries; equal scores go
-by smaller id; an empty table gives no rows; other columns are not read. Vectors with a squared length of 2**53 or more
-can't be scored exactly and raise an error.
+by smaller id; an empty table gives no rows; other columns are not read. Double precision is exact for vectors with a
+squared length below 2**53; pairs with a longer one are bounded in double precision and scored in whole numbers of any
+size. A score beyond 64 bits counts as the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -32,12 +33,16 @@ from .common import Workspace
 
 SCALE, K = 256, 5
 QUERIES, SEEDS, BLOCK, PER_PART = 4096, 2048, 1024, 100_000
+PASS_BYTES = 16 << 20
+MOST = (1 << 63) - 1
+#: A component that is finite but not after scaling.
+LARGEST = np.finfo(np.float64).max
 #: Coordinates of the first and second partial sum, as shares of the dimension.
 STEPS = (0.25, 0.5)
 
 
 def _whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(uid, vec_id, dim, norm2, v): the usable vectors as 32-bit whole numbers."""
+    """(uid, vec_id, dim, norm2, wide, v): the usable vectors as 32-bit whole numbers or, if too long for exact doubles, as doubles."""
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -47,15 +52,18 @@ def _whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
             ends = np.cumsum(size)
             bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
             good = np.flatnonzero((size > 0) & (bad[ends] == bad[ends - size]))
-            own = [np.floor(scale * x[ends[k] - size[k] : ends[k]]) for k in good]
-            norm2 = [float(v @ v) for v in own]
-            if max(norm2, default=0) >= 1 << 53:
-                raise ValueError("a vector is too long for exact scores")
+            with np.errstate(over="ignore"):
+                x = np.clip(scale * x, -LARGEST, LARGEST)
+            own = [np.floor(x[ends[k] - size[k] : ends[k]]) for k in good]
+            with np.errstate(over="ignore"):
+                norm2 = [float(v @ v) for v in own]
+            wide = [not x < 1 << 53 for x in norm2]
+            data = [v.astype("<f8" if w else "<i4").tobytes() for v, w in zip(own, wide, strict=True)]
             take = pa.array(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(size[good].astype(np.int32)), pa.array(norm2, pa.float64()).cast(pa.int64()), pa.array([v.astype("<i4").tobytes() for v in own], pa.binary())], ["uid", "vec_id", "dim", "norm2", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(size[good].astype(np.int32)), pa.array(norm2, pa.float64()), pa.array(wide, pa.bool_()), pa.array(data, pa.binary())], ["uid", "vec_id", "dim", "norm2", "wide", "v"])
 
     rows = vectors.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where("vec_id IS NOT NULL AND x IS NOT NULL")
-    return rows.mapInArrow(convert, "uid long, vec_id long, dim int, norm2 long, v binary")
+    return rows.mapInArrow(convert, "uid long, vec_id long, dim int, norm2 double, wide boolean, v binary")
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -138,32 +146,47 @@ def top_k(spark: SparkSession, vectors: DataFrame, queries: Column, k: int = K,
     """query_id, rank, vec_id, score. queries: which rows, by a condition on `vec_id`, are queries; all others are candidates, and so are they."""
     ws = Workspace(spark, "topk")
     table = ws.table(_whole(vectors, id_col, vector_col, scale), "vectors")
-    out = None
-    for dim, n in table.groupBy("dim").count().orderBy("dim").collect():
+    where = f"{ws.path}/found"
+    empty = spark.createDataFrame([], "query_uid long, vec_id long, score long")
+    empty.write.parquet(where)
+    for dim, n, wide in table.groupBy("dim").agg(F.count("*"), F.count_if("wide")).orderBy("dim").collect():
         own = table.where(F.col("dim") == dim)
-        rotation = spark.sparkContext.broadcast(_rotation(own, dim))
-        dealt = own.repartitionByRange(-(-n // PER_PART), F.col("norm2").desc(), "uid").sortWithinPartitions(F.col("norm2").desc(), "uid")
-        dealt = ws.table(dealt, f"by_length{dim}")
-        asked = own.where(queries)
-        blocks = -(-asked.count() // query_block)
-        longest = dealt.orderBy(F.col("norm2").desc(), "uid").limit(SEEDS).select("uid", "v").collect()
-        seeds, seed_uid = _matrix([r.v for r in longest], dim), np.array([r.uid for r in longest])
-        for b in range(blocks):
-            rows = asked.where(F.pmod(F.xxhash64("uid"), F.lit(blocks)) == b).select("uid", "v").collect()
-            if not rows:
-                continue
-            chosen = {"v": _matrix([r.v for r in rows], dim), "uid": np.array([r.uid for r in rows])}
-            chosen["least"] = _first_scores(chosen, seeds, seed_uid, k)
-            part = _pass(dealt.select("uid", "vec_id", "norm2", "v"), spark.sparkContext.broadcast(chosen), rotation, dim, k, block)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        plain, long_ = own.where("NOT wide"), own.where("wide")
+        if n > wide:
+            rotation = spark.sparkContext.broadcast(_rotation(plain, dim))
+            dealt = plain.repartitionByRange(-(-(n - wide) // PER_PART), F.col("norm2").desc(), "uid").sortWithinPartitions(F.col("norm2").desc(), "uid")
+            dealt = ws.table(dealt, f"by_length{dim}")
+            longest = dealt.orderBy(F.col("norm2").desc(), "uid").limit(SEEDS).select("uid", "v").collect()
+            seeds, seed_uid = _matrix([r.v for r in longest], dim), np.array([r.uid for r in longest])
+            for rows in _passes(plain.where(queries), dim, query_block):
+                chosen = [{"v": _matrix([r.v for r in part], dim), "uid": np.array([r.uid for r in part])} for part in rows]
+                for part in chosen:
+                    part["least"] = _first_scores(part, seeds, seed_uid, k)
+                shared = spark.sparkContext.broadcast(chosen)
+                _pass(dealt.select("uid", "vec_id", "norm2", "v"), shared, rotation, dim, k, block).write.mode("append").parquet(where)
+                shared.destroy()
+            rotation.destroy()
+        for asked, candidates in ((plain, long_), (long_, own)) if wide else ():
+            for rows in _passes(asked.where(queries), dim, query_block):
+                shared = spark.sparkContext.broadcast([(r.uid, _double(r.v, dim)) for part in rows for r in part])
+                _long_pass(candidates.select("uid", "vec_id", "v"), shared, dim, k, block).write.mode("append").parquet(where)
+                shared.destroy()
     best = Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "vec_id")
-    ranked = ws.table(out, "found").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = ws.read("found", empty).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     names = table.where(queries).select(F.col("uid").alias("query_uid"), F.col("vec_id").alias("query_id"))
     return ranked.join(names, "query_uid").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _passes(asked: DataFrame, dim: int, query_block: int) -> Iterator[list[list]]:
+    """The queries pass by pass, each as blocks of up to about query_block rows (uid, v)."""
+    n = asked.count()
+    passes = -(-n // max(query_block, PASS_BYTES // (8 * dim))) if n else 0
+    for b in range(passes):
+        rows = asked.where(F.pmod(F.xxhash64("uid"), F.lit(passes)) == b).select("uid", "v").collect()
+        if rows:
+            yield [rows[at : at + query_block] for at in range(0, len(rows), query_block)]
+
+
 def _first_scores(chosen: dict, seeds: np.ndarray, seed_uid: np.ndarray, k: int) -> np.ndarray:
     """Each query's k-th best score among the seeds, or minus infinity if there are fewer."""
     least = np.full(len(chosen["v"]), -np.inf)
@@ -177,14 +200,55 @@ def _first_scores(chosen: dict, seeds: np.ndarray, seed_uid: np.ndarray, k: int)
 
 def _pass(dealt: DataFrame, chosen, rotation, dim: int, k: int, block: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = _Search(chosen.value, rotation.value, k)
+        searches = [_Search(part, rotation.value, k) for part in chosen.value]
         # A task may read several files, in any order of their lengths: a block that can't matter says nothing of later ones.
         for batch in batches:
             for at in range(0, len(batch), block):
                 part = batch.slice(at, block)
-                if search.reached(float(pc.max(part.column("norm2")).as_py())):
+                longest = float(pc.max(part.column("norm2")).as_py())
+                if open_ := [s for s in searches if s.reached(longest)]:
+                    v = _matrix(part.column("v").to_pylist(), dim)
                     ids, uid = (part.column(c).to_numpy() for c in ("vec_id", "uid"))
-                    search.block(_matrix(part.column("v").to_pylist(), dim), ids, uid)
-        yield from search.rows()
+                    for search in open_:
+                        search.block(v, ids, uid)
+        for search in searches:
+            yield from search.rows()
 
     return dealt.mapInArrow(scan, "query_uid long, vec_id long, score long")
+
+
+def _double(v: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(v, "<f8" if len(v) == 8 * dim else "<i4").astype(np.float64)
+
+
+def _long_pass(candidates: DataFrame, asked, dim: int, k: int, block: int) -> DataFrame:
+    """k best of each task for pairs that doubles can't score: what their error bound leaves open is scored in whole numbers."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, list[tuple[int, int]]] = {}
+        for batch in batches:
+            for at in range(0, len(batch), block):
+                part = batch.slice(at, block)
+                v = np.stack([_double(x, dim) for x in part.column("v").to_pylist()])
+                ids, uid = (part.column(c).to_pylist() for c in ("vec_id", "uid"))
+                # Scaled so that no product overflows.
+                size = np.abs(v).max(axis=1, initial=1)
+                unit = v / size[:, None]
+                for own, q in asked.value:
+                    top = max(1.0, np.abs(q).max(initial=1))
+                    near = unit @ (q / top)
+                    with np.errstate(over="ignore"):
+                        low, high = (np.clip((near + e) * size * top, -float(MOST), float(MOST)) for e in (-1e-12 * dim, 1e-12 * dim))
+                    other = np.array([x != own for x in uid])
+                    have = best.setdefault(own, [])
+                    floor = sorted([float(-s) for s, _ in have] + low[other].tolist(), reverse=True)[:k]
+                    whole = [int(x) for x in q]
+                    for i in np.flatnonzero(other & ((high >= floor[-1]) if len(floor) == k else True)):
+                        score = sum(a * int(b) for a, b in zip(whole, v[i], strict=True))
+                        have.append((-max(-MOST - 1, min(MOST, score)), ids[i]))
+                    best[own] = sorted(have)[:k]
+        rows = [(own, i, -s) for own, have in best.items() for s, i in have]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["query_uid", "vec_id", "score"])
+
+    return candidates.mapInArrow(scan, "query_uid long, vec_id long, score long")

@@ -482,11 +482,28 @@ def test_pipeline(spark, tmp_path):
     assert sum(r.length for r in seen["packing"]) > 0
 
 
+def test_top_k_of_very_long_vectors(spark):
+    """Components up to the largest finite ones; several passes and query blocks."""
+    rng = random.Random(9)
+    big = lambda: [rng.choice([-1, 1]) * rng.random() * 10.0 ** rng.choice([0, 1, 5, 7, 9, 30, 200]) for _ in range(4)]
+    rows = [(k, [rng.uniform(-9, 9) for _ in range(4)]) for k in range(60)] + [(k, big()) for k in range(60, 100)] + [(100, [1.7e308] * 4), (101, [5e5, 0.0, 0.0, 0.0]), (102, [float("inf")] * 4)]
+    most = (1 << 63) - 1
+    with np.errstate(over="ignore"):
+        whole = {i: [int(np.floor(np.clip(256 * np.float64(x), -topk.LARGEST, topk.LARGEST))) for x in v] for i, v in rows if i != 102}
+    want = set()
+    for q in (i for i in whole if i % 10 == 0):
+        scored = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(whole[q], whole[i])))), i) for i in whole if i != q)
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:5])}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for block in (4096, 2):
+        assert {tuple(r) for r in topk.top_k(spark, table, F.col("vec_id") % 10 == 0, query_block=block, block=16).collect()} == want
+
+
 def test_top_k_reads_longer_vectors_after_shorter_ones(spark):
     short, long_ = [(k, [1, k % 3]) for k in range(8)], [(k, [90, k]) for k in range(8, 16)]
     data = [(k, k, x * x + y * y, np.array([x, y], "<i4").tobytes()) for k, (x, y) in short + long_]
     dealt = spark.createDataFrame(data, "uid long, vec_id long, norm2 long, v binary").coalesce(1)
     chosen = {"v": np.array([[100.0, 1.0]]), "uid": np.array([-1]), "least": np.array([8000.0])}
     share = spark.sparkContext.broadcast
-    got = topk._pass(dealt, share(chosen), share(np.eye(2)), 2, 3, 4).collect()
+    got = topk._pass(dealt, share([chosen]), share(np.eye(2)), 2, 3, 4).collect()
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: -r.score)] == [(15, 9015), (14, 9014), (13, 9013)]
