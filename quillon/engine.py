@@ -30,13 +30,8 @@ class Engine:
         self._use(self.store.load())
 
     def _use(self, index: Index | None) -> None:
-        old, self.index = self.index, index
-        for t in (old.documents, old.postings, old.pages, self.vocabulary) if old else ():
-            t.unpersist()
-        self.vocabulary = index.vocabulary().persist() if index else None
-        if index:
-            for t in (index.documents, index.postings, index.pages):
-                t.persist()
+        # Generations are columnar files laid out for the searches; they are read as needed, and nothing is held in memory.
+        self.index = index
 
     def _publish(self, index: Index, what: str) -> None:
         self.state = Status("INDEXING", what, time())
@@ -72,7 +67,7 @@ class Engine:
     def search_many(self, queries: DataFrame) -> DataFrame:
         if not self.index:
             raise LookupError("nothing is indexed yet")
-        return search(queries, self.index, self.vocabulary)
+        return search(queries, self.index)
 
     def get_document(self, name: str) -> DataFrame:
         return self.index.documents.where(self.index.documents["filename"] == name)

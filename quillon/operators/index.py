@@ -7,28 +7,32 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import content_tokens, extension, name_tokens, stem, strip
+from ..functions.text import collapse, content_tokens, extension, name_tokens, stem, strip
 
 
 @dataclass
 class Index:
-    """documents, postings and pages of one generation; see schemas.py."""
+    """documents, postings and pages of one generation, and what is derived from them; see schemas.py. Derived tables may be missing."""
 
     documents: DataFrame
     postings: DataFrame
     pages: DataFrame
+    bodies_: DataFrame | None = None
+    vocabulary_: DataFrame | None = None
 
     def vocabulary(self) -> DataFrame:
         """term, df: documents that have the term."""
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        return self.vocabulary_ if self.vocabulary_ is not None else self.postings.groupBy("term").agg(F.count("*").alias("df"))
 
     def filename_terms(self) -> DataFrame:
         return self.documents.select("filename", F.posexplode("filename_words").alias("position", "term"))
 
     def bodies(self) -> DataFrame:
-        """filename, body: the pages of a document in order, joined by spaces."""
+        """filename, body: the pages of a document in order, joined by spaces, in lower case with single spaces."""
+        if self.bodies_ is not None:
+            return self.bodies_
         ordered = F.array_sort(F.collect_list(F.struct("page_number", "text")))
-        return self.pages.groupBy("filename").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), " ").alias("body"))
+        return self.pages.groupBy("filename").agg(collapse(F.array_join(F.transform(ordered, lambda p: p["text"]), " ")).alias("body"))
 
 
 def build_index(texts: DataFrame) -> Index:
@@ -51,7 +55,9 @@ def build_index(texts: DataFrame) -> Index:
         F.col("doc_seq").cast("long").alias("doc_seq"),
     )
     postings = base.select("filename", F.explode("words").alias("term")).groupBy("term", "filename").agg(F.count("*").cast("int").alias("term_count"))
-    return Index(documents, postings, pages)
+    ordered = F.array_sort(F.filter(F.transform("page_texts", lambda p: F.struct(p["page"].cast("int").alias("page_number"), F.lower(p["text"]).alias("text"))), lambda p: strip(p["text"]) != ""))
+    bodies = base.select("filename", collapse(F.array_join(F.transform(ordered, lambda p: p["text"]), " ")).alias("body"))
+    return Index(documents, postings, pages, bodies)
 
 
 def counters(index: Index) -> DataFrame:

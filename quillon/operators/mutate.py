@@ -12,14 +12,15 @@ from .index import Index, build_index
 def remove(index: Index, names: DataFrame) -> Index:
     """Without the documents in names(filename); terms that no document has any more vanish with their postings."""
     gone = names.select("filename").distinct()
-    return Index(*[t.join(gone, "filename", "left_anti").select(*t.columns) for t in (index.documents, index.postings, index.pages)])
+    return Index(*[t.join(gone, "filename", "left_anti").select(*t.columns) for t in (index.documents, index.postings, index.pages, index.bodies())])
 
 
 def upsert(index: Index, texts: DataFrame) -> Index:
     """With the documents in texts put in or replaced. Those without a token are refused and leave what is there."""
     new = build_index(texts)
     old = remove(index, new.documents)
-    return Index(*[a.unionByName(b.select(*a.columns)) for a, b in zip((old.documents, old.postings, old.pages), (new.documents, new.postings, new.pages), strict=True)])
+    four = lambda i: (i.documents, i.postings, i.pages, i.bodies())
+    return Index(*[a.unionByName(b.select(*a.columns)) for a, b in zip(four(old), four(new), strict=True)])
 
 
 def upload_status(texts: DataFrame) -> DataFrame:

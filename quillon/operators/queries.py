@@ -7,11 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Up to so many rows a small table is held in the plan itself; up to so many bytes it is broadcast.
+FEW_ROWS, FEW_BYTES = 10_000, 32 << 20
+
+
+def held(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """The same rows, computed now and once if they are few; a larger table is left as it is."""
+    rows = df.take(most + 1)
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else df
+
+
+def small(df: DataFrame) -> DataFrame:
+    """With a hint to broadcast it if its size allows that."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= FEW_BYTES else df
+
 
 def parse(queries: DataFrame) -> DataFrame:
     """queries(query_id, raw, page, limit) with rest, filetype, query, quoted, words, content_words, phrase, phrase_query, page, limit.
 
-    The rows are kept, since all steps of a search read them: the nested text expressions are then planned and run once.
+    All steps of a search read these rows; few of them are computed at once, so that their nested text expressions are planned and run once.
     """
     q = queries.withColumn("typed", T.file_type(F.col("raw")))
     q = q.select("query_id", "raw", T.page_number(F.col("page")).alias("page"), T.page_limit(F.col("limit")).alias("limit"), F.col("typed.filetype").alias("filetype"), F.lower(T.normalise_query(F.col("typed.rest"))).alias("query"))
@@ -19,4 +34,4 @@ def parse(queries: DataFrame) -> DataFrame:
     q = q.withColumn("words", T.name_tokens(F.col("query")))
     phrase = F.when(F.coalesce(F.col("quoted"), F.lit("")) != "", T.name_tokens(F.col("quoted"))).otherwise(F.col("words"))
     q = q.withColumn("phrase_words", phrase)
-    return q.select("*", F.filter("words", lambda w: F.length(w) > 1).alias("content_words"), F.array_join("phrase_words", " ").alias("phrase"), (F.size("phrase_words") >= 2).alias("phrase_query"), (F.coalesce(F.col("quoted"), F.lit("")) != "").alias("is_quoted")).persist()
+    return held(q.select("*", F.filter("words", lambda w: F.length(w) > 1).alias("content_words"), F.array_join("phrase_words", " ").alias("phrase"), (F.size("phrase_words") >= 2).alias("phrase_query"), (F.coalesce(F.col("quoted"), F.lit("")) != "").alias("is_quoted")))

@@ -7,27 +7,47 @@ from pyspark.sql import functions as F
 
 from ..functions.text import url_quote
 from .index import Index
+from .queries import held, small
 
 
-def ranked(scored: DataFrame) -> DataFrame:
-    """With `rank` from 1: by final score, ties by document order."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("final_score").desc(), "doc_seq")))
+def ranked(scored: DataFrame, most: int | None = None) -> DataFrame:
+    """With `rank` from 1: by final score to nine places, ties by document order. most: ranks beyond it are left out, in each task first."""
+    # Sums of the same parts in another order differ in the last places; they are to be ties.
+    rows = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("final_score", 9).desc(), "doc_seq")))
+    return rows.where(F.col("rank") <= most) if most is not None else rows
 
 
 def browsed(queries: DataFrame, index: Index) -> DataFrame:
     """The documents of the file type of queries that name nothing else, by lower-case title, with `rank`."""
+    return browse_ranked(browse_matches(queries, index))
+
+
+def browse_matches(queries: DataFrame, index: Index) -> DataFrame:
     only = queries.where((F.size("words") == 0) & F.col("filetype").isNotNull()).select("query_id", "filetype", "page", "limit")
-    rows = index.documents.join(F.broadcast(only), F.col("ext") == F.col("filetype"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.lower("title"), "doc_seq")))
+    return index.documents.join(small(only), F.col("ext") == F.col("filetype"))
+
+
+def browse_ranked(rows: DataFrame, most: int | None = None) -> DataFrame:
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.lower("title"), "doc_seq")))
+    return rows.where(F.col("rank") <= most) if most is not None else rows
+
+
+def _bounds(totals: DataFrame) -> DataFrame:
+    """query_id and the pagination, from query_id, page, limit, total: page is held within the pages there are."""
+    whole = totals.withColumn("total_pages", F.ceil(F.col("total") / F.col("limit")).cast("int"))
+    whole = whole.withColumn("page", F.least("page", "total_pages"))
+    start, end = (F.col("page") - 1) * F.col("limit") + 1, F.least(F.col("page") * F.col("limit"), F.col("total"))
+    return whole.withColumns({"start": start, "end": end, "has_next": F.col("page") < F.col("total_pages"), "has_previous": F.col("page") > 1})
+
 
+def paged(rows: DataFrame, order=ranked) -> DataFrame:
+    """The rows of each query's page of what `order` ranks, with the pagination.
 
-def paged(rows: DataFrame) -> DataFrame:
-    """The rows of each query's page, with the pagination: page is held within the pages there are."""
-    whole = rows.withColumn("total", F.count("*").over(Window.partitionBy("query_id")).cast("int"))
-    whole = whole.withColumn("total_pages", F.ceil(F.col("total") / F.col("limit")).cast("int"))
-    whole = whole.withColumn("page_", F.least("page", "total_pages"))
-    start, end = (F.col("page_") - 1) * F.col("limit") + 1, F.least(F.col("page_") * F.col("limit"), F.col("total"))
-    whole = whole.withColumns({"page": F.col("page_"), "start": start, "end": end, "has_next": F.col("page_") < F.col("total_pages"), "has_previous": F.col("page_") > 1}).drop("page_")
+    Totals come first, by partial aggregates, so that each task needs to keep only as many rows as the furthest page reaches.
+    """
+    bounds = held(_bounds(rows.groupBy("query_id", "page", "limit").agg(F.count("*").cast("int").alias("total"))))
+    last = bounds.agg(F.max("end")).first()[0] or 0
+    whole = order(rows.drop("page", "limit"), last).join(small(bounds), "query_id")
     return whole.where(F.col("rank").between(F.col("start"), F.col("end")))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, is_number, occurrences
+from ..functions.text import is_number, occurrences
 from .index import Index
 from .match import matches, query_words
+from .queries import held, small
 
 #: Fixed values: (filename, content, phrase, lexical) weights by kind of query.
 WEIGHTS = {"quoted with filename hit": (0.80, 0.05, 0.15, 0.0), "quoted": (0.05, 0.15, 0.80, 0.0), "filename hit": (0.75, 0.15, 0.10, 0.0), "other": (0.05, 0.60, 0.20, 0.15)}
@@ -17,35 +18,59 @@ def corpus_sizes(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, n_docs: documents of the query's file type, or all; queries without any go."""
     by_type = index.documents.groupBy("ext").agg(F.count("*").alias("n"))
     allowed = F.col("filetype").isNull() | (F.col("filetype") == F.col("ext"))
-    return by_type.join(F.broadcast(queries.select("query_id", "filetype")), allowed).groupBy("query_id").agg(F.sum("n").alias("n_docs"))
+    return by_type.join(small(queries.select("query_id", "filetype")), allowed).groupBy("query_id").agg(F.sum("n").alias("n_docs"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs + 1) / (df + 1)) + 1
 
 
+def matched_terms(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
+    """query_id, pos, word, term, kind, weight, idf: the terms that the words of queries match. Few of them are computed at once."""
+    found = matches(query_words(queries), vocabulary).join(small(held(corpus_sizes(queries, index))), "query_id")
+    return held(found.select("query_id", "pos", "word", "term", "kind", "weight", idf(F.col("n_docs"), F.col("df")).alias("idf")))
+
+
 def content_hits(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
-    """One row for each (query, word position, term, document)."""
-    found = matches(query_words(queries), vocabulary)
-    found = found.join(corpus_sizes(queries, index), "query_id").join(queries.select("query_id", "filetype"), "query_id")
-    docs = index.documents.where("total_words > 0").select("filename", "total_words", "ext")
-    hits = index.postings.join(found, "term").join(docs, "filename").where("filetype IS NULL OR filetype = ext")
-    tf = F.col("term_count").cast("double") / F.col("total_words")
-    return hits.withColumn("part", tf * idf(F.col("n_docs"), F.col("df")) * F.col("weight"))
-
-
-def content_scores(hits: DataFrame) -> DataFrame:
-    """query_id, filename, content_score and the lexical signals. The sum is taken in the order of words, kinds and terms."""
-    number = is_number(F.col("word")) & F.col("term").contains(F.col("word"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "kind", "term", "part", "word")))
-    summed = hits.groupBy("query_id", "filename").agg(
-        ordered.alias("hits"),
-        F.bool_or(F.col("term") == F.col("word")).alias("exact_content_match"),
-        F.coalesce(F.max(F.when((F.col("term") != F.col("word")) & number, F.col("weight"))), F.lit(0.0)).alias("numeric_similarity"),
-        F.coalesce(F.max(F.when((F.col("term") != F.col("word")) & ~number, F.col("weight"))), F.lit(0.0)).alias("prefix_similarity"),
-    )
-    total = F.aggregate("hits", F.lit(0.0), lambda a, x: a + x["part"])
-    return summed.withColumns({"content_score": total, "content_matches": F.array_distinct(F.transform("hits", lambda x: x["word"]))}).drop("hits")
+    """One row for each (query, word position, term, document), of any file type: query_id, filename, hit."""
+    found = small(matched_terms(queries, index, vocabulary))
+    return index.postings.join(found, "term").select("query_id", "filename", F.struct("pos", "kind", "term", "term_count", "idf", "weight", "word").alias("hit"))
+
+
+def gathered(hits: DataFrame, index: Index, queries: DataFrame, names: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
+    """One row for each (query, document) with anything in common: hits, phrase_occurrences, the document and the query.
+
+    The three kinds of evidence meet in one aggregate; the query's file type is looked at with the document.
+    """
+    kind = hits.schema["hit"].dataType
+    both = hits.select("query_id", "filename", "hit", F.lit(0).alias("occ"))
+    if names is not None:
+        both = both.unionByName(names.select("query_id", "filename", F.lit(None).cast(kind).alias("hit"), F.lit(0).alias("occ")))
+    if phrases is not None:
+        both = both.unionByName(phrases.select("query_id", "filename", F.lit(None).cast(kind).alias("hit"), F.col("phrase_occurrences").alias("occ")))
+    rows = both.groupBy("query_id", "filename").agg(F.array_sort(F.collect_list("hit")).alias("hits"), F.max("occ").alias("phrase_occurrences"))
+    rows = rows.join(index.documents, "filename").join(small(queries.select("query_id", "words", "phrase", "phrase_query", "is_quoted", "filetype", "page", "limit", "phrase_words")), "query_id")
+    return rows.where("filetype IS NULL OR filetype = ext")
+
+
+def content_parts() -> dict[str, Column]:
+    """content_score and the lexical signals from the hits, in the order of words, kinds and terms, and total_words."""
+    other = lambda h: h["term"] != h["word"]
+    number = lambda h: is_number(h["word"]) & F.contains(h["term"], h["word"])
+    best = lambda keep: F.coalesce(F.array_max(F.transform(F.filter("hits", keep), lambda h: h["weight"])), F.lit(0.0))
+    part = lambda h: h["term_count"].cast("double") / F.col("total_words") * h["idf"] * h["weight"]
+    return {
+        "content_score": F.aggregate("hits", F.lit(0.0), lambda a, h: a + part(h)),
+        "exact_content_match": F.exists("hits", lambda h: h["term"] == h["word"]),
+        "numeric_similarity": best(lambda h: other(h) & number(h)),
+        "prefix_similarity": best(lambda h: other(h) & ~number(h)),
+        "content_matches": F.array_distinct(F.transform("hits", lambda h: h["word"])),
+    }
+
+
+def content_scores(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
+    """query_id, filename, content_score and the lexical signals of documents with any matching term."""
+    return gathered(content_hits(queries, index, vocabulary), index, queries).withColumns(content_parts())
 
 
 def filename_candidates(queries: DataFrame, index: Index) -> DataFrame:
@@ -54,15 +79,41 @@ def filename_candidates(queries: DataFrame, index: Index) -> DataFrame:
     q = queries.where(F.size("words") > 0).select("query_id", "filetype", "words", "phrase", F.array_join("words", " ").alias("joined"))
     name = F.array_join("filename_words", " ")
     near = F.arrays_overlap("filename_words", "words") | F.contains(name, F.col("joined")) | ((F.col("phrase") != "") & F.contains(name, F.col("phrase")))
-    return docs.join(F.broadcast(q), (F.col("filetype").isNull() | (F.col("filetype") == F.col("ext"))) & near).select("query_id", "filename")
-
-
-def phrase_counts(queries: DataFrame, index: Index) -> DataFrame:
-    """query_id, filename, phrase_occurrences of phrases of two words or more, across pages. Queries are the small side."""
-    q = queries.where("phrase_query AND size(words) > 0").select("query_id", "filetype", "phrase")
-    body = index.bodies().join(index.documents.select("filename", "ext"), "filename").select("filename", "ext", collapse(F.lower("body")).alias("body"))
-    allowed = (F.col("filetype").isNull() | (F.col("filetype") == F.col("ext"))) & F.contains(F.col("body"), F.col("phrase"))
-    return body.join(F.broadcast(q), allowed).select("query_id", "filename", occurrences(F.col("body"), F.col("phrase")).alias("phrase_occurrences"))
+    return docs.join(small(q), (F.col("filetype").isNull() | (F.col("filetype") == F.col("ext"))) & near).select("query_id", "filename")
+
+
+def phrase_candidates(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
+    """query_id, phrase, filename: documents that can hold a phrase, by their terms.
+
+    Between two spaces of a body stands a whole token, so the inner words of a phrase are terms of the document, the
+    first word ends one and the last word begins one. Words of one character are no terms and say nothing.
+    """
+    words = queries.select("query_id", "filetype", "phrase", F.size("phrase_words").alias("n"), F.posexplode("phrase_words").alias("pos", "word")).where(F.length("word") > 1)
+    words = words.withColumn("side", F.when(F.col("pos") == 0, 0).when(F.col("pos") == F.col("n") - 1, 2).otherwise(1))
+    columns = ["query_id", "filetype", "phrase", "pos", "term"]
+    inner = words.where("side = 1").join(vocabulary, F.col("word") == F.col("term")).select(columns)
+    by_two = lambda side, cut: words.where(f"side = {side}").withColumn("two", cut("word", F.lit(2))).join(vocabulary.select("term", cut("term", F.lit(2)).alias("two")), "two")
+    ends = by_two(0, F.right).where(F.endswith("term", F.col("word"))).select(columns)
+    begins = by_two(2, F.left).where(F.startswith("term", F.col("word"))).select(columns)
+    terms = inner.unionByName(ends).unionByName(begins)
+    need = words.groupBy("query_id").agg(F.count("*").alias("need"))
+    held_ = index.postings.join(terms, "term").select("query_id", "phrase", "filetype", "filename", "pos").groupBy("query_id", "phrase", "filetype", "filename").agg(F.countDistinct("pos").alias("got"))
+    found = held_.join(need, "query_id").where("got = need")
+    silent = queries.join(need, "query_id", "left_anti").select("query_id", "phrase", "filetype")
+    every = index.documents.select("filename").join(small(silent))
+    allowed = found.select("query_id", "phrase", "filetype", "filename").unionByName(every.select("query_id", "phrase", "filetype", "filename"))
+    return allowed.join(index.documents.select("filename", "ext"), "filename").where("filetype IS NULL OR filetype = ext").select("query_id", "phrase", "filename")
+
+
+def phrase_counts(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
+    """query_id, filename, phrase_occurrences of phrases of two words or more, across pages. Only the texts of candidates are compared."""
+    asked = queries.where("phrase_query AND size(words) > 0")
+    none = asked.select("query_id", F.lit("").alias("filename"), F.lit(0).alias("phrase_occurrences")).where("false")
+    if asked.isEmpty():
+        return none
+    found = held(phrase_candidates(asked, index, vocabulary))
+    body = index.bodies().join(small(found), "filename").where(F.contains("body", F.col("phrase")))
+    return body.select("query_id", "filename", occurrences(F.col("body"), F.col("phrase")).alias("phrase_occurrences"))
 
 
 def filename_parts() -> dict[str, Column]:
@@ -99,16 +150,13 @@ def phrase_parts() -> dict[str, Column]:
 def score(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
     """Every matching (query, document) with all scores and `final_score`. queries: parsed, with words."""
     asked = queries.where(F.size("words") > 0)
-    content = content_scores(content_hits(asked, index, vocabulary))
     names = filename_candidates(asked, index)
-    phrases = phrase_counts(asked, index)
-    keys = content.select("query_id", "filename").unionByName(names).unionByName(phrases.select("query_id", "filename")).distinct()
-    rows = keys.join(content, ["query_id", "filename"], "left").join(phrases, ["query_id", "filename"], "left")
-    rows = rows.fillna({"content_score": 0.0, "exact_content_match": False, "numeric_similarity": 0.0, "prefix_similarity": 0.0, "phrase_occurrences": 0})
-    rows = rows.join(index.documents, "filename").join(F.broadcast(asked.select("query_id", "words", "phrase", "phrase_query", "is_quoted", "filetype", "page", "limit", "phrase_words")), "query_id")
-    rows = rows.withColumns(filename_parts()).withColumns(phrase_parts()).where("phrase_match OR NOT is_quoted")
-    own = Window.partitionBy("query_id")
-    rows = rows.withColumn("max_content", F.max("content_score").over(own)).withColumn("filename_hit", F.max(F.col("filename_score") > 0).over(own))
+    phrases = phrase_counts(asked, index, vocabulary)
+    rows = gathered(content_hits(asked, index, vocabulary), index, asked, names, phrases)
+    rows = rows.withColumns(content_parts()).withColumns(filename_parts()).withColumns(phrase_parts()).where("phrase_match OR NOT is_quoted").drop("hits")
+    # The best of a query by partial aggregates; a window would bring all its rows into one task.
+    best = held(rows.groupBy("query_id").agg(F.max("content_score").alias("max_content"), F.max(F.col("filename_score") > 0).alias("filename_hit")))
+    rows = rows.join(small(best), "query_id")
     lexical = F.when(F.col("exact_content_match"), 1.0).when(F.col("prefix_similarity") > 0, 0.70 + 0.30 * F.col("prefix_similarity")).when(F.col("numeric_similarity") > 0, 0.30 + 0.40 * F.col("numeric_similarity")).otherwise(0.0)
     rows = rows.withColumns({
         "lexical_match_relevance": lexical,

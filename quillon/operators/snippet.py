@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from .queries import held, small
 
 WINDOW = 140
 HIGHLIGHTS = "array<struct<start:int,end:int>>"
@@ -17,7 +18,7 @@ def candidates(rows: DataFrame, pages: DataFrame, window: int = WINDOW) -> DataF
     Kinds: 1 the words as a phrase, 2 a word on its own, 3 a word that starts a longer one, 4 a word anywhere.
     """
     words = F.array_distinct(F.transform("snippet_words", lambda w: F.lower(w)))
-    here = rows.select("key", "filename", words.alias("ws")).join(pages, "filename").withColumn("t", collapse(F.col("text")))
+    here = pages.join(small(rows.select("key", "filename", words.alias("ws"))), "filename").withColumn("t", collapse(F.col("text")))
     here = here.select("key", "page_number", "t", F.lower("t").alias("low"), "ws", F.array_join("ws", " ").alias("phrase"))
     one = here.where(F.size("ws") >= 2).withColumn("pos", F.expr("locate(phrase, low) - 1")).where("pos >= 0")
     columns = ["key", "page_number", "t", "kind", "better", "word_at", "pos", "len", "mark"]
@@ -67,11 +68,12 @@ def snippets(rows: DataFrame, pages: DataFrame) -> DataFrame:
     words = F.when(F.col("phrase_match"), F.col("phrase_words")).otherwise(F.col("content_matches"))
     has_content = F.size(F.coalesce("content_matches", F.array().cast("array<string>"))) > 0
     keyed = rows.withColumn("key", F.concat_ws("|", F.col("query_id").cast("string"), "filename")).withColumn("snippet_words", words)
-    # A result page is small; keeping the steps stops their nested text expressions from being planned into one another.
-    keyed = keyed.persist()
-    chosen = best(candidates(keyed.where(has_content), pages)).persist()
+    # A result page is small; computing the steps one by one stops their nested text expressions from being planned into one another.
+    keyed = held(keyed)
+    chosen = held(best(candidates(keyed.where(has_content), pages)))
     text = window_text(F.col("t"), F.col("pos"), F.col("len"))
-    chosen = chosen.select("key", F.col("page_number").alias("found_page"), text.alias("found"), "mark").persist()
+    chosen = chosen.select("key", F.col("page_number").alias("found_page"), text.alias("found"), "mark")
+    chosen = held(chosen)
     chosen = chosen.withColumn("marks", highlights(F.col("found"), F.col("mark")))
     joined = keyed.join(chosen, "key", "left")
     by_name = F.concat(F.lit("Filename matched: "), F.array_join("filename_matches", ", "))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from ..sources.corpus import texts
 from ..sources.extract import sanitised
 from ..sources.store import Store
 from . import oracle as O
-from .search import rank_all
+from .search import rank_all, scored
 
 #: (id, raw query, page, limit)
 ALL = [
@@ -41,7 +42,8 @@ def index(spark: SparkSession, sf_dir: str) -> Index:
     if key not in _indexes:
         _indexes.clear()
         built = build_index(texts(spark, sf_dir))
-        _indexes[key] = Index(built.documents.persist(), built.postings.persist(), built.pages.persist())
+        parts = [t.persist(StorageLevel.DISK_ONLY) for t in (built.documents, built.postings, built.pages, built.bodies())]
+        _indexes[key] = Index(*parts, Index(*parts).vocabulary().persist(StorageLevel.DISK_ONLY))
     return _indexes[key]
 
 
@@ -83,7 +85,7 @@ register("parse_query", lambda s, d: parse(asked(s, ALL)).select("query_id", "fi
 register("whitespace_collapse", lambda s, d: doc(s, d).select("doc_id", F.md5(T.collapse(F.col("text")).cast("binary")).alias("digest"), F.length(T.collapse(F.col("text"))).alias("n")),
          f"SELECT doc_id, md5(t) AS digest, length(t)::INT AS n FROM (SELECT doc_id, {O.collapse('text')} AS t FROM documents)")
 register("url_quote", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.url_quote(F.col("url")).alias("quoted")), "SELECT page_id, url_encode(url) AS quoted FROM pages")
-register("phrase_occurrences", lambda s, d: score.phrase_counts(parse(asked(s, pick(1, 3, 11, 18))), index(s, d)), O.search(pick(1, 3, 11, 18), "SELECT query_id, filename, occ AS phrase_occurrences FROM ph JOIN meta USING (doc_id)"))
+register("phrase_occurrences", lambda s, d: score.phrase_counts(parse(asked(s, pick(1, 3, 11, 18))), index(s, d), index(s, d).vocabulary()), O.search(pick(1, 3, 11, 18), "SELECT query_id, filename, occ AS phrase_occurrences FROM ph JOIN meta USING (doc_id)"))
 
 # Index
 register("documents_meta", lambda s, d: index(s, d).documents.select("filename", "title", "path", "total_words", "page_count", "ext", "doc_seq"),
@@ -123,7 +125,7 @@ def _idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("idf", _idf, f"WITH {O.CORPUS} SELECT term, round(ln(((SELECT count(*) FROM meta) + 1)::DOUBLE / (df + 1)) + 1, 6) AS idf FROM vocab")
-register("content_score", lambda s, d: (lambda q, i: score.content_scores(score.content_hits(q, i, i.vocabulary())).select("query_id", "filename", six("content_score"), "exact_content_match", six("prefix_similarity"), six("numeric_similarity")))(parse(asked(s, SCORED)), index(s, d)),
+register("content_score", lambda s, d: (lambda q, i: score.content_scores(q.where(F.size("words") > 0), i, i.vocabulary()).select("query_id", "filename", six("content_score"), "exact_content_match", six("prefix_similarity"), six("numeric_similarity")))(parse(asked(s, SCORED)), index(s, d)),
          O.search(SCORED, "SELECT query_id, filename, round(content_score, 6) AS content_score, exact_ AS exact_content_match, round(pre_, 6) AS prefix_similarity, round(num_, 6) AS numeric_similarity FROM cs JOIN meta USING (doc_id)"))
 for name, columns, sql in (
     ("lexical_relevance", lambda: [six("lexical_match_relevance")], "round(lexical, 6) AS lexical_match_relevance"),
@@ -142,9 +144,9 @@ PAGED = "page", "limit", "total", "total_pages", "start", "end", "has_next", "ha
 PAGE_SQL = """, pg AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM {0}), pt AS (SELECT *, ((total + limit_no - 1) // limit_no)::INT AS total_pages FROM pg), pp AS (SELECT *, least(page_no, total_pages) AS pno FROM pt)
 SELECT query_id, filename, rank::INT AS rank, pno AS page, limit_no AS "limit", total::INT AS total, total_pages, (pno - 1) * limit_no + 1 AS start, least(pno * limit_no, total)::INT AS "end", pno < total_pages AS has_next, pno > 1 AS has_previous
 FROM pp WHERE rank BETWEEN (pno - 1) * limit_no + 1 AND pno * limit_no"""
-register("search_paginated", lambda s, d: rank.paged(rank_all(asked(s, ALL), index(s, d))).select("query_id", "filename", "rank", *PAGED[:6], *PAGED[6:]).withColumn("end", F.col("end").cast("int")), O.search(ALL, PAGE_SQL.format("res")))
+register("search_paginated", lambda s, d: rank.paged(scored(parse(asked(s, ALL)), index(s, d))).select("query_id", "filename", "rank", *PAGED[:6], *PAGED[6:]).withColumn("end", F.col("end").cast("int")), O.search(ALL, PAGE_SQL.format("res")))
 BROWSED = pick(6, 7, 8, 14)
-register("browse_filetype", lambda s, d: rank.paged(rank.browsed(parse(asked(s, BROWSED)), index(s, d))).select("query_id", "filename", "rank", *PAGED).withColumn("end", F.col("end").cast("int")),
+register("browse_filetype", lambda s, d: rank.paged(rank.browse_matches(parse(asked(s, BROWSED)), index(s, d)), rank.browse_ranked).select("query_id", "filename", "rank", *PAGED).withColumn("end", F.col("end").cast("int")),
          f"WITH {O.values(BROWSED)},{O.CORPUS},{O.parsed()}, br AS (SELECT query_id, filename, page_no, limit_no, row_number() OVER (PARTITION BY query_id ORDER BY lower(filename), doc_id) AS rank FROM qq JOIN meta ON ext = filetype WHERE len(words) = 0)" + PAGE_SQL.format("br"))
 
 # Snippets

@@ -6,18 +6,22 @@ from pyspark.sql import DataFrame
 
 from ..operators.index import Index
 from ..operators.queries import parse
-from ..operators.rank import browse_rows, browsed, paged, ranked, result_rows
+from ..operators.rank import browse_matches, browse_ranked, browse_rows, paged, ranked, result_rows
 from ..operators.score import score
 from ..operators.snippet import snippets
 
 
+def scored(parsed: DataFrame, index: Index, vocabulary: DataFrame | None = None) -> DataFrame:
+    return score(parsed, index, vocabulary if vocabulary is not None else index.vocabulary())
+
+
 def rank_all(queries: DataFrame, index: Index, vocabulary: DataFrame | None = None) -> DataFrame:
     """All matching documents of raw queries (query_id, raw, page, limit), scored and ranked."""
-    return ranked(score(parse(queries), index, vocabulary if vocabulary is not None else index.vocabulary()))
+    return ranked(scored(parse(queries), index, vocabulary))
 
 
 def search(queries: DataFrame, index: Index, vocabulary: DataFrame | None = None) -> DataFrame:
     """Response rows of each query's page. Pages are cut before snippets are made. Queries without words or type, and those without a match, have no rows."""
-    page = paged(rank_all(queries, index, vocabulary))
-    found = result_rows(snippets(page, index.pages))
-    return found.unionByName(browse_rows(paged(browsed(parse(queries), index))))
+    parsed = parse(queries)
+    found = result_rows(snippets(paged(scored(parsed, index, vocabulary)), index.pages))
+    return found.unionByName(browse_rows(paged(browse_matches(parsed, index), browse_ranked)))

@@ -6,4 +6,6 @@ DOCUMENTS = "filename string, title string, path string, total_words int, page_c
 POSTINGS = "term string, filename string, term_count int"
 FILENAME_TERMS = "filename string, position int, term string"
 PAGES = "filename string, page_number int, text string"
-TABLES = {"documents": DOCUMENTS, "postings": POSTINGS, "pages": PAGES}
+BODIES = "filename string, body string"
+VOCABULARY = "term string, df bigint"
+TABLES = {"documents": DOCUMENTS, "postings": POSTINGS, "pages": PAGES, "bodies": BODIES, "vocabulary": VOCABULARY}

@@ -10,6 +10,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.index import Index
 from ..schemas import TABLES
@@ -49,7 +50,8 @@ class Store:
         if any(t is None for t in tables.values()):
             raise IncompleteSnapshot("documents, postings and pages are all needed")
         number, folder = self.generation() + 1, f"gen-{uuid.uuid4().hex}"
-        layout = {"documents": "filename", "postings": "term", "pages": "filename"}
+        tables |= {"bodies": index.bodies(), "vocabulary": index.vocabulary()}
+        layout = {"documents": "filename", "postings": "term", "pages": "filename", "bodies": "filename", "vocabulary": "term"}
         for name, df in tables.items():
             df.repartitionByRange(layout[name]).sortWithinPartitions(layout[name]).write.parquet(f"{self.root}/{folder}/{name}")
         part = self._path(f"{self.root}/.manifest-{folder}")
@@ -68,4 +70,4 @@ class Store:
 
     def term_counts(self, filename: str) -> DataFrame:
         """term, term_count of one document."""
-        return self.load().postings.where(f"filename = '{filename.replace(chr(39), chr(92) + chr(39))}'").select("term", "term_count")
+        return self.load().postings.where(F.col("filename") == F.lit(filename)).select("term", "term_count")
