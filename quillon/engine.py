@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import threading
 from dataclasses import dataclass
 from time import time
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .operators import mutate
 from .operators.index import Index, build_index, counters
 from .plans.search import search
-from .sources.extract import scan_folder
+from .sources.extract import extract, inside, sanitised, scan_folder
 from .sources.store import Store
 
 
@@ -27,6 +29,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.store, self.state = spark, Store(spark, root), Status()
         self.index: Index | None = None
+        self._lock, self._thread, self._again = threading.Lock(), None, None
         self._use(self.store.load())
 
     def _use(self, index: Index | None) -> None:
@@ -46,11 +49,54 @@ class Engine:
     def rebuild(self, folder: str) -> None:
         self._publish(build_index(scan_folder(self.spark, folder)), "rebuild")
 
+    def start_rebuild(self, folder: str) -> bool:
+        """Rebuilds in the background. False if one is running: it is followed by one more, however often it is asked for."""
+        with self._lock:
+            if self._thread is not None:
+                self._again = folder
+                return False
+            self.state = Status("INDEXING", "rebuild", time())
+            self._thread = threading.Thread(target=self._rebuild, args=(folder,), name="rebuild", daemon=True)
+            self._thread.start()
+            return True
+
+    def _rebuild(self, folder: str | None) -> None:
+        while folder is not None:
+            try:
+                self.rebuild(folder)
+            except Exception as e:  # the status says so
+                self.state = Status("ERROR", "rebuild", self.state.started_at, time(), str(e))
+            with self._lock:
+                folder, self._again = self._again, None
+                if folder is None:
+                    self._thread = None
+
+    def wait(self, seconds: float | None = None) -> None:
+        """Until no rebuild runs."""
+        if thread := self._thread:
+            thread.join(seconds)
+
     def upsert(self, texts: DataFrame) -> DataFrame:
-        """Puts documents in or replaces them; returns filename, status, reason."""
-        self._publish(mutate.upsert(self.index, texts) if self.index else build_index(texts), "upsert")
+        """Puts documents in or replaces them, under safe names; returns filename, status, reason. Names of unsupported types are rejected."""
+        clean = mutate.sanitised_upload(texts)
+        self._publish(mutate.upsert(self.index, clean) if self.index else build_index(clean), "upsert")
         return mutate.upload_status(texts)
 
+    def upload(self, files: list[tuple[str, bytes]], folder: str) -> DataFrame:
+        """Saves files under safe names in a local folder and indexes them; returns filename, status, reason."""
+        given = self.spark.createDataFrame([(name, data, k) for k, (name, data) in enumerate(files)], "filename string, data binary, doc_seq long")
+        names = [r.clean for r in given.select(sanitised(given["filename"]).alias("clean"), "doc_seq").orderBy("doc_seq").collect()]
+        rows = []
+        for k, ((name, data), clean) in enumerate(zip(files, names, strict=True)):
+            path = inside(folder, clean) if clean else None
+            if path:
+                with open(f"{path}.part", "wb") as f:
+                    f.write(data)
+                os.replace(f"{path}.part", path)
+            text, pages, _ = extract(clean, data) if path else ("", [], None)
+            rows.append((name, path, text, pages, k))
+        return self.upsert(self.spark.createDataFrame(rows, "filename string, path string, text string, page_texts array<struct<page int, text string>>, doc_seq long"))
+
     def delete(self, names: list[str]) -> DataFrame:
         """Removes documents; returns filename, status."""
         asked = self.spark.createDataFrame([(n,) for n in names], "filename string")
@@ -72,6 +118,14 @@ class Engine:
     def get_document(self, name: str) -> DataFrame:
         return self.index.documents.where(self.index.documents["filename"] == name)
 
+    def has_document(self, name: str) -> bool:
+        return self.index is not None and not self.get_document(name).isEmpty()
+
+    def document_path(self, folder: str, name: str) -> str | None:
+        """The file of an indexed document in a local folder; None if the name leads out of it, is not indexed or has no file."""
+        path = inside(folder, name)
+        return path if path and os.path.isfile(path) and self.has_document(os.path.basename(path)) else None
+
     def status(self) -> dict:
         counts = counters(self.index).first().asDict() if self.index else {}
         return {**vars(self.state), "generation": self.store.generation(), **counts}

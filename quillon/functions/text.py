@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: White space, as a pattern: control spaces, the separators of Unicode.
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
 RUN = r"[\p{L}\p{N}]+"
+#: Characters that count as digits, those of decimal systems and those that stand for one digit.
+DIGIT = r"[\p{Nd}\u00b2\u00b3\u00b9\u1369-\u1371\u19da\u2070\u2074-\u2079\u2080-\u2089\u2460-\u2468\u2474-\u247c\u2488-\u2490\u24ea\u24f5-\u24fd\u24ff\u2776-\u277e\u2780-\u2788\u278a-\u2792]"
 #: The supported file types.
 TYPES = ("pdf", "docx", "txt")
 
@@ -36,7 +38,7 @@ def content_tokens(c: Column) -> Column:
 
 
 def is_number(c: Column) -> Column:
-    return c.rlike("^[0-9]+$")
+    return c.rlike(f"^{DIGIT}+$")
 
 
 def extension(c: Column) -> Column:

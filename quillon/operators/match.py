@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_number
+from ..functions.text import DIGIT, is_number
 
 #: Bounds and factors of the match weights.
 PREFIX_LEAST, PREFIX_MOST, NUMERIC_FACTOR, NUMERIC_LEAST, NUMERIC_MOST = 0.25, 0.90, 0.70, 0.20, 0.65
@@ -35,8 +35,8 @@ def prefix(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def numeric(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Numbers of two digits or more inside a term, not at its start. A term's distinct pairs of digits are the join key."""
     left = words.where(is_number(F.col("word")) & (F.length("word") >= 2)).withColumn("pair", F.left("word", F.lit(2)))
-    pairs = F.array_distinct(F.expr("filter(transform(sequence(1, length(term) - 1), i -> substring(term, i, 2)), p -> p RLIKE '^[0-9]{2}$')"))
-    right = vocabulary.where(F.col("term").rlike("[0-9]{2}")).withColumn("pair", F.explode(pairs))
+    pairs = F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substring("term", i, F.lit(2))), lambda p: p.rlike(f"^{DIGIT}{{2}}$")))
+    right = vocabulary.where(F.col("term").rlike(f"{DIGIT}{{2}}")).withColumn("pair", F.explode(pairs))
     found = left.join(right, "pair").where(F.col("term").contains(F.col("word")) & ~F.col("term").startswith(F.col("word"))).drop("pair")
     return found.withColumn("kind", F.lit(2)).withColumn("weight", F.greatest(F.lit(NUMERIC_LEAST), F.least(F.lit(NUMERIC_MOST), F.lit(NUMERIC_FACTOR) * _ratio())))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_tokens, stem
+from ..functions.text import content_tokens, name_tokens, stem
+from ..sources.extract import sanitised
 from .index import Index, build_index
 
 
@@ -23,11 +24,19 @@ def upsert(index: Index, texts: DataFrame) -> Index:
     return Index(*[a.unionByName(b.select(*a.columns)) for a, b in zip(four(old), four(new), strict=True)])
 
 
+def sanitised_upload(texts: DataFrame) -> DataFrame:
+    """texts with safe file names; those of unsupported types go. Of a name that comes more than once the last doc_seq counts."""
+    clean = texts.withColumn("filename", sanitised(F.col("filename"))).where("filename <> ''")
+    return clean.withColumn("n", F.row_number().over(Window.partitionBy("filename").orderBy(F.col("doc_seq").desc()))).where("n = 1").drop("n")
+
+
 def upload_status(texts: DataFrame) -> DataFrame:
-    """filename, status, reason for each document of an upload."""
-    words = F.size(F.filter(name_tokens(F.col("text")), lambda w: F.length(w) > 1)) > 0
-    named = F.coalesce(F.col("filename"), F.lit("")) != ""
-    return texts.select("filename", F.when(named & words, "indexed").when(named, "failed").otherwise("rejected").alias("status"), F.when(~named, "unsupported name").when(~words, "no readable text").alias("reason"))
+    """filename, status, reason for each document of an upload; filename is the safe name, or the given one if it is rejected."""
+    words = F.size(content_tokens(F.col("text"))) > 0
+    clean = texts.select("filename", "text", sanitised(F.col("filename")).alias("clean"))
+    named = F.coalesce(F.col("clean"), F.lit("")) != ""
+    status = F.when(named & words, "indexed").when(named, "failed").otherwise("rejected")
+    return clean.select(F.when(named, F.col("clean")).otherwise(F.col("filename")).alias("filename"), status.alias("status"), F.when(~named, "unsupported name").when(~words, "no readable text").alias("reason"))
 
 
 def delete_status(index: Index, asked: DataFrame) -> DataFrame:
@@ -40,19 +49,25 @@ def delete_status(index: Index, asked: DataFrame) -> DataFrame:
 def repaired_filename_terms(stored: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(terms, report): stored(filename, position, term) made to agree with the tokenizer, without orphans; what was wrong by document.
 
-    report: filename, problem (rewritten or orphan).
+    Stored sequences that are right stay, with positions from 0. report: filename, problem (rewritten or orphan).
     """
     held = stored.groupBy("filename").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "term"))), lambda x: x["term"]).alias("held"))
     right = documents.select("filename", name_tokens(stem(F.col("filename"))).alias("right"))
     both = held.join(right, "filename", "full")
-    report = both.select("filename", F.when(F.col("right").isNull(), "orphan").when(~F.coalesce("held", F.array().cast("array<string>")).eqNullSafe(F.col("right")), "rewritten").alias("problem")).where("problem IS NOT NULL")
-    return right.select("filename", F.posexplode("right").alias("position", "term")), report
+    same = F.coalesce("held", F.array().cast("array<string>")).eqNullSafe(F.col("right"))
+    report = both.select("filename", F.when(F.col("right").isNull(), "orphan").when(~same, "rewritten").alias("problem")).where("problem IS NOT NULL")
+    terms = both.where("right IS NOT NULL").select("filename", F.posexplode(F.when(same, F.col("held")).otherwise(F.col("right"))).alias("position", "term"))
+    return terms, report
+
+
+def repair_summary(report: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: documents, rewritten, orphans."""
+    counts = report.agg(F.count_if(F.col("problem") == "rewritten").alias("rewritten"), F.count_if(F.col("problem") == "orphan").alias("orphans"))
+    return documents.agg(F.count("*").alias("documents")).crossJoin(F.broadcast(counts))
 
 
 def recent_searches(searches: DataFrame, most: int = 8) -> DataFrame:
     """query, ts of each user's last searches, case ignored. searches: user_id, query, ts, id for ties."""
-    from pyspark.sql import Window
-
     text = F.lower(F.trim("query"))
     last = searches.where(text != "").withColumn("low", text).withColumn("n", F.row_number().over(Window.partitionBy("user_id", "low").orderBy(F.col("ts").desc(), F.col("id").desc()))).where("n = 1")
     ranked = last.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("id").desc())))

@@ -51,6 +51,16 @@ def paged(rows: DataFrame, order=ranked) -> DataFrame:
     return whole.where(F.col("rank").between(F.col("start"), F.col("end")))
 
 
+def page_strip(page: Column, total_pages: Column) -> Column:
+    """The page numbers that a reader is offered, as text: all of up to seven; else the first, the last and those around this one, with `...` for gaps."""
+    text = lambda a: F.transform(a, lambda x: x.cast("string"))
+    start, end = F.greatest(F.lit(2), page - 1), F.least(total_pages - 1, page + 1)
+    gap, none = F.array(F.lit("...")), F.array().cast("array<string>")
+    around = F.when(start <= end, text(F.sequence(start, F.greatest(start, end)))).otherwise(none)
+    some = F.concat(F.array(F.lit("1")), F.when(start > 2, gap).otherwise(none), around, F.when(end < total_pages - 1, gap).otherwise(none), F.array(total_pages.cast("string")))
+    return F.when(total_pages <= 1, none).when(total_pages <= 7, text(F.sequence(F.lit(1), F.greatest(total_pages, F.lit(1))))).otherwise(some)
+
+
 def match_type() -> Column:
     """Names the signals of a scored row."""
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0

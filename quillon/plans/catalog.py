@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from ..operators.index import Index, build_index, counters
 from ..operators.queries import parse
 from ..sources.corpus import texts
 from ..sources.extract import sanitised
+from ..sources.snapshot import load_json, write_json
 from ..sources.store import Store
 from . import oracle as O
 from .search import rank_all, scored
@@ -192,21 +196,50 @@ def _asked_to_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(spark.createDataFrame([("missing.pdf",), ("missing.pdf",), ("",)], "filename string"))
 
 
-def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _broken_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(stored, documents): every fifth document lacks its second token, another fifth has its tokens in reverse, one document is gone."""
     i = index(spark, sf_dir)
-    broken = i.filename_terms().where("NOT (position = 1 AND hash(filename) % 5 = 0)").unionByName(spark.createDataFrame([("gone.pdf", 0, "gone")], "filename string, position int, term string"))
-    return mutate.repaired_filename_terms(broken, i.documents)[0]
+    named = i.filename_terms().join(i.documents.select("filename", "doc_seq"), "filename")
+    stored = named.where("NOT (position = 1 AND doc_seq % 5 = 0)").select("filename", F.expr("CASE WHEN doc_seq % 5 = 1 THEN 99 - position ELSE position END").alias("position"), "term")
+    return stored.unionByName(spark.createDataFrame([("gone.pdf", 0, "gone")], "filename string, position int, term string")), i.documents
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-index-")
-    store = Store(spark, f"{root}/store")
+    store = Store(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
     store.publish(index(spark, sf_dir))
     return counters(store.load())
 
 
+def _json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{_shared(spark)}/json-{uuid.uuid4().hex}"
+    write_json(index(spark, sf_dir), folder)
+    return counters(load_json(spark, folder))
+
+
+def _shared(spark: SparkSession) -> str:
+    """A folder that all executors see; only a local session may use a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="quillon-index-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+
+
+#: For uploads: names that are cleaned or rejected, by the document's number modulo 6.
+def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_seq") % 6
+    name = (
+        F.when(k == 0, F.concat(F.lit("C:\\dir\\ "), "filename")).when(k == 1, F.concat(F.lit("../up/._"), "filename")).when(k == 2, F.concat(F.lit("Ünï ç  "), "filename"))
+        .when(k == 3, F.concat("filename", F.lit(".exe"))).when(k == 4, F.concat(F.lit("a?b*"), F.upper("filename"))).otherwise(F.col("filename"))
+    )
+    return texts(spark, sf_dir).withColumn("filename", name)
+
+
+UPLOADS_SQL = f"""{O.CORPUS}, up AS (SELECT doc_id, text, CASE doc_id % 6 WHEN 0 THEN 'C:\\dir\\ ' || filename WHEN 1 THEN '../up/._' || filename WHEN 2 THEN 'Ünï ç  ' || filename WHEN 3 THEN filename || '.exe' WHEN 4 THEN 'a?b*' || upper(filename) ELSE filename END AS given,
+  CASE doc_id % 6 WHEN 0 THEN 'Cdir_' || filename WHEN 1 THEN filename WHEN 2 THEN 'Uni_c_' || filename WHEN 3 THEN '' WHEN 4 THEN 'ab' || upper(filename) ELSE filename END AS clean FROM named)"""
+
+
 register("remove_documents", _removed, f"WITH {O.CORPUS} SELECT term, count(*) AS df, sum(term_count)::BIGINT AS total FROM postings WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY term")
 register("upsert_documents", _upserted,
          f"WITH {O.CORPUS}, b AS (SELECT item_id AS k, text FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents) UNION ALL SELECT item_id + 1000000000, text FROM benchmark WHERE item_id < 2), bt AS (SELECT k, unnest({O.content('text')}) AS term FROM b), "
@@ -214,12 +247,18 @@ register("upsert_documents", _upserted,
          "SELECT term, count(*) AS df, sum(term_count)::BIGINT AS total FROM u GROUP BY term")
 register("bulk_delete_status", lambda s, d: mutate.delete_status(index(s, d), _asked_to_delete(s, d)),
          f"WITH {O.CORPUS} SELECT n.filename, CASE WHEN m.doc_id IS NULL THEN 'not_found' ELSE 'deleted' END AS status FROM named n LEFT JOIN meta m USING (doc_id) WHERE n.doc_id < 10 UNION ALL SELECT 'missing.pdf', 'not_found'")
-register("repair_filename_terms", _repaired, ORACLE_SQL["filename_terms"])
+register("repair_filename_terms", lambda s, d: mutate.repaired_filename_terms(*_broken_names(s, d))[0], ORACLE_SQL["filename_terms"])
+register("repair_report", lambda s, d: mutate.repaired_filename_terms(*_broken_names(s, d))[1], f"WITH {O.CORPUS} SELECT filename, 'rewritten' AS problem FROM meta WHERE doc_id % 5 IN (0, 1) UNION ALL SELECT 'gone.pdf', 'orphan'")
+register("repair_summary", lambda s, d: (lambda b: mutate.repair_summary(mutate.repaired_filename_terms(*b)[1], b[1]))(_broken_names(s, d)), f"WITH {O.CORPUS} SELECT count(*) AS documents, count(*) FILTER (doc_id % 5 IN (0, 1)) AS rewritten, 1 AS orphans FROM meta")
 register("rebuild_roundtrip", _roundtrip, ORACLE_SQL["corpus_counts"])
-register("sanitize_filename", lambda s, d: texts(s, d).select("doc_seq", sanitised(F.concat(F.lit("C:\\dir/ ._"), "filename")).alias("clean")),
-         f"WITH {O.CORPUS} SELECT doc_id AS doc_seq, filename AS clean FROM named")
-register("upload_status", lambda s, d: mutate.upload_status(texts(s, d)),
-         f"WITH {O.CORPUS} SELECT filename, CASE WHEN len({O.content('text')}) > 0 THEN 'indexed' ELSE 'failed' END AS status, CASE WHEN len({O.content('text')}) > 0 THEN NULL ELSE 'no readable text' END AS reason FROM named")
+register("json_roundtrip", _json_roundtrip, ORACLE_SQL["corpus_counts"])
+register("sanitize_filename", lambda s, d: _uploads(s, d).select("doc_seq", sanitised(F.col("filename")).alias("clean")), f"WITH {UPLOADS_SQL} SELECT doc_id AS doc_seq, clean FROM up")
+register("upload_status", lambda s, d: mutate.upload_status(_uploads(s, d)),
+         f"WITH {UPLOADS_SQL}, w AS (SELECT *, len({O.content('text')}) > 0 AS words FROM up) SELECT CASE WHEN clean = '' THEN given ELSE clean END AS filename, CASE WHEN clean = '' THEN 'rejected' WHEN words THEN 'indexed' ELSE 'failed' END AS status, "
+         "CASE WHEN clean = '' THEN 'unsupported name' WHEN NOT words THEN 'no readable text' END AS reason FROM w")
+register("page_strip", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.array_join(rank.page_strip(F.col("c_custkey") % 13 + 1, F.greatest(F.col("c_custkey") % 13 + 1, F.col("c_custkey") % 17)), " ").alias("strip")),
+         """WITH c AS (SELECT c_custkey, c_custkey % 13 + 1 AS p, greatest(c_custkey % 13 + 1, c_custkey % 17) AS n FROM customer), k AS (SELECT *, CASE WHEN n <= 1 THEN [] WHEN n <= 7 THEN range(1, n + 1) ELSE list_sort(list_distinct(list_filter([1, p - 1, p, p + 1, n], lambda x: x BETWEEN 1 AND n))) END AS shown FROM c)
+SELECT c_custkey, array_to_string(list_transform(shown, lambda x, i: CASE WHEN i > 1 AND x - shown[i - 1] > 1 THEN '... ' ELSE '' END || x), ' ') AS strip FROM k""")
 register("recent_searches", lambda s, d: mutate.recent_searches(s.read.parquet(f"{d}/events.parquet").select("user_id", F.col("event_type").alias("query"), "ts", F.col("event_id").alias("id"))).select("user_id", "rank", "query"),
          "WITH a AS (SELECT user_id, event_type AS query, ts, event_id, row_number() OVER (PARTITION BY user_id, lower(event_type) ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE trim(event_type) <> ''), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM a WHERE n = 1) SELECT user_id, rank::INT AS rank, query FROM b WHERE rank <= 8")
 register("query_suggestions", lambda s, d: mutate.suggestions(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("rank"), F.col("p_name").alias("query")), "a"),

@@ -79,8 +79,8 @@ def _ascii(names: pd.Series) -> pd.Series:
 
 
 def sanitised(c: Column) -> Column:
-    """A safe file name: last path part, plain ASCII letters, digits and _.-; empty if it isn't a supported type."""
-    base = F.regexp_extract(F.regexp_replace(c, r"\\", "/"), r"([^/]*)$", 1)
+    """A safe file name: what follows the last slash, in plain ASCII letters, digits and _.-; empty if it isn't a supported type."""
+    base = F.regexp_extract(c, r"([^/]*)$", 1)
     plain = F.regexp_replace(F.trim(F.regexp_replace(_ascii(base), r"[\t-\r\x1c-\x20]+", " ")), " ", "_")
     clean = F.regexp_replace(F.regexp_replace(plain, r"[^A-Za-z0-9_.-]", ""), r"^[._]+|[._]+$", "")
     return F.when(clean.rlike(r"(?i).\.(pdf|docx|txt)$"), clean).otherwise("")

@@ -1,7 +1,9 @@
-"""Index generations as Parquet folders with a manifest that names the current one.
+"""Index generations as Parquet folders, each with a numbered manifest.
 
-All tables of a generation are written before the manifest is renamed into place, so readers see the old generation or
-the new one, never a mixture, and a broken write leaves the old one current. Paths are Hadoop paths.
+All tables of a generation are written before its manifest is renamed into place under a name that nobody has yet, so
+readers see the old generation or the new one, never a mixture, and a broken write leaves the old one current. The
+newest generation that can be read is the current one: if its files are damaged, the one before serves. The last KEEP
+generations stay, older ones go. Paths are Hadoop paths.
 """
 
 from __future__ import annotations
@@ -9,12 +11,15 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import Index
 from ..schemas import TABLES
 
+KEEP = 3
+
 
 class IncompleteSnapshot(ValueError):
     """A generation lacks a table."""
@@ -27,30 +32,49 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _manifest(self) -> dict | None:
-        at = self._path(f"{self.root}/MANIFEST.json")
-        if not self._fs.exists(at):
-            return None
-        return json.loads(self.spark.read.text(str(at.toString()), wholetext=True).first()[0])
+    def _numbers(self) -> list[int]:
+        """The generations with a manifest, newest first."""
+        found = self._fs.globStatus(self._path(f"{self.root}/manifest-*.json"))
+        return sorted((int(x.getPath().getName()[9:-5]) for x in found or ()), reverse=True)
+
+    def _manifest_path(self, number: int):
+        return self._path(f"{self.root}/manifest-{number:010d}.json")
+
+    def _folder(self, number: int) -> str:
+        text = self.spark.read.text(self._manifest_path(number).toString(), wholetext=True).first()[0]
+        return f"{self.root}/{json.loads(text)['folder']}"
+
+    def _read(self, number: int) -> Index:
+        folder = self._folder(number)
+        tables = [self.spark.read.schema(TABLES[t]).parquet(f"{folder}/{t}") for t in TABLES]
+        for t in TABLES:
+            if not self._fs.exists(self._path(f"{folder}/{t}/_SUCCESS")):
+                raise IncompleteSnapshot(f"{folder}/{t} was not written to its end")
+        return Index(*tables)
 
     def generation(self) -> int:
-        return (self._manifest() or {"generation": 0})["generation"]
+        return next(iter(self._numbers()), 0)
 
     def load(self) -> Index | None:
-        """The current generation, or None if there is none or it has no documents."""
-        now = self._manifest()
-        if not now:
-            return None
-        tables = [self.spark.read.schema(TABLES[t]).parquet(f"{self.root}/{now['folder']}/{t}") for t in TABLES]
-        return Index(*tables) if tables[0].take(1) else None
+        """The newest generation that can be read, or None if there is none or it has no documents."""
+        last: Exception | None = None
+        for number in self._numbers():
+            try:
+                index = self._read(number)
+                return index if index.documents.take(1) else None
+            except (PySparkException, ValueError, KeyError, TypeError) as e:
+                last = e
+        if last:
+            raise IncompleteSnapshot("no generation can be read") from last
+        return None
 
     def publish(self, index: Index) -> int:
-        """Writes a new generation and makes it current. documents are laid out by type, postings by term."""
+        """Writes a new generation and makes it current. documents are laid out by name, postings by term."""
         tables: dict[str, DataFrame | None] = {"documents": index.documents, "postings": index.postings, "pages": index.pages}
         if any(t is None for t in tables.values()):
             raise IncompleteSnapshot("documents, postings and pages are all needed")
-        number, folder = self.generation() + 1, f"gen-{uuid.uuid4().hex}"
         tables |= {"bodies": index.bodies(), "vocabulary": index.vocabulary()}
+        number, folder = self.generation() + 1, f"gen-{uuid.uuid4().hex}"
         layout = {"documents": "filename", "postings": "term", "pages": "filename", "bodies": "filename", "vocabulary": "term"}
         for name, df in tables.items():
             df.repartitionByRange(layout[name]).sortWithinPartitions(layout[name]).write.parquet(f"{self.root}/{folder}/{name}")
@@ -58,10 +82,14 @@ class Store:
         out = self._fs.create(part, True)
         out.write(bytearray(json.dumps({"generation": number, "folder": folder}).encode()))
         out.close()
-        final = self._path(f"{self.root}/MANIFEST.json")
-        self._fs.delete(final, False)
-        if not self._fs.rename(part, final):
-            raise OSError(f"{final.toString()} could not be replaced")
+        final = self._manifest_path(number)
+        if self._fs.exists(final) or not self._fs.rename(part, final):
+            self._fs.delete(part, False)
+            raise OSError(f"generation {number} was published by someone else")
+        for old in self._numbers()[KEEP:]:
+            gone = self._path(self._folder(old))
+            self._fs.delete(self._manifest_path(old), False)
+            self._fs.delete(gone, True)
         return number
 
     def count_documents(self) -> int:

@@ -113,6 +113,80 @@ def test_store_and_engine(spark, index, docs, tmp_path):
     assert engine.search("needle").count() == 0 and engine.status()["documents"] == 3
 
 
+def test_recovery_and_retention(spark, index, tmp_path):
+    import os
+    import shutil
+
+    root = str(tmp_path / "s")
+    store = Store(spark, root)
+    for _ in range(5):
+        store.publish(index)
+    assert store.generation() == 5 and len([x for x in os.listdir(root) if x.startswith("gen-")]) == 3
+    shutil.rmtree(f"{store._folder(5)}/postings")
+    assert store.load().postings.count() == index.postings.count()
+    open(f"{root}/manifest-0000000009.json", "w").write("{broken")
+    os.remove(f"{root}/.manifest-0000000009.json.crc") if os.path.exists(f"{root}/.manifest-0000000009.json.crc") else None
+    assert Store(spark, root).count_documents() == 4
+    assert {(r.term, r.term_count) for r in store.term_counts("network plan.docx").collect()} == {("network", 2), ("x55", 1), ("5551", 1)}
+    assert store.term_counts("a\\'").count() == 0
+
+
+def test_uploads(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    engine = Engine(spark, str(tmp_path / "e"))
+    got = engine.upload([("../x/Über uns.txt", b"Plain words here"), ("a.exe", b"no"), ("empty.txt", b"?"), ("C:\\d\\b.txt", b"other words")], str(folder))
+    assert {tuple(r) for r in got.collect()} == {("Uber_uns.txt", "indexed", None), ("a.exe", "rejected", "unsupported name"), ("empty.txt", "failed", "no readable text"), ("Cdb.txt", "indexed", None)}
+    assert sorted(p.name for p in folder.iterdir()) == ["Cdb.txt", "Uber_uns.txt", "empty.txt"]
+    assert engine.has_document("Uber_uns.txt") and not engine.has_document("a.exe")
+    assert engine.document_path(str(folder), "Uber_uns.txt") == str(folder / "Uber_uns.txt")
+    assert engine.document_path(str(folder), "../../etc/passwd") is None and engine.document_path(str(folder), "empty.txt") is None
+
+
+def test_background_rebuilds_are_joined(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("first words")
+    engine = Engine(spark, str(tmp_path / "e"))
+    assert engine.start_rebuild(str(tmp_path / "in")) is True and engine.status()["state"] == "INDEXING"
+    (tmp_path / "in" / "b.txt").write_text("second words")
+    assert [engine.start_rebuild(str(tmp_path / "in")) for _ in range(3)] == [False] * 3
+    engine.wait(120)
+    assert engine.status()["state"] == "READY" and engine.store.generation() == 2 and engine.store.count_documents() == 2
+    assert engine.start_rebuild(str(tmp_path / "nowhere")) is True
+    engine.wait(60)
+    assert engine.status()["state"] == "ERROR" and engine.store.count_documents() == 2
+
+
+def test_json_snapshots(spark, index, tmp_path):
+    import json
+
+    from quillon.sources.snapshot import load_json, write_json
+
+    write_json(index, str(tmp_path / "j"))
+    again = load_json(spark, str(tmp_path / "j"))
+    rows = lambda t, *c: sorted(map(tuple, t.select(*c).collect()))
+    for a, b, c in ((index.postings, again.postings, ("term", "filename", "term_count")), (index.pages, again.pages, ("filename", "page_number", "text")), (index.documents, again.documents, ("filename", "title", "total_words", "page_count", "ext")), (index.bodies(), again.bodies(), ("filename", "body"))):
+        assert rows(a, *c) == rows(b, *c)
+    whole = tmp_path / "k"
+    whole.mkdir()
+    (whole / "inverted_index.json").write_text(json.dumps({"word": {"a.txt": 2, "b.txt": 1}, "other": {"a.txt": 1}}, indent=2))
+    (whole / "document_meta.json").write_text("{ broken")
+    one = load_json(spark, str(whole))
+    assert one.postings.count() == 3 and one.documents.count() == 0 and one.pages.count() == 0
+
+
+def test_digits_of_other_scripts_and_page_strip(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.functions.text import is_number
+    from quillon.operators.rank import page_strip
+
+    rows = spark.createDataFrame([("12",), ("\u0663\u0664",), ("\u00b2",), ("1a",), ("\u00bd",), ("",)], "w string")
+    assert [r[0] for r in rows.select(is_number(F.col("w"))).collect()] == [w.isdigit() for w in ("12", "\u0663\u0664", "\u00b2", "1a", "\u00bd", "")]
+    pages = spark.createDataFrame([(1, 1), (2, 7), (1, 9), (5, 9), (9, 9), (3, 9)], "p int, n int")
+    assert [" ".join(r[0]) for r in pages.select(page_strip(F.col("p"), F.col("n"))).collect()] == ["", "1 2 3 4 5 6 7", "1 2 ... 9", "1 ... 4 5 6 ... 9", "1 ... 8 9", "1 2 3 4 ... 9"]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.TXT").write_bytes("Hé\r\nllo".encode())
     (tmp_path / "bad.txt").write_bytes(b"\xff\xfe")
