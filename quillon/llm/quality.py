@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, Workspace
+from .common import WORD, Workspace
 
 LEAST_WORDS, REPEATED = 50, 50
 #: Frequent function words of the corpus languages.
@@ -40,16 +40,13 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.select(*more, F.col(id_col).cast("long").alias("doc_id"), t.alias("t"))
     df = df.withColumns({"words": F.regexp_extract_all("t", F.lit(WORD), F.lit(0)), "lines": F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))})
-    spaceless = F.col("t")
-    for c in SPACES:
-        spaceless = F.replace(spaceless, F.lit(c), F.lit(""))
     kept = lambda pattern: F.length(F.regexp_replace("t", pattern, "")).cast("long")
     df = df.select(
         *more,
         "doc_id",
         "words",
         F.size("words").cast("long").alias("n_words"),
-        F.length(spaceless).cast("long").alias("word_chars"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         kept(r"[^#*$%&|<>]+").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
