@@ -84,7 +84,7 @@ def running_total(ws: Workspace, df: DataFrame, name: str, groups: list[str], or
     rows apart, so that a frequent key is cut like any other.
     """
     n = df.count()
-    dealt = df.repartitionByRange(max(1, -(-n // per_part)), *groups, *order) if n else df
+    dealt = df.repartitionByRange(-(-n // per_part), *groups, *order) if n > per_part else df.coalesce(1)
     dealt = ws.table(dealt.withColumn("part", F.spark_partition_id()), name)
     at = Window.partitionBy(*groups).orderBy("part")
     sums = dealt.groupBy(*groups, "part").agg(F.sum(value).alias("in_part"))

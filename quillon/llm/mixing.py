@@ -66,7 +66,7 @@ def targets(ws: Workspace, sizes: DataFrame, weights: tuple[int, ...], most: int
 
     Each round finds the sources above their limit at the present share and shares what is left among the others.
     """
-    named = ws.table(sizes.withColumns({"null_": F.col("source").isNull().cast("int"), "one_": F.lit(1).cast("long")}), "sizes")
+    named = sizes.withColumns({"null_": F.col("source").isNull().cast("int"), "one_": F.lit(1).cast("long")})
     ranked = running_total(ws, named, "ranked", [], ["null_", "source"], "one_").withColumnRenamed("before", "sid").drop("null_", "one_")
     known = ws.table(ranked.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("sid") % len(weights) + 1).cast("int")).cast("long")), "sources")
     total, free = known.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
@@ -93,7 +93,7 @@ def plan(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHT
     sources = sources.withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(words), F.ceil(size / PARTS))).cast("long")).withColumn("n_blocks", F.ceil(size / own).cast("long"))
     passes = F.floor(F.col("target") / F.greatest(size, F.lit(1)))
     wanted = F.least(passes * F.col("n_blocks") + F.round((F.col("target") - passes * size) / own), F.col("n_blocks") * most).cast("long")
-    sources = ws.table(sources.withColumn("wanted", wanted).withColumn("share", F.col("target") / own), "shares")
+    sources = sources.withColumn("wanted", wanted).withColumn("share", F.col("target") / own)
     share = sources.agg(F.sum("share")).first()[0] or 1.0
     # Shares as whole points, so that they add up alike in any order; rounding is lost to the last source.
     sources = sources.withColumn("points", F.floor(F.least(F.lit(1.0), F.col("share") / F.lit(float(share))) * float(1 << BITS)).cast("long"))
