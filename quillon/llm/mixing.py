@@ -162,15 +162,16 @@ def mixed_rows(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] =
     A column n_chars, where there is one, follows the text.
     """
     ws = Workspace(spark, "mixed")
-    kept = ws.table(docs.withColumn("mix_row_", F.monotonically_increasing_id()), "docs")
-    mix = plan(spark, kept, weights, most, block_words, "mix_row_", text_col, source_col)
-    runs = slices(mix).join(mix.rows.select("uid", F.col("doc_id").alias("mix_row_"), F.col("size").alias("mix_size_")), "uid")
-    rows = kept.join(runs.select("mix_row_", "mix_size_", F.col("at").cast("int").alias("mix_at_"), F.col("words").cast("int").alias("mix_words_")), "mix_row_")
+    # The columns of docs stay in one, so that they clash with none of ours.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    kept = ws.table(docs.select(whole, F.monotonically_increasing_id().alias("row")), "docs")
+    own = lambda c: F.col("whole")[c]
+    mix = plan(spark, kept.select("row", own(text_col).alias("text"), own(source_col).alias("source")), weights, most, block_words, "row", "text", "source")
+    runs = slices(mix).join(mix.rows.select("uid", F.col("doc_id").alias("row"), "size"), "uid")
+    rows = kept.join(runs.select("row", "size", F.col("at").cast("int").alias("at"), F.col("words").cast("int").alias("words")), "row")
     spaces = r"[\x20\x09-\x0D]"
     # Words with the spaces after them.
-    part = F.array_join(F.slice(F.split(F.ltrim(F.col(text_col), F.lit(SPACES)), f"(?<={spaces})(?!{spaces})"), F.col("mix_at_") + 1, F.col("mix_words_")), "")
-    text = F.when((F.col("mix_at_") == 0) & (F.col("mix_words_") == F.col("mix_size_")), F.col(text_col)).otherwise(part)
-    out = rows.withColumn(text_col, text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast("long"))
-    return out.select(*docs.columns)
+    part = F.array_join(F.slice(F.split(F.ltrim(own(text_col), F.lit(SPACES)), f"(?<={spaces})(?!{spaces})"), F.col("at") + 1, F.col("words")), "")
+    rows = rows.withColumn("taken", F.when((F.col("at") == 0) & (F.col("words") == F.col("size")), own(text_col)).otherwise(part))
+    new = {text_col: F.col("taken"), "n_chars": F.length("taken").cast("long")}
+    return rows.select(*[new.get(c, own(c)).alias(c) for c in docs.columns])

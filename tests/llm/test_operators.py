@@ -507,3 +507,47 @@ def test_top_k_reads_longer_vectors_after_shorter_ones(spark):
     share = spark.sparkContext.broadcast
     got = topk._pass(dealt, share([chosen]), share(np.eye(2)), 2, 3, 4).collect()
     assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: -r.score)] == [(15, 9015), (14, 9014), (13, 9013)]
+
+
+def test_neighbours_on_the_curve_are_alike(spark):
+    rng = random.Random(3)
+    topics = [[f"{a}{k}" for k in range(60)] for a in ("red", "blue", "green", "grey", "pink")]
+    rows = [(k, " ".join(rng.choice(topics[k % 5]) for _ in range(rng.randint(60, 160)))) for k in range(300)]
+    got = packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    order = [r.doc_id % 5 for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
+    alike = sum(a == b for a, b in zip(order, order[1:])) / (len(order) - 1)
+    assert alike > 0.2 + 5 * (0.2 * 0.8 / len(order)) ** 0.5, alike  # one in five by chance, and five standard deviations
+
+
+def test_each_source_comes_near_its_target(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(["w"] * rng.randint(1, 80)), f"s{min(k % 40, rng.randrange(40))}") for k in range(1500)]
+    got = mixing.taken(mixing.plan(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    taken, target, size = Counter(), {}, {}
+    for r, (_, _, source) in zip(sorted(got, key=lambda r: r.doc_id), rows):
+        taken[source] += r.taken
+        target[source], size[source] = r.target, r.source_size
+        assert r.taken <= 3 * r.size
+    for source in target:
+        assert abs(taken[source] - target[source]) <= max(16, size[source] / 16) + 1, (source, taken[source], target[source])
+
+
+def test_stages_take_awkward_tables(spark):
+    """No rows; null ids, texts and sources; repeated rows; a column that documents don't have."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix_at_ int"
+    rng = random.Random(1)
+    good = " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(120)) + ". The end of it is that the one was for you."
+    rows = [(None, None, None, None, None, 1), (None, good, "en", None, 5, 1), (3, good, "en", "a", 5, 1), (3, good, "en", "a", 5, 1), (4, "", "en", "a", 0, 1), (5, good + " and more", None, "b", 5, None)]
+    for table in ([], rows):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, "")
+            assert name == "packing" or got.columns == list(corpus_pipeline.COLUMNS), name
+            kept = got.collect()
+            assert bool(kept) == bool(table) or name == "quality_rules", name
+            if table and name == "near_duplicates":
+                assert sum(r.text is not None and len(r.text) > 99 for r in kept) == 1
+            if table and name == "repeated_passages":
+                assert len(kept) == len(rows) and all(len(r.text) < 99 for r in kept)
