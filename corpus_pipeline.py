@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. The
 caller writes a stage's result and gives it to the next.
+
+Defined cases: null and empty texts have no words, so quality_rules drops them; where the other stages meet them they stay
+as they are, and source_mix takes nothing of them. Null ids and sources are kept; rows with a null id are documents of
+their own, one of a group of near copies stays even if all its ids are null. Of repeated rows near_duplicates keeps one.
+An empty table gives an empty one in every stage. Columns that `documents` don't have are dropped, whatever their names.
 """
 
 from __future__ import annotations
