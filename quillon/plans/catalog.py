@@ -145,25 +145,38 @@ for name, queries in {"search_content": FLAGSHIP, "search_filename": pick(5, 17)
 register("match_type", _ranked(SCORED, lambda: [rank.match_type().alias("match_type")]),
          O.search(SCORED, "SELECT query_id, filename, CASE WHEN len(counted) > 0 AND phrase_match THEN 'Filename + Phrase' WHEN phrase_match THEN 'Phrase Match' WHEN len(counted) > 0 AND content_score <> 0 THEN 'Filename + Content' WHEN len(counted) > 0 THEN 'Filename Match' ELSE 'Content Match' END AS match_type FROM res"))
 PAGED = "page", "limit", "total", "total_pages", "start", "end", "has_next", "has_previous"
-PAGE_SQL = """, pg AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM {0}), pt AS (SELECT *, ((total + limit_no - 1) // limit_no)::INT AS total_pages FROM pg), pp AS (SELECT *, least(page_no, total_pages) AS pno FROM pt)
+PAGE_SQL = O.PAGES + """
 SELECT query_id, filename, rank::INT AS rank, pno AS page, limit_no AS "limit", total::INT AS total, total_pages, (pno - 1) * limit_no + 1 AS start, least(pno * limit_no, total)::INT AS "end", pno < total_pages AS has_next, pno > 1 AS has_previous
-FROM pp WHERE rank BETWEEN (pno - 1) * limit_no + 1 AND pno * limit_no"""
+FROM pr"""
 register("search_paginated", lambda s, d: rank.paged(scored(parse(asked(s, ALL)), index(s, d))).select("query_id", "filename", "rank", *PAGED[:6], *PAGED[6:]).withColumn("end", F.col("end").cast("int")), O.search(ALL, PAGE_SQL.format("res")))
 BROWSED = pick(6, 7, 8, 14)
 register("browse_filetype", lambda s, d: rank.paged(rank.browse_matches(parse(asked(s, BROWSED)), index(s, d)), rank.browse_ranked).select("query_id", "filename", "rank", *PAGED).withColumn("end", F.col("end").cast("int")),
-         f"WITH {O.values(BROWSED)},{O.CORPUS},{O.parsed()}, br AS (SELECT query_id, filename, page_no, limit_no, row_number() OVER (PARTITION BY query_id ORDER BY lower(filename), doc_id) AS rank FROM qq JOIN meta ON ext = filetype WHERE len(words) = 0)" + PAGE_SQL.format("br"))
+         f"WITH {O.values(BROWSED)},{O.CORPUS},{O.parsed()}, {O.BROWSE}" + PAGE_SQL.format("br"))
 
 # Snippets
 SNIPPED = pick(1, 3, 8, 11, 18)
 
 
-def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .search import search
+RESULT = ("query_id", "rank", "title", "snippet", "page", "highlights", "match_type", "score", "page_url")
+FULL = (*RESULT, "path", "document_url", "phrase_occurrences", "filename_score", "content_score", "exact_content_match", "prefix_similarity", "numeric_similarity", "lexical_match_relevance", "phrase_score", "filetype", "tag", "open_url", "page_no", "total", "total_pages")
 
-    return search(asked(spark, SNIPPED), index(spark, sf_dir)).select("query_id", "rank", "title", "snippet", "page", F.to_json("highlights").alias("highlights"), "match_type", "score", "page_url")
 
+def _results(queries: list[tuple], columns: tuple):
+    """Response rows: ranked ones with their snippets and browses by type."""
 
-register("search_results", _snippets)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .search import search
+
+        rows = search(asked(spark, queries), index(spark, sf_dir)).withColumn("highlights", F.to_json("highlights"))
+        return rows.withColumns({f"{c}_no" if c == "page" else c: F.col(f"pagination.{c}") for c in ("page", "total", "total_pages")}).select(*columns)
+
+    return run
+
+
+register("search_results", _results(SNIPPED, RESULT), O.results(SNIPPED, ", ".join(RESULT)))
+RANKED = [q for q in ALL if q[0] not in (6, 7)]
+register("result_rows", _results(RANKED, FULL), O.results(RANKED, ", ".join(FULL)))
+register("browse_rows", _results(pick(6, 7), FULL), O.browse_results(pick(6, 7), ", ".join(FULL)))
 
 
 # Changes

@@ -112,3 +112,58 @@ res AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final_
 
 def search(queries: list[tuple], tail: str) -> str:
     return f"WITH {values(queries)},{CORPUS},{parsed()},{SCORE} {tail}"
+
+
+#: The page of each query, from ranked rows in {0}.
+PAGES = """, pg AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total FROM {0}), pt AS (SELECT *, ((total + limit_no - 1) // limit_no)::INT AS total_pages FROM pg), pp AS (SELECT *, least(page_no, total_pages) AS pno FROM pt),
+pr AS (SELECT * FROM pp WHERE rank BETWEEN (pno - 1) * limit_no + 1 AND pno * limit_no)"""
+
+#: The place of a snippet in the pages of a result row: 1 the phrase, 2 a whole word, 3 a word that starts another, 4 any occurrence.
+SNIPPETS = """,
+m1 AS (SELECT query_id, doc_id, word, min(pos) AS pos FROM part GROUP BY ALL),
+m2 AS (SELECT query_id, doc_id, list(word ORDER BY pos) AS found FROM m1 GROUP BY ALL),
+kw AS (SELECT pr.*, coalesce(found, []) AS found, CASE WHEN phrase_match THEN string_split(phrase, ' ') ELSE found END AS given FROM pr LEFT JOIN m2 USING (query_id, doc_id)),
+kd AS (SELECT *, list_filter(given, lambda w, i: list_position(given, w) = i) AS ws FROM kw),
+sp AS (SELECT query_id, k.doc_id, page_number, """ + collapse("g.text") + """ AS t, ws, array_to_string(ws, ' ') AS whole FROM kd k JOIN pages_ g ON g.doc_id = k.doc_id WHERE len(found) > 0),
+ew AS (SELECT *, unnest(ws) AS w, unnest(range(len(ws))) AS word_at FROM sp),
+c1 AS (SELECT query_id, doc_id, page_number, t, 1 AS kind, 0.0::DOUBLE AS better, 0 AS word_at, strpos(t, whole) - 1 AS pos, length(whole) AS len, whole AS mark FROM sp WHERE len(ws) >= 2 AND contains(t, whole)),
+r2 AS (SELECT *, regexp_extract(' ' || t || ' ', '[^a-z0-9]' || w || '[^a-z0-9]') AS m FROM ew WHERE contains(t, w)),
+c2 AS (SELECT query_id, doc_id, page_number, t, 2 AS kind, 0.0::DOUBLE AS better, word_at, strpos(' ' || t || ' ', m) - 1 AS pos, length(w) AS len, w AS mark FROM r2 WHERE m <> ''),
+r3 AS (SELECT *, regexp_extract(' ' || t, '[^a-z0-9]' || w || '[a-z0-9]+') AS m FROM ew WHERE length(w) >= 3 AND contains(t, w)),
+c3 AS (SELECT query_id, doc_id, page_number, t, 3 AS kind, length(w)::DOUBLE / (length(m) - 1) AS better, word_at, strpos(' ' || t, m) - 1 AS pos, length(m) - 1 AS len, w AS mark FROM r3 WHERE m <> ''),
+sure AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3),
+r4 AS (SELECT *, string_split(t, w) AS cut FROM ew WHERE contains(t, w) AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM sure)),
+p4 AS (SELECT *, unnest(list_transform(range(1, len(cut)), lambda i: list_sum(list_transform(cut[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length(w))) AS pos FROM r4),
+c4 AS (SELECT query_id, doc_id, page_number, t, 4 AS kind, (1000 * len(list_filter(ws, lambda x: contains(substring(t, greatest(0, pos - 140) + 1, pos + 140 - greatest(0, pos - 140)), x))) + length(w))::DOUBLE AS better, word_at, pos, length(w) AS len, whole AS mark FROM p4),
+best AS (SELECT * FROM (SELECT * FROM sure UNION ALL SELECT * FROM c4) QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY kind, better DESC, page_number, word_at, pos) = 1),
+w1 AS (SELECT *, greatest(0, pos - 140) AS a, least(length(t), pos + len + 140) AS z FROM best),
+w2 AS (SELECT *, trim(substring(t, a + 1, z - a), ' ') AS core FROM w1),
+w3 AS (SELECT *, CASE WHEN a = 0 THEN core WHEN contains(core, ' ') THEN '... ' || substring(core, strpos(core, ' ') + 1) ELSE '... ' || core END AS lefted FROM w2),
+w4 AS (SELECT *, CASE WHEN z < length(t) THEN regexp_replace(lefted, ' [^ ]*$', '') || ' ...' ELSE lefted END AS snip FROM w3),
+h1 AS (SELECT *, string_split(snip, mark) AS cut FROM w4),
+h2 AS (SELECT *, list_transform(range(1, len(cut)), lambda i: list_sum(list_transform(cut[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length(mark)) AS b FROM h1),
+h3 AS (SELECT *, list_filter(b, lambda x, i: i = 1 OR x > b[i - 1] + length(mark)) AS begins, list_filter(b, lambda x, i: i = len(b) OR b[i + 1] > x + length(mark)) AS lasts FROM h2),
+sn AS (SELECT query_id, doc_id, page_number, snip, '[' || array_to_string(list_transform(begins, lambda x, i: '{"start":' || x || ',"end":' || lasts[i] + length(mark) || '}'), ',') || ']' AS highlights FROM h3),
+rr AS (SELECT kd.*, CASE WHEN len(found) > 0 THEN coalesce(snip, 'No matching text found.') ELSE 'Filename matched: ' || array_to_string(list_filter(counted, lambda x, i: list_position(counted, x) = i), ', ') END AS snippet,
+  CASE WHEN len(found) > 0 THEN page_number END AS at_page, coalesce(highlights, '[]') AS highlights, '/api/documents/' || url_encode(filename) AS url FROM kd LEFT JOIN sn USING (query_id, doc_id)),
+ro AS (SELECT query_id, rank::INT AS rank, filename AS title, '/data/' || filename AS path, url AS document_url, url || coalesce('#page=' || at_page, '') AS page_url, snippet, at_page::INT AS page, highlights, occ::INT AS phrase_occurrences,
+  round(filename_score, 4) AS filename_score, round(content_score, 4) AS content_score, exact_ AS exact_content_match, round(pre_, 4)::DOUBLE AS prefix_similarity, round(num_, 4)::DOUBLE AS numeric_similarity, round(lexical, 4) AS lexical_match_relevance,
+  round(phrase_score, 4) AS phrase_score, round(final_score, 4) AS score, CASE WHEN len(counted) > 0 AND phrase_match THEN 'Filename + Phrase' WHEN phrase_match THEN 'Phrase Match' WHEN len(counted) > 0 AND len(found) > 0 THEN 'Filename + Content' WHEN len(counted) > 0 THEN 'Filename Match' ELSE 'Content Match' END AS match_type,
+  filetype, 'Ranked Result' AS tag, url || coalesce('#page=' || at_page, '') AS open_url, pno::INT AS page_no, total::INT AS total, total_pages FROM rr)"""
+
+BROWSE = """br AS (SELECT query_id, filename, filetype, page_no, limit_no, row_number() OVER (PARTITION BY query_id ORDER BY lower(filename), doc_id) AS rank FROM qq JOIN meta ON ext = filetype WHERE len(words) = 0)"""
+
+BROWSE_ROWS = """,
+bo AS (SELECT query_id, rank::INT AS rank, filename AS title, '/data/' || filename AS path, '/api/documents/' || url_encode(filename) AS document_url, '/api/documents/' || url_encode(filename) AS page_url, 'Filtered by file type: ' || upper(filetype) AS snippet, NULL::INT AS page, '[]' AS highlights, 0::INT AS phrase_occurrences,
+  0.0::DOUBLE AS filename_score, 0.0::DOUBLE AS content_score, NULL::BOOLEAN AS exact_content_match, NULL::DOUBLE AS prefix_similarity, NULL::DOUBLE AS numeric_similarity, NULL::DOUBLE AS lexical_match_relevance, 0.0::DOUBLE AS phrase_score, 1.0::DOUBLE AS score, 'File Type: ' || upper(filetype) AS match_type,
+  filetype, 'Filtered Result' AS tag, '/api/documents/' || url_encode(filename) AS open_url, pno::INT AS page_no, total::INT AS total, total_pages FROM pr)"""
+
+
+def results(queries: list[tuple], columns: str) -> str:
+    """The response rows of ranked pages."""
+    return search(queries, f"{PAGES.format('res')}{SNIPPETS} SELECT {columns} FROM ro".lstrip())
+
+
+def browse_results(queries: list[tuple], columns: str) -> str:
+    """The response rows of browses by type."""
+    return f"WITH {values(queries)},{CORPUS},{parsed()}, {BROWSE}{PAGES.format('br')}{BROWSE_ROWS} SELECT {columns} FROM bo"
