@@ -1,13 +1,17 @@
 """WARC archives: written whole, normalised to one gzip member for each record, indexed and read back.
 
 Writing makes records in SQL expressions and stores them as text files with the record separator of the format; the
-gzip codec makes each file one monolithic gzip stream. The normaliser inflates such a stream once, piece by piece,
-writes every record again as a gzip member of its own and notes offset and length in a sidecar file next to the
-archive. Readers take the sidecar files as a table and open archives only where it points.
+gzip codec makes each file one monolithic gzip stream. The normaliser reads and inflates such a stream once, piece by
+piece, writes every record again as a gzip member of its own and notes offset and length in a sidecar file next to the
+archive. It holds one record at a time, and a new archive begins where one has reached its size, so streams may be of
+any length. Readers take the sidecar files as a table and open archives only where it points.
 
 Archives appear under their name only when they are complete, and names follow the input file, so a task that runs
 again after a lost executor replaces its own output.
 
+Payloads are not shuffled while the table of repeated payloads is small enough to be broadcast (FEW_REPEATS rows of a
+digest and two numbers, counted first); beyond that, pages and repeats meet in a salted merge join.
+
 Defined cases: null html is an empty payload; a null url leaves the header out, control characters and spaces in urls are
 percent-encoded; a null page_id is never the response of a group unless all of it are null; repeated rows that share the
 largest page_id are all responses; an empty table gives no archives and no rows; other columns are not read.
@@ -19,7 +23,7 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
@@ -29,16 +33,31 @@ from pyspark.sql import functions as F
 from .common import Workspace, many_to_one
 
 LEAST_BYTES = 1000
+#: An archive ends with the record that takes it to so many bytes.
+ARCHIVE_BYTES = 1 << 30
+#: Up to so many repeated payloads (about 100 bytes each) are broadcast.
+FEW_REPEATS = 100_000
+CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = ("archive", "offset", "length", "type", "record_id")
 
 
-def marked(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """pages(page_id, url, payload) with payload_bytes, digest and keeper: the page_id that holds this payload, null for the holder itself."""
+def repeated(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """digest, payload_bytes, largest: the payloads that more than one of pages(page_id, payload) has, and their largest page_id."""
+    sizes = pages.select("page_id", "payload", F.octet_length("payload").cast("long").alias("payload_bytes")).where(F.col("payload_bytes") >= least_bytes)
+    sums = sizes.select("page_id", F.sha1(F.col("payload").cast("binary")).alias("digest"), "payload_bytes")
+    return sums.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("largest"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+
+
+def marked(pages: DataFrame, same: DataFrame, few: bool) -> DataFrame:
+    """pages(page_id, url, payload) with payload_bytes, digest and keeper: the page_id that holds this payload, null for the holder itself.
+
+    same: what `repeated` says of these pages; few: it may be broadcast.
+    """
     whole = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    same = whole.where(F.col("payload_bytes") >= least_bytes).groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("largest"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    joined = many_to_one(whole, same, ["digest", "payload_bytes"], "left")
+    keys = ["digest", "payload_bytes"]
+    joined = whole.join(F.broadcast(same), keys, "left") if few else many_to_one(whole, same, keys, "left")
     return joined.withColumn("keeper", F.when(~F.col("largest").eqNullSafe(F.col("page_id")), F.col("largest"))).drop("largest")
 
 
@@ -61,26 +80,31 @@ def record(page_id: str = "page_id", url: str = "url") -> Column:
     )
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """pages(page_id, url, html) as monolithic gzip archives under path."""
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, few_repeats: int = FEW_REPEATS) -> None:
+    """pages(page_id, url, html) as monolithic gzip archives in path/monolithic; path/repeats gets the table of repeated payloads."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    marked(rows, least_bytes).select(record().alias("value")).write.mode("overwrite").option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
-
-
-def inflated(data: bytes, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The content of a gzip file of one or more members, piece by piece."""
-    at = 0
-    while at < len(data):
-        one = zlib.decompressobj(31)
-        while not one.eof and at < len(data):
-            piece = data[at : at + chunk]
-            at += len(piece)
-            while piece and not one.eof:
-                yield one.decompress(piece, chunk)
+    same = repeated(rows, least_bytes)
+    same.write.mode("overwrite").parquet(f"{path}/repeats")
+    same = pages.sparkSession.read.schema(same.schema).parquet(f"{path}/repeats")
+    texts = marked(rows, same, same.count() <= few_repeats).select(record().alias("value"))
+    texts.write.mode("overwrite").option("compression", "gzip").option("lineSep", "\r\n\r\n").text(f"{path}/monolithic")
+
+
+def inflated(pieces: Iterable[bytes], chunk: int = CHUNK) -> Iterator[bytes]:
+    """The content of a gzip file of one or more members, in pieces of at most chunk bytes; the file comes in pieces too."""
+    one, begun = zlib.decompressobj(31), False
+    for piece in pieces:
+        while piece:
+            begun = True
+            yield one.decompress(piece, chunk)
+            if one.eof:
+                piece, one, begun = one.unused_data, zlib.decompressobj(31), False
+            else:
                 piece = one.unconsumed_tail
-        at -= len(one.unused_data)
-        if not one.eof:
-            raise EOFError("the gzip stream ends early")
+    while begun and (rest := one.decompress(one.unconsumed_tail, chunk)):
+        yield rest
+    if begun and not one.eof:
+        raise EOFError("the gzip stream ends early")
 
 
 def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -110,35 +134,67 @@ def headers(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
 
 
-def _publish(uri: str, data: bytes) -> None:
+def _pieces(uri: str, size: int = CHUNK) -> Iterator[bytes]:
     fs, path = FileSystem.from_uri(uri)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part) as out:
-        out.write(data)
-    fs.move(part, path)
-
-
-def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
+    with fs.open_input_file(path) as file:
+        while piece := file.read(size):
+            yield piece
+
+
+class _Archive:
+    """An archive that is being written, with its sidecar. Both are written under other names and get their own at `close`."""
+
+    def __init__(self, uri: str) -> None:
+        self.uri, self.at, self.records = uri, 0, 0
+        self._fs, self._path = FileSystem.from_uri(uri)
+        self._part = f"{self._path}.{uuid.uuid4().hex}.part"
+        self._out, self._lines = self._fs.open_output_stream(self._part), self._fs.open_output_stream(f"{self._part}.idx.part")
+
+    def add(self, head: dict[str, str], whole: bytes) -> None:
+        own = zlib.compressobj(6, zlib.DEFLATED, 31)
+        member = own.compress(whole) + own.flush()
+        place = dict(zip(NAMES, (self.uri, self.at, len(member), head["warc-type"], head["warc-record-id"]), strict=True))
+        self._out.write(member)
+        self._lines.write((json.dumps(place) + "\n").encode())
+        self.at += len(member)
+        self.records += 1
+
+    def close(self) -> None:
+        self._out.close()
+        self._lines.close()
+        self._fs.move(self._part, self._path)
+        self._fs.move(f"{self._part}.idx.part", f"{self._path}.idx")
+
+
+def rewrite(source: str, target: str, stem: str, archive_bytes: int = ARCHIVE_BYTES) -> Iterator[tuple[str, int, int]]:
+    """Rewrites one monolithic file into archives target/stem-0.warc.gz, -1 and so on; (archive, records, bytes) of each."""
+    n, now = 0, None
+    for head, whole in records(inflated(_pieces(source))):
+        if now is not None and now.at >= archive_bytes:
+            now.close()
+            yield now.uri, now.records, now.at
+            n, now = n + 1, None
+        now = now or _Archive(f"{target}/{stem}-{n}.warc.gz")
+        now.add(head, whole)
+    if now is not None:
+        now.close()
+        yield now.uri, now.records, now.at
+
+
+def normalise(spark: SparkSession, source: str, target: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Rewrites the archives under source into target; returns (archive, records, bytes), lazily: it is the action that does the work."""
 
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                name = path.rpartition("/")[2].removesuffix(".txt.gz") + ".warc.gz"
-                out, lines, at = bytearray(), [], 0
-                for head, whole in records(inflated(content.as_py())):
-                    own = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    member = own.compress(whole) + own.flush()
-                    lines.append(json.dumps(dict(zip(NAMES, (f"{target}/{name}", at, len(member), head["warc-type"], head["warc-record-id"]), strict=True))))
-                    out += member
-                    at += len(member)
-                _publish(f"{target}/{name}", bytes(out))
-                _publish(f"{target}/{name}.idx", "".join(x + "\n" for x in lines).encode())
-                yield pa.RecordBatch.from_arrays([pa.array([f"{target}/{name}"]), pa.array([len(lines)], pa.int64()), pa.array([at], pa.int64())], ["archive", "records", "bytes"])
+            for path in batch.column(0).to_pylist():
+                name = path.rpartition("/")[2]
+                for row in rewrite(f"{source}/{name}", target, name.removesuffix(".txt.gz"), archive_bytes):
+                    yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.int64()), pa.array([row[2]], pa.int64())], ["archive", "records", "bytes"])
 
     FileSystem.from_uri(target)[0].create_dir(FileSystem.from_uri(target)[1], recursive=True)
+    # Only paths are selected, so Spark lists the files and deals them by size, but reads none of them.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source)
-    return files.select("path", "content").mapInArrow(rewrite, "archive string, records long, bytes long")
+    return files.select("path").mapInArrow(work, "archive string, records long, bytes long")
 
 
 def index(spark: SparkSession, target: str) -> DataFrame:
@@ -184,7 +240,7 @@ def read(places: DataFrame) -> DataFrame:
 def archive_and_read(spark: SparkSession, pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes the pages as archives in the shared folder, normalises and indexes them, and reads every record back."""
     ws = Workspace(spark, "warc")
-    write(pages, f"{ws.path}/monolithic", least_bytes)
+    write(pages, ws.path, least_bytes)
     ws.table(normalise(spark, f"{ws.path}/monolithic", f"{ws.path}/archives"), "written")
     ws.drop("monolithic")
     return read(index(spark, f"{ws.path}/archives"))

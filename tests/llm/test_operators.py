@@ -458,7 +458,34 @@ def test_warc(spark):
     assert bag(warc.archive_and_read(spark, df).collect(), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
     assert warc.archive_and_read(spark, df.limit(0)).count() == 0
     data = b"".join(zlib.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * k, wbits=31) for k in (1, 2))
-    assert len(list(warc.records(warc.inflated(data, 7)))) == 3
+    for size in (1, 5, len(data)):
+        assert len(list(warc.records(warc.inflated((data[k : k + size] for k in range(0, len(data), size)), 7)))) == 3
+    assert list(warc.inflated([])) == []
+    with pytest.raises(EOFError):
+        list(warc.inflated([data[:-3]]))
+
+
+def test_warc_archives_roll_and_joins_agree(spark, tmp_path):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefgh \n") for _ in range(rng.choice((0, 30, 1500, 4000)))) for _ in range(60)]
+    texts.append("long " * 600_000)
+    pages = [(k, f"http://h/{k}", rng.choice(texts)) for k in range(300)] + [(1000, "u", texts[-1]), (1001, "u", texts[-1])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    top = {}
+    for i, _, t in pages:
+        top[t] = max(i, top.get(t, i))
+    want = Counter()
+    for i, _, t in pages:
+        again = len(t) >= 1000 and top[t] != i
+        want[i, len(t), hashlib.sha1(t.encode()).hexdigest(), "revisit" if again else "response", top[t] if again else None] += 1
+    for few in (0, 1000):
+        at = str(tmp_path / str(few))
+        warc.write(df, at, few_repeats=few)
+        files = warc.normalise(spark, f"{at}/monolithic", f"{at}/archives", archive_bytes=20_000).collect()
+        assert len(files) > 4 and sum(f.records for f in files) == len(pages)
+        read = warc.read(warc.index(spark, f"{at}/archives")).collect()
+        assert bag(read, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == want
+        assert {r.archive for r in read} == {f.archive for f in files}
 
 
 def test_pipeline(spark, tmp_path):
