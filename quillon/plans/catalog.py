@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import text as T
 from ..operators import match, mutate, rank, score
 from ..operators.index import Index, build_index, counters
@@ -239,6 +240,48 @@ def _shared(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """An engine over a store of its own that holds the whole corpus as its first generation."""
+    root = f"{_shared(spark)}/engine-{uuid.uuid4().hex}"
+    Store(spark, root).publish(index(spark, sf_dir))
+    return Engine(spark, root)
+
+
+def _engine_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine says of itself after documents were replaced and added."""
+    e = _engine(spark, sf_dir)
+    e.upsert(_revised(spark, sf_dir))
+    now = e.status()
+    columns = "state string, generation int, documents long, content_terms long, filenames_indexed long, page_text_entries long"
+    return spark.createDataFrame([tuple(now[c.split()[0]] for c in columns.split(", "))], columns)
+
+
+def _engine_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statuses of a delete, each with the number of documents that the store has after it and whether it still has this one."""
+    e = _engine(spark, sf_dir)
+    names = [r.filename for r in _asked_to_delete(spark, sf_dir).collect()]
+    done = e.delete(names)
+    left = e.store.load().documents.select("filename", F.lit(True).alias("there"))
+    return done.join(left, "filename", "left").select("filename", "status", F.coalesce("there", F.lit(False)).alias("there"), F.lit(e.store.count_documents()).cast("long").alias("documents"))
+
+
+def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of what is served when the newest generation is damaged: the one before."""
+    e = _engine(spark, sf_dir)
+    number = e.store.publish(mutate.remove(e.index, _toxic(spark, sf_dir)))
+    e.store._fs.delete(e.store._path(f"{e.store._folder(number)}/postings"), True)
+    return counters(Engine(spark, e.store.root).index)
+
+
+#: A document that point lookups ask for, by number.
+LOOKED_UP = 7
+
+
+def _lookup(spark: SparkSession, sf_dir: str, what) -> DataFrame:
+    name = texts(spark, sf_dir).where(F.col("doc_seq") == LOOKED_UP).first()
+    return what(_engine(spark, sf_dir), name.filename if name else "")
+
+
 #: For uploads: names that are cleaned or rejected, by the document's number modulo 6.
 def _uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_seq") % 6
@@ -253,17 +296,24 @@ UPLOADS_SQL = f"""{O.CORPUS}, up AS (SELECT doc_id, text, CASE doc_id % 6 WHEN 0
   CASE doc_id % 6 WHEN 0 THEN 'Cdir_' || filename WHEN 1 THEN filename WHEN 2 THEN 'Uni_c_' || filename WHEN 3 THEN '' WHEN 4 THEN 'ab' || upper(filename) ELSE filename END AS clean FROM named)"""
 
 
+REVISED_SQL = f"""{O.CORPUS}, b AS (SELECT item_id AS k, text FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents) UNION ALL SELECT item_id + 1000000000, text FROM benchmark WHERE item_id < 2), bt AS (SELECT k, unnest({O.content('text')}) AS term FROM b),
+bp AS (SELECT k AS doc_id, term, count(*) AS term_count FROM bt GROUP BY k, term), u AS (SELECT doc_id, term, term_count FROM postings WHERE doc_id NOT IN (SELECT doc_id FROM bp) UNION ALL SELECT * FROM bp)"""
 register("remove_documents", _removed, f"WITH {O.CORPUS} SELECT term, count(*) AS df, sum(term_count)::BIGINT AS total FROM postings WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY term")
 register("upsert_documents", _upserted,
-         f"WITH {O.CORPUS}, b AS (SELECT item_id AS k, text FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents) UNION ALL SELECT item_id + 1000000000, text FROM benchmark WHERE item_id < 2), bt AS (SELECT k, unnest({O.content('text')}) AS term FROM b), "
-         "bp AS (SELECT k AS doc_id, term, count(*) AS term_count FROM bt GROUP BY k, term), u AS (SELECT doc_id, term, term_count FROM postings WHERE doc_id NOT IN (SELECT doc_id FROM bp) UNION ALL SELECT * FROM bp) "
-         "SELECT term, count(*) AS df, sum(term_count)::BIGINT AS total FROM u GROUP BY term")
+         f"WITH {REVISED_SQL} SELECT term, count(*) AS df, sum(term_count)::BIGINT AS total FROM u GROUP BY term")
 register("bulk_delete_status", lambda s, d: mutate.delete_status(index(s, d), _asked_to_delete(s, d)),
          f"WITH {O.CORPUS} SELECT n.filename, CASE WHEN m.doc_id IS NULL THEN 'not_found' ELSE 'deleted' END AS status FROM named n LEFT JOIN meta m USING (doc_id) WHERE n.doc_id < 10 UNION ALL SELECT 'missing.pdf', 'not_found'")
 register("repair_filename_terms", lambda s, d: mutate.repaired_filename_terms(*_broken_names(s, d))[0], ORACLE_SQL["filename_terms"])
 register("repair_report", lambda s, d: mutate.repaired_filename_terms(*_broken_names(s, d))[1], f"WITH {O.CORPUS} SELECT filename, 'rewritten' AS problem FROM meta WHERE doc_id % 5 IN (0, 1) UNION ALL SELECT 'gone.pdf', 'orphan'")
 register("repair_summary", lambda s, d: (lambda b: mutate.repair_summary(mutate.repaired_filename_terms(*b)[1], b[1]))(_broken_names(s, d)), f"WITH {O.CORPUS} SELECT count(*) AS documents, count(*) FILTER (doc_id % 5 IN (0, 1)) AS rewritten, 1 AS orphans FROM meta")
 register("rebuild_roundtrip", _roundtrip, ORACLE_SQL["corpus_counts"])
+register("engine_upsert", _engine_upserted, f"WITH {REVISED_SQL} SELECT 'READY' AS state, 2::INT AS generation, count(DISTINCT doc_id) AS documents, count(DISTINCT term) AS content_terms, count(DISTINCT doc_id) AS filenames_indexed, count(DISTINCT doc_id) AS page_text_entries FROM u")
+register("engine_delete", _engine_deleted,
+         f"WITH {O.CORPUS} SELECT n.filename, CASE WHEN m.doc_id IS NULL THEN 'not_found' ELSE 'deleted' END AS status, false AS there, (SELECT count(*) FROM meta WHERE doc_id >= 10) AS documents FROM named n LEFT JOIN meta m USING (doc_id) WHERE n.doc_id < 10 UNION ALL SELECT 'missing.pdf', 'not_found', false, (SELECT count(*) FROM meta WHERE doc_id >= 10)")
+register("engine_recovery", _recovered, ORACLE_SQL["corpus_counts"])
+register("document_postings", lambda s, d: _lookup(s, d, lambda e, name: e.store.term_counts(name)), f"WITH {O.CORPUS} SELECT term, term_count::INT AS term_count FROM postings JOIN meta USING (doc_id) WHERE doc_id = {LOOKED_UP}")
+register("open_document", lambda s, d: _lookup(s, d, lambda e, name: e.get_document(name).select("filename", "path", "total_words", "ext", F.array_join("filename_words", " ").alias("words"))),
+         f"WITH {O.CORPUS} SELECT filename, '/data/' || filename AS path, total_words::INT AS total_words, ext, array_to_string(fwords, ' ') AS words FROM meta WHERE doc_id = {LOOKED_UP}")
 register("json_roundtrip", _json_roundtrip, ORACLE_SQL["corpus_counts"])
 register("sanitize_filename", lambda s, d: _uploads(s, d).select("doc_seq", sanitised(F.col("filename")).alias("clean")), f"WITH {UPLOADS_SQL} SELECT doc_id AS doc_seq, clean FROM up")
 register("upload_status", lambda s, d: mutate.upload_status(_uploads(s, d)),
