@@ -12,6 +12,13 @@ WINDOW = 140
 HIGHLIGHTS = "array<struct<start:int,end:int>>"
 
 
+def _starts(parts: Column, n: Column) -> Column:
+    """Where the literal of n characters stands (from 0) that a text was split by, in one pass over the parts."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + n).cast("int").alias("at"), F.concat(a["all"], F.array((a["at"] + F.length(p)).cast("int"))).alias("all"))
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), zero, step, lambda a: a["all"])
+
+
 def candidates(rows: DataFrame, pages: DataFrame, window: int = WINDOW) -> DataFrame:
     """rows(key, filename, snippet_words) x pages -> possible places of a snippet: kind, order, pos (from 0), len and what to highlight.
 
@@ -29,9 +36,8 @@ def candidates(rows: DataFrame, pages: DataFrame, window: int = WINDOW) -> DataF
     two = two.withColumns({"kind": F.lit(2), "better": F.lit(0.0), "len": F.length("w"), "mark": F.col("w")})
     three = each.where("length(w) >= 3").withColumn("found", F.expr(f"regexp_extract(low, {literal}[a-z0-9]+'), 0)")).where("found <> ''")
     three = three.withColumns({"kind": F.lit(3), "better": F.length("w").cast("double") / F.length("found"), "pos": F.expr(f"regexp_instr(low, {literal}[a-z0-9]+')) - 1"), "len": F.length("found"), "mark": F.col("w")})
-    parts = F.expr(r"split(low, concat('\\Q', w, '\\E'))")
-    starts = F.expr("transform(slice(parts, 1, size(parts) - 1), (p, i) -> aggregate(slice(parts, 1, i + 1), 0, (a, x) -> a + length(x)) + i * length(w))")
-    four = each.where(F.contains("low", "w")).withColumn("parts", parts).withColumn("pos", F.explode(starts))
+    starts = _starts(F.split("low", F.concat(F.lit(r"\Q"), F.col("w"), F.lit(r"\E"))), F.length("w"))
+    four = each.where(F.contains("low", "w")).withColumn("pos", F.explode(starts))
     around = F.expr(f"substring(low, greatest(0, pos - {window}) + 1, pos + {window} - greatest(0, pos - {window}))")
     four = four.withColumn("around", around).withColumns({"kind": F.lit(4), "better": F.size(F.filter("ws", lambda x: F.contains("around", x))) * 1000.0 + F.length("w"), "len": F.length("w"), "mark": F.col("phrase")})
     return one.select(columns).unionByName(two.select(columns)).unionByName(three.select(columns)).unionByName(four.select(columns))
@@ -55,7 +61,7 @@ def highlights(snippet: Column, mark: Column) -> Column:
     """Non-overlapping places of mark in snippet as merged ranges; touching ranges become one."""
     parts = F.split(F.lower(snippet), F.concat(F.lit(r"\Q"), F.lower(mark), F.lit(r"\E")))
     n = F.length(mark)
-    begins = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.length(x)) + i * n)
+    begins = _starts(parts, n)
     empty = F.array().cast(HIGHLIGHTS)
     last = lambda a: F.element_at(a, -1)
     longer = lambda a, b: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), (b + n).cast("int").alias("end"))))
