@@ -312,7 +312,7 @@ register("engine_delete", _engine_deleted,
          f"WITH {O.CORPUS} SELECT n.filename, CASE WHEN m.doc_id IS NULL THEN 'not_found' ELSE 'deleted' END AS status, false AS there, (SELECT count(*) FROM meta WHERE doc_id >= 10) AS documents FROM named n LEFT JOIN meta m USING (doc_id) WHERE n.doc_id < 10 UNION ALL SELECT 'missing.pdf', 'not_found', false, (SELECT count(*) FROM meta WHERE doc_id >= 10)")
 register("engine_recovery", _recovered, ORACLE_SQL["corpus_counts"])
 register("document_postings", lambda s, d: _lookup(s, d, lambda e, name: e.store.term_counts(name)), f"WITH {O.CORPUS} SELECT term, term_count::INT AS term_count FROM postings JOIN meta USING (doc_id) WHERE doc_id = {LOOKED_UP}")
-register("open_document", lambda s, d: _lookup(s, d, lambda e, name: e.get_document(name).select("filename", "path", "total_words", "ext", F.array_join("filename_words", " ").alias("words"))),
+register("stored_document", lambda s, d: _lookup(s, d, lambda e, name: e.get_document(name).select("filename", "path", "total_words", "ext", F.array_join("filename_words", " ").alias("words"))),
          f"WITH {O.CORPUS} SELECT filename, '/data/' || filename AS path, total_words::INT AS total_words, ext, array_to_string(fwords, ' ') AS words FROM meta WHERE doc_id = {LOOKED_UP}")
 register("json_roundtrip", _json_roundtrip, ORACLE_SQL["corpus_counts"])
 register("sanitize_filename", lambda s, d: _uploads(s, d).select("doc_seq", sanitised(F.col("filename")).alias("clean")), f"WITH {UPLOADS_SQL} SELECT doc_id AS doc_seq, clean FROM up")
