@@ -74,13 +74,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .fim import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding, op11_fill_in_middle, pipeline)}
 #: The others' results follow from hashes, tokens, estimates or passages that SQL can't express; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": """
@@ -94,4 +103,12 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), h AS (SELECT pag
 k AS (SELECT d, n, max(page_id) AS top FROM h WHERE n >= 1000 GROUP BY d, n)
 SELECT h.page_id, h.n AS payload_bytes, h.d AS payload_digest, CASE WHEN top IS NOT NULL AND top IS DISTINCT FROM h.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN top IS DISTINCT FROM h.page_id THEN top END AS refers_to FROM h LEFT JOIN k ON k.d = h.d AND k.n = h.n""",
+    "op11_fill_in_middle": r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+d AS (SELECT *, len(u) AS n, list_transform(range(4), lambda k: ('0x' || substring(h, 8 * k + 1, 8))::BIGINT) AS x FROM t),
+c AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 50 THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
 }
