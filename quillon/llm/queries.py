@@ -83,15 +83,58 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(spark, table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding, op11_fill_in_middle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding, op11_fill_in_middle, op12_manifest, pipeline)}
+def _tree_sql(name: str, nodes: str, most: int) -> str:
+    """CTEs of a hash tree over nodes(grp, idx, n, h), `most` levels: {name}0 .. the nodes of each level, {name}s0 .. what stands beside each."""
+    out = [f"{name}0 AS ({nodes})"]
+    for k in range(most):
+        out.append(f"""{name}s{k} AS (SELECT a.grp, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lft, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rgt
+  FROM {name}{k} a LEFT JOIN {name}{k} b ON a.grp = b.grp AND a.idx // 3 = b.idx // 3 AND a.idx <> b.idx WHERE a.n > 1 GROUP BY a.grp, a.idx)""")
+        out.append(f"{name}{k + 1} AS (SELECT grp, idx // 3 AS idx, (max(n) + 2) // 3 AS n, CASE WHEN max(n) = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h FROM {name}{k} GROUP BY grp, idx // 3)")
+    return ",\n".join(out)
+
+
+def _walk_sql(name: str, tree: str, start: str, most: int) -> str:
+    """CTEs that take rows (row_id, grp, idx, node, proof) up a tree."""
+    out = [f"{name}0 AS ({start})"]
+    for k in range(most):
+        out.append(f"{name}{k + 1} AS (SELECT w.row_id, w.grp, w.idx // 3 AS idx, CASE WHEN s.grp IS NULL THEN w.node ELSE sha256(lft || w.node || rgt) END AS node, w.proof || coalesce(lft || rgt, '') AS proof FROM {name}{k} w LEFT JOIN {tree}s{k} s ON s.grp = w.grp AND s.idx = w.idx)")
+    return ",\n".join(out)
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Levels of a source's tree and of the tree of sources that the SQL goes up.
+_LEVELS, _TOPS = 10, 6
+#: The lowest bit of a text's CRC-32, by the polynomial bit by bit.
+_CRC_SQL = "list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, list_reduce(list_concat([xor(a, b) & 255], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)))"
+MANIFEST_SQL = f"""
+WITH r AS (SELECT *, row_number() OVER () AS row_id, coalesce('s' || source, 'n') AS grp, {_leaf_sql("text")} AS leaf, {_leaf_sql("replace(text, chr(10), '')")} AS altered, xor({_CRC_SQL}, 4294967295) % 2 = 0 AS hit FROM documents),
+o AS (SELECT row_id, doc_id, grp, leaf, CASE WHEN hit THEN altered ELSE leaf END AS now, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM r),
+{_tree_sql("t", "SELECT grp, idx, n, leaf AS h FROM o", _LEVELS)},
+sub AS (SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM t{_LEVELS}),
+{_tree_sql("u", "SELECT 0 AS grp, idx, n, h FROM sub", _TOPS)},
+{_walk_sql("w", "t", "SELECT row_id, grp, idx, now AS node, '' AS proof FROM o", _LEVELS)},
+{_walk_sql("v", "u", f"SELECT row_id, 0 AS grp, sub.idx, node, proof FROM w{_LEVELS} JOIN sub USING (grp)", _TOPS)}
+SELECT doc_id, leaf, sub.h AS subroot, u{_TOPS}.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = u{_TOPS}.h AS verified FROM o JOIN v{_TOPS} v USING (row_id) JOIN sub ON sub.grp = o.grp, u{_TOPS}"""
+
 #: The others' results follow from hashes, tokens, estimates or passages that SQL can't express; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op12_manifest": MANIFEST_SQL,
     "op1_topk": """
 WITH v AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

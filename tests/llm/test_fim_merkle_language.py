@@ -37,3 +37,63 @@ def test_fill_in_middle_rows(spark):
     want = sorted((str(i), *map(str, fim_model(i, t or "")), t or "") for t in texts for i in (1, 2, 3, 5, 5, None))
     assert sorted((str(r.doc_id), *map(str, (r.n, r.form, r.prefix_chars, r.middle_chars, r.output)), r.again) for r in got) == want
     assert fim.fill_in_middle(rows.where("false")).count() == 0
+
+
+def tree_model(nodes):
+    from quillon.llm.merkle import sha
+
+    out = [nodes]
+    while len(nodes) > 1:
+        nodes = [sha(*nodes[i : i + 3]) for i in range(0, len(nodes), 3)]
+        out.append(nodes)
+    return out
+
+
+def beside(tree, p):
+    return [("".join(t[p // 3**k // 3 * 3 : p // 3**k]), "".join(t[p // 3**k + 1 : p // 3**k // 3 * 3 + 3])) for k, t in enumerate(tree[:-1])]
+
+
+def test_traversal_equals_the_whole_tree():
+    from quillon.llm.merkle import block_root, fold, levels, paths, sha
+
+    for n in [*range(1, 60), 81, 82, 243, 244, 500]:
+        leaves = [sha(str(i)) for i in range(n)]
+        tree = tree_model(leaves)
+        assert levels(n) == len(tree) - 1 and block_root(leaves, levels(n)) == tree[-1][0]
+        for height in (1, 2, 3):
+            assert list(paths(leaves, levels(n), height)) == [beside(tree, p) for p in range(n)]
+        assert all(fold(leaf, path) == tree[-1][0] for leaf, path in zip(leaves, paths(leaves, levels(n)), strict=True))
+
+
+def test_manifest(spark, monkeypatch):
+    """Sources of many blocks and rounds, nulls, equal numbers, repeated rows and a long text, against a model on the driver."""
+    import zlib
+
+    from quillon.llm import merkle
+
+    monkeypatch.setattr(merkle, "DEPTH", 2)
+    rows = [(i, f"line\n{i}", "en", "a", i) for i in range(100)] + [(i, None if i % 2 else "", None, None, None) for i in range(7)] + [(3, "x", "de", "é", 1), (3, "y\n", "de", "é", 1), (3, "y\n", "de", "é", 1), (None, "z\n", "de", "é", 1), (4, "long\n" * 100_000, "de", "z", 1)]
+    rows += [(i, f"t\n{i}", "fr", f"s{i}", 0) for i in range(12)]
+    df = spark.createDataFrame([(*r, "h", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, grp string, idx int")
+    enc = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    leaf = lambda i, t, g, s, n: merkle.sha(*map(enc, (i, s, g, n, t)))
+    groups = {}
+    for i, t, g, s, n in rows:
+        now = t if t is None or i is None or zlib.crc32(str(i).encode()) % 2 else t.replace("\n", "")
+        groups.setdefault(s, []).append((i is not None, i or 0, leaf(i, t, g, s, n), leaf(i, now, g, s, n), i))
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in names:
+        groups[s].sort(key=lambda x: x[:4])
+        trees[s] = tree_model([x[2] for x in groups[s]])
+    top = tree_model([trees[s][-1][0] for s in names])
+    want = []
+    for k, s in enumerate(names):
+        for p, (_, _, h, now, i) in enumerate(groups[s]):
+            path = beside(trees[s], p) + beside(top, k)
+            folded = merkle.fold(now, path)
+            want.append((i, h, trees[s][-1][0], top[-1][0], merkle.sha(*[a + b for a, b in path]), folded, folded == top[-1][0]))
+    assert sorted(map(tuple, merkle.manifest(spark, df.repartition(3)).collect()), key=str) == sorted(want, key=str)
+    assert merkle.manifest(spark, df.where("false")).count() == 0
+    one = merkle.manifest(spark, df.where("doc_id = 4 AND source = 'z'")).first()
+    assert one.leaf == one.subroot == one.root and one.proof_sha256 == merkle.sha()
