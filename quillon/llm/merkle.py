@@ -118,50 +118,46 @@ def fold(node: str, path) -> str:
     return node
 
 
-def _depth(n: int) -> int:
-    return min(DEPTH, levels(n))
-
-
-def _up(nodes: DataFrame) -> DataFrame:
+def _up(nodes: DataFrame, depth: int) -> DataFrame:
     """nodes(grp, idx, n, h) -> the roots of their blocks as nodes of the same kind."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
         n = t["n"][0].as_py()
-        root = block_root(t["h"].to_pylist(), _depth(n))
-        return pa.table({"grp": [t["grp"][0].as_py()], "idx": [t["idx"][0].as_py() // ARITY**DEPTH], "n": [-(-n // ARITY**DEPTH)], "h": [root]})
+        root = block_root(t["h"].to_pylist(), min(depth, levels(n)))
+        return pa.table({"grp": [t["grp"][0].as_py()], "idx": [t["idx"][0].as_py() // ARITY**depth], "n": [-(-n // ARITY**depth)], "h": [root]})
 
-    return nodes.select("grp", "idx", "n", "h", _block().alias("block")).groupBy("grp", "block").applyInArrow(run, "grp string, idx long, n long, h string")
+    return nodes.select("grp", "idx", "n", "h", _block(depth).alias("block")).groupBy("grp", "block").applyInArrow(run, "grp string, idx long, n long, h string")
 
 
-def _block() -> Column:
-    return F.floor(F.col("idx") / ARITY**DEPTH).cast("long")
+def _block(depth: int) -> Column:
+    return F.floor(F.col("idx") / ARITY**depth).cast("long")
 
 
 PROOF = "grp string, idx long, befores array<string>, afters array<string>, subroot string, root string"
 
 
-def _down(nodes: DataFrame, above: DataFrame) -> DataFrame:
+def _down(nodes: DataFrame, above: DataFrame, depth: int) -> DataFrame:
     """The proofs of nodes, from those of their blocks' roots in above(PROOF)."""
 
     def run(t: pa.Table, up: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
         befores, afters = up["befores"][0].as_py(), up["afters"][0].as_py()
-        own = list(paths(t["h"].to_pylist(), _depth(t["n"][0].as_py())))
+        own = list(paths(t["h"].to_pylist(), min(depth, levels(t["n"][0].as_py()))))
         lists = lambda k, rest: pa.array([[x[k] for x in p] + rest for p in own], pa.list_(pa.string()))
         same = lambda c: pa.array([up[c][0].as_py()] * len(t), pa.string())
         return pa.table([t["grp"], t["idx"], lists(0, befores), lists(1, afters), same("subroot"), same("root")], names=["grp", "idx", "befores", "afters", "subroot", "root"])
 
-    left = nodes.select("grp", "idx", "n", "h", _block().alias("block")).groupBy("grp", "block")
+    left = nodes.select("grp", "idx", "n", "h", _block(depth).alias("block")).groupBy("grp", "block")
     return left.cogroup(above.withColumn("block", F.col("idx")).groupBy("grp", "block")).applyInArrow(run, PROOF)
 
 
-def _rounds(ws: Workspace, nodes: DataFrame, n: int, name: str) -> list[DataFrame]:
+def _rounds(ws: Workspace, nodes: DataFrame, n: int, name: str, depth: int) -> list[DataFrame]:
     """The nodes and those of all rounds above, until one is left in each group. n: nodes of the largest group."""
     out = [nodes]
     while n > 1 or len(out) == 1:
-        out.append(ws.table(_up(out[-1]), f"{name}{len(out)}"))
-        n = -(-n // ARITY**DEPTH)
+        out.append(ws.table(_up(out[-1], depth), f"{name}{len(out)}"))
+        n = -(-n // ARITY**depth)
     return out
 
 
@@ -173,8 +169,8 @@ def leaf(columns: dict[str, Column]) -> Column:
     return F.sha2(F.concat(*[encoded(columns[f].cast("string")) for f in FIELDS]), 256)
 
 
-def manifest(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified; one row a row of docs(FIELDS).
+def manifest(spark: SparkSession, docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified; one row a row of docs(FIELDS). depth: levels of a block.
 
     folded_root: what a row's proof gives for the row, or for what has become of it where it was tampered with.
     """
@@ -187,20 +183,20 @@ def manifest(spark: SparkSession, docs: DataFrame) -> DataFrame:
         F.monotonically_increasing_id().alias("uid"),
     )
     leaves = ws.table(_placed(ws, ws.table(rows, "rows")), "leaves")
-    rounds = _rounds(ws, leaves, leaves.agg(F.max("n")).first()[0] or 0, "round")
+    rounds = _rounds(ws, leaves, leaves.agg(F.max("n")).first()[0] or 0, "round", depth)
     subroots = running_total(ws, rounds[-1].select("grp", "h", F.lit(1).cast("long").alias("one")), "sources", [], ["grp"], "one")
     count = rounds[-1].count()
     sources = ws.table(subroots.select(F.lit("").alias("grp"), F.col("before").alias("idx"), F.lit(count).cast("long").alias("n"), "h", F.col("grp").alias("source_")), "tops")
-    tops = _rounds(ws, sources, count, "top")
+    tops = _rounds(ws, sources, count, "top", depth)
     none = F.array().cast("array<string>")
     proofs = tops[-1].select("grp", "idx", none.alias("befores"), none.alias("afters"), F.col("h").alias("subroot"), F.col("h").alias("root"))
     for k, nodes in reversed(list(enumerate(tops[:-1]))):
-        proofs = ws.table(_down(nodes, proofs), f"above{k}")
+        proofs = ws.table(_down(nodes, proofs, depth), f"above{k}")
     named = sources.select("idx", F.col("source_").alias("grp_"), F.col("h").alias("subroot_"))
     proofs = proofs.join(named, "idx").select(F.col("grp_").alias("grp"), F.lit(0).cast("long").alias("idx"), "befores", "afters", F.col("subroot_").alias("subroot"), "root")
     for k, nodes in reversed(list(enumerate(rounds[1:-1], 1))):
-        proofs = ws.table(_down(nodes, proofs), f"under{k}")
-    return _proven(leaves, proofs)
+        proofs = ws.table(_down(nodes, proofs, depth), f"under{k}")
+    return _proven(leaves, proofs, depth)
 
 
 def _placed(ws: Workspace, rows: DataFrame) -> DataFrame:
@@ -215,14 +211,14 @@ def _placed(ws: Workspace, rows: DataFrame) -> DataFrame:
     return many_to_one(inside, sums, ["grp", "part"]).select("doc_id", "grp", "h", "changed", "n", (F.col("offset_") + F.col("k_") - 1).cast("long").alias("idx"))
 
 
-def _proven(leaves: DataFrame, above: DataFrame) -> DataFrame:
+def _proven(leaves: DataFrame, above: DataFrame, depth: int) -> DataFrame:
     def run(t: pa.Table, up: pa.Table) -> pa.Table:
         t = t.sort_by("idx")
         upper = list(zip(up["befores"][0].as_py(), up["afters"][0].as_py(), strict=True))
         rest = "".join(a + b for a, b in upper)
         h, changed = t["h"].to_pylist(), t["changed"].to_pylist()
         proofs, folded = [], []
-        for path, mine, other in zip(paths(h, _depth(t["n"][0].as_py())), h, changed, strict=True):
+        for path, mine, other in zip(paths(h, min(depth, levels(t["n"][0].as_py()))), h, changed, strict=True):
             proofs.append(sha(*[a + b for a, b in path], rest))
             folded.append(fold(fold(mine if other is None else other, path), upper))
         root = up["root"][0].as_py()
@@ -231,6 +227,6 @@ def _proven(leaves: DataFrame, above: DataFrame) -> DataFrame:
         return pa.table(columns, names=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
 
     kind = leaves.schema["doc_id"].dataType.simpleString()
-    left = leaves.withColumn("block", _block()).groupBy("grp", "block")
+    left = leaves.withColumn("block", _block(depth)).groupBy("grp", "block")
     right = above.withColumn("block", F.col("idx")).groupBy("grp", "block")
     return left.cogroup(right).applyInArrow(run, f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")

@@ -65,13 +65,12 @@ def test_traversal_equals_the_whole_tree():
         assert all(fold(leaf, path) == tree[-1][0] for leaf, path in zip(leaves, paths(leaves, levels(n)), strict=True))
 
 
-def test_manifest(spark, monkeypatch):
+def test_manifest(spark):
     """Sources of many blocks and rounds, nulls, equal numbers, repeated rows and a long text, against a model on the driver."""
     import zlib
 
     from quillon.llm import merkle
 
-    monkeypatch.setattr(merkle, "DEPTH", 2)
     rows = [(i, f"line\n{i}", "en", "a", i) for i in range(100)] + [(i, None if i % 2 else "", None, None, None) for i in range(7)] + [(3, "x", "de", "é", 1), (3, "y\n", "de", "é", 1), (3, "y\n", "de", "é", 1), (None, "z\n", "de", "é", 1), (4, "long\n" * 100_000, "de", "z", 1)]
     rows += [(i, f"t\n{i}", "fr", f"s{i}", 0) for i in range(12)]
     df = spark.createDataFrame([(*r, "h", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, grp string, idx int")
@@ -93,7 +92,7 @@ def test_manifest(spark, monkeypatch):
             path = beside(trees[s], p) + beside(top, k)
             folded = merkle.fold(now, path)
             want.append((i, h, trees[s][-1][0], top[-1][0], merkle.sha(*[a + b for a, b in path]), folded, folded == top[-1][0]))
-    assert sorted(map(tuple, merkle.manifest(spark, df.repartition(3)).collect()), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, merkle.manifest(spark, df.repartition(3), 2).collect()), key=str) == sorted(want, key=str)
     assert merkle.manifest(spark, df.where("false")).count() == 0
     one = merkle.manifest(spark, df.where("doc_id = 4 AND source = 'z'")).first()
     assert one.leaf == one.subroot == one.root and one.proof_sha256 == merkle.sha()
