@@ -89,13 +89,19 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, table(spark, sf_dir, "documents"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out_identification
+
+    return held_out_identification(spark, table(spark, sf_dir, "documents")).drop("languages")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding, op11_fill_in_middle, op12_manifest, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding, op11_fill_in_middle, op12_manifest, op13_language, pipeline)}
 def _tree_sql(name: str, nodes: str, most: int) -> str:
     """CTEs of a hash tree over nodes(grp, idx, n, h), `most` levels: {name}0 .. the nodes of each level, {name}s0 .. what stands beside each."""
     out = [f"{name}0 AS ({nodes})"]

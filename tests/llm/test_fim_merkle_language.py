@@ -96,3 +96,57 @@ def test_manifest(spark):
     assert merkle.manifest(spark, df.where("false")).count() == 0
     one = merkle.manifest(spark, df.where("doc_id = 4 AND source = 'z'")).first()
     assert one.leaf == one.subroot == one.root and one.proof_sha256 == merkle.sha()
+
+
+def grams_model(text):
+    """The n-grams themselves: letters in lower case, everything else one space."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    line = f" {' '.join(words)} "
+    return [line[i : i + 3] for i in range(len(line) - 2)] if words else []
+
+
+def test_grams_and_mixture():
+    import numpy as np
+
+    from quillon.llm import language
+
+    texts = ["Hello, World!", "a", "", None, "12 34", "é ß 漢字 x", "one  two\n\nthree.", "!a", "İ", "z" * 5000]
+    for t in texts:
+        _, n = language.grams(t)
+        assert n.sum() == len(grams_model(t)) and len(n) == len(set(grams_model(t))), t
+    r = np.random.default_rng(1)
+    for _ in range(40):
+        p = r.dirichlet(np.full(300, 0.3), 4)
+        truth = r.dirichlet([0.4] * 4)
+        n = r.multinomial(3000, truth @ p).astype(float)
+        at = n > 0
+        # The estimate is the best mixture: no step towards any language helps.
+        value, theta = language.shares(p[:, at], n[at], np.full(4, 0.25))
+        assert abs(theta.sum() - 1) < 1e-9 and (p[:, at] @ (n[at] / (theta @ p[:, at]))).max() - n.sum() < 1.001e-2
+        # Greedy growth ends where no other language repays its penalty, by full estimation of each.
+        chosen, theta = language.mixture(p[:, at], n[at])
+        price = 3 * 0.5 * np.log(n.sum() / 3)
+        now = language.shares(p[chosen][:, at], n[at], np.full(len(chosen), 1 / len(chosen)))[0]
+        for k in set(range(4)) - set(chosen):
+            assert language.shares(p[[*chosen, k]][:, at], n[at], np.full(len(chosen) + 1, 1 / (len(chosen) + 1)))[0] - now <= price + 2e-2
+
+
+def test_languages_of_documents(spark):
+    import zlib
+
+    from quillon.llm.language import held_out_identification, identify, learn
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = held_out_identification(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == docs.count() and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == r.lang for r in held) >= 0.98 * len(held)
+    names, p = learn(docs)
+    text = {r.lang: r.text for r in docs.where("length(text) BETWEEN 1500 AND 2500").dropDuplicates(["lang"]).collect()}
+    rows = spark.createDataFrame([(1, text["en"] + text["de"], "q"), (2, text["fr"] * 40, "q"), (3, None, "q"), (4, "12 !", "q"), (5, "", "q"), (5, "", "q"), (None, text["es"], "q")], "doc_id long, text string, lang_pred string")
+    found = {r.doc_id: r for r in identify(spark, rows, names, p).collect()}
+    assert {x.lang for x in found[1].languages} == {"en", "de"} and 0.3 < found[1].score < 0.7
+    assert [found[k].lang_pred for k in (2, 3, 4, 5, None)] == ["fr", "und", "und", "und", "es"] and found[3].score == 0
+    unlabelled = spark.createDataFrame([(1, "some words", None), (2, None, "en")], "doc_id long, text string, lang string")
+    assert {(r.lang_pred, r.score) for r in held_out_identification(spark, unlabelled).collect()} == {("und", 0.0)}
+    assert held_out_identification(spark, unlabelled.where("false")).count() == 0
