@@ -1,49 +1,150 @@
-"""From extracted texts to the tables of an index."""
+"""From extracted texts to the tables of an index, and the lookups that searches make in them."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, content_tokens, extension, name_tokens, stem, strip
+from ..functions.text import DIGIT, collapse, content_tokens, extension, name_tokens, stem, strip
+from ..schemas import TERMS
+
+#: Up to so many names, terms or keys are pushed to the files as literals; more are joined.
+FEW_VALUES = 2000
 
 
 @dataclass
 class Index:
-    """documents, postings and pages of one generation, and what is derived from them; see schemas.py. Derived tables may be missing."""
+    """documents, pages and bodies of one state of a corpus, with the tables derived from them; see schemas.py.
+
+    `tables` gives a table by name; `buckets` says how many folders its postings and names are dealt to. Every lookup
+    takes the values it looks for where they are few, so that files that can't hold them aren't read.
+    """
 
     documents: DataFrame
-    postings: DataFrame
     pages: DataFrame
-    bodies_: DataFrame | None = None
-    vocabulary_: DataFrame | None = None
+    bodies: DataFrame
+    tables: Callable[[str, Callable[[DataFrame, int], DataFrame]], DataFrame] | None = None
+
+    def _table(self, name: str, keep: Callable[[DataFrame, int], DataFrame] = lambda t, buckets: t) -> DataFrame:
+        """A derived table; keep: narrows the stored parts of it, given the number of buckets of each."""
+        return self.tables(name, keep) if self.tables else keep(DERIVED[name](self.documents, 1), 1)
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, filename, term_count."""
+        return self._table("postings").select("term", "filename", "term_count")
+
+    def vocabulary(self, keep: Column | None = None) -> DataFrame:
+        """term, df: documents that have the term. keep: a condition on terms."""
+        some = (lambda t, _: t.where(keep)) if keep is not None else (lambda t, _: t)
+        return self._table("vocabulary", some).select("term", "df")
+
+    def endings(self, keep: Column) -> DataFrame:
+        """term, df of the terms whose reversed form is as `keep` says of the column `reversed`."""
+        return self._table("endings", lambda t, _: t.where(keep)).select(F.reverse("reversed").alias("term"), "df")
+
+    def name_keys(self, keep: Column | None = None) -> DataFrame:
+        return self._table("name_keys", (lambda t, _: t.where(keep)) if keep is not None else (lambda t, _: t))
+
+    def types(self) -> DataFrame:
+        """ext, n: documents of each file type."""
+        return self._table("types")
+
+    def postings_of(self, terms: Sequence[str] | None) -> DataFrame:
+        """The postings of terms with what scoring needs of their documents; None: all."""
+        return self._table("postings", lambda t, buckets: _in_buckets(t, "term", terms, buckets)).drop("bucket")
 
-    def vocabulary(self) -> DataFrame:
-        """term, df: documents that have the term."""
-        return self.vocabulary_ if self.vocabulary_ is not None else self.postings.groupBy("term").agg(F.count("*").alias("df"))
+    def names_of(self, keys: Sequence[str] | None) -> DataFrame:
+        return self._table("names", lambda t, buckets: _in_buckets(t, "key", keys, buckets)).drop("bucket")
+
+    def documents_of(self, names: Sequence[str] | None) -> DataFrame:
+        return among(self.documents, "filename", names)
+
+    def pages_of(self, names: Sequence[str] | None) -> DataFrame:
+        return among(self.pages, "filename", names)
+
+    def bodies_of(self, names: Sequence[str] | None) -> DataFrame:
+        """filename, body: the pages of a document in order, joined by spaces, in lower case with single spaces; without documents that have no page."""
+        return among(self.bodies, "filename", names)
 
     def filename_terms(self) -> DataFrame:
         return self.documents.select("filename", F.posexplode("filename_words").alias("position", "term"))
 
-    def bodies(self) -> DataFrame:
-        """filename, body: the pages of a document in order, joined by spaces, in lower case with single spaces."""
-        if self.bodies_ is not None:
-            return self.bodies_
-        ordered = F.array_sort(F.collect_list(F.struct("page_number", "text")))
-        return self.pages.groupBy("filename").agg(collapse(F.array_join(F.transform(ordered, lambda p: p["text"]), " ")).alias("body"))
+
+def among(df: DataFrame, column: str, values: Sequence[str] | None) -> DataFrame:
+    return df if values is None or len(values) > FEW_VALUES else df.where(F.col(column).isin(list(values)))
+
+
+def bucket_of(value: str, buckets: int) -> int:
+    return zlib.crc32(value.encode()) % buckets
+
+
+def bucket(c: Column, buckets: int) -> Column:
+    return (F.crc32(c.cast("binary")) % buckets).cast("int")
+
+
+def _in_buckets(t: DataFrame, column: str, values: Sequence[str] | None, buckets: int) -> DataFrame:
+    if values is None or len(values) > FEW_VALUES:
+        return t
+    return among(t.where(F.col("bucket").isin(sorted({bucket_of(v, buckets) for v in values}))), column, values)
+
+
+def pairs_of_digits(c: Column) -> Column:
+    return c.rlike(f"{DIGIT}{{2}}")
+
+
+def postings_table(documents: DataFrame, buckets: int) -> DataFrame:
+    each = documents.select("filename", "total_words", "ext", "doc_seq", F.explode("terms").alias("t"))
+    return each.select("t.term", "filename", "t.term_count", "total_words", "ext", "doc_seq", bucket(F.col("t.term"), buckets).alias("bucket"))
+
+
+def keys_of_names(words: Column) -> Column:
+    """The distinct keys of a file name given as its words: each word, and each three characters of the words joined by spaces."""
+    joined = F.array_join(words, " ")
+    grams = F.when(F.length(joined) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(joined) - 2)), lambda i: F.concat(F.lit("g:"), F.substring(joined, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("t:"), w)), grams))
+
+
+def names_table(documents: DataFrame, buckets: int) -> DataFrame:
+    each = documents.select(F.explode(keys_of_names(F.col("filename_words"))).alias("key"), "filename", "filename_words", "ext", "doc_seq")
+    return each.withColumn("bucket", bucket(F.col("key"), buckets))
+
+
+def vocabulary_table(documents: DataFrame, buckets: int = 1) -> DataFrame:
+    terms = documents.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return terms.withColumn("with_digits", pairs_of_digits(F.col("term")))
+
+
+def endings_table(documents: DataFrame, buckets: int = 1) -> DataFrame:
+    return vocabulary_table(documents).select(F.reverse("term").alias("reversed"), "df")
+
+
+def name_keys_table(documents: DataFrame, buckets: int = 1) -> DataFrame:
+    return documents.select(F.explode(keys_of_names(F.col("filename_words"))).alias("key")).groupBy("key").agg(F.count("*").alias("df"))
+
+
+def types_table(documents: DataFrame, buckets: int = 1) -> DataFrame:
+    return documents.groupBy("ext").agg(F.count("*").alias("n"))
+
+
+DERIVED = {"postings": postings_table, "names": names_table, "vocabulary": vocabulary_table, "endings": endings_table, "name_keys": name_keys_table, "types": types_table}
 
 
 def build_index(texts: DataFrame) -> Index:
     """texts(filename, path, text, page_texts array<struct<page int, text string>>, doc_seq). Documents without a content token are left out.
 
-    Terms are counted inside each document's row before any shuffle, so that only distinct terms move.
+    A document's row holds its terms with their counts, so that a document's postings are known without a look at those of
+    others. Terms are counted by partial aggregates before they move.
     """
-    tokens = content_tokens(F.col("text"))
-    base = texts.withColumn("words", tokens).where(F.size("words") > 0)
-    pages = base.select("filename", F.explode("page_texts").alias("p")).select("filename", F.col("p.page").cast("int").alias("page_number"), F.lower("p.text").alias("text")).where(strip(F.col("text")) != "")
+    base = texts.withColumn("words", content_tokens(F.col("text"))).where(F.size("words") > 0)
     kept = F.filter("page_texts", lambda p: strip(p["text"]) != "")
+    ordered = F.array_sort(F.transform(kept, lambda p: F.struct(p["page"].cast("int").alias("page_number"), F.lower(p["text"]).alias("text"))))
+    counted = base.select("filename", F.explode("words").alias("term")).groupBy("filename", "term").agg(F.count("*").cast("int").alias("term_count"))
+    terms = counted.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("term", "term_count"))).cast(TERMS).alias("terms"))
     documents = base.select(
         "filename",
         F.col("filename").alias("title"),
@@ -53,16 +154,15 @@ def build_index(texts: DataFrame) -> Index:
         name_tokens(stem(F.col("filename"))).alias("filename_words"),
         extension(F.col("filename")).alias("ext"),
         F.col("doc_seq").cast("long").alias("doc_seq"),
-    )
-    postings = base.select("filename", F.explode("words").alias("term")).groupBy("term", "filename").agg(F.count("*").cast("int").alias("term_count"))
-    ordered = F.array_sort(F.filter(F.transform("page_texts", lambda p: F.struct(p["page"].cast("int").alias("page_number"), F.lower(p["text"]).alias("text"))), lambda p: strip(p["text"]) != ""))
-    bodies = base.select("filename", collapse(F.array_join(F.transform(ordered, lambda p: p["text"]), " ")).alias("body"))
-    return Index(documents, postings, pages, bodies)
+    ).join(terms, "filename")
+    bodies = base.where(F.size(kept) > 0).select("filename", collapse(F.array_join(F.transform(ordered, lambda p: p["text"]), " ")).alias("body"))
+    pages = base.select("filename", F.explode("page_texts").alias("p")).select("filename", F.col("p.page").cast("int").alias("page_number"), F.lower("p.text").alias("text")).where(strip(F.col("text")) != "")
+    return Index(documents, pages, bodies)
 
 
 def counters(index: Index) -> DataFrame:
     """One row: documents, content_terms, filenames_indexed, page_text_entries."""
-    d = index.documents.agg(F.count("*").alias("documents"))
-    t = index.postings.agg(F.countDistinct("term").alias("content_terms"))
-    p = index.pages.agg(F.countDistinct("filename").alias("page_text_entries"))
+    d = index.types().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("documents"))
+    t = index.vocabulary().agg(F.count("*").alias("content_terms"))
+    p = index.documents.where("page_count > 0").agg(F.count("*").alias("page_text_entries"))
     return d.crossJoin(F.broadcast(t)).crossJoin(F.broadcast(p)).select("documents", "content_terms", F.col("documents").alias("filenames_indexed"), "page_text_entries")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import DIGIT, is_number
+from .index import Index
 
 #: Bounds and factors of the match weights.
 PREFIX_LEAST, PREFIX_MOST, NUMERIC_FACTOR, NUMERIC_LEAST, NUMERIC_MOST = 0.25, 0.90, 0.70, 0.20, 0.65
@@ -43,5 +47,51 @@ def numeric(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def matches(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """query_id, pos, word, term, df, kind, weight: the three kinds exclude each other, so each (word, term) has one weight."""
+    return _three(words, vocabulary, vocabulary, vocabulary)
+
+
+def _three(words: DataFrame, for_exact: DataFrame, for_prefix: DataFrame, for_numeric: DataFrame) -> DataFrame:
     columns = ["query_id", "pos", "word", "term", "df", "kind", "weight"]
-    return exact(words, vocabulary).select(columns).unionByName(prefix(words, vocabulary).select(columns)).unionByName(numeric(words, vocabulary).select(columns))
+    return exact(words, for_exact).select(columns).unionByName(prefix(words, for_prefix).select(columns)).unionByName(numeric(words, for_numeric).select(columns))
+
+
+#: Up to so many words are looked up in the ordered dictionary by literals; more are joined with all of it.
+FEW_WORDS = 300
+
+
+def _any(parts: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, parts, F.lit(False))
+
+
+def _starting(column: str, heads: Iterable[str]) -> Column:
+    return _any(F.col(column).startswith(h) for h in sorted(set(heads)))
+
+
+def matched(words: DataFrame, index: Index, known: list[str] | None) -> DataFrame:
+    """matches, from the parts of the dictionary that can hold them. known: the words themselves, where they are few."""
+    if known is None or len(set(known)) > FEW_WORDS:
+        return matches(words, index.vocabulary())
+    all_, numbers = sorted(set(known)), sorted({w for w in known if w.isdigit() and len(w) >= 2})
+    inside = F.col("with_digits") & _any(F.contains("term", F.lit(w)) for w in numbers)
+    return _three(words, index.vocabulary(F.col("term").isin(all_)), index.vocabulary(_starting("term", (w for w in all_ if len(w) >= 3))), index.vocabulary(inside))
+
+
+def phrase_terms(queries: DataFrame, index: Index, rows: list[Row] | None) -> DataFrame:
+    """query_id, pos, term, need: for each word of a phrase the terms that can stand there, and how many words have such.
+
+    Between two spaces of a body stands a whole token, so the inner words of a phrase are terms of the document, the
+    first word ends one and the last word begins one. Words of one character are no terms and say nothing.
+    """
+    words = queries.select("query_id", F.size("phrase_words").alias("n"), F.size(F.filter("phrase_words", lambda w: F.length(w) > 1)).alias("need"), F.posexplode("phrase_words").alias("pos", "word")).where(F.length("word") > 1)
+    words = words.withColumn("side", F.when(F.col("pos") == 0, 0).when(F.col("pos") == F.col("n") - 1, 2).otherwise(1))
+    inner, begin, end = index.vocabulary, index.vocabulary, index.endings
+    if rows is not None and sum(len(r.phrase_words) for r in rows) <= FEW_WORDS:
+        own = [(0 if k == 0 else 2 if k == len(r.phrase_words) - 1 else 1, w) for r in rows for k, w in enumerate(r.phrase_words) if len(w) > 1]
+        found = inner(F.col("term").isin(sorted({w for s, w in own if s == 1}))), begin(_starting("term", (w for s, w in own if s == 2))), end(_starting("reversed", (w[::-1] for s, w in own if s == 0)))
+    else:
+        found = inner(), begin(), end(F.lit(True))
+    columns = ["query_id", "pos", "need", "term"]
+    by_two = lambda side, terms, cut: words.where(f"side = {side}").withColumn("two", cut("word", F.lit(2))).join(terms.select("term", cut("term", F.lit(2)).alias("two")), "two")
+    out = words.where("side = 1").join(found[0], F.col("word") == F.col("term")).select(columns)
+    out = out.unionByName(by_two(2, found[1], F.left).where(F.startswith("term", F.col("word"))).select(columns))
+    return out.unionByName(by_two(0, found[2], F.right).where(F.endswith("term", F.col("word"))).select(columns))

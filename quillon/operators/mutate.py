@@ -13,15 +13,15 @@ from .index import Index, build_index
 def remove(index: Index, names: DataFrame) -> Index:
     """Without the documents in names(filename); terms that no document has any more vanish with their postings."""
     gone = names.select("filename").distinct()
-    return Index(*[t.join(gone, "filename", "left_anti").select(*t.columns) for t in (index.documents, index.postings, index.pages, index.bodies())])
+    return Index(*[t.join(gone, "filename", "left_anti").select(*t.columns) for t in (index.documents, index.pages, index.bodies)])
 
 
 def upsert(index: Index, texts: DataFrame) -> Index:
     """With the documents in texts put in or replaced. Those without a token are refused and leave what is there."""
     new = build_index(texts)
     old = remove(index, new.documents)
-    four = lambda i: (i.documents, i.postings, i.pages, i.bodies())
-    return Index(*[a.unionByName(b.select(*a.columns)) for a, b in zip(four(old), four(new), strict=True)])
+    three = lambda i: (i.documents, i.pages, i.bodies)
+    return Index(*[a.unionByName(b.select(*a.columns)) for a, b in zip(three(old), three(new), strict=True)])
 
 
 def sanitised_upload(texts: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def upload_status(texts: DataFrame) -> DataFrame:
 
 def delete_status(index: Index, asked: DataFrame) -> DataFrame:
     """filename, status of each distinct name asked for: deleted or not_found. Paths count by their last part."""
-    names = asked.select(F.regexp_extract("filename", r"([^/\\]*)$", 1).alias("filename")).where("filename <> ''").distinct()
+    names = asked.select(F.regexp_extract("filename", r"([^/]*)$", 1).alias("filename")).where("filename <> ''").distinct()
     known = index.documents.select("filename", F.lit(True).alias("known"))
     return names.join(known, "filename", "left").select("filename", F.when(F.col("known"), "deleted").otherwise("not_found").alias("status"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,10 +11,26 @@ from ..functions import text as T
 FEW_ROWS, FEW_BYTES = 10_000, 32 << 20
 
 
-def held(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
-    """The same rows, computed now and once if they are few; a larger table is left as it is."""
+def held(df: DataFrame, most: int = FEW_ROWS) -> tuple[DataFrame, list[Row] | None]:
+    """(the same rows, the rows themselves): computed now and once if they are few, as a relation of known size that joins broadcast.
+
+    A larger table is left as it is, with None.
+    """
     rows = df.take(most + 1)
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else df
+    if len(rows) > most:
+        return df, None
+    return F.broadcast(local(df.sparkSession, rows, df.schema)), rows
+
+
+def local(spark, rows: list[Row], schema) -> DataFrame:
+    """Rows as part of the plan. They go by Arrow, as Spark then knows their size and needs no job to read them."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    plain = lambda x: {k: plain(v) for k, v in x.asDict().items()} if isinstance(x, Row) else [plain(v) for v in x] if isinstance(x, list) else x
+    kind = to_arrow_schema(schema)
+    columns = [pa.array([plain(r[i]) for r in rows], f.type) for i, f in enumerate(kind)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=kind), schema)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -24,14 +40,11 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def parse(queries: DataFrame) -> DataFrame:
-    """queries(query_id, raw, page, limit) with rest, filetype, query, quoted, words, content_words, phrase, phrase_query, page, limit.
-
-    All steps of a search read these rows; few of them are computed at once, so that their nested text expressions are planned and run once.
-    """
+    """queries(query_id, raw, page, limit) with rest, filetype, query, quoted, words, content_words, phrase, phrase_query, page, limit."""
     q = queries.withColumn("typed", T.file_type(F.col("raw")))
     q = q.select("query_id", "raw", T.page_number(F.col("page")).alias("page"), T.page_limit(F.col("limit")).alias("limit"), F.col("typed.filetype").alias("filetype"), F.lower(T.normalise_query(F.col("typed.rest"))).alias("query"))
     q = q.withColumn("quoted", T.quoted_part(F.col("query")))
     q = q.withColumn("words", T.name_tokens(F.col("query")))
     phrase = F.when(F.coalesce(F.col("quoted"), F.lit("")) != "", T.name_tokens(F.col("quoted"))).otherwise(F.col("words"))
     q = q.withColumn("phrase_words", phrase)
-    return held(q.select("*", F.filter("words", lambda w: F.length(w) > 1).alias("content_words"), F.array_join("phrase_words", " ").alias("phrase"), (F.size("phrase_words") >= 2).alias("phrase_query"), (F.coalesce(F.col("quoted"), F.lit("")) != "").alias("is_quoted")))
+    return q.select("*", F.filter("words", lambda w: F.length(w) > 1).alias("content_words"), F.array_join("phrase_words", " ").alias("phrase"), (F.size("phrase_words") >= 2).alias("phrase_query"), (F.coalesce(F.col("quoted"), F.lit("")) != "").alias("is_quoted"))

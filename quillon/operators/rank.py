@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import url_quote
 from .index import Index
 from .queries import held, small
+from .score import Asked
 
 
 def ranked(scored: DataFrame, most: int | None = None) -> DataFrame:
@@ -17,14 +18,13 @@ def ranked(scored: DataFrame, most: int | None = None) -> DataFrame:
     return rows.where(F.col("rank") <= most) if most is not None else rows
 
 
-def browsed(queries: DataFrame, index: Index) -> DataFrame:
-    """The documents of the file type of queries that name nothing else, by lower-case title, with `rank`."""
-    return browse_ranked(browse_matches(queries, index))
-
-
-def browse_matches(queries: DataFrame, index: Index) -> DataFrame:
-    only = queries.where((F.size("words") == 0) & F.col("filetype").isNotNull()).select("query_id", "filetype", "page", "limit")
-    return index.documents.join(small(only), F.col("ext") == F.col("filetype"))
+def browse_matches(asked: Asked, index: Index) -> DataFrame:
+    """The documents of the file type of queries that name nothing else."""
+    only = asked.parsed.where((F.size("words") == 0) & F.col("filetype").isNotNull()).select("query_id", "filetype", "page", "limit")
+    docs = index.documents.drop("terms")
+    if asked.rows is not None:
+        docs = docs.where(F.col("ext").isin(sorted({r.filetype for r in asked.rows if not r.words and r.filetype})))
+    return docs.join(only, F.col("ext") == F.col("filetype"))
 
 
 def browse_ranked(rows: DataFrame, most: int | None = None) -> DataFrame:
@@ -37,7 +37,7 @@ def _bounds(totals: DataFrame) -> DataFrame:
     whole = totals.withColumn("total_pages", F.ceil(F.col("total") / F.col("limit")).cast("int"))
     whole = whole.withColumn("page", F.least("page", "total_pages"))
     start, end = (F.col("page") - 1) * F.col("limit") + 1, F.least(F.col("page") * F.col("limit"), F.col("total"))
-    return whole.withColumns({"start": start, "end": end, "has_next": F.col("page") < F.col("total_pages"), "has_previous": F.col("page") > 1})
+    return whole.withColumns({"start": start, "end": end.cast("int"), "has_next": F.col("page") < F.col("total_pages"), "has_previous": F.col("page") > 1})
 
 
 def paged(rows: DataFrame, order=ranked) -> DataFrame:
@@ -45,9 +45,9 @@ def paged(rows: DataFrame, order=ranked) -> DataFrame:
 
     Totals come first, by partial aggregates, so that each task needs to keep only as many rows as the furthest page reaches.
     """
-    bounds = held(_bounds(rows.groupBy("query_id", "page", "limit").agg(F.count("*").cast("int").alias("total"))))
-    last = bounds.agg(F.max("end")).first()[0] or 0
-    whole = order(rows.drop("page", "limit"), last).join(small(bounds), "query_id")
+    bounds, few = held(_bounds(rows.groupBy("query_id", "page", "limit").agg(F.count("*").cast("int").alias("total"))))
+    last = max([r.end for r in few], default=0) if few is not None else bounds.agg(F.max("end")).first()[0]
+    whole = order(rows.drop("page", "limit"), last).join(bounds if few is not None else small(bounds), "query_id")
     return whole.where(F.col("rank").between(F.col("start"), F.col("end")))
 
 

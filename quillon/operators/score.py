@@ -2,63 +2,165 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import is_number, occurrences
-from .index import Index
-from .match import matches, query_words
-from .queries import held, small
+from .index import FEW_VALUES, Index
+from .match import matched, phrase_terms, query_words
+from .queries import held, local, parse, small
 
 #: Fixed values: (filename, content, phrase, lexical) weights by kind of query.
 WEIGHTS = {"quoted with filename hit": (0.80, 0.05, 0.15, 0.0), "quoted": (0.05, 0.15, 0.80, 0.0), "filename hit": (0.75, 0.15, 0.10, 0.0), "other": (0.05, 0.60, 0.20, 0.15)}
+#: What is found by content stands in a struct of these.
+HIT = "struct<pos:int,kind:int,term:string,term_count:int,total_words:int,idf:double,weight:double,word:string>"
+
+
+@dataclass
+class Asked:
+    """Parsed queries: all of them, their rows where they are few, and those that have words."""
+
+    parsed: DataFrame
+    rows: list[Row] | None
+    worded: DataFrame
+    worded_rows: list[Row] | None
 
 
-def corpus_sizes(queries: DataFrame, index: Index) -> DataFrame:
-    """query_id, n_docs: documents of the query's file type, or all; queries without any go."""
-    by_type = index.documents.groupBy("ext").agg(F.count("*").alias("n"))
-    allowed = F.col("filetype").isNull() | (F.col("filetype") == F.col("ext"))
-    return by_type.join(small(queries.select("query_id", "filetype")), allowed).groupBy("query_id").agg(F.sum("n").alias("n_docs"))
+def ask(queries: DataFrame, index: Index) -> Asked:
+    """queries(query_id, raw, page, limit), parsed. Those with words get n_docs, the documents of the type that they ask for; without any they go."""
+    parsed, rows = held(parse(queries))
+    types = index.types()
+    if rows is None:
+        allowed = F.col("filetype").isNull() | (F.col("filetype") == F.col("ext"))
+        sizes = types.join(small(parsed.select("query_id", "filetype")), allowed).groupBy("query_id").agg(F.sum("n").alias("n_docs"))
+        return Asked(parsed, None, parsed.where(F.size("words") > 0).join(sizes, "query_id"), None)
+    counts = {r.ext: r.n for r in types.collect()}
+    sized = [(r, counts.get(r.filetype, 0) if r.filetype is not None else sum(counts.values())) for r in rows if r.words]
+    sized = [Row(**r.asDict(), n_docs=n) for r, n in sized if n > 0]
+    kind = parsed.select("*", F.lit(0).cast("long").alias("n_docs")).schema
+    return Asked(parsed, rows, F.broadcast(local(parsed.sparkSession, sized, kind)), sized)
 
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log((n_docs + 1) / (df + 1)) + 1
 
 
-def matched_terms(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
-    """query_id, pos, word, term, kind, weight, idf: the terms that the words of queries match. Few of them are computed at once."""
-    found = matches(query_words(queries), vocabulary).join(small(held(corpus_sizes(queries, index))), "query_id")
-    return held(found.select("query_id", "pos", "word", "term", "kind", "weight", idf(F.col("n_docs"), F.col("df")).alias("idf")))
+def found_terms(asked: Asked, index: Index) -> tuple[DataFrame, list[Row] | None]:
+    """(query_id, filetype, term, need, phrase_pos, hit): the terms that the words of queries match, and those that a phrase needs (phrase_pos not null, no hit)."""
+    words = query_words(asked.worded)
+    rows = None if asked.worded_rows is None else [w for r in asked.worded_rows for w in r.content_words]
+    own = matched(words, index, rows).join(asked.worded.select("query_id", "n_docs", "filetype"), "query_id")
+    hit = F.struct("pos", "kind", "term", F.lit(0).alias("term_count"), F.lit(0).alias("total_words"), idf(F.col("n_docs"), F.col("df")).alias("idf"), "weight", "word").cast(HIT)
+    own = own.select("query_id", "filetype", "term", F.lit(0).alias("need"), F.lit(None).cast("int").alias("phrase_pos"), hit.alias("hit"))
+    phrases = asked.worded.where("phrase_query")
+    if asked.worded_rows is None or any(r.phrase_query for r in asked.worded_rows):
+        terms = phrase_terms(phrases, index, None if asked.worded_rows is None else [r for r in asked.worded_rows if r.phrase_query])
+        terms = terms.join(phrases.select("query_id", "filetype"), "query_id")
+        own = own.unionByName(terms.select("query_id", "filetype", "term", "need", F.col("pos").alias("phrase_pos"), F.lit(None).cast(HIT).alias("hit")))
+    return held(own)
 
 
-def content_hits(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
-    """One row for each (query, word position, term, document), of any file type: query_id, filename, hit."""
-    found = small(matched_terms(queries, index, vocabulary))
-    return index.postings.join(found, "term").select("query_id", "filename", F.struct("pos", "kind", "term", "term_count", "idf", "weight", "word").alias("hit"))
+EVIDENCE = ["query_id", "filename", "ext", "doc_seq", "hit", "need", "phrase_pos", "filename_words", "occ"]
 
 
-def gathered(hits: DataFrame, index: Index, queries: DataFrame, names: DataFrame | None = None, phrases: DataFrame | None = None) -> DataFrame:
-    """One row for each (query, document) with anything in common: hits, phrase_occurrences, the document and the query.
+def term_evidence(asked: Asked, index: Index) -> DataFrame:
+    """One row for each (query, word or place in a phrase, term, document of the query's type). Only the folders and row groups of the terms are read."""
+    found, rows = found_terms(asked, index)
+    found = found.select("term", "query_id", "filetype", "need", "phrase_pos", F.col("hit").alias("h"))
+    both = index.postings_of(None if rows is None else sorted({r.term for r in rows})).join(found, "term").where("filetype IS NULL OR filetype = ext")
+    hit = F.when(F.col("h").isNotNull(), F.col("h").withField("term_count", F.col("term_count")).withField("total_words", F.col("total_words")))
+    return both.select("query_id", "filename", "ext", "doc_seq", hit.alias("hit"), "need", "phrase_pos", F.lit(None).cast("array<string>").alias("filename_words"), F.lit(0).alias("occ"))
+
+
+def _near() -> Column:
+    name = F.array_join("filename_words", " ")
+    return F.arrays_overlap("filename_words", "words") | F.contains(name, F.col("joined")) | ((F.col("phrase") != "") & F.contains(name, F.col("phrase")))
 
-    The three kinds of evidence meet in one aggregate; the query's file type is looked at with the document.
+
+def _grams(text: str) -> list[str]:
+    return [f"g:{text[i : i + 3]}" for i in range(len(text) - 2)]
+
+
+def name_evidence(asked: Asked, index: Index) -> DataFrame:
+    """The documents whose name shares a word with a query, or holds its words or its phrase as a whole.
+
+    Words are keys of the index of names. A text inside a name is looked up by the rarest of its runs of three characters, then
+    compared; texts of one or two characters, which have no such run, are looked for in all names.
     """
-    kind = hits.schema["hit"].dataType
-    both = hits.select("query_id", "filename", "hit", F.lit(0).alias("occ"))
-    if names is not None:
-        both = both.unionByName(names.select("query_id", "filename", F.lit(None).cast(kind).alias("hit"), F.lit(0).alias("occ")))
-    if phrases is not None:
-        both = both.unionByName(phrases.select("query_id", "filename", F.lit(None).cast(kind).alias("hit"), F.col("phrase_occurrences").alias("occ")))
-    rows = both.groupBy("query_id", "filename").agg(F.array_sort(F.collect_list("hit")).alias("hits"), F.max("occ").alias("phrase_occurrences"))
-    rows = rows.join(index.documents, "filename").join(small(queries.select("query_id", "words", "phrase", "phrase_query", "is_quoted", "filetype", "page", "limit", "phrase_words")), "query_id")
-    return rows.where("filetype IS NULL OR filetype = ext")
+    columns = ["query_id", "filename", "ext", "doc_seq", F.lit(None).cast(HIT).alias("hit"), F.lit(0).alias("need"), F.lit(None).cast("int").alias("phrase_pos"), "filename_words", F.lit(0).alias("occ")]
+    asks = asked.worded.select("query_id", "filetype", "words", "phrase", F.array_join("words", " ").alias("joined"))
+    short = asks.where("length(joined) < 3 OR (phrase <> '' AND length(phrase) < 3)")
+    if asked.worded_rows is None:
+        gram = lambda c: F.when(F.length(c) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.concat(F.lit("g:"), F.substring(F.col(c), i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+        keys = asks.select("query_id", F.explode(F.array_distinct(F.concat(F.transform("words", lambda w: F.concat(F.lit("t:"), w)), gram("phrase"), gram("joined")))).alias("key"))
+        names, some_short = index.names_of(None), True
+    else:
+        rows = asked.worded_rows
+        texts = {r.query_id: {t for t in (r.phrase, " ".join(r.words)) if len(t) >= 3} for r in rows}
+        wanted = sorted({g for own in texts.values() for t in own for g in _grams(t)})
+        df = {r.key: r.df for r in index.name_keys(F.col("key").isin(wanted)).collect()} if wanted else {}
+        pairs = {(r.query_id, f"t:{w}") for r in rows for w in r.words}
+        pairs |= {(i, min(_grams(t), key=lambda g: (df[g], g))) for i, own in texts.items() for t in own if all(g in df for g in _grams(t))}
+        keys = F.broadcast(local(asks.sparkSession, [Row(*p) for p in sorted(pairs, key=str)], asks.select("query_id", F.lit("").alias("key")).schema))
+        names, some_short = index.names_of(sorted({k for _, k in pairs})), any(len(" ".join(r.words)) < 3 or 0 < len(r.phrase) < 3 for r in rows)
+    near = names.join(keys, "key").join(asks, "query_id").where(_near() & F.expr("filetype IS NULL OR filetype = ext")).select(columns)
+    if some_short:
+        every = index.documents.select("filename", "filename_words", "ext", "doc_seq")
+        near = near.unionByName(every.join(short, _near() & F.expr("filetype IS NULL OR filetype = ext")).select(columns))
+    return near
+
+
+def silent_evidence(asked: Asked, index: Index) -> DataFrame | None:
+    """Phrases of one-character words only have no terms: they are looked for in all bodies."""
+    if asked.worded_rows is not None and not any(r.phrase_query and max(map(len, r.phrase_words)) < 2 for r in asked.worded_rows):
+        return None
+    silent = asked.worded.where("phrase_query AND NOT exists(phrase_words, w -> length(w) > 1)").select("query_id", "filetype", "phrase")
+    found = index.bodies.join(silent, F.contains("body", F.col("phrase"))).select("query_id", "filetype", "filename", occurrences(F.col("body"), F.col("phrase")).alias("occ"))
+    found = found.join(index.documents.select("filename", "ext", "doc_seq"), "filename").where("filetype IS NULL OR filetype = ext")
+    return found.select("query_id", "filename", "ext", "doc_seq", F.lit(None).cast(HIT).alias("hit"), F.lit(0).alias("need"), F.lit(None).cast("int").alias("phrase_pos"), F.lit(None).cast("array<string>").alias("filename_words"), "occ")
+
+
+def evidence(asked: Asked, index: Index) -> DataFrame:
+    """One row for each (query, document) with anything in common: hits, filename_words (null where the name has nothing), occ of silent phrases, and whether its terms allow the phrase."""
+    both = term_evidence(asked, index).select(EVIDENCE).unionByName(name_evidence(asked, index).select(EVIDENCE))
+    silent = silent_evidence(asked, index)
+    if silent is not None:
+        both = both.unionByName(silent.select(EVIDENCE))
+    return both.groupBy("query_id", "filename").agg(
+        F.first("ext").alias("ext"), F.first("doc_seq").alias("doc_seq"), F.array_sort(F.collect_list("hit")).alias("hits"),
+        (F.size(F.collect_set("phrase_pos")) >= F.greatest(F.lit(1), F.max("need"))).alias("may_hold"), F.first("filename_words", ignorenulls=True).alias("filename_words"), F.max("occ").alias("occ"),
+    )
+
+
+def phrase_counts(asked: Asked, index: Index, rows: DataFrame) -> tuple[DataFrame, list[Row] | None] | None:
+    """query_id, filename, phrase_occurrences of the phrases in the bodies of those rows of `evidence` that may hold them; None without phrases."""
+    if asked.worded_rows is not None and not any(r.phrase_query for r in asked.worded_rows):
+        return None
+    may = rows.where("may_hold").select("query_id", "filename").join(asked.worded.where("phrase_query").select("query_id", "phrase"), "query_id")
+    may, few = held(may)
+    names = None if few is None or len(few) > FEW_VALUES else sorted({r.filename for r in few})
+    body = index.bodies_of(names).join(may if few is not None else small(may), "filename").where(F.contains("body", F.col("phrase")))
+    return held(body.select("query_id", "filename", occurrences(F.col("body"), F.col("phrase")).alias("phrase_occurrences")))
+
+
+def with_queries(rows: DataFrame, asked: Asked, counts: tuple[DataFrame, list[Row] | None] | None) -> DataFrame:
+    """Rows of `evidence` with phrase_occurrences and what their queries ask."""
+    q = asked.worded.select("query_id", "words", "phrase", "phrase_query", "is_quoted", "filetype", "page", "limit", "phrase_words")
+    rows = rows.withColumn("filename_words", F.coalesce("filename_words", F.array().cast("array<string>"))).join(q, "query_id")
+    if counts is None:
+        return rows.withColumn("phrase_occurrences", F.col("occ")).drop("occ", "may_hold")
+    return rows.join(counts[0], ["query_id", "filename"], "left").withColumn("phrase_occurrences", F.coalesce("phrase_occurrences", "occ")).drop("occ", "may_hold")
 
 
 def content_parts() -> dict[str, Column]:
-    """content_score and the lexical signals from the hits, in the order of words, kinds and terms, and total_words."""
+    """content_score and the lexical signals from the hits, in the order of words, kinds and terms."""
     other = lambda h: h["term"] != h["word"]
     number = lambda h: is_number(h["word"]) & F.contains(h["term"], h["word"])
     best = lambda keep: F.coalesce(F.array_max(F.transform(F.filter("hits", keep), lambda h: h["weight"])), F.lit(0.0))
-    part = lambda h: h["term_count"].cast("double") / F.col("total_words") * h["idf"] * h["weight"]
+    part = lambda h: h["term_count"].cast("double") / h["total_words"] * h["idf"] * h["weight"]
     return {
         "content_score": F.aggregate("hits", F.lit(0.0), lambda a, h: a + part(h)),
         "exact_content_match": F.exists("hits", lambda h: h["term"] == h["word"]),
@@ -68,54 +170,6 @@ def content_parts() -> dict[str, Column]:
     }
 
 
-def content_scores(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
-    """query_id, filename, content_score and the lexical signals of documents with any matching term."""
-    return gathered(content_hits(queries, index, vocabulary), index, queries).withColumns(content_parts())
-
-
-def filename_candidates(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_id, filename) pairs that share a token, or whose joined name holds the words or the phrase. Queries are the small side."""
-    docs = index.documents.select("filename", "ext", "filename_words")
-    q = queries.where(F.size("words") > 0).select("query_id", "filetype", "words", "phrase", F.array_join("words", " ").alias("joined"))
-    name = F.array_join("filename_words", " ")
-    near = F.arrays_overlap("filename_words", "words") | F.contains(name, F.col("joined")) | ((F.col("phrase") != "") & F.contains(name, F.col("phrase")))
-    return docs.join(small(q), (F.col("filetype").isNull() | (F.col("filetype") == F.col("ext"))) & near).select("query_id", "filename")
-
-
-def phrase_candidates(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
-    """query_id, phrase, filename: documents that can hold a phrase, by their terms.
-
-    Between two spaces of a body stands a whole token, so the inner words of a phrase are terms of the document, the
-    first word ends one and the last word begins one. Words of one character are no terms and say nothing.
-    """
-    words = queries.select("query_id", "filetype", "phrase", F.size("phrase_words").alias("n"), F.posexplode("phrase_words").alias("pos", "word")).where(F.length("word") > 1)
-    words = words.withColumn("side", F.when(F.col("pos") == 0, 0).when(F.col("pos") == F.col("n") - 1, 2).otherwise(1))
-    columns = ["query_id", "filetype", "phrase", "pos", "term"]
-    inner = words.where("side = 1").join(vocabulary, F.col("word") == F.col("term")).select(columns)
-    by_two = lambda side, cut: words.where(f"side = {side}").withColumn("two", cut("word", F.lit(2))).join(vocabulary.select("term", cut("term", F.lit(2)).alias("two")), "two")
-    ends = by_two(0, F.right).where(F.endswith("term", F.col("word"))).select(columns)
-    begins = by_two(2, F.left).where(F.startswith("term", F.col("word"))).select(columns)
-    terms = inner.unionByName(ends).unionByName(begins)
-    need = words.groupBy("query_id").agg(F.count("*").alias("need"))
-    held_ = index.postings.join(terms, "term").select("query_id", "phrase", "filetype", "filename", "pos").groupBy("query_id", "phrase", "filetype", "filename").agg(F.countDistinct("pos").alias("got"))
-    found = held_.join(need, "query_id").where("got = need")
-    silent = queries.join(need, "query_id", "left_anti").select("query_id", "phrase", "filetype")
-    every = index.documents.select("filename").join(small(silent))
-    allowed = found.select("query_id", "phrase", "filetype", "filename").unionByName(every.select("query_id", "phrase", "filetype", "filename"))
-    return allowed.join(index.documents.select("filename", "ext"), "filename").where("filetype IS NULL OR filetype = ext").select("query_id", "phrase", "filename")
-
-
-def phrase_counts(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
-    """query_id, filename, phrase_occurrences of phrases of two words or more, across pages. Only the texts of candidates are compared."""
-    asked = queries.where("phrase_query AND size(words) > 0")
-    none = asked.select("query_id", F.lit("").alias("filename"), F.lit(0).alias("phrase_occurrences")).where("false")
-    if asked.isEmpty():
-        return none
-    found = held(phrase_candidates(asked, index, vocabulary))
-    body = index.bodies().join(small(found), "filename").where(F.contains("body", F.col("phrase")))
-    return body.select("query_id", "filename", occurrences(F.col("body"), F.col("phrase")).alias("phrase_occurrences"))
-
-
 def filename_parts() -> dict[str, Column]:
     """filename_score, filename_matches and filename_relevance from words, filename_words."""
     words, name = F.col("words"), F.array_join("filename_words", " ")
@@ -147,16 +201,19 @@ def phrase_parts() -> dict[str, Column]:
     }
 
 
-def score(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
-    """Every matching (query, document) with all scores and `final_score`. queries: parsed, with words."""
-    asked = queries.where(F.size("words") > 0)
-    names = filename_candidates(asked, index)
-    phrases = phrase_counts(asked, index, vocabulary)
-    rows = gathered(content_hits(asked, index, vocabulary), index, asked, names, phrases)
-    rows = rows.withColumns(content_parts()).withColumns(filename_parts()).withColumns(phrase_parts()).where("phrase_match OR NOT is_quoted").drop("hits")
-    # The best of a query by partial aggregates; a window would bring all its rows into one task.
-    best = held(rows.groupBy("query_id").agg(F.max("content_score").alias("max_content"), F.max(F.col("filename_score") > 0).alias("filename_hit")))
-    rows = rows.join(small(best), "query_id")
+def scored_parts(rows: DataFrame) -> DataFrame:
+    """Rows of `with_queries` with all scores but the final one; those that a quoted query doesn't allow go."""
+    return rows.withColumns(content_parts()).withColumns(filename_parts()).withColumns(phrase_parts()).where("phrase_match OR NOT is_quoted").drop("hits")
+
+
+def best_of(rows: DataFrame) -> DataFrame:
+    """query_id, max_content, filename_hit, by partial aggregates; a window would bring all rows of a query into one task."""
+    return rows.groupBy("query_id").agg(F.max("content_score").alias("max_content"), F.max(F.col("filename_score") > 0).alias("filename_hit"))
+
+
+def final(rows: DataFrame, best: DataFrame) -> DataFrame:
+    """Scored rows with `final_score`; without those that match nothing."""
+    rows = rows.join(best, "query_id")
     lexical = F.when(F.col("exact_content_match"), 1.0).when(F.col("prefix_similarity") > 0, 0.70 + 0.30 * F.col("prefix_similarity")).when(F.col("numeric_similarity") > 0, 0.30 + 0.40 * F.col("numeric_similarity")).otherwise(0.0)
     rows = rows.withColumns({
         "lexical_match_relevance": lexical,
@@ -164,6 +221,14 @@ def score(queries: DataFrame, index: Index, vocabulary: DataFrame) -> DataFrame:
         "phrase_relevance": F.least(F.col("phrase_score") / 100.0, F.lit(1.0)),
     })
     part = lambda k: F.when(F.col("is_quoted") & F.col("filename_hit"), WEIGHTS["quoted with filename hit"][k]).when(F.col("is_quoted"), WEIGHTS["quoted"][k]).when(F.col("filename_hit"), WEIGHTS["filename hit"][k]).otherwise(WEIGHTS["other"][k])
-    final = part(0) * F.col("filename_relevance") + part(1) * F.col("content_relevance") + part(2) * F.col("phrase_relevance") + part(3) * F.col("lexical_match_relevance")
+    whole = part(0) * F.col("filename_relevance") + part(1) * F.col("content_relevance") + part(2) * F.col("phrase_relevance") + part(3) * F.col("lexical_match_relevance")
     some = (F.col("filename_score") > 0) | (F.col("content_score") != 0) | (F.col("phrase_score") > 0)
-    return rows.withColumn("final_score", final).where(some & (F.col("final_score") > 0))
+    return rows.withColumn("final_score", whole).where(some & (F.col("final_score") > 0))
+
+
+def score(asked: Asked, index: Index, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Every matching (query, document) with all scores and `final_score`. keep: holds the evidence for the steps that read it, e.g. in memory."""
+    rows = keep(evidence(asked, index))
+    parts = scored_parts(with_queries(rows, asked, phrase_counts(asked, index, rows)))
+    best, few = held(best_of(parts))
+    return final(parts, best if few is not None else small(best))

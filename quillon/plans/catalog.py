@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +15,12 @@ from ..functions import text as T
 from ..operators import match, mutate, rank, score
 from ..operators.index import Index, build_index, counters
 from ..operators.queries import parse
-from ..sources.corpus import texts
+from ..sources.corpus import texts, texts_of
 from ..sources.extract import sanitised
 from ..sources.snapshot import load_json, write_json
-from ..sources.store import Store
+from ..sources.store import Store, empty_index
 from . import oracle as O
-from .search import rank_all, scored
+from .search import rank_all, search
 
 #: (id, raw query, page, limit)
 ALL = [
@@ -38,17 +39,20 @@ def asked(spark: SparkSession, queries: list[tuple]) -> DataFrame:
     return spark.createDataFrame(queries, "query_id int, raw string, page string, limit string")
 
 
-_indexes: dict[tuple[str, str], Index] = {}
+_indexes: dict[tuple[str, str], Store] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> Index:
-    """One index for each session and folder, kept in memory and on executors' disks, as all searches share it."""
+    """The corpus as a stored index, one for each session and folder, as all searches share it."""
+    return _base(spark, sf_dir).load()
+
+
+def _base(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        _indexes.clear()
-        built = build_index(texts(spark, sf_dir))
-        parts = [t.persist(StorageLevel.DISK_ONLY) for t in (built.documents, built.postings, built.pages, built.bodies())]
-        _indexes[key] = Index(*parts, Index(*parts).vocabulary().persist(StorageLevel.DISK_ONLY))
+        store = Store(spark, f"{_shared(spark)}/index-{uuid.uuid4().hex}")
+        store.publish(build_index(texts(spark, sf_dir)))
+        _indexes[key] = store
     return _indexes[key]
 
 
@@ -90,7 +94,7 @@ register("parse_query", lambda s, d: parse(asked(s, ALL)).select("query_id", "fi
 register("whitespace_collapse", lambda s, d: doc(s, d).select("doc_id", F.md5(T.collapse(F.col("text")).cast("binary")).alias("digest"), F.length(T.collapse(F.col("text"))).alias("n")),
          f"SELECT doc_id, md5(t) AS digest, length(t)::INT AS n FROM (SELECT doc_id, {O.collapse('text')} AS t FROM documents)")
 register("url_quote", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.url_quote(F.col("url")).alias("quoted")), "SELECT page_id, url_encode(url) AS quoted FROM pages")
-register("phrase_occurrences", lambda s, d: score.phrase_counts(parse(asked(s, pick(1, 3, 11, 18))), index(s, d), index(s, d).vocabulary()), O.search(pick(1, 3, 11, 18), "SELECT query_id, filename, occ AS phrase_occurrences FROM ph JOIN meta USING (doc_id)"))
+register("phrase_occurrences", lambda s, d: (lambda i, q: score.phrase_counts(q, i, score.evidence(q, i))[0])(index(s, d), score.ask(asked(s, pick(1, 3, 11, 18)), index(s, d))), O.search(pick(1, 3, 11, 18), "SELECT query_id, filename, occ AS phrase_occurrences FROM ph JOIN meta USING (doc_id)"))
 
 # Index
 register("documents_meta", lambda s, d: index(s, d).documents.select("filename", "title", "path", "total_words", "page_count", "ext", "doc_seq"),
@@ -109,9 +113,9 @@ WORDS = pick(1, 2, 8, 11, 18)
 
 def _matched(kind: int | None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        words, vocabulary = match.query_words(parse(asked(spark, WORDS))), index(spark, sf_dir).vocabulary()
-        found = match.matches(words, vocabulary) if kind is None else (match.exact, match.prefix, match.numeric)[kind](words, vocabulary)
-        return found.select("query_id", "pos", "word", "term", "df", "kind", six("weight"))
+        q, known = score.ask(asked(spark, WORDS), index(spark, sf_dir)), [w for r in parse(asked(spark, WORDS)).collect() for w in r.content_words]
+        found = match.matched(match.query_words(q.worded), index(spark, sf_dir), known)
+        return (found if kind is None else found.where(F.col("kind") == kind)).select("query_id", "pos", "word", "term", "df", "kind", six("weight"))
 
     return run
 
@@ -130,7 +134,7 @@ def _idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("idf", _idf, f"WITH {O.CORPUS} SELECT term, round(ln(((SELECT count(*) FROM meta) + 1)::DOUBLE / (df + 1)) + 1, 6) AS idf FROM vocab")
-register("content_score", lambda s, d: (lambda q, i: score.content_scores(q.where(F.size("words") > 0), i, i.vocabulary()).select("query_id", "filename", six("content_score"), "exact_content_match", six("prefix_similarity"), six("numeric_similarity")))(parse(asked(s, SCORED)), index(s, d)),
+register("content_score", lambda s, d: score.evidence(score.ask(asked(s, SCORED), index(s, d)), index(s, d)).where(F.size("hits") > 0).withColumns(score.content_parts()).select("query_id", "filename", six("content_score"), "exact_content_match", six("prefix_similarity"), six("numeric_similarity")),
          O.search(SCORED, "SELECT query_id, filename, round(content_score, 6) AS content_score, exact_ AS exact_content_match, round(pre_, 6) AS prefix_similarity, round(num_, 6) AS numeric_similarity FROM cs JOIN meta USING (doc_id)"))
 for name, columns, sql in (
     ("lexical_relevance", lambda: [six("lexical_match_relevance")], "round(lexical, 6) AS lexical_match_relevance"),
@@ -149,9 +153,9 @@ PAGED = "page", "limit", "total", "total_pages", "start", "end", "has_next", "ha
 PAGE_SQL = O.PAGES + """
 SELECT query_id, filename, rank::INT AS rank, pno AS page, limit_no AS "limit", total::INT AS total, total_pages, (pno - 1) * limit_no + 1 AS start, least(pno * limit_no, total)::INT AS "end", pno < total_pages AS has_next, pno > 1 AS has_previous
 FROM pr"""
-register("search_paginated", lambda s, d: rank.paged(scored(parse(asked(s, ALL)), index(s, d))).select("query_id", "filename", "rank", *PAGED[:6], *PAGED[6:]).withColumn("end", F.col("end").cast("int")), O.search(ALL, PAGE_SQL.format("res")))
+register("search_paginated", lambda s, d: rank.paged(score.score(score.ask(asked(s, ALL), index(s, d)), index(s, d))).select("query_id", "filename", "rank", *PAGED), O.search(ALL, PAGE_SQL.format("res")))
 BROWSED = pick(6, 7, 8, 14)
-register("browse_filetype", lambda s, d: rank.paged(rank.browse_matches(parse(asked(s, BROWSED)), index(s, d)), rank.browse_ranked).select("query_id", "filename", "rank", *PAGED).withColumn("end", F.col("end").cast("int")),
+register("browse_filetype", lambda s, d: rank.paged(rank.browse_matches(score.ask(asked(s, BROWSED), index(s, d)), index(s, d)), rank.browse_ranked).select("query_id", "filename", "rank", *PAGED),
          f"WITH {O.values(BROWSED)},{O.CORPUS},{O.parsed()}, {O.BROWSE}" + PAGE_SQL.format("br"))
 
 # Snippets
@@ -166,8 +170,6 @@ def _results(queries: list[tuple], columns: tuple):
     """Response rows: ranked ones with their snippets and browses by type."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from .search import search
-
         rows = search(asked(spark, queries), index(spark, sf_dir)).withColumn("highlights", F.to_json("highlights"))
         return rows.withColumns({f"{c}_no" if c == "page" else c: F.col(f"pagination.{c}") for c in ("page", "total", "total_pages")}).select(*columns)
 
@@ -218,26 +220,68 @@ def _broken_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return stored.unionByName(spark.createDataFrame([("gone.pdf", 0, "gone")], "filename string, position int, term string")), i.documents
 
 
-def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = Store(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
-    store.publish(index(spark, sf_dir))
-    return counters(store.load())
+def _digests(i: Index) -> DataFrame:
+    """One row for each document with digests of all that the index has of it."""
+    counts = F.transform("terms", lambda t: F.concat(t["term"], F.lit(":"), t["term_count"].cast("string")))
+    docs = i.documents.select("filename", "title", "path", "total_words", "page_count", "ext", F.array_join("filename_words", " ").alias("words"), F.md5(F.array_join(counts, ",").cast("binary")).alias("terms"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: F.concat(p["page_number"].cast("string"), F.lit(":"), p["text"]))
+    pages = i.pages.groupBy("filename").agg(F.md5(F.array_join(lines, "\n").cast("binary")).alias("pages"))
+    bodies = i.bodies.select("filename", F.md5(F.col("body").cast("binary")).alias("body"))
+    return docs.join(pages, "filename", "left").join(bodies, "filename", "left")
+
+
+DIGESTS_SQL = f"""tj AS (SELECT doc_id, md5(string_agg(term || ':' || term_count, ',' ORDER BY term)) AS terms FROM postings GROUP BY doc_id),
+pj AS (SELECT doc_id, count(*) AS n, md5(string_agg(page_number || ':' || text, chr(10) ORDER BY page_number)) AS pages, md5({O.collapse("string_agg(text, ' ' ORDER BY page_number)")}) AS body FROM pages_ GROUP BY doc_id)
+SELECT filename, filename AS title, '/data/' || filename AS path, total_words::INT AS total_words, coalesce(n, 0)::INT AS page_count, ext, array_to_string(fwords, ' ') AS words, terms, pages, body FROM meta LEFT JOIN tj USING (doc_id) LEFT JOIN pj USING (doc_id)"""
 
 
 def _json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{_shared(spark)}/json-{uuid.uuid4().hex}"
     write_json(index(spark, sf_dir), folder)
-    return counters(load_json(spark, folder))
+    return _digests(load_json(spark, folder))
+
+
+def _json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot whose tables are one object each in one file; names and page texts come from what is current."""
+    from ..sources.snapshot import load_json as load
+
+    i, folder = index(spark, sf_dir), f"{_shared(spark)}/json-{uuid.uuid4().hex}"
+    write_json(i, f"{folder}/lines")
+    for name in ("inverted_index", "document_meta"):
+        lines = spark.read.text(f"{folder}/lines/{name}.json").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.expr("substring(value, 2, length(value) - 2)")), ",\n "), F.lit("}\n")).alias("value"))
+        lines.coalesce(1).write.text(f"{folder}/{name}")
+        store = Store(spark, folder)
+        part = store._fs.globStatus(store._path(f"{folder}/{name}/part-*"))[0].getPath()
+        store._fs.rename(part, store._path(f"{folder}/{name}.json"))
+    return _digests(load(spark, folder, i))
+
+
+def _write_version_1(spark: SparkSession, sf_dir: str) -> Store:
+    """A store as version 1 wrote it: one folder, documents without terms, postings without columns of their documents."""
+    i, store = index(spark, sf_dir), Store(spark, f"{_shared(spark)}/old-{uuid.uuid4().hex}")
+    for name, df in {"documents": i.documents.drop("terms"), "postings": i.postings, "pages": i.pages}.items():
+        df.write.parquet(f"{store.root}/gen-1/{name}")
+    spark.createDataFrame([('{"generation": 1, "folder": "gen-1"}',)], "value string").coalesce(1).write.text(f"{store.root}/m")
+    part = store._fs.globStatus(store._path(f"{store.root}/m/part-*"))[0].getPath()
+    store._fs.rename(part, store._manifest_path(1))
+    return store
+
+
+_folders: dict[str, str] = {}
 
 
 def _shared(spark: SparkSession) -> str:
-    """A folder that all executors see; only a local session may use a temporary one."""
+    """A folder that all executors see; only a local session may use a temporary one, which goes when Python ends."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="quillon-index-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = tempfile.mkdtemp(prefix="quillon-index-")
+        atexit.register(shutil.rmtree, _folders[app], True)
+    return _folders[app]
 
 
 def _engine(spark: SparkSession, sf_dir: str) -> Engine:
@@ -266,11 +310,45 @@ def _engine_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of what is served when the newest generation is damaged: the one before."""
+    """What is served when a file of the newest generation is damaged: the one before."""
     e = _engine(spark, sf_dir)
-    number = e.store.publish(mutate.remove(e.index, _toxic(spark, sf_dir)))
-    e.store._fs.delete(e.store._path(f"{e.store._folder(number)}/postings"), True)
-    return counters(Engine(spark, e.store.root).index)
+    number = e.store.remove(_toxic(spark, sf_dir))
+    newest = e.store.manifest(number)["segments"][-1]
+    part = e.store._fs.globStatus(e.store._path(f"{e.store.root}/{newest['folder']}/tombstones/part-*"))[0].getPath()
+    e.store._fs.create(part, True).close()
+    return _digests(Engine(spark, e.store.root).index)
+
+
+def _emptied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an engine has and finds after all documents are deleted, and after they are put in again."""
+    e, rows = _engine(spark, sf_dir), []
+    names, again = e.index.documents.select("filename"), texts(spark, sf_dir)
+    for step, change in (("deleted", lambda: e.store.remove(names)), ("again", lambda: e.upsert(again))):
+        change()
+        e = Engine(spark, e.store.root)
+        now = e.status()
+        rows.append((step, now["documents"], now["content_terms"], e.search("pdf").count(), e.search("the").count(), e.has_document("nobody.pdf")))
+    return spark.createDataFrame(rows, "step string, documents long, content_terms long, browsed long, found long, nobody boolean")
+
+
+def _new_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose number is a benchmark item's, with that item's text."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("new"))
+    return texts_of(doc(spark, sf_dir).join(b, F.col("doc_id") == F.col("item_id")).withColumn("text", F.col("new")))
+
+
+def _changed(spark: SparkSession, sf_dir: str, compact: bool = False) -> Index:
+    """The corpus after small changes, each a segment: new texts for some documents, toxic ones taken out, one put in again."""
+    store = Store(spark, f"{_shared(spark)}/changed-{uuid.uuid4().hex}")
+    store.publish(index(spark, sf_dir))
+    store.upsert(build_index(_new_texts(spark, sf_dir)))
+    store.remove(_toxic(spark, sf_dir))
+    if compact:
+        store.compact()
+    return store.load()
+
+
+CHANGED_DOCUMENTS = """documents AS (SELECT d.doc_id, coalesce(b.text, d.text) AS text, d.lang, d.source FROM main.documents d LEFT JOIN main.benchmark b ON b.item_id = d.doc_id WHERE d.doc_id NOT IN (SELECT doc_id FROM main.labels WHERE toxic = 1))"""
 
 
 #: A document that point lookups ask for, by number.
@@ -306,15 +384,25 @@ register("bulk_delete_status", lambda s, d: mutate.delete_status(index(s, d), _a
 register("repair_filename_terms", lambda s, d: mutate.repaired_filename_terms(*_broken_names(s, d))[0], ORACLE_SQL["filename_terms"])
 register("repair_report", lambda s, d: mutate.repaired_filename_terms(*_broken_names(s, d))[1], f"WITH {O.CORPUS} SELECT filename, 'rewritten' AS problem FROM meta WHERE doc_id % 5 IN (0, 1) UNION ALL SELECT 'gone.pdf', 'orphan'")
 register("repair_summary", lambda s, d: (lambda b: mutate.repair_summary(mutate.repaired_filename_terms(*b)[1], b[1]))(_broken_names(s, d)), f"WITH {O.CORPUS} SELECT count(*) AS documents, count(*) FILTER (doc_id % 5 IN (0, 1)) AS rewritten, 1 AS orphans FROM meta")
-register("rebuild_roundtrip", _roundtrip, ORACLE_SQL["corpus_counts"])
+register("rebuild_roundtrip", lambda s, d: _digests(index(s, d)), f"WITH {O.CORPUS}, {DIGESTS_SQL}")
+register("segments_merged", lambda s, d: _digests(_changed(s, d)), f"WITH {CHANGED_DOCUMENTS}, {O.CORPUS}, {DIGESTS_SQL}")
+register("segments_compacted", lambda s, d: _digests(_changed(s, d, compact=True)), ORACLE_SQL["segments_merged"])
+register("segments_postings", lambda s, d: _changed(s, d).postings, f"WITH {CHANGED_DOCUMENTS}, {O.CORPUS} SELECT term, filename, term_count::INT AS term_count FROM postings JOIN meta USING (doc_id)")
+register("segments_vocabulary", lambda s, d: _changed(s, d).vocabulary(), f"WITH {CHANGED_DOCUMENTS}, {O.CORPUS} SELECT term, df FROM vocab")
+CHANGED_QUERIES = pick(1, 3, 8, 10, 17)
+register("segments_search", lambda s, d: rank_all(asked(s, CHANGED_QUERIES), _changed(s, d)).select("query_id", "filename", F.round("final_score", 6).alias("final_score"), "rank"),
+         O.search(CHANGED_QUERIES, "SELECT query_id, filename, round(final_score, 6) AS final_score, rank::INT AS rank FROM res").replace("WITH ", f"WITH {CHANGED_DOCUMENTS}, ", 1))
+register("store_upgrade", lambda s, d: _digests(_write_version_1(s, d).load()), ORACLE_SQL["rebuild_roundtrip"])
+register("engine_emptied", _emptied, f"WITH {O.CORPUS} SELECT 'deleted' AS step, 0 AS documents, 0 AS content_terms, 0 AS browsed, 0 AS found, false AS nobody UNION ALL SELECT 'again', (SELECT count(*) FROM meta), (SELECT count(*) FROM vocab), least(10, (SELECT count(*) FROM meta WHERE ext = 'pdf')), least(10, (SELECT count(DISTINCT doc_id) FROM postings WHERE starts_with(term, 'the'))), false")
 register("engine_upsert", _engine_upserted, f"WITH {REVISED_SQL} SELECT 'READY' AS state, 2::INT AS generation, count(DISTINCT doc_id) AS documents, count(DISTINCT term) AS content_terms, count(DISTINCT doc_id) AS filenames_indexed, count(DISTINCT doc_id) AS page_text_entries FROM u")
 register("engine_delete", _engine_deleted,
          f"WITH {O.CORPUS} SELECT n.filename, CASE WHEN m.doc_id IS NULL THEN 'not_found' ELSE 'deleted' END AS status, false AS there, (SELECT count(*) FROM meta WHERE doc_id >= 10) AS documents FROM named n LEFT JOIN meta m USING (doc_id) WHERE n.doc_id < 10 UNION ALL SELECT 'missing.pdf', 'not_found', false, (SELECT count(*) FROM meta WHERE doc_id >= 10)")
-register("engine_recovery", _recovered, ORACLE_SQL["corpus_counts"])
+register("engine_recovery", _recovered, ORACLE_SQL["rebuild_roundtrip"])
 register("document_postings", lambda s, d: _lookup(s, d, lambda e, name: e.store.term_counts(name)), f"WITH {O.CORPUS} SELECT term, term_count::INT AS term_count FROM postings JOIN meta USING (doc_id) WHERE doc_id = {LOOKED_UP}")
 register("stored_document", lambda s, d: _lookup(s, d, lambda e, name: e.get_document(name).select("filename", "path", "total_words", "ext", F.array_join("filename_words", " ").alias("words"))),
          f"WITH {O.CORPUS} SELECT filename, '/data/' || filename AS path, total_words::INT AS total_words, ext, array_to_string(fwords, ' ') AS words FROM meta WHERE doc_id = {LOOKED_UP}")
-register("json_roundtrip", _json_roundtrip, ORACLE_SQL["corpus_counts"])
+register("json_roundtrip", _json_roundtrip, ORACLE_SQL["rebuild_roundtrip"])
+register("json_objects", _json_objects, ORACLE_SQL["rebuild_roundtrip"])
 register("sanitize_filename", lambda s, d: _uploads(s, d).select("doc_seq", sanitised(F.col("filename")).alias("clean")), f"WITH {UPLOADS_SQL} SELECT doc_id AS doc_seq, clean FROM up")
 register("upload_status", lambda s, d: mutate.upload_status(_uploads(s, d)),
          f"WITH {UPLOADS_SQL}, w AS (SELECT *, len({O.content('text')}) > 0 AS words FROM up) SELECT CASE WHEN clean = '' THEN given ELSE clean END AS filename, CASE WHEN clean = '' THEN 'rejected' WHEN words THEN 'indexed' ELSE 'failed' END AS status, "

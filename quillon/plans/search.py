@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from ..operators.index import Index
-from ..operators.queries import parse
+from ..operators.index import FEW_VALUES, Index
+from ..operators.queries import held, small
 from ..operators.rank import browse_matches, browse_ranked, browse_rows, paged, ranked, result_rows
-from ..operators.score import score
+from ..operators.score import Asked, ask, score
 from ..operators.snippet import snippets
 
 
-def scored(parsed: DataFrame, index: Index, vocabulary: DataFrame | None = None) -> DataFrame:
-    return score(parsed, index, vocabulary if vocabulary is not None else index.vocabulary())
+def rank_all(queries: DataFrame, index: Index) -> DataFrame:
+    """All matching documents of raw queries (query_id, raw, page, limit), scored and ranked."""
+    return ranked(score(ask(queries, index), index))
 
 
-def rank_all(queries: DataFrame, index: Index, vocabulary: DataFrame | None = None) -> DataFrame:
-    """All matching documents of raw queries (query_id, raw, page, limit), scored and ranked."""
-    return ranked(scored(parse(queries), index, vocabulary))
+def _titled(rows: DataFrame, names: list[str] | None, index: Index) -> DataFrame:
+    """rows with title and path of their documents."""
+    return rows.join(index.documents_of(names).select("filename", "title", "path"), "filename")
+
+
+def ranked_pages(asked: Asked, index: Index) -> DataFrame:
+    """Response rows of the pages that worded queries ask for. Evidence is gathered once and held on the executors until the pages, a few rows, are known."""
+    kept: list[DataFrame] = []
+
+    def keep(rows: DataFrame) -> DataFrame:
+        kept.append(rows.persist(StorageLevel.MEMORY_AND_DISK))
+        return kept[-1]
+
+    try:
+        page, few = held(paged(score(asked, index, keep)))
+    finally:
+        for rows in kept:
+            rows.unpersist()
+    names = None if few is None or len(few) > FEW_VALUES else sorted({r.filename for r in few})
+    return result_rows(_titled(snippets(page, index), names, index))
 
 
-def search(queries: DataFrame, index: Index, vocabulary: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, index: Index) -> DataFrame:
     """Response rows of each query's page. Pages are cut before snippets are made. Queries without words or type, and those without a match, have no rows."""
-    parsed = parse(queries)
-    found = result_rows(snippets(paged(scored(parsed, index, vocabulary)), index.pages))
-    return found.unionByName(browse_rows(paged(browse_matches(parsed, index), browse_ranked)))
+    asked = ask(queries, index)
+    some = asked.worded_rows is None or bool(asked.worded_rows)
+    browsing = asked.rows is None or any(not r.words and r.filetype for r in asked.rows)
+    parts = [ranked_pages(asked, index)] if some or not browsing else []
+    if browsing:
+        parts.append(browse_rows(paged(browse_matches(asked, index), browse_ranked)))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]

@@ -1,11 +1,23 @@
-"""Tables of an index generation."""
+"""Tables of an index: those that make it up, and those derived from them that searches look things up in."""
 
 from __future__ import annotations
 
-DOCUMENTS = "filename string, title string, path string, total_words int, page_count int, filename_words array<string>, ext string, doc_seq bigint"
-POSTINGS = "term string, filename string, term_count int"
-FILENAME_TERMS = "filename string, position int, term string"
+TERMS = "array<struct<term string, term_count int>>"
+DOCUMENTS = f"filename string, title string, path string, total_words int, page_count int, filename_words array<string>, ext string, doc_seq bigint, terms {TERMS}"
 PAGES = "filename string, page_number int, text string"
 BODIES = "filename string, body string"
-VOCABULARY = "term string, df bigint"
-TABLES = {"documents": DOCUMENTS, "postings": POSTINGS, "pages": PAGES, "bodies": BODIES, "vocabulary": VOCABULARY}
+#: Postings carry what scoring needs of their documents.
+POSTINGS = "term string, filename string, term_count int, total_words int, ext string, doc_seq bigint, bucket int"
+#: key: t: and a word of a file name, or g: and three characters of the words joined by spaces.
+NAMES = "key string, filename string, filename_words array<string>, ext string, doc_seq bigint, bucket int"
+#: Counts are signed: what a segment adds to them. with_digits: a term has two digits side by side.
+VOCABULARY = "term string, df bigint, with_digits boolean"
+ENDINGS = "reversed string, df bigint"
+NAME_KEYS = "key string, df bigint"
+TYPES = "ext string, n bigint"
+TOMBSTONES = "filename string"
+TABLES = {"documents": DOCUMENTS, "pages": PAGES, "bodies": BODIES, "postings": POSTINGS, "names": NAMES, "vocabulary": VOCABULARY, "endings": ENDINGS, "name_keys": NAME_KEYS, "types": TYPES, "tombstones": TOMBSTONES}
+#: What each table is laid out by inside its files; partition folders come first.
+LAYOUT = {"documents": "filename", "pages": "filename", "bodies": "filename", "postings": "term", "names": "key", "vocabulary": "term", "endings": "reversed", "name_keys": "key", "types": "ext", "tombstones": "filename"}
+FOLDERS = {"postings": "bucket", "names": "bucket", "vocabulary": "with_digits"}
+VERSION = 2

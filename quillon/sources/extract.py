@@ -59,8 +59,17 @@ def extract(name: str, data: bytes) -> tuple[str, list[tuple[int, str]], str | N
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     """The pdf, docx and txt files right in a folder, extracted in Arrow batches on the executors."""
-    files = spark.read.format("binaryFile").load(folder).where(F.col("path").rlike(r"(?i)\.(pdf|docx|txt)$"))
+    return _extracted(spark.read.format("binaryFile").load(folder).where(F.col("path").rlike(r"(?i)\.(pdf|docx|txt)$")))
 
+
+def scan_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The files at these paths, extracted on the executors; doc_seq says where a path stands in the list."""
+    rows = _extracted(spark.read.format("binaryFile").load(paths))
+    places = F.create_map(*[F.lit(x) for k, p in enumerate(paths) for x in (os.path.basename(p), k)])
+    return rows.withColumn("doc_seq", F.try_element_at(places, "filename").cast("long"))
+
+
+def _extracted(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []

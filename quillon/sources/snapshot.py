@@ -1,17 +1,24 @@
-"""JSON snapshots of an index: four tables as JSON objects, one for each key.
+"""JSON snapshots of an index: four tables as JSON objects.
 
 inverted_index maps a term to its documents' counts, document_meta a name to its metadata, filename_index a name to its
-tokens, page_text a name to its pages. Written, each table is a folder of lines that are objects with one key; a file
-that is one object for the whole table is read as well. A table that is missing or damaged counts as empty, the others stay.
+tokens, page_text a name to its pages. Written, each table is a folder of lines that are objects with one key; a frequent term has several
+lines, each with some of its documents. A file that is one object for the whole table, on one line or many, is read as well, by a
+task for each split. A table that is missing leaves what is current, a damaged one counts as empty, the others stay.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, extension, name_tokens, stem
+from ..functions.text import collapse, extension
 from ..operators.index import Index
+from ..schemas import TERMS
 
 #: Table name -> type of the values.
 TABLES = {
@@ -20,13 +27,17 @@ TABLES = {
     "filename_index": "array<string>",
     "page_text": "array<struct<page:int,text:string>>",
 }
+#: Documents of a term on one line.
+LINE_DOCUMENTS = 100_000
 
 
 def write_json(index: Index, folder: str) -> None:
     pairs = lambda *c: F.map_from_entries(F.collect_list(F.struct(*c)))
     pages = F.array_sort(F.collect_list(F.struct(F.col("page_number").alias("page"), "text")))
+    lines = index.vocabulary().select("term", F.ceil(F.col("df") / LINE_DOCUMENTS).alias("lines"))
+    postings = index.postings.join(lines, "term").withColumn("line", F.pmod(F.xxhash64("filename"), F.col("lines")))
     tables = {
-        "inverted_index": index.postings.groupBy(F.col("term").alias("key")).agg(pairs("filename", "term_count").alias("value")),
+        "inverted_index": postings.groupBy(F.col("term").alias("key"), "line").agg(pairs("filename", "term_count").alias("value")).drop("line"),
         "document_meta": index.documents.select(F.col("filename").alias("key"), F.struct("title", "path", "total_words", "page_count").alias("value")),
         "filename_index": index.documents.select(F.col("filename").alias("key"), F.col("filename_words").alias("value")),
         "page_text": index.pages.groupBy(F.col("filename").alias("key")).agg(pages.alias("value")),
@@ -35,26 +46,120 @@ def write_json(index: Index, folder: str) -> None:
         df.select(F.to_json(F.create_map("key", "value")).alias("value")).write.mode("overwrite").text(f"{folder}/{name}.json")
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """key, value; empty if the table can't be read."""
-    kind = f"map<string,{TABLES[name]}>"
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """key, value; empty if the table is damaged, None if there is none."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.json")
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    empty = spark.createDataFrame([], f"key string, value {TABLES[name]}")
     if not fs.exists(path):
-        return empty
-    whole = fs.getFileStatus(path).isFile()
-    parsed = spark.read.text(f"{folder}/{name}.json", wholetext=whole).select(F.from_json("value", kind).alias("m"))
+        return None
+    empty = spark.createDataFrame([], f"key string, value {TABLES[name]}")
+    if fs.getFileStatus(path).isFile():
+        lines = _members(spark, path.toString())
+        if lines is None:
+            return empty
+    else:
+        lines = spark.read.text(f"{folder}/{name}.json")
+    parsed = lines.select(F.from_json("value", f"map<string,{TABLES[name]}>").alias("m"))
     return empty if parsed.where("m IS NULL").take(1) else parsed.select(F.explode("m"))
 
 
-def load_json(spark: SparkSession, folder: str) -> Index:
-    terms, meta, pages = (_table(spark, folder, name) for name in ("inverted_index", "document_meta", "page_text"))
-    documents = meta.select(
-        F.col("key").alias("filename"), "value.title", "value.path", "value.total_words", "value.page_count",
-        name_tokens(stem(F.col("key"))).alias("filename_words"), extension(F.col("key")).alias("ext"), F.xxhash64("key").alias("doc_seq"),
-    )
-    postings = terms.select(F.col("key").alias("term"), F.explode("value").alias("filename", "term_count"))
-    bodies = pages.select(F.col("key").alias("filename"), collapse(F.array_join(F.transform(F.array_sort("value"), lambda p: F.lower(p["text"])), " ")).alias("body"))
+def _bare(fragment: str, inside: bool) -> tuple[str, bool]:
+    """(what of a fragment stands outside strings, whether it ends inside one)."""
+    if "\\" in fragment:
+        fragment = re.sub(r"\\.", "", fragment, flags=re.DOTALL)
+    parts = fragment.split('"')
+    return "".join(parts[inside::2]), inside ^ (len(parts) % 2 == 0)
+
+
+def _deeper(bare: str) -> int:
+    return bare.count("{") + bare.count("[") - bare.count("}") - bare.count("]")
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block of fragments, for a beginning outside and inside a string: how much deeper it ends, whether inside, and how many commas stand at which depth."""
+    at: dict[tuple[int, bool], list] = {}
+    for batch in batches:
+        for block, value in zip(batch["block"].to_pylist(), batch["value"].to_pylist(), strict=True):
+            for begin in (False, True):
+                state = at.setdefault((block, begin), [0, begin, Counter()])
+                bare, state[1] = _bare(value, state[1])
+                state[0] += _deeper(bare)
+                if not state[1]:
+                    state[2][state[0]] += 1
+    rows = [(block, begin, deeper, end, list(commas.items())) for (block, begin), (deeper, end, commas) in at.items()]
+    kind = pa.list_(pa.struct([("depth", pa.int64()), ("n", pa.int64())]))
+    columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.bool_()))]
+    yield pa.RecordBatch.from_arrays([*columns, pa.array([[{"depth": d, "n": n} for d, n in r[4]] for r in rows], kind)], ["block", "begin", "deeper", "inside", "commas"])
+
+
+def _members(spark: SparkSession, path: str) -> DataFrame | None:
+    """value: each member of the object that a file holds, as an object of its own; None if the file isn't one object.
+
+    The file is read as fragments between commas, so its splits are read by different tasks on whatever line breaks it has. A first
+    pass says of each split what it does to depth and quotes; from these few numbers follow the state and the number of the member
+    at the beginning of each. The second pass gives each fragment the number of its member, and those of one member meet.
+    """
+    fragments = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_block_start").alias("block"), "value")
+    told = {(r.block, r.begin): r for r in fragments.mapInArrow(_summaries, "block long, begin boolean, deeper long, inside boolean, commas array<struct<depth long, n long>>").collect()}
+    states, depth, inside, number = {}, 0, False, 0
+    blocks = sorted({b for b, _ in told})
+    for block in blocks:
+        r = told[block, inside]
+        states[block] = (depth, inside, number)
+        number += sum(c.n for c in r.commas if c.depth + depth == 1)
+        depth, inside = depth + r.deeper, r.inside
+    if depth or inside or not blocks:
+        return None
+    known = spark.sparkContext.broadcast(states)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[int, list] = {}
+        for batch in batches:
+            rows = []
+            for block, value in zip(batch["block"].to_pylist(), batch["value"].to_pylist(), strict=True):
+                state = now.setdefault(block, [*known.value[block], 0])
+                depth, inside, member, place = state
+                bare, inside = _bare(value, inside)
+                before, depth = depth, depth + _deeper(bare)
+                good = before > 0 or value.lstrip().startswith("{")
+                if before == 0:
+                    value = value.lstrip()[1:]
+                if depth == 0:
+                    good &= value.rstrip().endswith("}")
+                    value = value.rstrip()[:-1]
+                rows.append((member, block, place, value, good))
+                state[:] = [depth, inside, member + (depth == 1 and not inside), place + 1]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["member", "block", "place", "value", "good"])
+
+    parts = fragments.mapInArrow(numbered, "member long, block long, place long, value string, good boolean")
+    whole = parts.groupBy("member").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "place", "value"))), lambda x: x["value"]), ",").alias("value"), F.bool_and("good").alias("good"))
+    some = whole.where(~((F.col("member") == 0) & (F.trim("value") == "") & F.lit(number == 0)))
+    return some.select(F.when(F.col("good"), F.concat(F.lit("{"), "value", F.lit("}"))).alias("value"))
+
+
+def load_json(spark: SparkSession, folder: str, current: Index | None = None) -> Index:
+    """The index of a snapshot. current: what tables that the snapshot lacks are taken from; without it they are empty."""
+    found = {name: _table(spark, folder, name) for name in TABLES}
+    empty = {name: spark.createDataFrame([], f"key string, value {kind}") for name, kind in TABLES.items()}
+    terms, meta, words, pages = (found[n] if found[n] is not None else empty[n] for n in TABLES)
+    if found["inverted_index"] is None and current is not None:
+        counts = current.documents.select("filename", "terms")
+    else:
+        each = terms.select(F.col("key").alias("term"), F.explode("value").alias("filename", "term_count"))
+        counts = each.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("term", "term_count"))).cast(TERMS).alias("terms"))
+    if found["filename_index"] is None and current is not None:
+        named = current.documents.select("filename", "filename_words")
+    else:
+        named = words.select(F.col("key").alias("filename"), F.col("value").alias("filename_words"))
+    if found["document_meta"] is None and current is not None:
+        documents = current.documents.drop("terms", "filename_words")
+    else:
+        documents = meta.select(F.col("key").alias("filename"), "value.title", "value.path", "value.total_words", "value.page_count", extension(F.col("key")).alias("ext"), F.xxhash64("key").alias("doc_seq"))
+    documents = documents.join(counts, "filename", "left").join(named, "filename", "left")
+    documents = documents.withColumn("terms", F.coalesce("terms", F.array().cast(TERMS))).withColumn("filename_words", F.coalesce("filename_words", F.array().cast("array<string>")))
+    if found["page_text"] is None and current is not None:
+        return Index(documents, current.pages, current.bodies)
+    bodies = pages.where(F.size("value") > 0).select(F.col("key").alias("filename"), collapse(F.array_join(F.transform(F.array_sort("value"), lambda p: F.lower(p["text"])), " ")).alias("body"))
     each = pages.select(F.col("key").alias("filename"), F.explode("value").alias("p")).select("filename", F.col("p.page").alias("page_number"), F.col("p.text").alias("text"))
-    return Index(documents, postings, each, bodies)
+    return Index(documents, each, bodies)

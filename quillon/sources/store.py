@@ -1,36 +1,67 @@
-"""Index generations as Parquet folders, each with a numbered manifest.
+"""An index as segments: Parquet folders that are written once, and numbered manifests that say which of them are current.
 
-All tables of a generation are written before its manifest is renamed into place under a name that nobody has yet, so
-readers see the old generation or the new one, never a mixture, and a broken write leaves the old one current. The
-newest generation that can be read is the current one: if its files are damaged, the one before serves. The last KEEP
-generations stay, older ones go. Paths are Hadoop paths.
+A rebuild writes one segment. A change writes a small one on top: the new documents with their own tables, the names that it
+takes away from all segments below (tombstones), and signed counts of what it adds to the vocabulary, the keys of names and the
+file types. Readers merge: a row lives if no later segment has its document's name among its tombstones, counts are
+summed. Once MERGE segments of like size stand in a row they become one.
+
+All files of a segment are written before a manifest is created under a number that nobody has yet, on condition that it doesn't
+exist; of two writers the second one looks at what the first has published and tries again. A manifest has the bytes and rows
+of each table, so a damaged segment is seen, and the newest generation that is whole serves. The last KEEP generations stay.
+Manifests of older versions are read through the steps in UPGRADES. Paths are Hadoop paths.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import os
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators.index import Index
-from ..schemas import TABLES
+from ..functions.text import collapse
+from ..operators.index import DERIVED, FEW_VALUES, Index
+from ..schemas import FOLDERS, LAYOUT, TABLES, TERMS, VERSION
 
 KEEP = 3
+#: So many segments of one size class in a row are merged; a class spans a factor of MERGE.
+MERGE = 4
+#: Postings of a bucket, before a segment gets more of them.
+BUCKET_ROWS, MOST_BUCKETS = 250_000, 4096
+#: Up to so many tombstones are broadcast.
+FEW_TOMBSTONES = 200_000
+ATTEMPTS = 20
+#: Tables that count, with their counts.
+SIGNED = {"vocabulary": "df", "endings": "df", "name_keys": "df", "types": "n"}
 
 
 class IncompleteSnapshot(ValueError):
-    """A generation lacks a table."""
+    """A generation lacks a table, or part of one."""
+
+
+class Conflict(OSError):
+    """Someone else has published this generation."""
+
+
+def empty_index(spark: SparkSession) -> Index:
+    return Index(*[spark.createDataFrame([], TABLES[t]) for t in ("documents", "pages", "bodies")])
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path, self._conf = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
+
+    # Manifests
 
     def _numbers(self) -> list[int]:
         """The generations with a manifest, newest first."""
@@ -40,62 +71,372 @@ class Store:
     def _manifest_path(self, number: int):
         return self._path(f"{self.root}/manifest-{number:010d}.json")
 
-    def _folder(self, number: int) -> str:
-        text = self.spark.read.text(self._manifest_path(number).toString(), wholetext=True).first()[0]
-        return f"{self.root}/{json.loads(text)['folder']}"
+    def manifest(self, number: int) -> dict:
+        stream = self._fs.open(self._manifest_path(number))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
 
-    def _read(self, number: int) -> Index:
-        folder = self._folder(number)
-        tables = [self.spark.read.schema(TABLES[t]).parquet(f"{folder}/{t}") for t in TABLES]
-        for t in TABLES:
-            if not self._fs.exists(self._path(f"{folder}/{t}/_SUCCESS")):
-                raise IncompleteSnapshot(f"{folder}/{t} was not written to its end")
-        return Index(*tables)
+    def _commit(self, number: int, segments: list[dict]) -> int:
+        """Creates the manifest of a generation, or raises Conflict if there is one."""
+        part = self._path(f"{self.root}/.manifest-{uuid.uuid4().hex}")
+        self._fs.mkdirs(self._path(self.root))
+        out = self._fs.create(part, True)
+        out.write(bytearray(json.dumps({"version": VERSION, "generation": number, "segments": segments}).encode()))
+        out.close()
+        final = self._manifest_path(number)
+        try:
+            if self._fs.getScheme() == "file":
+                source, target = (self._path.getPathWithoutSchemeAndAuthority(self._fs.makeQualified(p)).toString() for p in (part, final))
+                os.link(source, target)
+            else:
+                fc = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+                fc.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(part, final, self._none_option())
+        except FileExistsError as e:
+            raise Conflict(f"generation {number} was published by someone else") from e
+        except Py4JJavaError as e:
+            if self._fs.exists(final):
+                raise Conflict(f"generation {number} was published by someone else") from e
+            raise
+        finally:
+            self._fs.delete(part, False)
+        self._retire()
+        return number
+
+    def _none_option(self):
+        gateway = self.spark.sparkContext._gateway
+        kind = getattr(self.spark.sparkContext._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        return options
+
+    def _retire(self) -> None:
+        """Older generations go, with the segments that only they have."""
+        numbers = self._numbers()
+        folders = lambda some: {f for n in some for f in self._folders(n)}
+        gone = folders(numbers[KEEP:]) - folders(numbers[:KEEP])
+        for n in numbers[KEEP:]:
+            self._fs.delete(self._manifest_path(n), False)
+        for f in gone:
+            self._fs.delete(self._path(f"{self.root}/{f}"), True)
+
+    def _folders(self, number: int) -> list[str]:
+        try:
+            m = self.manifest(number)
+            return [m["folder"]] if m.get("version", 1) == 1 else [s["folder"] for s in m["segments"]]
+        except (ValueError, KeyError, TypeError, Py4JJavaError):
+            return []
 
     def generation(self) -> int:
         return next(iter(self._numbers()), 0)
 
-    def load(self) -> Index | None:
-        """The newest generation that can be read, or None if there is none or it has no documents."""
+    # Reading
+
+    def _whole(self, segments: list[dict]) -> list[dict]:
+        for s in segments:
+            for t, has in s["tables"].items():
+                path = self._path(f"{self.root}/{s['folder']}/{t}")
+                now = self._fs.getContentSummary(path).getLength() if self._fs.exists(path) else -1
+                if now != has["bytes"]:
+                    raise IncompleteSnapshot(f"{path.toString()} has {now} bytes instead of {has['bytes']}")
+        return segments
+
+    def current(self) -> tuple[int, list[dict]]:
+        """(number, segments) of the newest generation that is whole; (0, []) if there is none at all."""
         last: Exception | None = None
         for number in self._numbers():
             try:
-                index = self._read(number)
-                return index if index.documents.take(1) else None
-            except (PySparkException, ValueError, KeyError, TypeError) as e:
+                m = self.manifest(number)
+                return number, self._whole(m["segments"]) if m.get("version", 1) == VERSION else [{"old": m}]
+            except (ValueError, KeyError, TypeError, Py4JJavaError) as e:
                 last = e
         if last:
             raise IncompleteSnapshot("no generation can be read") from last
-        return None
-
-    def publish(self, index: Index) -> int:
-        """Writes a new generation and makes it current. documents are laid out by name, postings by term."""
-        tables: dict[str, DataFrame | None] = {"documents": index.documents, "postings": index.postings, "pages": index.pages}
-        if any(t is None for t in tables.values()):
-            raise IncompleteSnapshot("documents, postings and pages are all needed")
-        tables |= {"bodies": index.bodies(), "vocabulary": index.vocabulary()}
-        number, folder = self.generation() + 1, f"gen-{uuid.uuid4().hex}"
-        layout = {"documents": "filename", "postings": "term", "pages": "filename", "bodies": "filename", "vocabulary": "term"}
-        for name, df in tables.items():
-            df.repartitionByRange(layout[name]).sortWithinPartitions(layout[name]).write.parquet(f"{self.root}/{folder}/{name}")
-        part = self._path(f"{self.root}/.manifest-{folder}")
-        out = self._fs.create(part, True)
-        out.write(bytearray(json.dumps({"generation": number, "folder": folder}).encode()))
-        out.close()
-        final = self._manifest_path(number)
-        if self._fs.exists(final) or not self._fs.rename(part, final):
-            self._fs.delete(part, False)
-            raise OSError(f"generation {number} was published by someone else")
-        for old in self._numbers()[KEEP:]:
-            gone = self._path(self._folder(old))
-            self._fs.delete(self._manifest_path(old), False)
-            self._fs.delete(gone, True)
-        return number
+        return 0, []
+
+    def load(self) -> Index | None:
+        """The newest generation that can be read, or None if nothing was ever published."""
+        number, segments = self.current()
+        if not number:
+            return None
+        return self._index(segments)
+
+    def _index(self, segments: list[dict]) -> Index:
+        if segments and "old" in segments[0]:
+            return UPGRADES[segments[0]["old"].get("version", 1)](self, segments[0]["old"])
+        if not segments:
+            return empty_index(self.spark)
+        own = [self._live(t, segments) for t in ("documents", "pages", "bodies")]
+        return Index(*own, lambda name, keep: self._live(name, segments, keep))
+
+    def _parts(self, name: str, segments: list[dict], keep: Callable[[DataFrame, int], DataFrame] = lambda t, _: t) -> list[tuple[dict, DataFrame]]:
+        """The segments that have rows of a table, each with that table."""
+        some = [s for s in segments if _rows(s, name)]
+        return [(s, keep(self._read(s["folder"], name), s["buckets"])) for s in some]
+
+    def _live(self, name: str, segments: list[dict], keep: Callable[[DataFrame, int], DataFrame] = lambda t, _: t) -> DataFrame:
+        """A table of all segments together. keep: narrows each part before they meet."""
+        parts = self._parts(name, segments, keep)
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[name])
+        tables = [t for _, t in parts]
+        if name in SIGNED:
+            return tables[0] if len(parts) == 1 else self._summed(name, tables).where(F.col(SIGNED[name]) > 0)
+        tombstones = [(s, t) for s, t in self._parts("tombstones", segments) if s["seq"] > parts[0][0]["seq"]]
+        if not tombstones:
+            return _union(tables)
+        # Only what stands below the last tombstones can be dead.
+        last = tombstones[-1][0]["seq"]
+        dead = _union([t.select(F.col("filename").alias("gone_"), F.lit(s["seq"]).alias("dead_")) for s, t in tombstones])
+        if sum(_rows(s, "tombstones") for s, _ in tombstones) <= FEW_TOMBSTONES:
+            dead = F.broadcast(dead)
+        old = _union([t.withColumn("seq_", F.lit(s["seq"])) for s, t in parts if s["seq"] < last])
+        old = old.join(dead, (old["filename"] == F.col("gone_")) & (old["seq_"] < F.col("dead_")), "left_anti").select(*tables[0].columns)
+        return _union([old, *[t for s, t in parts if s["seq"] >= last]])
+
+    def _summed(self, name: str, tables: list[DataFrame]) -> DataFrame:
+        count = SIGNED[name]
+        keys = [c for c in tables[0].columns if c != count]
+        return _union(tables).groupBy(*keys).agg(F.sum(count).alias(count)).select(*tables[0].columns)
+
+    def term_counts(self, filename: str) -> DataFrame:
+        """term, term_count of one document, from its own row."""
+        return self.load().documents_of([filename]).select(F.explode("terms").alias("t")).select("t.term", "t.term_count")
 
     def count_documents(self) -> int:
         now = self.load()
-        return now.documents.count() if now else 0
+        return (now.types().agg(F.sum("n")).first()[0] or 0) if now else 0
 
-    def term_counts(self, filename: str) -> DataFrame:
-        """term, term_count of one document."""
-        return self.load().postings.where(F.col("filename") == F.lit(filename)).select("term", "term_count")
+    # Writing
+
+    def publish(self, index: Index, since: int | None = None) -> int:
+        """Writes a whole index as one segment and makes it current.
+
+        since: the generation that this index was made beside. What others have published after it is put on top; without it, that goes.
+        Conflict: they have also merged their changes into what was there before.
+        """
+        if any(t is None for t in (index.documents, index.pages, index.bodies)):
+            raise IncompleteSnapshot("documents, pages and bodies are all needed")
+        base = self._write(0, index, None, None)
+        known = max((s["seq"] for s in self._segments_of(since)), default=0) if since is not None else None
+        for _ in range(ATTEMPTS):
+            number, segments = self._last()
+            later = [s for s in segments if "old" not in s and s["seq"] > known] if known is not None else []
+            top = max((s.get("seq", 0) for s in segments), default=0) + 1
+            base |= {"seq": top, "low": top}
+            if any(s["low"] <= known for s in later):
+                self._drop([base])
+                raise Conflict("changes were merged with what this index replaces")
+            now = [base]
+            if later:
+                now.append(self._delta(now, self._index(later), self._tombstones(later), top + 1))
+            try:
+                return self._commit(number + 1, now)
+            except Conflict:
+                self._drop(now[1:])
+        raise Conflict("others publish all the time")
+
+    def _segments_of(self, number: int) -> list[dict]:
+        try:
+            return self.manifest(number).get("segments", [])
+        except Py4JJavaError:
+            return []
+
+    def _last(self) -> tuple[int, list[dict]]:
+        """The number that the next generation follows, and the segments that are served. If nothing can be read, a whole index starts anew."""
+        try:
+            segments = self.current()[1]
+        except IncompleteSnapshot:
+            segments = []
+        return self.generation(), segments
+
+    def _tombstones(self, segments: list[dict]) -> DataFrame:
+        parts = [t for _, t in self._parts("tombstones", segments)]
+        return _union(parts or [self.spark.createDataFrame([], TABLES["tombstones"])]).distinct()
+
+    def upsert(self, new: Index) -> int:
+        """Puts the documents of an index in or replaces those of the same names."""
+        return self._change(lambda segments, seq: self._delta(segments, new, None, seq))
+
+    def remove(self, names: DataFrame) -> int:
+        """Takes the documents in names(filename) out."""
+        return self._change(lambda segments, seq: self._delta(segments, None, names.select("filename").distinct(), seq))
+
+    def _change(self, make: Callable[[list[dict], int], dict]) -> int:
+        def put(segments: list[dict], made: list[dict]) -> list[dict]:
+            made.append(make(segments, max((s["seq"] for s in segments), default=0) + 1))
+            return self._merged([*segments, made[-1]], made)
+
+        return self._change_to(put)
+
+    def _change_to(self, make: Callable[[list[dict], list[dict]], list[dict]]) -> int:
+        """Publishes what `make` makes of the current segments; again, if someone else was faster. make notes each segment that it writes."""
+        for _ in range(ATTEMPTS):
+            number, segments = self.generation(), self.current()[1]
+            if segments and "old" in segments[0]:
+                self.publish(self._index(segments))
+                continue
+            made: list[dict] = []
+            now = make(segments, made)
+            if now == segments:
+                return number
+            try:
+                done = self._commit(number + 1, now)
+            except Conflict:
+                self._drop(made)
+            else:
+                self._drop([s for s in made if s not in now])
+                return done
+        raise Conflict("others publish all the time")
+
+    def _drop(self, segments: list[dict]) -> None:
+        for s in segments:
+            self._fs.delete(self._path(f"{self.root}/{s['folder']}"), True)
+
+    def _delta(self, segments: list[dict], new: Index | None, names: DataFrame | None, seq: int) -> dict:
+        """A segment over others that takes `names` and all names of `new` out of them and puts `new` in."""
+        now = self._index(segments)
+        rows = None
+        if new is not None:
+            folder = f"seg-{uuid.uuid4().hex}"
+            rows = self._put(folder, "documents", new.documents)
+            mine = self._read(folder, "documents").select("filename")
+            names = mine if names is None else mine.unionByName(names).distinct()
+        few = names.take(FEW_VALUES + 1)
+        known = now.documents_of([r.filename for r in few])
+        gone = known.join(F.broadcast(names) if len(few) <= FEW_VALUES else names, "filename", "left_semi")
+        return self._write(seq, new, names, gone, (folder, rows) if new is not None else None)
+
+    def _read(self, folder: str, name: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{folder}/{name}")
+
+    def _put(self, folder: str, name: str, df: DataFrame) -> dict:
+        """Writes a table of a segment in its layout; what the manifest says of it."""
+        seen, many = Observation(), [F.count(F.lit(1)).alias("rows")]
+        if name == "documents":
+            many.append(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms"))
+        order = [*([FOLDERS[name]] if name in FOLDERS else []), LAYOUT[name]]
+        out = df.select(*StructType.fromDDL(TABLES[name]).names)
+        out = out.repartitionByRange(*order).sortWithinPartitions(*order).observe(seen, *many).write
+        (out.partitionBy(FOLDERS[name]) if name in FOLDERS else out).parquet(f"{self.root}/{folder}/{name}")
+        path = self._path(f"{self.root}/{folder}/{name}")
+        return {**seen.get, "bytes": self._fs.getContentSummary(path).getLength()}
+
+    def _write(self, seq: int, new: Index | None, names: DataFrame | None, gone: DataFrame | None, begun: tuple[str, dict] | None = None) -> dict:
+        """Writes a segment: the documents of `new`, tombstones for `names`, and counts without those of the documents `gone`."""
+        folder, tables = begun[0] if begun else f"seg-{uuid.uuid4().hex}", {}
+        if begun:
+            tables["documents"] = begun[1]
+        elif new is not None:
+            tables["documents"] = self._put(folder, "documents", new.documents)
+        documents = self._read(folder, "documents") if tables else self.spark.createDataFrame([], TABLES["documents"])
+        terms = tables.get("documents", {}).pop("terms", 0)
+        buckets = min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, terms / BUCKET_ROWS)))))
+        if gone is not None:  # written, as three counts are taken from it
+            gone.write.parquet(f"{self.root}/{folder}/gone")
+            gone = self.spark.read.schema(TABLES["documents"]).parquet(f"{self.root}/{folder}/gone")
+
+        def signed(name: str) -> DataFrame:
+            count = SIGNED[name]
+            plus = DERIVED[name](documents, buckets)
+            if gone is None:
+                return plus
+            keys = [c for c in plus.columns if c != count]
+            both = plus.unionByName(DERIVED[name](gone, buckets).withColumn(count, -F.col(count)))
+            return both.groupBy(*keys).agg(F.sum(count).alias(count)).where(F.col(count) != 0)
+
+        work = {name: (lambda name=name: self._put(folder, name, signed(name))) for name in ("vocabulary", "name_keys", "types")}
+        if new is not None:
+            work |= {"pages": lambda: self._put(folder, "pages", new.pages), "bodies": lambda: self._put(folder, "bodies", new.bodies)}
+            work |= {name: (lambda name=name: self._put(folder, name, DERIVED[name](documents, buckets))) for name in ("postings", "names")}
+        if names is not None:
+            work["tombstones"] = lambda: self._put(folder, "tombstones", names)
+        with ThreadPoolExecutor(4) as pool:  # the tables don't hang on one another
+            tables |= dict(zip(work, pool.map(lambda f: f(), work.values()), strict=True))
+        tables["endings"] = self._put(folder, "endings", self._read(folder, "vocabulary").select(F.reverse("term").alias("reversed"), "df"))
+        if gone is not None:
+            self._fs.delete(self._path(f"{self.root}/{folder}/gone"), True)
+        return {"folder": folder, "seq": seq, "low": seq, "buckets": buckets, "tables": tables}
+
+    # Merging
+
+    def _merged(self, segments: list[dict], made: list[dict]) -> list[dict]:
+        """The segments with the newest ones made one, for as long as MERGE of them are no larger in class than the newest."""
+        while True:
+            top, n = _size_class(segments[-1]), 1
+            while n < len(segments) and _size_class(segments[-n - 1]) <= top:
+                n += 1
+            if n < MERGE:
+                return segments
+            made.append(self._merge(segments[-n:], whole=n == len(segments)))
+            segments = [*segments[:-n], made[-1]]
+
+    def _merge(self, tail: list[dict], whole: bool) -> dict:
+        """One segment with what is alive in several that follow one another. whole: nothing is below them, so tombstones can go."""
+        live = self._index(tail)
+        folder, seq, low = f"seg-{uuid.uuid4().hex}", tail[-1]["seq"], tail[0]["low"]
+        if whole:
+            return self._write(seq, live, None, None) | {"low": low}
+        tables = {"documents": self._put(folder, "documents", live.documents)}
+        terms = tables["documents"].pop("terms")
+        buckets = min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, terms / BUCKET_ROWS)))))
+        documents = self._read(folder, "documents")
+
+        def summed(name: str) -> DataFrame:
+            parts = [t for _, t in self._parts(name, tail)] or [self.spark.createDataFrame([], TABLES[name])]
+            return self._summed(name, parts).where(F.col(SIGNED[name]) != 0)
+
+        work = {name: (lambda name=name: self._put(folder, name, summed(name))) for name in SIGNED}
+        work |= {"pages": lambda: self._put(folder, "pages", live.pages), "bodies": lambda: self._put(folder, "bodies", live.bodies), "tombstones": lambda: self._put(folder, "tombstones", self._tombstones(tail))}
+        work |= {name: (lambda name=name: self._put(folder, name, DERIVED[name](documents, buckets))) for name in ("postings", "names")}
+        with ThreadPoolExecutor(4) as pool:
+            tables |= dict(zip(work, pool.map(lambda f: f(), work.values()), strict=True))
+        return {"folder": folder, "seq": seq, "low": low, "buckets": buckets, "tables": tables}
+
+    def compact(self) -> int:
+        """Makes all segments one."""
+
+        def put(segments: list[dict], made: list[dict]) -> list[dict]:
+            if len(segments) < 2:
+                return segments
+            made.append(self._merge(segments, whole=True))
+            return made[:]
+
+        return self._change_to(put)
+
+
+def _rows(segment: dict, name: str) -> int:
+    return segment["tables"].get(name, {}).get("rows", 0)
+
+
+def _size_class(segment: dict) -> int:
+    return int(math.log(max(1, _rows(segment, "documents") + _rows(segment, "tombstones")), MERGE))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _from_version_1(store: Store, old: dict) -> Index:
+    """Version 1: one folder with documents without terms, postings without their documents' columns, pages, and maybe bodies."""
+    read = lambda name, schema: store.spark.read.schema(schema).parquet(f"{store.root}/{old['folder']}/{name}")
+    try:
+        documents = read("documents", "filename string, title string, path string, total_words int, page_count int, filename_words array<string>, ext string, doc_seq bigint")
+        postings, pages = read("postings", "term string, filename string, term_count int"), read("pages", TABLES["pages"])
+        terms = postings.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("term", "term_count"))).cast(TERMS).alias("terms"))
+        if store._fs.exists(store._path(f"{store.root}/{old['folder']}/bodies")):
+            bodies = read("bodies", TABLES["bodies"]).where("body <> ''")
+        else:
+            ordered = F.array_sort(F.collect_list(F.struct("page_number", "text")))
+            bodies = pages.groupBy("filename").agg(collapse(F.array_join(F.transform(ordered, lambda p: p["text"]), " ")).alias("body"))
+    except PySparkException as e:
+        raise IncompleteSnapshot(f"{old['folder']} can't be read") from e
+    return Index(documents.join(terms, "filename"), pages, bodies)
+
+
+#: From a manifest of each older version to an index as it is now.
+UPGRADES = {1: _from_version_1}

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.mutate import upsert
 from ..operators.index import build_index
+from ..operators.mutate import sanitised_upload
 from ..sources.store import Store
 
 
 def ingest(stream: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
-    """stream(filename, path, text, page_texts, doc_seq). Of a name that comes more than once in a batch the last doc_seq counts."""
+    """stream(filename, path, text, page_texts, doc_seq). Each micro-batch is a small segment; names are made safe, and of a name that comes more than once in a batch the last doc_seq counts."""
 
     def put(batch: DataFrame, number: int) -> None:
-        last = batch.withColumn("n", F.row_number().over(Window.partitionBy("filename").orderBy(F.col("doc_seq").desc()))).where("n = 1").drop("n")
-        now = store.load()
-        store.publish(upsert(now, last) if now else build_index(last))
+        store.upsert(build_index(sanitised_upload(batch)))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
