@@ -28,6 +28,7 @@ class Index:
     pages: DataFrame
     bodies: DataFrame
     tables: Callable[[str, Callable[[DataFrame, int], DataFrame]], DataFrame] | None = None
+    _counts: dict[str, int] | None = None
 
     def _table(self, name: str, keep: Callable[[DataFrame, int], DataFrame] = lambda t, buckets: t) -> DataFrame:
         """A derived table; keep: narrows the stored parts of it, given the number of buckets of each."""
@@ -54,6 +55,12 @@ class Index:
         """ext, n: documents of each file type."""
         return self._table("types")
 
+    def type_counts(self) -> dict[str, int]:
+        """The same as a mapping; an index doesn't change, so they are read once."""
+        if self._counts is None:
+            self._counts = {r.ext: r.n for r in self.types().collect()}
+        return self._counts
+
     def postings_of(self, terms: Sequence[str] | None) -> DataFrame:
         """The postings of terms with what scoring needs of their documents; None: all."""
         return self._table("postings", lambda t, buckets: _in_buckets(t, "term", terms, buckets)).drop("bucket")

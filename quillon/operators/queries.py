@@ -33,6 +33,13 @@ def local(spark, rows: list[Row], schema) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=kind), schema)
 
 
+def attach(rows: DataFrame, table: DataFrame, few: list[Row] | None, columns: list[str]) -> DataFrame:
+    """rows with columns that a table has for their query_id. Those of a single query are literals, others are joined."""
+    if few is None or len(few) != 1:
+        return rows.join(table.select("query_id", *columns), "query_id")
+    return rows.withColumns({c: F.lit(few[0][c]).cast(table.schema[c].dataType) for c in columns})
+
+
 def small(df: DataFrame) -> DataFrame:
     """With a hint to broadcast it if its size allows that."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

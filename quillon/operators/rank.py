@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import url_quote
 from .index import Index
-from .queries import held, small
+from .queries import attach, held, local, small
 from .score import Asked
 
 
@@ -40,15 +41,27 @@ def _bounds(totals: DataFrame) -> DataFrame:
     return whole.withColumns({"start": start, "end": end.cast("int"), "has_next": F.col("page") < F.col("total_pages"), "has_previous": F.col("page") > 1})
 
 
-def paged(rows: DataFrame, order=ranked) -> DataFrame:
-    """The rows of each query's page of what `order` ranks, with the pagination.
+def paged(rows: DataFrame, order=ranked, one: Row | None = None) -> tuple[DataFrame, list[Row] | None]:
+    """The rows of each query's page of what `order` ranks, with the pagination, held if they are few. one: the only query there is.
 
-    Totals come first, by partial aggregates, so that each task needs to keep only as many rows as the furthest page reaches.
+    Each task needs to keep only as many rows as the furthest page reaches. The total of a single query is counted while its
+    page is cut, and only a page beyond the last one is cut again; totals of several come first, by partial aggregates.
     """
-    bounds, few = held(_bounds(rows.groupBy("query_id", "page", "limit").agg(F.count("*").cast("int").alias("total"))))
-    last = max([r.end for r in few], default=0) if few is not None else bounds.agg(F.max("end")).first()[0]
-    whole = order(rows.drop("page", "limit"), last).join(bounds if few is not None else small(bounds), "query_id")
-    return whole.where(F.col("rank").between(F.col("start"), F.col("end")))
+    columns = ["page", "limit", "total", "total_pages", "start", "end", "has_next", "has_previous"]
+    if one is not None:
+        seen, want = Observation(), one.page * one.limit
+        top = order(rows.drop("page", "limit").observe(seen, F.count(F.lit(1)).alias("total")), want).where(F.col("rank") > want - one.limit)
+        table, few = held(top)
+        total = seen.get["total"]
+        bounds = local(rows.sparkSession, [Row(one.query_id, one.page, one.limit, total)] if total else [], StructType.fromDDL("query_id int, page int, limit int, total int"))
+        bounds, known = held(_bounds(bounds))
+        if total and want - one.limit >= total:
+            table, few = held(order(rows.drop("page", "limit"), total).where(F.col("rank").between(known[0].start, known[0].end)))
+        return held(attach(table, bounds, known, columns))
+    bounds, known = held(_bounds(rows.groupBy("query_id", "page", "limit").agg(F.count("*").cast("int").alias("total"))))
+    last = max([r.end for r in known], default=0) if known is not None else bounds.agg(F.max("end")).first()[0]
+    whole = order(rows.drop("page", "limit"), last).join(bounds if known is not None else small(bounds), "query_id")
+    return held(whole.where(F.col("rank").between(F.col("start"), F.col("end"))))
 
 
 def page_strip(page: Column, total_pages: Column) -> Column:

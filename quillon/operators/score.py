@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import is_number, occurrences
 from .index import FEW_VALUES, Index
-from .match import matched, phrase_terms, query_words
-from .queries import held, local, parse, small
+from .match import CONTENT, FEW_WORDS, looked_up, matches, phrase_terms, query_words, wanted
+from .queries import attach, held, local, parse, small
 
 #: Fixed values: (filename, content, phrase, lexical) weights by kind of query.
 WEIGHTS = {"quoted with filename hit": (0.80, 0.05, 0.15, 0.0), "quoted": (0.05, 0.15, 0.80, 0.0), "filename hit": (0.75, 0.15, 0.10, 0.0), "other": (0.05, 0.60, 0.20, 0.15)}
@@ -28,6 +29,14 @@ class Asked:
     worded: DataFrame
     worded_rows: list[Row] | None
 
+    @property
+    def one(self) -> int | None:
+        """The number of the only query with words, if there is but one."""
+        return self.worded_rows[0].query_id if self.worded_rows is not None and len(self.worded_rows) == 1 else None
+
+    def attach(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        return attach(rows, self.worded, self.worded_rows, columns)
+
 
 def ask(queries: DataFrame, index: Index) -> Asked:
     """queries(query_id, raw, page, limit), parsed. Those with words get n_docs, the documents of the type that they ask for; without any they go."""
@@ -37,7 +46,7 @@ def ask(queries: DataFrame, index: Index) -> Asked:
         allowed = F.col("filetype").isNull() | (F.col("filetype") == F.col("ext"))
         sizes = types.join(small(parsed.select("query_id", "filetype")), allowed).groupBy("query_id").agg(F.sum("n").alias("n_docs"))
         return Asked(parsed, None, parsed.where(F.size("words") > 0).join(sizes, "query_id"), None)
-    counts = {r.ext: r.n for r in types.collect()}
+    counts = index.type_counts()
     sized = [(r, counts.get(r.filetype, 0) if r.filetype is not None else sum(counts.values())) for r in rows if r.words]
     sized = [Row(**r.asDict(), n_docs=n) for r, n in sized if n > 0]
     kind = parsed.select("*", F.lit(0).cast("long").alias("n_docs")).schema
@@ -50,17 +59,17 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 def found_terms(asked: Asked, index: Index) -> tuple[DataFrame, list[Row] | None]:
     """(query_id, filetype, term, need, phrase_pos, hit): the terms that the words of queries match, and those that a phrase needs (phrase_pos not null, no hit)."""
-    words = query_words(asked.worded)
-    rows = None if asked.worded_rows is None else [w for r in asked.worded_rows for w in r.content_words]
-    own = matched(words, index, rows).join(asked.worded.select("query_id", "n_docs", "filetype"), "query_id")
+    words = None if asked.worded_rows is None else wanted(asked.worded_rows)
     hit = F.struct("pos", "kind", "term", F.lit(0).alias("term_count"), F.lit(0).alias("total_words"), idf(F.col("n_docs"), F.col("df")).alias("idf"), "weight", "word").cast(HIT)
+    if words is not None and len(words) <= FEW_WORDS:
+        own = looked_up(words, asked.parsed.sparkSession, index)
+        content = F.col("use") == CONTENT
+        return held(own.select("query_id", "filetype", "term", "need", F.when(~content, F.col("pos")).alias("phrase_pos"), F.when(content, hit).alias("hit")))
+    own = matches(query_words(asked.worded), index.vocabulary()).join(asked.worded.select("query_id", "n_docs", "filetype"), "query_id")
     own = own.select("query_id", "filetype", "term", F.lit(0).alias("need"), F.lit(None).cast("int").alias("phrase_pos"), hit.alias("hit"))
     phrases = asked.worded.where("phrase_query")
-    if asked.worded_rows is None or any(r.phrase_query for r in asked.worded_rows):
-        terms = phrase_terms(phrases, index, None if asked.worded_rows is None else [r for r in asked.worded_rows if r.phrase_query])
-        terms = terms.join(phrases.select("query_id", "filetype"), "query_id")
-        own = own.unionByName(terms.select("query_id", "filetype", "term", "need", F.col("pos").alias("phrase_pos"), F.lit(None).cast(HIT).alias("hit")))
-    return held(own)
+    terms = phrase_terms(phrases, index).join(phrases.select("query_id", "filetype"), "query_id")
+    return held(own.unionByName(terms.select("query_id", "filetype", "term", "need", F.col("pos").alias("phrase_pos"), F.lit(None).cast(HIT).alias("hit"))))
 
 
 EVIDENCE = ["query_id", "filename", "ext", "doc_seq", "hit", "need", "phrase_pos", "filename_words", "occ"]
@@ -106,7 +115,9 @@ def name_evidence(asked: Asked, index: Index) -> DataFrame:
         pairs |= {(i, min(_grams(t), key=lambda g: (df[g], g))) for i, own in texts.items() for t in own if all(g in df for g in _grams(t))}
         keys = F.broadcast(local(asks.sparkSession, [Row(*p) for p in sorted(pairs, key=str)], asks.select("query_id", F.lit("").alias("key")).schema))
         names, some_short = index.names_of(sorted({k for _, k in pairs})), any(len(" ".join(r.words)) < 3 or 0 < len(r.phrase) < 3 for r in rows)
-    near = names.join(keys, "key").join(asks, "query_id").where(_near() & F.expr("filetype IS NULL OR filetype = ext")).select(columns)
+    near = names.withColumn("query_id", F.lit(asked.one)) if asked.one is not None else names.join(keys, "key")
+    near = asked.attach(near, ["filetype", "words", "phrase"]).withColumn("joined", F.array_join("words", " "))
+    near = near.where(_near() & F.expr("filetype IS NULL OR filetype = ext")).select(columns)
     if some_short:
         every = index.documents.select("filename", "filename_words", "ext", "doc_seq")
         near = near.unionByName(every.join(short, _near() & F.expr("filetype IS NULL OR filetype = ext")).select(columns))
@@ -139,18 +150,21 @@ def phrase_counts(asked: Asked, index: Index, rows: DataFrame) -> tuple[DataFram
     """query_id, filename, phrase_occurrences of the phrases in the bodies of those rows of `evidence` that may hold them; None without phrases."""
     if asked.worded_rows is not None and not any(r.phrase_query for r in asked.worded_rows):
         return None
-    may = rows.where("may_hold").select("query_id", "filename").join(asked.worded.where("phrase_query").select("query_id", "phrase"), "query_id")
+    may = asked.attach(rows.where("may_hold").select("query_id", "filename"), ["phrase_query", "phrase"]).where("phrase_query").drop("phrase_query")
     may, few = held(may)
     names = None if few is None or len(few) > FEW_VALUES else sorted({r.filename for r in few})
-    body = index.bodies_of(names).join(may if few is not None else small(may), "filename").where(F.contains("body", F.col("phrase")))
-    return held(body.select("query_id", "filename", occurrences(F.col("body"), F.col("phrase")).alias("phrase_occurrences")))
+    if names is not None and asked.one is not None:
+        body = asked.attach(index.bodies_of(names).withColumn("query_id", F.lit(asked.one)), ["phrase"])
+    else:
+        body = index.bodies_of(names).join(may if few is not None else small(may), "filename")
+    return held(body.where(F.contains("body", F.col("phrase"))).select("query_id", "filename", occurrences(F.col("body"), F.col("phrase")).alias("phrase_occurrences")))
 
 
 def with_queries(rows: DataFrame, asked: Asked, counts: tuple[DataFrame, list[Row] | None] | None) -> DataFrame:
     """Rows of `evidence` with phrase_occurrences and what their queries ask."""
-    q = asked.worded.select("query_id", "words", "phrase", "phrase_query", "is_quoted", "filetype", "page", "limit", "phrase_words")
-    rows = rows.withColumn("filename_words", F.coalesce("filename_words", F.array().cast("array<string>"))).join(q, "query_id")
-    if counts is None:
+    rows = rows.withColumn("filename_words", F.coalesce("filename_words", F.array().cast("array<string>")))
+    rows = asked.attach(rows, ["words", "phrase", "phrase_query", "is_quoted", "filetype", "page", "limit", "phrase_words"])
+    if counts is None or counts[1] == []:
         return rows.withColumn("phrase_occurrences", F.col("occ")).drop("occ", "may_hold")
     return rows.join(counts[0], ["query_id", "filename"], "left").withColumn("phrase_occurrences", F.coalesce("phrase_occurrences", "occ")).drop("occ", "may_hold")
 
@@ -206,14 +220,21 @@ def scored_parts(rows: DataFrame) -> DataFrame:
     return rows.withColumns(content_parts()).withColumns(filename_parts()).withColumns(phrase_parts()).where("phrase_match OR NOT is_quoted").drop("hits")
 
 
-def best_of(rows: DataFrame) -> DataFrame:
-    """query_id, max_content, filename_hit, by partial aggregates; a window would bring all rows of a query into one task."""
-    return rows.groupBy("query_id").agg(F.max("content_score").alias("max_content"), F.max(F.col("filename_score") > 0).alias("filename_hit"))
+def best_of(rows: DataFrame, one: int | None) -> tuple[DataFrame, list[Row] | None]:
+    """query_id, max_content, filename_hit, by partial aggregates; a window would bring all rows of a query into one task. one: the only query there is."""
+    most = F.max("content_score").alias("max_content"), F.max(F.col("filename_score") > 0).alias("filename_hit")
+    if one is None:
+        return held(rows.groupBy("query_id").agg(*most))
+    # The maxima of a single query are taken on the way, without a shuffle.
+    seen = Observation()
+    rows.select("content_score", "filename_score").observe(seen, *most).write.format("noop").mode("overwrite").save()
+    got = [Row(query_id=one, **seen.get)] if seen.get["max_content"] is not None else []
+    return local(rows.sparkSession, got, StructType.fromDDL("query_id int, max_content double, filename_hit boolean")), got
 
 
-def final(rows: DataFrame, best: DataFrame) -> DataFrame:
+def final(rows: DataFrame, best: tuple[DataFrame, list[Row] | None]) -> DataFrame:
     """Scored rows with `final_score`; without those that match nothing."""
-    rows = rows.join(best, "query_id")
+    rows = attach(rows, best[0] if best[1] is not None else small(best[0]), best[1], ["max_content", "filename_hit"])
     lexical = F.when(F.col("exact_content_match"), 1.0).when(F.col("prefix_similarity") > 0, 0.70 + 0.30 * F.col("prefix_similarity")).when(F.col("numeric_similarity") > 0, 0.30 + 0.40 * F.col("numeric_similarity")).otherwise(0.0)
     rows = rows.withColumns({
         "lexical_match_relevance": lexical,
@@ -230,5 +251,4 @@ def score(asked: Asked, index: Index, keep: Callable[[DataFrame], DataFrame] = l
     """Every matching (query, document) with all scores and `final_score`. keep: holds the evidence for the steps that read it, e.g. in memory."""
     rows = keep(evidence(asked, index))
     parts = scored_parts(with_queries(rows, asked, phrase_counts(asked, index, rows)))
-    best, few = held(best_of(parts))
-    return final(parts, best if few is not None else small(best))
+    return final(parts, best_of(parts, asked.one))

@@ -113,8 +113,8 @@ WORDS = pick(1, 2, 8, 11, 18)
 
 def _matched(kind: int | None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        q, known = score.ask(asked(spark, WORDS), index(spark, sf_dir)), [w for r in parse(asked(spark, WORDS)).collect() for w in r.content_words]
-        found = match.matched(match.query_words(q.worded), index(spark, sf_dir), known)
+        q = score.ask(asked(spark, WORDS), index(spark, sf_dir))
+        found = match.looked_up(match.wanted(q.worded_rows), spark, index(spark, sf_dir)).where(F.col("use") == match.CONTENT)
         return (found if kind is None else found.where(F.col("kind") == kind)).select("query_id", "pos", "word", "term", "df", "kind", six("weight"))
 
     return run
@@ -153,9 +153,9 @@ PAGED = "page", "limit", "total", "total_pages", "start", "end", "has_next", "ha
 PAGE_SQL = O.PAGES + """
 SELECT query_id, filename, rank::INT AS rank, pno AS page, limit_no AS "limit", total::INT AS total, total_pages, (pno - 1) * limit_no + 1 AS start, least(pno * limit_no, total)::INT AS "end", pno < total_pages AS has_next, pno > 1 AS has_previous
 FROM pr"""
-register("search_paginated", lambda s, d: rank.paged(score.score(score.ask(asked(s, ALL), index(s, d)), index(s, d))).select("query_id", "filename", "rank", *PAGED), O.search(ALL, PAGE_SQL.format("res")))
+register("search_paginated", lambda s, d: rank.paged(score.score(score.ask(asked(s, ALL), index(s, d)), index(s, d)))[0].select("query_id", "filename", "rank", *PAGED), O.search(ALL, PAGE_SQL.format("res")))
 BROWSED = pick(6, 7, 8, 14)
-register("browse_filetype", lambda s, d: rank.paged(rank.browse_matches(score.ask(asked(s, BROWSED), index(s, d)), index(s, d)), rank.browse_ranked).select("query_id", "filename", "rank", *PAGED),
+register("browse_filetype", lambda s, d: rank.paged(rank.browse_matches(score.ask(asked(s, BROWSED), index(s, d)), index(s, d)), rank.browse_ranked)[0].select("query_id", "filename", "rank", *PAGED),
          f"WITH {O.values(BROWSED)},{O.CORPUS},{O.parsed()}, {O.BROWSE}" + PAGE_SQL.format("br"))
 
 # Snippets

@@ -6,7 +6,6 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators.index import FEW_VALUES, Index
-from ..operators.queries import held, small
 from ..operators.rank import browse_matches, browse_ranked, browse_rows, paged, ranked, result_rows
 from ..operators.score import Asked, ask, score
 from ..operators.snippet import snippets
@@ -31,7 +30,7 @@ def ranked_pages(asked: Asked, index: Index) -> DataFrame:
         return kept[-1]
 
     try:
-        page, few = held(paged(score(asked, index, keep)))
+        page, few = paged(score(asked, index, keep), one=asked.worded_rows[0] if asked.one is not None else None)
     finally:
         for rows in kept:
             rows.unpersist()
@@ -46,5 +45,5 @@ def search(queries: DataFrame, index: Index) -> DataFrame:
     browsing = asked.rows is None or any(not r.words and r.filetype for r in asked.rows)
     parts = [ranked_pages(asked, index)] if some or not browsing else []
     if browsing:
-        parts.append(browse_rows(paged(browse_matches(asked, index), browse_ranked)))
+        parts.append(browse_rows(paged(browse_matches(asked, index), browse_ranked)[0]))
     return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
