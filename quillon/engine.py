@@ -10,16 +10,16 @@ from time import time
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .operators import mutate
 from .operators.index import Index, build_index, counters
 from .operators.queries import local
 from .plans.search import search
+from .schemas import struct
 from .sources.extract import SCHEMA, inside, sanitised, scan_files, scan_folder
 from .sources.store import ATTEMPTS, Conflict, Store, empty_index
 
-QUERIES = StructType.fromDDL("query_id int, raw string, page string, limit string")
+QUERIES = "query_id int, raw string, page string, limit string"
 
 
 @dataclass
@@ -147,7 +147,7 @@ class Engine:
         return self.spark.createDataFrame(list(status.items()), "filename string, status string")
 
     def search(self, q: str, page: str = "1", limit: str = "10") -> DataFrame:
-        return self.search_many(local(self.spark, [Row(1, q, str(page), str(limit))], QUERIES))
+        return self.search_many(local(self.spark, [Row(1, q, str(page), str(limit))], struct(QUERIES)))
 
     def search_many(self, queries: DataFrame) -> DataFrame:
         """Response rows of queries(query_id, raw, page, limit); none where nothing is indexed."""

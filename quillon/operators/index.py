@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DIGIT, collapse, content_tokens, extension, name_tokens, stem, strip
+from ..functions.text import DIGIT, RUN, collapse, content_tokens, extension, name_tokens, stem, strip
 from ..schemas import TERMS
 
 #: Up to so many names, terms or keys are pushed to the files as literals; more are joined.
@@ -28,6 +28,8 @@ class Index:
     pages: DataFrame
     bodies: DataFrame
     tables: Callable[[str, Callable[[DataFrame, int], DataFrame]], DataFrame] | None = None
+    #: The texts that it is to be built from, so that a store can lay them out once before anything is made of them.
+    texts: DataFrame | None = None
     _counts: dict[str, int] | None = None
 
     def _table(self, name: str, keep: Callable[[DataFrame, int], DataFrame] = lambda t, buckets: t) -> DataFrame:
@@ -147,7 +149,9 @@ def build_index(texts: DataFrame) -> Index:
     A document's row holds its terms with their counts, so that a document's postings are known without a look at those of
     others. Terms are counted by partial aggregates before they move.
     """
-    base = texts.withColumn("words", content_tokens(F.col("text"))).where(F.size("words") > 0)
+    # A look for two letters or digits side by side ends at the first ones; tokens are made only where they are needed.
+    texts = texts.where(F.lower("text").rlike(f"{RUN[:-1]}{{2}}"))
+    base = texts.withColumn("words", content_tokens(F.col("text")))
     kept = F.filter("page_texts", lambda p: strip(p["text"]) != "")
     ordered = F.array_sort(F.transform(kept, lambda p: F.struct(p["page"].cast("int").alias("page_number"), F.lower(p["text"]).alias("text"))))
     counted = base.select("filename", F.explode("words").alias("term")).groupBy("filename", "term").agg(F.count("*").cast("int").alias("term_count"))
@@ -162,9 +166,9 @@ def build_index(texts: DataFrame) -> Index:
         extension(F.col("filename")).alias("ext"),
         F.col("doc_seq").cast("long").alias("doc_seq"),
     ).join(terms, "filename")
-    bodies = base.where(F.size(kept) > 0).select("filename", collapse(F.array_join(F.transform(ordered, lambda p: p["text"]), " ")).alias("body"))
-    pages = base.select("filename", F.explode("page_texts").alias("p")).select("filename", F.col("p.page").cast("int").alias("page_number"), F.lower("p.text").alias("text")).where(strip(F.col("text")) != "")
-    return Index(documents, pages, bodies)
+    bodies = texts.where(F.size(kept) > 0).select("filename", collapse(F.array_join(F.transform(ordered, lambda p: p["text"]), " ")).alias("body"))
+    pages = texts.select("filename", F.explode("page_texts").alias("p")).select("filename", F.col("p.page").cast("int").alias("page_number"), F.lower("p.text").alias("text")).where(strip(F.col("text")) != "")
+    return Index(documents, pages, bodies, texts=texts)
 
 
 def counters(index: Index) -> DataFrame:

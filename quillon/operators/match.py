@@ -7,9 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.text import DIGIT, is_number
+from ..schemas import struct
 from .index import Index
 from .queries import local
 
@@ -119,7 +119,7 @@ def looked_up(words: list[Row], spark: SparkSession, index: Index) -> DataFrame:
     long = (F.length(w) >= 3) & starts
     content = (F.col("term") == w) | long | (F.col("number") & F.contains("term", w) & ~starts)
     fits = F.when(F.col("use") == CONTENT, content).when(F.col("use") == INNER, F.col("term") == w).when(F.col("use") == LAST, starts).otherwise(F.endswith("term", w))
-    both = found.join(F.broadcast(local(spark, words, StructType.fromDDL(WANTED))), (F.col("ending") == (F.col("use") == FIRST)) & fits)
+    both = found.join(F.broadcast(local(spark, words, struct(WANTED))), (F.col("ending") == (F.col("use") == FIRST)) & fits)
     kind = F.when(F.col("term") == w, 0).when(long, 1).otherwise(2)
     weight = F.when(F.col("term") == w, 1.0).when(long, prefix_weight()).otherwise(numeric_weight())
     return both.withColumns({"kind": kind, "weight": weight}).drop("ending")

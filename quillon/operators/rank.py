@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.text import url_quote
+from ..schemas import struct
 from .index import Index
 from .queries import attach, held, local, small
 from .score import Asked
@@ -53,7 +53,7 @@ def paged(rows: DataFrame, order=ranked, one: Row | None = None) -> tuple[DataFr
         top = order(rows.drop("page", "limit").observe(seen, F.count(F.lit(1)).alias("total")), want).where(F.col("rank") > want - one.limit)
         table, few = held(top)
         total = seen.get["total"]
-        bounds = local(rows.sparkSession, [Row(one.query_id, one.page, one.limit, total)] if total else [], StructType.fromDDL("query_id int, page int, limit int, total int"))
+        bounds = local(rows.sparkSession, [Row(one.query_id, one.page, one.limit, total)] if total else [], struct("query_id int, page int, limit int, total int"))
         bounds, known = held(_bounds(bounds))
         if total and want - one.limit >= total:
             table, few = held(order(rows.drop("page", "limit"), total).where(F.col("rank").between(known[0].start, known[0].end)))

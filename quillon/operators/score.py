@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.text import is_number, occurrences
+from ..schemas import struct
 from .index import FEW_VALUES, Index
 from .match import CONTENT, FEW_WORDS, looked_up, matches, phrase_terms, query_words, wanted
 from .queries import attach, held, local, parse, small
@@ -229,7 +229,7 @@ def best_of(rows: DataFrame, one: int | None) -> tuple[DataFrame, list[Row] | No
     seen = Observation()
     rows.select("content_score", "filename_score").observe(seen, *most).write.format("noop").mode("overwrite").save()
     got = [Row(query_id=one, **seen.get)] if seen.get["max_content"] is not None else []
-    return local(rows.sparkSession, got, StructType.fromDDL("query_id int, max_content double, filename_hit boolean")), got
+    return local(rows.sparkSession, got, struct("query_id int, max_content double, filename_hit boolean")), got
 
 
 def final(rows: DataFrame, best: tuple[DataFrame, list[Row] | None]) -> DataFrame:

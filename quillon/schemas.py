@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark.sql.types import StructType
+
 TERMS = "array<struct<term string, term_count int>>"
 DOCUMENTS = f"filename string, title string, path string, total_words int, page_count int, filename_words array<string>, ext string, doc_seq bigint, terms {TERMS}"
 PAGES = "filename string, page_number int, text string"
@@ -21,3 +25,9 @@ TABLES = {"documents": DOCUMENTS, "pages": PAGES, "bodies": BODIES, "postings":
 LAYOUT = {"documents": "filename", "pages": "filename", "bodies": "filename", "postings": "term", "names": "key", "vocabulary": "term", "endings": "reversed", "name_keys": "key", "types": "ext", "tombstones": "filename"}
 FOLDERS = {"postings": "bucket", "names": "bucket", "vocabulary": "with_digits"}
 VERSION = 2
+
+
+@lru_cache
+def struct(ddl: str) -> StructType:
+    """The type that a schema's text says; Spark parses it once."""
+    return StructType.fromDDL(ddl)

@@ -24,11 +24,10 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.text import collapse
-from ..operators.index import DERIVED, FEW_VALUES, Index
-from ..schemas import FOLDERS, LAYOUT, TABLES, TERMS, VERSION
+from ..operators.index import DERIVED, FEW_VALUES, Index, build_index
+from ..schemas import FOLDERS, LAYOUT, TABLES, TERMS, VERSION, struct
 
 KEEP = 3
 #: So many segments of one size class in a row are merged; a class spans a factor of MERGE.
@@ -38,6 +37,8 @@ BUCKET_ROWS, MOST_BUCKETS = 250_000, 4096
 #: Up to so many tombstones are broadcast.
 FEW_TOMBSTONES = 200_000
 ATTEMPTS = 20
+#: Bytes of texts of a range of names; fewer than SMALL_BYTES are one range.
+TEXT_BYTES, SMALL_BYTES = 64 << 20, 1 << 20
 #: Tables that count, with their counts.
 SIGNED = {"vocabulary": "df", "endings": "df", "name_keys": "df", "types": "n"}
 
@@ -300,35 +301,48 @@ class Store:
         rows = None
         if new is not None:
             folder = f"seg-{uuid.uuid4().hex}"
+            new, dealt = self._staged(folder, new)
             rows = self._put(folder, "documents", new.documents)
             mine = self._read(folder, "documents").select("filename")
             names = mine if names is None else mine.unionByName(names).distinct()
         few = names.take(FEW_VALUES + 1)
         known = now.documents_of([r.filename for r in few])
         gone = known.join(F.broadcast(names) if len(few) <= FEW_VALUES else names, "filename", "left_semi")
-        return self._write(seq, new, names, gone, (folder, rows) if new is not None else None)
+        return self._write(seq, new, names, gone, (folder, rows, dealt) if new is not None else None)
 
     def _read(self, folder: str, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{folder}/{name}")
 
-    def _put(self, folder: str, name: str, df: DataFrame) -> dict:
-        """Writes a table of a segment in its layout; what the manifest says of it."""
+    def _staged(self, folder: str, new: Index) -> tuple[Index, bool]:
+        """An index over texts that are written in ranges of names, so that they are dealt out once and what is made of them stays in place; and whether it is so."""
+        if new.texts is None:
+            return new, False
+        size = int(str(new.texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        columns = ["filename", "path", "text", "page_texts", "doc_seq"]
+        n = [] if size >= 1 << 60 else [max(self.spark.sparkContext.defaultParallelism, min(-(-size // TEXT_BYTES), 200_000))] if size > SMALL_BYTES else [1]
+        rows = new.texts.select(*columns)
+        rows.repartitionByRange(*n, "filename").sortWithinPartitions("filename").write.parquet(f"{self.root}/{folder}/texts")
+        return build_index(self.spark.read.schema(rows.schema).parquet(f"{self.root}/{folder}/texts")), True
+
+    def _put(self, folder: str, name: str, df: DataFrame, dealt: bool = False) -> dict:
+        """Writes a table of a segment in its layout; what the manifest says of it. dealt: its rows stand in ranges already."""
         seen, many = Observation(), [F.count(F.lit(1)).alias("rows")]
         if name == "documents":
             many.append(F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms"))
         order = [*([FOLDERS[name]] if name in FOLDERS else []), LAYOUT[name]]
-        out = df.select(*StructType.fromDDL(TABLES[name]).names)
-        out = out.repartitionByRange(*order).sortWithinPartitions(*order).observe(seen, *many).write
+        out = df.select(*struct(TABLES[name]).names)
+        out = (out if dealt else out.repartitionByRange(*order)).sortWithinPartitions(*order).observe(seen, *many).write
         (out.partitionBy(FOLDERS[name]) if name in FOLDERS else out).parquet(f"{self.root}/{folder}/{name}")
         path = self._path(f"{self.root}/{folder}/{name}")
         return {**seen.get, "bytes": self._fs.getContentSummary(path).getLength()}
 
-    def _write(self, seq: int, new: Index | None, names: DataFrame | None, gone: DataFrame | None, begun: tuple[str, dict] | None = None) -> dict:
+    def _write(self, seq: int, new: Index | None, names: DataFrame | None, gone: DataFrame | None, begun: tuple[str, dict, bool] | None = None) -> dict:
         """Writes a segment: the documents of `new`, tombstones for `names`, and counts without those of the documents `gone`."""
-        folder, tables = begun[0] if begun else f"seg-{uuid.uuid4().hex}", {}
+        folder, tables, dealt = begun[0] if begun else f"seg-{uuid.uuid4().hex}", {}, False
         if begun:
-            tables["documents"] = begun[1]
+            tables["documents"], dealt = begun[1:]
         elif new is not None:
+            new, dealt = self._staged(folder, new)
             tables["documents"] = self._put(folder, "documents", new.documents)
         documents = self._read(folder, "documents") if tables else self.spark.createDataFrame([], TABLES["documents"])
         terms = tables.get("documents", {}).pop("terms", 0)
@@ -348,15 +362,15 @@ class Store:
 
         work = {name: (lambda name=name: self._put(folder, name, signed(name))) for name in ("vocabulary", "name_keys", "types")}
         if new is not None:
-            work |= {"pages": lambda: self._put(folder, "pages", new.pages), "bodies": lambda: self._put(folder, "bodies", new.bodies)}
+            work |= {"pages": lambda: self._put(folder, "pages", new.pages, dealt), "bodies": lambda: self._put(folder, "bodies", new.bodies, dealt)}
             work |= {name: (lambda name=name: self._put(folder, name, DERIVED[name](documents, buckets))) for name in ("postings", "names")}
         if names is not None:
             work["tombstones"] = lambda: self._put(folder, "tombstones", names)
         with ThreadPoolExecutor(4) as pool:  # the tables don't hang on one another
             tables |= dict(zip(work, pool.map(lambda f: f(), work.values()), strict=True))
         tables["endings"] = self._put(folder, "endings", self._read(folder, "vocabulary").select(F.reverse("term").alias("reversed"), "df"))
-        if gone is not None:
-            self._fs.delete(self._path(f"{self.root}/{folder}/gone"), True)
+        for over in ("gone", "texts"):
+            self._fs.delete(self._path(f"{self.root}/{folder}/{over}"), True)
         return {"folder": folder, "seq": seq, "low": seq, "buckets": buckets, "tables": tables}
 
     # Merging
