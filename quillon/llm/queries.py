@@ -138,7 +138,32 @@ sub AS (SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVE
 {_walk_sql("v", "u", f"SELECT row_id, 0 AS grp, sub.idx, node, proof FROM w{_LEVELS} JOIN sub USING (grp)", _TOPS)}
 SELECT doc_id, leaf, sub.h AS subroot, u{_TOPS}.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = u{_TOPS}.h AS verified FROM o JOIN v{_TOPS} v USING (row_id) JOIN sub ON sub.grp = o.grp, u{_TOPS}"""
 
-#: The others' results follow from hashes, tokens, estimates or passages that SQL can't express; tests/llm holds them against brute force.
+#: Every 400-byte string of every text by its MD5; the runs of those that start more than once. _UTF8: a character's bytes, in hexadecimal.
+_UTF8 = "[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB]."
+REPEATS_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT uid, pos, md5(b[pos + 1:pos + 400]) AS k FROM (SELECT uid, b, unnest(range(octet_length(b) - 399)) AS pos FROM d WHERE octet_length(b) >= 400)),
+s AS (SELECT uid, pos FROM h SEMI JOIN (SELECT k FROM h GROUP BY k HAVING count(*) > 1) r USING (k)),
+f AS (SELECT *, CASE WHEN pos > lag(pos) OVER (PARTITION BY uid ORDER BY pos) + 400 THEN 1 ELSE 0 END AS fresh FROM s),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY uid ORDER BY pos) AS run FROM f),
+r AS (SELECT uid, run, min(pos) AS a, max(pos) + 400 AS z FROM g GROUP BY uid, run),
+e AS (SELECT uid, a, z, coalesce(lag(z) OVER (PARTITION BY uid ORDER BY a), 0) AS before FROM r),
+k AS (SELECT uid, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, max(z) AS last, string_agg(hex(b[before + 1:a]), '' ORDER BY a) AS kept FROM e JOIN d USING (uid) GROUP BY uid),
+x AS (SELECT doc_id, b, n_removed, n_spans, CASE WHEN last IS NULL THEN hex(b) ELSE kept || hex(b[last + 1:]) END AS rest FROM d LEFT JOIN k USING (uid))
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256,
+  decode(unhex(array_to_string(list_filter(regexp_extract_all(rest, '{_UTF8}|..'), lambda c: regexp_full_match(c, '{_UTF8}')), ''))) AS kept_text FROM x"""
+#: All pairs of documents that share a shingle, and what can be reached over those that share enough.
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT uid, doc_id, list_distinct(CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) END) AS s FROM w),
+e AS (SELECT uid, len(s) AS n, hash(x) AS one, x FROM (SELECT uid, s, unnest(s) AS x FROM s)),
+p AS (SELECT a.uid AS a, b.uid AS b FROM e a JOIN e b ON a.one = b.one AND a.x = b.x AND a.uid < b.uid AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.uid, b.uid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+c AS (SELECT uid AS root, uid FROM s UNION SELECT c.root, l.b FROM c JOIN l ON l.a = c.uid),
+m AS (SELECT root AS uid, min(doc_id) AS component_id FROM c JOIN s USING (uid) GROUP BY root)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM s JOIN m USING (uid)"""
+
+#: The others' results follow from hashes, tokens or estimates that SQL can't express; tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op12_manifest": MANIFEST_SQL,
     "op1_topk": """
@@ -147,6 +172,8 @@ WITH v AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding,
 s AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, c.uid AS cuid, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.uid <> c.uid AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op5_repeats": REPEATS_SQL,
+    "op7_near_duplicates": NEAR_DUPLICATES_SQL,
     "op4_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), h AS (SELECT page_id, strlen(t)::BIGINT AS n, sha1(t) AS d FROM p),
 k AS (SELECT d, n, max(page_id) AS top FROM h WHERE n >= 1000 GROUP BY d, n)
