@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -40,6 +43,14 @@ def attach(rows: DataFrame, table: DataFrame, few: list[Row] | None, columns: li
     return rows.withColumns({c: F.lit(few[0][c]).cast(table.schema[c].dataType) for c in columns})
 
 
+def observed(seen: Observation, otherwise: Callable[[], dict]) -> dict:
+    """What was counted on the way. A plan that turns out to be empty loses its counters; then it is counted as such."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return otherwise()
+
+
 def small(df: DataFrame) -> DataFrame:
     """With a hint to broadcast it if its size allows that."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

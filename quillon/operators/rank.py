@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import url_quote
 from ..schemas import struct
 from .index import Index
-from .queries import attach, held, local, small
+from .queries import attach, held, local, observed, small
 from .score import Asked
 
 
@@ -52,7 +52,7 @@ def paged(rows: DataFrame, order=ranked, one: Row | None = None) -> tuple[DataFr
         seen, want = Observation(), one.page * one.limit
         top = order(rows.drop("page", "limit").observe(seen, F.count(F.lit(1)).alias("total")), want).where(F.col("rank") > want - one.limit)
         table, few = held(top)
-        total = seen.get["total"]
+        total = observed(seen, lambda: {"total": rows.count()})["total"]
         bounds = local(rows.sparkSession, [Row(one.query_id, one.page, one.limit, total)] if total else [], struct("query_id int, page int, limit int, total int"))
         bounds, known = held(_bounds(bounds))
         if total and want - one.limit >= total:

@@ -12,7 +12,7 @@ from ..functions.text import is_number, occurrences
 from ..schemas import struct
 from .index import FEW_VALUES, Index
 from .match import CONTENT, FEW_WORDS, looked_up, matches, phrase_terms, query_words, wanted
-from .queries import attach, held, local, parse, small
+from .queries import attach, held, local, observed, parse, small
 
 #: Fixed values: (filename, content, phrase, lexical) weights by kind of query.
 WEIGHTS = {"quoted with filename hit": (0.80, 0.05, 0.15, 0.0), "quoted": (0.05, 0.15, 0.80, 0.0), "filename hit": (0.75, 0.15, 0.10, 0.0), "other": (0.05, 0.60, 0.20, 0.15)}
@@ -228,7 +228,8 @@ def best_of(rows: DataFrame, one: int | None) -> tuple[DataFrame, list[Row] | No
     # The maxima of a single query are taken on the way, without a shuffle.
     seen = Observation()
     rows.select("content_score", "filename_score").observe(seen, *most).write.format("noop").mode("overwrite").save()
-    got = [Row(query_id=one, **seen.get)] if seen.get["max_content"] is not None else []
+    best = observed(seen, lambda: rows.agg(*most).first().asDict())
+    got = [Row(query_id=one, **best)] if best["max_content"] is not None else []
     return local(rows.sparkSession, got, struct("query_id int, max_content double, filename_hit boolean")), got
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 from ..operators.index import DERIVED, FEW_VALUES, Index, build_index
+from ..operators.queries import observed
 from ..schemas import FOLDERS, LAYOUT, TABLES, TERMS, VERSION, struct
 
 KEEP = 3
@@ -334,7 +335,7 @@ class Store:
         out = (out if dealt else out.repartitionByRange(*order)).sortWithinPartitions(*order).observe(seen, *many).write
         (out.partitionBy(FOLDERS[name]) if name in FOLDERS else out).parquet(f"{self.root}/{folder}/{name}")
         path = self._path(f"{self.root}/{folder}/{name}")
-        return {**seen.get, "bytes": self._fs.getContentSummary(path).getLength()}
+        return {**observed(seen, lambda: self._read(folder, name).agg(*many).first().asDict()), "bytes": self._fs.getContentSummary(path).getLength()}
 
     def _write(self, seq: int, new: Index | None, names: DataFrame | None, gone: DataFrame | None, begun: tuple[str, dict, bool] | None = None) -> dict:
         """Writes a segment: the documents of `new`, tombstones for `names`, and counts without those of the documents `gone`."""
