@@ -10,7 +10,8 @@ edge; they are laid end to end in hash order and fill the shards up to even size
 Law: `bytes`, the sizes of the shards are near equal (within the largest document or so).
 
 Defined cases: null and empty texts have size 1 and link with nothing; null ids and repeated rows are rows like any
-other; an empty table gives no rows; other columns are not read.
+other; texts of any length are only hashed and measured; an empty table gives no rows; other columns are not read. The same
+rows in files or splits of another layout get the same shards and slots, as only their values are hashed.
 """
 
 from __future__ import annotations
@@ -86,7 +87,9 @@ def shard(spark: SparkSession, docs: DataFrame, n: int = 8, rounds: int = ROUNDS
     text = F.col(text_col).cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), (size + 1).alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(7), text, size).alias("g2"))
-    rows = ws.table(rows.withColumn("mix", F.xxhash64("doc_id", "g2", "uid")), "rows")
+    # What a row hashes to must not hang on how the input is split; only equal rows are told apart, by a running number.
+    twins = running_total(ws, rows.withColumn("one", F.lit(1).cast("long")), "twins", ["doc_id", "g1", "g2"], ["uid"], "one")
+    rows = ws.table(twins.withColumn("mix", F.xxhash64("doc_id", "g1", "g2", "before")).drop("one", "before"), "rows")
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     fair = total / n
     groups = ws.table(rows.where("size > 1").groupBy("g1", "g2").agg(F.count("*").alias("members")).where("members > 1"), "groups")
