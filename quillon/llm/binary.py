@@ -10,7 +10,9 @@ sequences goes on where it stopped; files appear under their name only when they
 shuffle writes a run of neighbouring shards of up to TASK_BYTES.
 
 Defined cases: null and empty texts are the end id alone; the last sequence is filled up with the end id; repeated rows and
-null ids are documents like any other; an empty table gives no files; other columns are not read.
+null ids are documents like any other; texts of any length are cut where sequences end; an empty table gives no files; other columns
+are not read. Documents that are read right from Parquet files stand in the order of files and rows, however these are
+split among tasks, so reruns give the same shards; other tables stand in the order of their partitions.
 """
 
 from __future__ import annotations
@@ -70,14 +72,15 @@ def write_shards(spark: SparkSession, docs: DataFrame, target: str, path: str |
     width = 4 if wide_ids(path) else 2
     # The table is as large as the shards and lies beside them for a while, so it is compressed harder than others.
     options = {"parquet.compression.codec.zstd.level": 9, "parquet.page.size": 4 << 20}
-    table = ws.table(token_table(spark, docs, path, end_id, None, id_col, text_col), "tokens", "zstd", **options)
-    total, mark = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.xxhash64("uid", "doc_id", "n", "ids").cast("decimal(38,0)")), F.lit(0))).first()
+    table = ws.table(token_table(spark, docs, path, end_id, None, id_col, text_col).drop("uid", "key"), "tokens", "zstd", **options)
+    placed = in_table_order(ws, table)
+    total, mark = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.xxhash64("before", "doc_id", "n", "ids").cast("decimal(38,0)")), F.lit(0))).first()
     n = -(-total // length)
     print_ = hashlib.blake2b(repr((total, int(mark), width, length, end_id, per_shard, key)).encode(), digest_size=8).hexdigest()
     target = f"{target}/{print_}"
     shards = max(1, -(-n // per_shard))
     in_task = max(1, min(TASK_BYTES // (per_shard * length * width), -(-shards // (4 * spark.sparkContext.defaultParallelism))))
-    pieces = cut(in_table_order(ws, table), length, width == 4, True).select("sequence_id", "offset", "ids")
+    pieces = cut(placed, length, width == 4, True).select("sequence_id", "offset", "ids")
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ _encoders: dict[int, Encoder] = {}
 
 #: Fixed value: the pattern that cuts texts for the byte-level tokenizer file.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: monotonically_increasing_id() has the partition above so many bits.
-PART_BITS = 33
 _PROBE = "It's the 1st\tprobe:  naïve çà & là,\n\n  don't  — 2024!! 中文 😀 \n"
 
 
@@ -92,9 +91,10 @@ def parts_of(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterat
 
 
 def token_table(spark: SparkSession, docs: DataFrame, path: str, end_id: int, key=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, n, earlier, key, ids): every document's ids and then `end_id`. Null text counts as empty.
+    """(uid, doc_id, n, file, run, earlier, key, ids): every document's ids and then `end_id`. Null text counts as empty.
 
-    earlier: ids before it in the same task, which the upper bits of uid name (see PART_BITS).
+    file, run: which rows follow one another in a task: those of a file from the row `run` on; earlier: ids before a document in its run.
+    Rows that aren't read right from files are taken in the order of their partitions.
     key: maps a list of id arrays to one whole number each. ids are of the narrowest unsigned type that holds the vocabulary.
     """
     with open(path, encoding="utf-8") as f:
@@ -103,30 +103,40 @@ def token_table(spark: SparkSession, docs: DataFrame, path: str, end_id: int, ke
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(blob.value)
         end = np.asarray([end_id], enc.dtype).tobytes()
-        so_far = 0
+        last, run, so_far = (None, -1), -1, 0
         for batch in batches:
             for part in parts_of(batch, 2):
                 ids = [enc(t) + end for t in part.column(2).to_pylist()]
                 keys = key([np.frombuffer(x, enc.dtype) for x in ids]) if key else np.zeros(len(ids), np.int64)
                 n = [len(x) // enc.dtype.itemsize for x in ids]
-                earlier = so_far + np.cumsum([0, *n])
-                so_far = int(earlier[-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(earlier[:-1]), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["uid", "doc_id", "n", "earlier", "key", "ids"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "uid long, doc_id long, n long, earlier long, key long, ids binary")
+                runs, earlier = [], []
+                for file, row, size in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), n, strict=True):
+                    if (file, row - 1) != last:
+                        run, so_far = row, 0
+                    runs.append(run)
+                    earlier.append(so_far)
+                    last, so_far = (file, row), so_far + size
+                numbers = [pa.array(x, pa.int64()) for x in (runs, earlier, keys)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), part.column(3), *numbers, pa.array(ids, pa.binary())], names)
+
+    names = ["uid", "doc_id", "n", "file", "run", "earlier", "key", "ids"]
+    columns = [F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    try:
+        rows = docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:
+        rows = docs.select(*columns, F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(encode, "uid long, doc_id long, n long, file string, run long, earlier long, key long, ids binary")
 
 
 def in_table_order(ws: Workspace, table: DataFrame) -> DataFrame:
-    """The token table with `before`: ids of all documents before each one, in the order of uid.
+    """The token table with `before`: ids of all documents before each one, in the order of files and of rows in them, however they were split.
 
-    Only the sums of the tasks that wrote the table are added up; there is one for each, and they are broadcast up to a million.
+    Only the sums of the runs are added up; there is one for each split of a file, and they are broadcast up to a million.
     """
-    part = F.shiftright("uid", PART_BITS).alias("part")
-    sums = table.groupBy(part).agg(F.sum("n").alias("in_part"))
-    sums = ws.table(sums.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("offset_")), "parts")
+    sums = table.groupBy("file", "run").agg(F.sum("n").alias("in_run"))
+    sums = ws.table(sums.select("file", "run", (F.sum("in_run").over(Window.orderBy("file", "run")) - F.col("in_run")).alias("offset_")), "runs")
     sums = F.broadcast(sums) if sums.count() <= 1_000_000 else sums.hint("merge")
-    return table.withColumn("part", part).join(sums, "part").withColumn("before", F.col("earlier") + F.col("offset_")).drop("part", "offset_")
+    return table.join(sums, ["file", "run"]).withColumn("before", F.col("earlier") + F.col("offset_")).drop("file", "run", "offset_")
 
 
 def cut(placed: DataFrame, length: int, wide: bool, with_ids: bool = False) -> DataFrame:

@@ -368,6 +368,24 @@ def test_shards_resume(spark, docs, tmp_path):
     assert sorted(r.slot for r in late) == list(range(10, n))
 
 
+def test_results_do_not_hang_on_splits(spark, docs, tmp_path):
+    """The same files read in few and in many partitions: equal shards of documents and equal shards of token ids."""
+    for k, part in enumerate(docs.where("doc_id IS NOT NULL").randomSplit([5.0, 1.0, 3.0], 2)):
+        part.coalesce(1).write.option("parquet.block.size", 4096).parquet(str(tmp_path / f"p{k}"))
+    was, got = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size, cost in (("128m", "4m"), ("3000", "1")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            read = spark.read.parquet(*[str(tmp_path / f"p{k}") for k in range(3)])
+            rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+            got.append((read.rdd.getNumPartitions(), rows(sharding.shard(spark, read)), rows(binary.materialise(spark, read, per_shard=7, length=64))))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got[0][0] != got[1][0] and got[0][1:] == got[1][1:]
+
+
 def test_shards_of_changed_input_are_written_anew(spark, tmp_path):
     where = str(tmp_path / "s")
     make = lambda last: spark.createDataFrame([(k, f"text {k} of some words") for k in range(40)] + [(40, last)], "doc_id long, text string")
