@@ -89,8 +89,21 @@ register("tokenize_content", lambda s, d: doc(s, d).select("doc_id", F.posexplod
          f"SELECT doc_id, (unnest(range(len(t))))::INT AS position, unnest(t) AS term FROM (SELECT doc_id, {O.content('text')} AS t FROM documents)")
 register("tokenize_filename", lambda s, d: texts(s, d).select(F.col("doc_seq").alias("doc_id"), F.array_join(T.name_tokens(T.stem(F.col("filename"))), " ").alias("words"), T.extension(F.col("filename")).alias("ext")),
          f"WITH {O.CORPUS} SELECT doc_id, array_to_string(fwords, ' ') AS words, ext FROM named")
-register("parse_query", lambda s, d: parse(asked(s, ALL)).select("query_id", "filetype", "query", "quoted", F.array_join("words", " ").alias("words"), "phrase", "phrase_query", "page", "limit"),
-         f"WITH {O.values(ALL)},{O.parsed()} SELECT query_id, filetype, query, quoted, array_to_string(words, ' ') AS words, phrase, phrase_query, page_no AS page, limit_no AS \"limit\" FROM qq")
+def _raw_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw query from each part's name, in one of the forms that people write them in, and those of ALL."""
+    k, name = F.col("p_partkey") % 10, F.col("p_name")
+    raw = (
+        F.when(k == 0, name).when(k == 1, F.concat(F.lit(' "'), F.upper(name), F.lit('" '))).when(k == 2, F.concat(name, F.lit(".PDF"))).when(k == 3, F.concat(F.lit('"'), name, F.lit('.docx"'))).when(k == 4, F.concat(F.lit("txt  "), name, F.lit(" pdf")))
+        .when(k == 5, F.concat(name, F.lit("\t.txt"))).when(k == 6, F.concat(F.lit('"" '), name)).when(k == 7, F.concat(F.lit('"'), name)).when(k == 8, F.concat(name, F.lit("_v2.1!"))).otherwise(F.concat(F.lit('" '), name, F.lit(' .pdf "')))
+    )
+    made = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") + 100).cast("int").alias("query_id"), raw.alias("raw"), (F.col("p_size") - 3).cast("string").alias("page"), F.concat("p_size", F.when(k == 9, "x").otherwise("")).alias("limit"))
+    return made.unionByName(asked(spark, ALL))
+
+
+RAW_SQL = O.values(ALL).replace("q(query_id, raw, page, lim)", "q0(query_id, raw, page, lim)") + """, q(query_id, raw, page, lim) AS (SELECT * FROM q0 UNION ALL SELECT (p_partkey + 100)::INT, CASE p_partkey % 10 WHEN 0 THEN p_name WHEN 1 THEN ' "' || upper(p_name) || '" ' WHEN 2 THEN p_name || '.PDF' WHEN 3 THEN '"' || p_name || '.docx"' WHEN 4 THEN 'txt  ' || p_name || ' pdf'
+  WHEN 5 THEN p_name || chr(9) || '.txt' WHEN 6 THEN '"" ' || p_name WHEN 7 THEN '"' || p_name WHEN 8 THEN p_name || '_v2.1!' ELSE '" ' || p_name || ' .pdf "' END, (p_size - 3)::VARCHAR, p_size || CASE WHEN p_partkey % 10 = 9 THEN 'x' ELSE '' END FROM part)"""
+register("parse_query", lambda s, d: parse(_raw_queries(s, d)).select("query_id", "filetype", "query", "quoted", F.array_join("words", " ").alias("words"), "phrase", "phrase_query", "page", "limit"),
+         f"WITH {RAW_SQL},{O.parsed()} SELECT query_id, filetype, query, quoted, array_to_string(words, ' ') AS words, phrase, phrase_query, page_no AS page, limit_no AS \"limit\" FROM qq")
 register("whitespace_collapse", lambda s, d: doc(s, d).select("doc_id", F.md5(T.collapse(F.col("text")).cast("binary")).alias("digest"), F.length(T.collapse(F.col("text"))).alias("n")),
          f"SELECT doc_id, md5(t) AS digest, length(t)::INT AS n FROM (SELECT doc_id, {O.collapse('text')} AS t FROM documents)")
 register("url_quote", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", T.url_quote(F.col("url")).alias("quoted")), "SELECT page_id, url_encode(url) AS quoted FROM pages")
@@ -407,9 +420,19 @@ register("sanitize_filename", lambda s, d: _uploads(s, d).select("doc_seq", sani
 register("upload_status", lambda s, d: mutate.upload_status(_uploads(s, d)),
          f"WITH {UPLOADS_SQL}, w AS (SELECT *, len({O.content('text')}) > 0 AS words FROM up) SELECT CASE WHEN clean = '' THEN given ELSE clean END AS filename, CASE WHEN clean = '' THEN 'rejected' WHEN words THEN 'indexed' ELSE 'failed' END AS status, "
          "CASE WHEN clean = '' THEN 'unsupported name' WHEN NOT words THEN 'no readable text' END AS reason FROM w")
-register("page_strip", lambda s, d: s.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.array_join(rank.page_strip(F.col("c_custkey") % 13 + 1, F.greatest(F.col("c_custkey") % 13 + 1, F.col("c_custkey") % 17)), " ").alias("strip")),
-         """WITH c AS (SELECT c_custkey, c_custkey % 13 + 1 AS p, greatest(c_custkey % 13 + 1, c_custkey % 17) AS n FROM customer), k AS (SELECT *, CASE WHEN n <= 1 THEN [] WHEN n <= 7 THEN range(1, n + 1) ELSE list_sort(list_distinct(list_filter([1, p - 1, p, p + 1, n], lambda x: x BETWEEN 1 AND n))) END AS shown FROM c)
-SELECT c_custkey, array_to_string(list_transform(shown, lambda x, i: CASE WHEN i > 1 AND x - shown[i - 1] > 1 THEN '... ' ELSE '' END || x), ' ') AS strip FROM k""")
+def _strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page numbers offered under each page of searches, for a page of one result and more."""
+    i = index(spark, sf_dir)
+    q = score.ask(asked(spark, STRIPPED), i)
+    pages = rank.paged(score.score(q, i))[0].select("query_id", "page", "total_pages").distinct()
+    return pages.select("query_id", "page", "total_pages", F.array_join(rank.page_strip(F.col("page"), F.col("total_pages")), " ").alias("strip"))
+
+
+#: The same searches on different pages.
+STRIPPED = [(10 * k + p, raw, str(page), limit) for k, (raw, limit) in enumerate((("the", "10"), ("en src1", "3"), ("555", "50"), ('"of the"', "7"))) for p, page in enumerate((1, 2, 4, 7, 999))]
+register("page_strip", _strips, O.search(STRIPPED, O.PAGES.format("res") + """,
+sk AS (SELECT DISTINCT query_id, pno AS p, total_pages AS n FROM pr), k AS (SELECT *, CASE WHEN n <= 1 THEN [] WHEN n <= 7 THEN range(1, n + 1) ELSE list_sort(list_distinct(list_filter([1, p - 1, p, p + 1, n], lambda x: x BETWEEN 1 AND n))) END AS shown FROM sk)
+SELECT query_id, p AS page, n AS total_pages, array_to_string(list_transform(shown, lambda x, i: CASE WHEN i > 1 AND x - shown[i - 1] > 1 THEN '... ' ELSE '' END || x), ' ') AS strip FROM k"""))
 register("recent_searches", lambda s, d: mutate.recent_searches(s.read.parquet(f"{d}/events.parquet").select("user_id", F.col("event_type").alias("query"), "ts", F.col("event_id").alias("id"))).select("user_id", "rank", "query"),
          "WITH a AS (SELECT user_id, event_type AS query, ts, event_id, row_number() OVER (PARTITION BY user_id, lower(event_type) ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE trim(event_type) <> ''), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM a WHERE n = 1) SELECT user_id, rank::INT AS rank, query FROM b WHERE rank <= 8")
 register("query_suggestions", lambda s, d: mutate.suggestions(s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("rank"), F.col("p_name").alias("query")), "a"),
