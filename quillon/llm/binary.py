@@ -72,7 +72,7 @@ def write_shards(spark: SparkSession, docs: DataFrame, target: str, path: str |
     width = 4 if wide_ids(path) else 2
     # The table is as large as the shards and lies beside them for a while, so it is compressed harder than others.
     options = {"parquet.compression.codec.zstd.level": 9, "parquet.page.size": 4 << 20}
-    table = ws.table(token_table(spark, docs, path, end_id, None, id_col, text_col).drop("uid", "key"), "tokens", "zstd", **options)
+    table = ws.table(token_table(spark, docs, path, end_id, None, id_col, text_col, by_file=True).drop("uid", "key"), "tokens", "zstd", **options)
     placed = in_table_order(ws, table)
     total, mark = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.xxhash64("before", "doc_id", "n", "ids").cast("decimal(38,0)")), F.lit(0))).first()
     n = -(-total // length)

@@ -90,10 +90,10 @@ def parts_of(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterat
         yield batch.slice(at)
 
 
-def token_table(spark: SparkSession, docs: DataFrame, path: str, end_id: int, key=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, n, file, run, earlier, key, ids): every document's ids and then `end_id`. Null text counts as empty.
+def token_table(spark: SparkSession, docs: DataFrame, path: str, end_id: int, key=None, id_col: str = "doc_id", text_col: str = "text", by_file: bool = False) -> DataFrame:
+    """(uid, doc_id, n, key, ids): every document's ids and then `end_id`. Null text counts as empty.
 
-    file, run: which rows follow one another in a task: those of a file from the row `run` on; earlier: ids before a document in its run.
+    by_file adds file, run: which rows follow one another in a task: those of a file from the row `run` on; earlier: ids before a document in its run.
     Rows that aren't read right from files are taken in the order of their partitions.
     key: maps a list of id arrays to one whole number each. ids are of the narrowest unsigned type that holds the vocabulary.
     """
@@ -109,23 +109,28 @@ def token_table(spark: SparkSession, docs: DataFrame, path: str, end_id: int, ke
                 ids = [enc(t) + end for t in part.column(2).to_pylist()]
                 keys = key([np.frombuffer(x, enc.dtype) for x in ids]) if key else np.zeros(len(ids), np.int64)
                 n = [len(x) // enc.dtype.itemsize for x in ids]
-                runs, earlier = [], []
-                for file, row, size in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), n, strict=True):
-                    if (file, row - 1) != last:
-                        run, so_far = row, 0
-                    runs.append(run)
-                    earlier.append(so_far)
-                    last, so_far = (file, row), so_far + size
-                numbers = [pa.array(x, pa.int64()) for x in (runs, earlier, keys)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), part.column(3), *numbers, pa.array(ids, pa.binary())], names)
-
-    names = ["uid", "doc_id", "n", "file", "run", "earlier", "key", "ids"]
+                columns = [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())]
+                if by_file:
+                    runs, earlier = [], []
+                    for file, row, size in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), n, strict=True):
+                        if (file, row - 1) != last:
+                            run, so_far = row, 0
+                        runs.append(run)
+                        earlier.append(so_far)
+                        last, so_far = (file, row), so_far + size
+                    columns += [part.column(3), pa.array(runs, pa.int64()), pa.array(earlier, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema])
+
+    schema = ["uid long", "doc_id long", "n long", "key long", "ids binary", *["file string", "run long", "earlier long"] * by_file]
     columns = [F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    try:
-        rows = docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except AnalysisException:
-        rows = docs.select(*columns, F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
-    return rows.mapInArrow(encode, "uid long, doc_id long, n long, file string, run long, earlier long, key long, ids binary")
+    if not by_file:
+        rows = docs.select(*columns)
+    else:
+        try:
+            rows = docs.select(*columns, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        except AnalysisException:
+            rows = docs.select(*columns, F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return rows.mapInArrow(encode, ", ".join(schema))
 
 
 def in_table_order(ws: Workspace, table: DataFrame) -> DataFrame:
