@@ -47,6 +47,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, table(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_quality that no estimate goes into."""
+    return op6_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -74,6 +79,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row that says whether op10_sharding keeps its law: all rows and bytes, shards that differ by no more than the largest document, slots without gaps."""
+    from pyspark.sql import functions as F
+
+    each = op10_sharding(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), (F.count_distinct("slot") == F.max("slot") + 1).alias("gapless"), F.min("slot").alias("first"))
+    whole = each.agg(F.sum("rows").alias("documents"), F.sum("bytes").alias("bytes"), F.count("*").cast("int").alias("shards"), (F.bool_and("gapless") & (F.max("first") == 0)).alias("gapless"), (F.max("bytes") - F.min("bytes") <= F.max("largest")).alias("even"))
+    return whole
+
+
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -101,7 +115,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding, op11_fill_in_middle, op12_manifest, op13_language, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_mixing, op4_warc, op5_repeats, op6_quality, op7_near_duplicates, op8_token_shards, op9_packing, op10_sharding, op11_fill_in_middle, op12_manifest, op13_language, pipeline, quality_base, sharding_law)}
 def _tree_sql(name: str, nodes: str, most: int) -> str:
     """CTEs of a hash tree over nodes(grp, idx, n, h), `most` levels: {name}0 .. the nodes of each level, {name}s0 .. what stands beside each."""
     out = [f"{name}0 AS ({nodes})"]
@@ -173,6 +187,15 @@ s AS (SELECT q.uid, q.vec_id AS query_id, c.vec_id, c.uid AS cuid, list_inner_pr
 r AS (SELECT query_id, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op5_repeats": REPEATS_SQL,
+    "quality_base": r"""
+WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT uid, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS k FROM (SELECT uid, w, unnest(range(len(w) - 2)) AS i FROM d WHERE len(w) >= 3)),
+r AS (SELECT uid, i FROM x QUALIFY count(*) OVER (PARTITION BY uid, k) > 1),
+c AS (SELECT uid, count(DISTINCT p) AS n FROM (SELECT uid, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY uid),
+l AS (SELECT uid, count(*) - count(DISTINCT line) AS n FROM (SELECT uid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed FROM d LEFT JOIN c USING (uid) LEFT JOIN l USING (uid)""",
+    "sharding_law": "SELECT count(*) AS documents, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS bytes, 8::INT AS shards, true AS gapless, true AS even FROM documents",
     "op7_near_duplicates": NEAR_DUPLICATES_SQL,
     "op4_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), h AS (SELECT page_id, strlen(t)::BIGINT AS n, sha1(t) AS d FROM p),
