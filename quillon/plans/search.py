@@ -11,9 +11,23 @@ from ..operators.score import Asked, ask, score
 from ..operators.snippet import snippets
 
 
+_kept: list[tuple[str, DataFrame]] = []
+
+
+def _keep(rows: DataFrame) -> DataFrame:
+    """Holds the evidence of the last search of this process on the executors, for the steps that read it; that of the one before is released."""
+    app = rows.sparkSession.sparkContext.applicationId
+    while _kept:
+        was, old = _kept.pop()
+        if was == app:
+            old.unpersist()
+    _kept.append((app, rows.persist(StorageLevel.MEMORY_AND_DISK)))
+    return rows
+
+
 def rank_all(queries: DataFrame, index: Index) -> DataFrame:
     """All matching documents of raw queries (query_id, raw, page, limit), scored and ranked."""
-    return ranked(score(ask(queries, index), index))
+    return ranked(score(ask(queries, index), index, _keep))
 
 
 def _titled(rows: DataFrame, names: list[str] | None, index: Index) -> DataFrame:
