@@ -229,6 +229,27 @@ def test_two_writers(spark, docs, tmp_path):
         one._commit(one.generation(), [])
 
 
+def test_manifests_on_other_file_systems(spark, tmp_path):
+    """Where there are no hard links a rename that doesn't overwrite makes the manifest; here on the local file system under another name."""
+    store = Store(spark, str(tmp_path / "s"))
+
+    class Other:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def getScheme(self):  # noqa: N802
+            return "other"
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    store._fs = Other(store._fs)
+    assert store._commit(1, []) == 1 and store.load().documents.count() == 0
+    with pytest.raises(Conflict):
+        store._commit(1, [])
+    assert [p.name for p in (tmp_path / "s").glob("*.json")] == ["manifest-0000000001.json"]
+
+
 def test_recovery_and_retention(spark, index, tmp_path):
     import os
     import shutil
