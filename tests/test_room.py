@@ -68,3 +68,18 @@ def test_a_store_begins_with_the_segments_of_another(spark, tmp_path):
         own.upsert(build_index(documents(spark, 1)))
     assert own.count_documents() == 35 and base.count_documents() == 40
     assert base.load().postings.count() == build_index(documents(spark, 40)).postings.count()
+
+
+def test_queries_of_one_text_are_scored_once(spark, monkeypatch):
+    from quillon.operators import score
+    from quillon.plans import search as P
+
+    index, seen = build_index(documents(spark, 30)), []
+    monkeypatch.setattr(P, "score", lambda asked, *a: seen.append(len(asked.worded_rows)) or score.score(asked, *a))
+    queries = [(1, "the", "1", "10"), (2, "the", "3", "10"), (3, "the", "99", "7"), (4, "word3", "1", "10"), (5, "the pdf", "2", "10")]
+    asked = score.ask(spark.createDataFrame(queries, "query_id int, raw string, page string, limit string"), index)
+    rows = P.pages_of(asked, index)[0].select("query_id", "rank", "page", "total", "doc_seq").collect()
+    assert seen == [3]
+    pages = {i: sorted((r["rank"], r.page, r.total) for r in rows if r.query_id == i) for i in range(1, 6)}
+    assert pages[1] == [(k, 1, 30) for k in range(1, 11)] and pages[2] == [(k, 3, 30) for k in range(21, 31)]
+    assert pages[3] == [(29, 5, 30), (30, 5, 30)] and pages[5] == [(k, 2, 30) for k in range(11, 21)] and pages[4]
