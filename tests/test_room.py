@@ -70,6 +70,22 @@ def test_a_store_begins_with_the_segments_of_another(spark, tmp_path):
     assert base.load().postings.count() == build_index(documents(spark, 40)).postings.count()
 
 
+def test_objects_become_one_as_a_stream(spark, tmp_path):
+    import json
+
+    from quillon.sources import snapshot
+
+    folder = str(tmp_path / "lines")
+    members = [{f"k{k}": {"a\n,": k}} for k in range(1000)]
+    spark.createDataFrame([(json.dumps(m),) for m in members], "value string").repartition(5).write.text(folder)
+    whole = snapshot.one_object(spark.read.text(folder))
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Exchange" not in plan
+    rows = [r.value for r in whole.collect()]
+    assert len(rows) == 1002 and json.loads("\n".join(rows)) == {k: v for m in members for k, v in m.items()}
+    assert [r.value for r in snapshot.one_object(spark.createDataFrame([], "value string")).collect()] == ["{", "}"]
+
+
 def test_queries_of_one_text_are_scored_once(spark, monkeypatch):
     from quillon.operators import score
     from quillon.plans import search as P
