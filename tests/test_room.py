@@ -86,6 +86,16 @@ def test_objects_become_one_as_a_stream(spark, tmp_path):
     assert [r.value for r in snapshot.one_object(spark.createDataFrame([], "value string")).collect()] == ["{", "}"]
 
 
+def test_uploads_without_repeated_names_are_not_dealt_out(spark):
+    from quillon.operators import mutate
+
+    texts = documents(spark, 20)
+    assert "Exchange" not in mutate.sanitised_upload(texts)._jdf.queryExecution().executedPlan().toString()
+    twice = texts.unionByName(texts.where("doc_seq = 3").withColumns({"doc_seq": F.lit(99).cast("long"), "text": F.lit("later")}))
+    rows = mutate.sanitised_upload(twice).collect()
+    assert len(rows) == 20 and [r.text for r in rows if r.doc_seq == 99] == ["later"] and not [r for r in rows if r.doc_seq == 3]
+
+
 def test_queries_of_one_text_are_scored_once(spark, monkeypatch):
     from quillon.operators import score
     from quillon.plans import search as P
