@@ -109,3 +109,49 @@ def test_queries_of_one_text_are_scored_once(spark, monkeypatch):
     pages = {i: sorted((r["rank"], r.page, r.total) for r in rows if r.query_id == i) for i in range(1, 6)}
     assert pages[1] == [(k, 1, 30) for k in range(1, 11)] and pages[2] == [(k, 3, 30) for k in range(21, 31)]
     assert pages[3] == [(29, 5, 30), (30, 5, 30)] and pages[5] == [(k, 2, 30) for k in range(11, 21)] and pages[4]
+
+
+def asked_of(spark, index, *raw):
+    from quillon.operators import score
+
+    return score.ask(spark.createDataFrame([(k, q, "1", "10") for k, q in enumerate(raw, 1)], "query_id int, raw string, page string, limit string"), index)
+
+
+def test_many_terms_go_to_the_postings(spark, tmp_path, monkeypatch):
+    """More terms than a plan holds: postings of other terms don't reach the join, and none is dealt out for it."""
+    from quillon.operators import score
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(build_index(documents(spark, 60)))
+    index = store.load()
+    asked = asked_of(spark, index, "the word1 17", '"the word3"')
+    rows = lambda: sorted(map(str, score.term_evidence(asked, index).collect()))
+    few = rows()
+    monkeypatch.setattr(score, "held", lambda df: (df, None))
+    plan = score.term_evidence(asked, index)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and "StartsWith(term" in plan
+    assert rows() == few and len(few) > 60
+
+
+def test_phrases_in_many_documents_move_no_body(spark, tmp_path, monkeypatch):
+    from quillon.operators import score
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(build_index(documents(spark, 40)))
+    index = store.load()
+    asked = asked_of(spark, index, '"again the"', '"the word3"', "the thesis", "again")
+    found = lambda: sorted(map(tuple, score.phrase_counts(asked, index, score.evidence(asked, index))[0].select("query_id", "filename", "phrase_occurrences").collect()))
+    few = found()
+    monkeypatch.setattr(score, "held", lambda df: (df, None))
+    monkeypatch.setattr(type(index), "bodies_of", lambda *a: 1 / 0)
+    assert found() == few and {r[0] for r in few} == {1, 2, 3}
+
+
+def test_evidence_is_dealt_as_numbers(spark):
+    from quillon.operators import score
+
+    index = build_index(documents(spark, 20))
+    rows = score.evidence(asked_of(spark, index, "the word3"), index)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("collect_list") < plan.index("REPARTITION_BY_COL") and "collect_list" not in plan[plan.index("REPARTITION_BY_COL"):]
+    assert [r.content_matches for r in rows.where("filename = 'en module 3.pdf'").collect()] == [["the", "word3"]]
