@@ -155,3 +155,38 @@ def test_evidence_is_dealt_as_numbers(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.index("collect_list") < plan.index("REPARTITION_BY_COL") and "collect_list" not in plan[plan.index("REPARTITION_BY_COL"):]
     assert [r.content_matches for r in rows.where("filename = 'en module 3.pdf'").collect()] == [["the", "word3"]]
+
+
+def test_texts_are_stored_once(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    texts = documents(spark, 30).withColumn("page_texts", F.when(F.col("doc_seq") == 4, F.expr("array(named_struct('page', 2, 'text', 'Second'), named_struct('page', 1, 'text', 'First  one'), named_struct('page', 3, 'text', ' '))")).otherwise(F.col("page_texts")))
+    store.publish(build_index(texts))
+    segment = store.current()[1][0]
+    assert "bodies" not in segment["tables"] and not os.path.exists(f"{store.root}/{segment['folder']}/bodies")
+    index = store.load()
+    for rows in (index.bodies, index.lists(), index.pages):  # none is dealt out to be made
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in index.pages_of(["en module 4.pdf"]).orderBy("page_number").collect()] == [("en module 4.pdf", 1, "first  one"), ("en module 4.pdf", 2, "second")]
+    assert [r.body for r in index.bodies_of(["en module 4.pdf"]).collect()] == ["first one second"]
+
+
+def test_segments_of_version_2_are_read_and_merged(spark, tmp_path, monkeypatch):
+    """Pages and bodies as tables of their own, as version 2 wrote them."""
+    import json
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(build_index(documents(spark, 12)))
+    want = [sorted(map(tuple, t.collect())) for t in (store.load().pages, store.load().bodies)]
+    segment, at = store.current()[1][0], f"{store.root}/{store.current()[1][0]['folder']}"
+    index = build_index(documents(spark, 12))
+    for name in ("pages", "bodies"):
+        (index.pages if name == "pages" else index.bodies).write.mode("overwrite").parquet(f"{at}/{name}")
+        segment["tables"][name] = {"rows": 12, "bytes": store._fs.getContentSummary(store._path(f"{at}/{name}")).getLength()}
+    with open(f"{store.root}/manifest-0000000002.json", "w") as f:
+        json.dump({"version": 2, "generation": 2, "segments": [segment]}, f)
+    assert store.current()[0] == 2 and [sorted(map(tuple, t.collect())) for t in (store.load().pages, store.load().bodies)] == want
+    store.upsert(build_index(documents(spark, 13).where("doc_seq = 12")))
+    store.compact()
+    now = store.current()[1]
+    assert len(now) == 1 and "bodies" not in now[0]["tables"] and store.load().bodies.count() == 13
+    assert [r for r in sorted(map(tuple, store.load().pages.collect())) if "12" not in r[0]] == want[0]
