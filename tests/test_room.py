@@ -190,3 +190,50 @@ def test_segments_of_version_2_are_read_and_merged(spark, tmp_path, monkeypatch)
     now = store.current()[1]
     assert len(now) == 1 and "bodies" not in now[0]["tables"] and store.load().bodies.count() == 13
     assert [r for r in sorted(map(tuple, store.load().pages.collect())) if "12" not in r[0]] == want[0]
+
+
+def test_version_1_is_brought_together_in_passes(spark, tmp_path, monkeypatch):
+    import json
+
+    root, texts = str(tmp_path / "s"), documents(spark, 40)
+    pages = F.when(F.col("doc_seq") == 4, F.expr("array(named_struct('page', 2, 'text', 'Second'), named_struct('page', 1, 'text', 'First  one'))")).when(F.col("doc_seq") == 5, F.expr("slice(page_texts, 1, 0)")).otherwise(F.col("page_texts"))
+    index = build_index(texts.withColumn("page_texts", pages))
+    for name, df in {"documents": index.documents.drop("terms"), "postings": index.postings.orderBy("term"), "pages": index.pages}.items():
+        df.write.parquet(f"{root}/gen-x/{name}")
+    with open(f"{root}/manifest-0000000004.json", "w") as f:
+        json.dump({"generation": 4, "folder": "gen-x"}, f)
+    rows = lambda i: [sorted(map(str, t.collect())) for t in (i.documents, i.pages, i.lists(), i.bodies)]
+    brought = lambda: {x for x in os.listdir(f"{root}/gen-x") if x.startswith("by-document")}
+    want = rows(index)
+    assert rows(Store(spark, root).load()) == want and not brought()  # a small one is made when it is read
+    monkeypatch.setattr(S, "PASS_BYTES", 1)
+    monkeypatch.setattr(S, "PASSES", 3)
+    before = shuffle_files(spark)
+    now = Store(spark, root).load()
+    assert settles(lambda: shuffle_files(spark), before) <= before
+    for t in (now.documents, now.lists(), now.bodies):  # none is dealt out when it is read
+        assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
+    assert rows(now) == want and len(brought()) == 1
+    assert rows(Store(spark, root).load()) == want and len(brought()) == 1
+    folder = f"{root}/gen-x/{brought().pop()}"
+    part = next(x for x in os.listdir(f"{folder}/documents") if x.endswith(".parquet"))
+    os.remove(f"{folder}/documents/{part}")
+    assert rows(Store(spark, root).load()) == want and len(brought()) == 2  # one that isn't whole is made again
+    store = Store(spark, root)
+    store.upsert(build_index(documents(spark, 41).where("doc_seq = 40")))
+    assert store.count_documents() == 41 and store.load().postings.count() == index.postings.count() + 5
+
+
+def test_a_store_of_version_1_needs_no_index(spark, monkeypatch):
+    from quillon.plans import catalog as C
+    from quillon.sources.corpus import texts
+
+    small = "/root/testdata/sf0.001"
+    monkeypatch.setattr(C, "PASSES", 2)
+    monkeypatch.setattr(C, "_base", lambda *a: 1 / 0)
+    store = C._write_version_1(spark, small)
+    assert not os.path.exists(f"{store.root}/counted")
+    postings = spark.read.parquet(f"{store.root}/gen-1/postings")
+    assert postings.columns == ["term", "filename", "term_count"] and "terms" not in spark.read.parquet(f"{store.root}/gen-1/documents").columns
+    rows = lambda i: sorted(map(str, C._digests(i).collect()))
+    assert rows(store.load()) == rows(build_index(texts(spark, small)))
