@@ -237,3 +237,39 @@ def test_a_store_of_version_1_needs_no_index(spark, monkeypatch):
     assert postings.columns == ["term", "filename", "term_count"] and "terms" not in spark.read.parquet(f"{store.root}/gen-1/documents").columns
     rows = lambda i: sorted(map(str, C._digests(i).collect()))
     assert rows(store.load()) == rows(build_index(texts(spark, small)))
+
+
+def plans_of_writes(monkeypatch):
+    """The plans of what stores write from now on, by folder."""
+    seen, save = [], Store._save
+
+    def spy(self, df, at, by=None):
+        seen.append((at.split("/")[-1], df._jdf.queryExecution().executedPlan().toString()))
+        return save(self, df, at, by)
+
+    monkeypatch.setattr(Store, "_save", spy)
+    return lambda name: [p for n, p in seen if n == name]
+
+
+def test_a_segment_is_made_without_looking_for_ranges(spark, tmp_path, monkeypatch):
+    """Documents stand in ranges of their texts already; postings are made once for each pass."""
+    plans, store = plans_of_writes(monkeypatch), Store(spark, str(tmp_path / "s"))
+    store.publish(build_index(documents(spark, 30)))
+    assert plans("documents") and not any("Exchange" in p for p in plans("documents"))
+    assert plans("postings") and not any("rangepartitioning" in p for p in plans("postings"))
+    monkeypatch.setattr(S, "FEW_VALUES", 2)
+    store.remove(store.load().documents.where("doc_seq < 9").select("filename"))
+    assert plans("gone") and not any("SortMergeJoin" in p for p in plans("gone"))
+    assert store.count_documents() == 21 and store.load().vocabulary().where("term = 'thesis'").first().df == 21
+
+
+def test_a_joined_upload_is_not_taken_for_the_product_of_its_sides(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "SMALL_BYTES", 0)
+    monkeypatch.setattr(S, "TEXT_BYTES", 1 << 20)
+    documents(spark, 60).write.parquet(str(tmp_path / "d"))
+    spark.range(60).select(F.col("id").alias("doc_seq"), F.lit("new").alias("with")).write.parquet(str(tmp_path / "b"))
+    joined = spark.read.parquet(str(tmp_path / "d")).join(spark.read.parquet(str(tmp_path / "b")), "doc_seq").drop("with")
+    store = Store(spark, str(tmp_path / "s"))
+    store.publish(build_index(joined))
+    folder = f"{store.root}/{store.current()[1][0]['folder']}/documents"
+    assert len([x for x in os.listdir(folder) if x.endswith(".parquet")]) <= spark.sparkContext.defaultParallelism and store.count_documents() == 60
