@@ -273,3 +273,31 @@ def test_a_joined_upload_is_not_taken_for_the_product_of_its_sides(spark, tmp_pa
     store.publish(build_index(joined))
     folder = f"{store.root}/{store.current()[1][0]['folder']}/documents"
     assert len([x for x in os.listdir(folder) if x.endswith(".parquet")]) <= spark.sparkContext.defaultParallelism and store.count_documents() == 60
+
+
+def test_members_of_an_object_are_not_dealt_out(spark, tmp_path):
+    """Only a member that goes on in the next split is brought together from two."""
+    import json
+
+    from quillon.sources.snapshot import _table
+
+    at, was = tmp_path / "inverted_index.json", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    terms = {f'w{k}"{{,': {f"{d}.txt": d for d in range(k % 9)} for k in range(500)}
+    rows = lambda t: sorted((r.key, sorted(r.value.items())) for r in t.collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for text in (json.dumps(terms), json.dumps(terms, indent=2) + "\n\n"):
+            at.write_text(text)
+            found = _table(spark, str(tmp_path), "inverted_index")
+            assert found.rdd.getNumPartitions() > 3 and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+            assert rows(found) == sorted((k, sorted(v.items())) for k, v in terms.items())
+        for damaged in (text[:-3], text + "}", text + " {}", text.rstrip()[:-1] + ',"x" 1}', '{"a": {}} {"b": {}}', '"a": {}', "", "{", '{"a": {"x": 1} "b": {}}'):
+            at.write_text(damaged)
+            assert rows(_table(spark, str(tmp_path), "inverted_index")) == [], damaged
+        for text, want in ((" { } ", []), ('{"a": {}, "b": {"x": 1}\n}', [("a", []), ("b", [("x", 1)])])):
+            at.write_text(text)
+            assert rows(_table(spark, str(tmp_path), "inverted_index")) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
