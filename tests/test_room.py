@@ -301,3 +301,23 @@ def test_members_of_an_object_are_not_dealt_out(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_bodies_are_gone_through_once(spark, tmp_path, monkeypatch):
+    from quillon.operators import score
+    from quillon.plans import search as P
+
+    store, seen = Store(spark, str(tmp_path / "s")), []
+    store.publish(build_index(documents(spark, 30)))
+    index = store.load()
+    asked = asked_of(spark, index, '"again the"', "the thesis")
+    monkeypatch.setattr(score, "held", lambda df: (df, None))
+    score.phrase_counts(asked, index, score.evidence(asked, index), lambda rows: seen.append(rows) or rows)
+    monkeypatch.undo()
+    assert [r.columns for r in seen] == [["query_id", "filename", "phrase_occurrences"]]
+    queries = spark.createDataFrame([(1, '"again the"', "1", "10")], "query_id int, raw string, page string, limit string")
+    for _ in range(2):  # what a search holds goes with the next one
+        rows = P.rank_all(queries, index).select("filename", "phrase_occurrences").collect()
+        assert len(rows) == 30 and {r.phrase_occurrences for r in rows} == {1} and 1 <= len(P._kept) <= 2
+    P._release(spark)
+    assert P._kept == []

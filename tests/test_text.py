@@ -41,3 +41,15 @@ def test_numbers_and_extensions(spark):
 def test_occurrences(spark):
     df = spark.createDataFrame([("aa aaa", "aa"), ("foo, bar", "foo bar"), ("smart workers", "art work"), ("x", "")], "t string, p string")
     assert [r[0] for r in df.select(T.occurrences(F.col("t"), F.col("p"))).collect()] == [2, 0, 1, 0]
+
+
+def test_collapse_passes_over_single_spaces(spark):
+    import random
+
+    from quillon.functions import text as T
+
+    r = random.Random(5)
+    rows = [("".join(r.choices(["a", "\u00e9", " ", " ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "\x85", "b "], k=r.randrange(30))),) for _ in range(500)]
+    found = spark.createDataFrame(rows, "t string").select("t", T.collapse(F.col("t")).alias("c"), T.strip(F.regexp_replace("t", f"{T.SPACE}+", " ")).alias("plain"))
+    assert [x for x in found.collect() if x.c != x.plain] == []
+    assert "{0}(?:{0}+|(?<! ))".format(T.SPACE) in found._jdf.queryExecution().analyzed().toString()
